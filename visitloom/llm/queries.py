@@ -6,13 +6,48 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from visitloom.llm import ann, exact_dedup, licenses, mixing, near_dup, packing, sharding, suffix_dedup, tokens, toxicity
 from visitloom.llm.common import table
 
 
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.op1_nearest(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op2_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.op2_shard_documents(spark, table(spark, sf_dir, "documents"))
+
+
+def op3_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.op3_section_tokens(spark, table(spark, sf_dir, "documents"))
+
+
+def op4_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.op4_licenses(spark, table(spark, sf_dir, "documents"))
+
+
+def op5_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op5_toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from visitloom.llm.exact_dedup import op6_exact_dedup as run
+    return exact_dedup.op6_exact_dedup(spark, table(spark, sf_dir, "documents"))
+
+
+def op7_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.op7_near_duplicates(spark, table(spark, sf_dir, "documents"))
 
-    return run(spark, table(spark, sf_dir, "documents"))
+
+def op8_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op8_pack(spark, table(spark, sf_dir, "documents"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.op9_remove_repeats(spark, table(spark, sf_dir, "documents"))
+
+
+def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op10_mix_sources(spark, table(spark, sf_dir, "documents"))
 
 
 OP6_SQL = r"""
@@ -25,7 +60,48 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
 FROM d
 """
 
+
+def op4_sql() -> str:
+    def quoted(s: str) -> str:
+        return "'" + s.replace("'", "''") + "'"
+
+    def words(x: str) -> str:
+        for pattern, to in licenses.SPELLINGS:
+            x = f"regexp_replace({x}, {quoted(pattern)}, {quoted(to.replace('$', chr(92)))}, 'g')"
+        return rf"trim(regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+    known = ", ".join(f"({i}, {quoted(a)}, {quoted(b)})" for i, (a, _, b) in enumerate(licenses.KNOWN))
+    longest = max([len(k[2]) for k in licenses.KNOWN] + [1000]) * 4
+    return rf"""
+WITH k AS (SELECT * FROM (VALUES {known}) AS t(n, license, body)),
+d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+b AS (SELECT doc_id, string_split_regex(body, '\n[ \t\r]*\n') AS a FROM d),
+l AS (SELECT doc_id, string_split(body, chr(10)) AS a FROM d),
+u AS (
+  SELECT * FROM (
+    SELECT doc_id, 'document' AS unit, CAST(0 AS BIGINT) AS unit_no, body FROM d
+    UNION ALL SELECT doc_id, 'block', CAST(unnest(range(len(a))) AS BIGINT), unnest(a) FROM b
+  ) WHERE contains(trim(body), chr(10))
+  UNION ALL SELECT doc_id, 'line', CAST(unnest(range(len(a))) AS BIGINT), unnest(a) FROM l
+),
+c AS (
+  SELECT doc_id, unit, unit_no, lower(body) AS low FROM u
+  WHERE length(body) BETWEEN 4 AND {longest} AND regexp_matches(lower(body), 'licen[cs]e|permission|rights reserved|released under|\bcc0\b|\bcc by')
+  UNION ALL SELECT NULL, license, n, lower(body) FROM k
+),
+w AS (SELECT doc_id, unit, unit_no, low, {words(f"regexp_replace(low, {quoted(licenses.COPYRIGHT_LINE)}, ' ', 'g')")} AS bare FROM c),
+f AS (SELECT doc_id, unit, unit_no, CASE WHEN bare = '' THEN {words("low")} ELSE bare END AS form FROM w)
+SELECT f.doc_id, f.unit, f.unit_no, g.license
+FROM f JOIN (SELECT form, arg_min(unit, unit_no) AS license FROM f WHERE doc_id IS NULL AND form <> '' GROUP BY form) g USING (form)
+WHERE f.doc_id IS NOT NULL
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op6_exact_dedup": op6_exact_dedup,
-}
-SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL}
+    f.__name__: f
+    for f in (
+        op1_permutation_index, op2_best_fit_shards, op3_section_tokens, op4_license_digests, op5_ordinal_toxicity,
+        op6_exact_dedup, op7_minhash_join, op8_concat_and_cut, op9_suffix_dedup, op10_pfair_mix,
+    )
+}
+SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op4_license_digests": op4_sql()}
