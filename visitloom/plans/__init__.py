@@ -1 +1,4 @@
-"""Part of visitloom; see the README for the map of modules."""
+"""Queries: the operators bound to tables, each with SQL where SQL can say it."""
+
+from visitloom.plans import scalar_queries, table_queries  # noqa: F401
+from visitloom.plans.registry import QUERIES, SQL  # noqa: F401
