@@ -197,39 +197,28 @@ def tie_funnel(df: DataFrame, keys: Sequence[str], targets: Sequence[str], measu
         F.array(*[F.col(t).cast("double") for t in targets]).alias("v"),
     )
 
-    def at_extreme(r: DataFrame, c: str, how) -> DataFrame:
-        e = r.groupBy(*keys).agg(how(c).alias("__e"))
-        return r.join(e, list(keys)).filter(F.col(c) == F.col("__e")).drop("__e")
-
-    def ties(r: DataFrame) -> tuple[DataFrame, DataFrame]:
-        n = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c"))
-        left = r.join(n.filter("__c > 1"), list(keys)).drop("__c")
-        return left, n
-
-    many, _ = ties(rows)
-    current, _ = ties(at_extreme(many, "t", F.max))
-    steps = []
-    for name, column, how in (("measure_completeness", "m", F.max), ("qc_availability", "q", F.max), ("unique_overall_pass", "p", F.max), ("fewer_regional_failures", "f", F.min)):
-        top = at_extreme(current, column, how)
-        rest, n = ties(top)
-        if column == "p":  # a unique row counts as resolved only if it passes
-            single = top.join(n.filter("__c = 1"), list(keys))
-            done = single.filter("p = 1")
-            rest = rest.unionByName(single.filter("p = 0").drop("__c"))
-        else:
-            done = n.filter("__c = 1")
-        steps.append((name, current.select(*keys).distinct(), done.select(*keys).distinct()))
-        current = rest
-    first = current.groupBy(*keys).agg(F.min("v").alias("__v"))
+    # The cascade keeps the lexicographic maximum, so one aggregate finds what survives every step.
+    best = rows.groupBy(*keys).agg(F.max(F.struct("t", "m", "q", "p", (-F.col("f")).alias("nf"))).alias("b"), F.count(F.lit(1)).alias("c"))
+    j = rows.join(best.filter("c > 1"), list(keys))
+    at = F.col("t") == F.col("b.t")
+    reach = []
+    for column, value in (("m", F.col("m")), ("q", F.col("q")), ("p", F.col("p")), ("nf", -F.col("f"))):
+        at = at & (value == F.col(f"b.{column}"))
+        reach.append(at)
+    last = j.filter(reach[-1]).groupBy(*keys).agg(F.min("v").alias("v0"))
     close = lambda a, b: (a.isNull() & b.isNull()) | F.coalesce(F.abs(a - b) <= F.lit(atol) + F.lit(rtol) * F.abs(b), F.lit(False))
-    same = current.join(first, list(keys)).groupBy(*keys).agg(F.bool_and(F.forall(F.zip_with("v", "__v", close), lambda x: x)).alias("s"))
-    steps.append(("numerical_equivalence", current.select(*keys).distinct(), same.filter("s").select(*keys)))
-    out = None
-    for i, (name, entering, done) in enumerate(steps):
-        a = entering.agg(F.count(F.lit(1)).alias("entering")).crossJoin(done.agg(F.count(F.lit(1)).alias("resolved")))  # one row each
-        row = a.select(F.lit(i + 1).alias("step_no"), F.lit(name).alias("step"), "entering", "resolved", (F.col("entering") - F.col("resolved")).alias("remaining"))
-        out = row if out is None else out.union(row)
-    return out
+    per = j.join(last, list(keys)).groupBy(*keys).agg(
+        F.count_if(F.col("t") == F.col("b.t")).alias("c0"), *[F.count_if(r).alias(f"c{i + 1}") for i, r in enumerate(reach)],
+        F.bool_and(F.when(reach[-1], F.forall(F.zip_with("v", "v0", close), lambda x: x)).otherwise(True)).alias("same"),
+    )
+    names = ("measure_completeness", "qc_availability", "unique_overall_pass", "fewer_regional_failures", "numerical_equivalence")
+    total = per.agg(
+        *[F.count_if(F.col(f"c{i}") > 1).alias(f"e{i}") for i in range(5)],
+        *[F.count_if((F.col(f"c{i}") > 1) & (F.col(f"c{i + 1}") == 1)).alias(f"r{i}") for i in range(4)],
+        F.count_if((F.col("c4") > 1) & F.col("same")).alias("r4"),
+    )
+    steps = F.array(*[F.struct(F.lit(i + 1).alias("step_no"), F.lit(n).alias("step"), F.col(f"e{i}").alias("entering"), F.col(f"r{i}").alias("resolved")) for i, n in enumerate(names)])
+    return total.select(F.inline(steps)).withColumn("remaining", F.col("entering") - F.col("resolved"))
 
 
 def conflict_impact(unresolved: DataFrame, visits: DataFrame, keys: Sequence[str], participant: str, complete: str) -> DataFrame:
@@ -245,9 +234,9 @@ def conflict_impact(unresolved: DataFrame, visits: DataFrame, keys: Sequence[str
 def disagreement_profile(df: DataFrame, groups: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """For each given group and column with a disagreement: differing values, or values beside missing cells."""
     text = df.join(groups.select(*keys).distinct(), list(keys), "left_semi").select(*keys, *[F.col(c).cast("string").alias(c) for c in columns])
-    long = text.unpivot(list(keys), list(columns), "column", "value").withColumn("k", F.when(F.col("value").isNotNull(), S.equality_key(F.col("value"))))
+    long = text.unpivot(list(keys), list(columns), "column", "value").withColumn("__eq", F.when(F.col("value").isNotNull(), S.equality_key(F.col("value"))))
     per = long.groupBy(*keys, "column").agg(
-        F.coalesce(F.min("k") != F.max("k"), F.lit(False)).alias("value_disagreement"),
+        F.coalesce(F.min("__eq") != F.max("__eq"), F.lit(False)).alias("value_disagreement"),
         ((F.count("value") > 0) & (F.count("value") < F.count(F.lit(1)))).alias("missingness_disagreement"),
     )
     return per.filter("value_disagreement OR missingness_disagreement")
