@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,9 +23,17 @@ from visitloom.llm.common import only
 
 #: White space other than space, tab, newline and carriage return.
 UNUSUAL_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+ASCII_UNUSUAL = "\x0b\x0c\x1c\x1d\x1e\x1f"
 #: Pieces of a byte-level BPE text: words with the space before them, runs of white space.
 LEADING_SPACE_PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s")
-CACHE_PIECES, CACHED_CHARS = 600_000, 48
+CACHE_PIECES, CACHED_CHARS = 1_000_000, 48
+#: A word of Latin letters that normalisation leaves as they are but for their case, and one mark after it.
+PLAIN_WORD = re.compile("([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?]?)")
+
+
+def unusual_space(text: str) -> bool:
+    """Whether the text holds white space other than space, tab, newline and carriage return."""
+    return any(c in text for c in ASCII_UNUSUAL) if text.isascii() else UNUSUAL_SPACE.search(text) is not None
 
 
 def public_tokenizer_path(name: str) -> str:
@@ -49,25 +58,49 @@ class WordEncoder:
         self.tokenizer = load_tokenizer(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65536 else np.dtype("<u4")
         self.cache: dict[str, bytes] = {"": b""}
+        self.byte_chars = _byte_chars()
+        self.marks = {m: self._ids([m])[0] if m else b"" for m in ("", *".,;:!?")}
+        probe = ["Straße,", "éÀñ.", "Zebra", "ÿŁódź!", "don", "x"]
+        self.plain_way = True
+        found = self._encode_new(set(probe))
+        self.plain_way = [found[p] for p in probe] == self._ids(probe)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [None if UNUSUAL_SPACE.search(t) else t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        pieces = [None if unusual_space(t) else t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         cache = self.cache
-        new = {w for p in pieces if p is not None for w in p if w not in cache}
-        local = dict(zip(new, self._ids(list(new)), strict=True))
+        words = set().union(*(p for p in pieces if p is not None))
+        new = words.difference(cache)
         if len(cache) + len(new) > CACHE_PIECES:
-            cache.clear()
-            cache[""] = b""
-            lookup = {w: v for p in pieces if p is not None for w in p if w not in local for v in self._ids([w])} | local
-            find = lookup.__getitem__
-            lookup[""] = b""
-            cache.update((w, v) for w, v in local.items() if len(w) <= CACHED_CHARS)
-        else:
-            cache.update(local)
-            find = cache.__getitem__
-        out = [b"".join(map(find, p)) if p is not None else self._ids([t])[0] for p, t in zip(pieces, texts, strict=True)]
-        for w in [w for w in new if len(w) > CACHED_CHARS]:
-            cache.pop(w, None)
+            cache = self.cache = {w: cache[w] for w in words if w in cache} | {"": b""}
+        cache.update(self._encode_new(new))
+        out = [b"".join(map(cache.__getitem__, p)) if p is not None else self._ids([t])[0] for p, t in zip(pieces, texts, strict=True)]
+        for w in new:
+            if len(w) > CACHED_CHARS:
+                del cache[w]
+        return out
+
+    def _encode_new(self, pieces: set[str]) -> dict[str, bytes]:
+        """A plain word is one pre-token and goes straight to the tokenizer's model, a mark after it is another; other pieces take the whole way."""
+        out, rest = {}, []
+        tokenize, table, cache, code = self.tokenizer.model.tokenize, self.byte_chars, self.cache, self.dtype.char
+        for w in pieces:
+            m = PLAIN_WORD.fullmatch(w) if self.plain_way else None
+            if m is None:
+                rest.append(w)
+                continue
+            word, mark = m.groups()
+            low = word.lower()
+            ids = cache.get(low)
+            if ids is None:
+                ids = out.get(low)
+            if ids is None:
+                form = low if low.isascii() else low.encode().decode("latin-1").translate(table)
+                ids = array(code, [t.id for t in tokenize(form)]).tobytes()
+                if low == w:
+                    out[w] = ids
+                    continue
+            out[w] = ids + self.marks[mark]
+        out.update(zip(rest, self._ids(rest), strict=True))
         return out
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
@@ -77,6 +110,12 @@ class WordEncoder:
         return out
 
 
+def _byte_chars() -> dict[int, int]:
+    """How byte-level alphabets write a byte that is no printable Latin-1 character: as a character above 255."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
+
+
 @lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
     """The encoder of this Python worker."""
@@ -101,7 +140,7 @@ class OffsetEncoder:
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         if not text:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        if UNUSUAL_SPACE.search(text):
+        if unusual_space(text):
             return self._spans([text])[0]
         pieces = LEADING_SPACE_PIECES.findall(text)
         cache = self.cache
