@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = Path(__file__).resolve().parent.parent
+_SHIPPED: set[str] = set()
+
 
 def local_session(app: str = "visitloom", cores: str | int = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own session."""
@@ -24,3 +32,17 @@ def local_session(app: str = "visitloom", cores: str | int = "*", partitions: in
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application, where their Python would not find it by itself."""
+    paths = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    app = spark.sparkContext.applicationId
+    if str(ROOT) in paths or os.path.realpath(os.getcwd()) == str(ROOT) or app in _SHIPPED:
+        return
+    path = Path(tempfile.mkdtemp()) / "visitloom.zip"  # the driver serves it to the executors
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((ROOT / "visitloom").rglob("*.py")):
+            z.write(f, f.relative_to(ROOT).as_posix())
+    spark.sparkContext.addPyFile(str(path))
+    _SHIPPED.add(app)
