@@ -110,12 +110,6 @@ class WordEncoder:
         return out
 
 
-def _byte_chars() -> dict[int, int]:
-    """How byte-level alphabets write a byte that is no printable Latin-1 character: as a character above 255."""
-    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
-
-
 @lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
     """The encoder of this Python worker."""
@@ -123,44 +117,83 @@ def word_encoder(path: str) -> WordEncoder:
 
 
 class OffsetEncoder:
-    """For byte-level BPE with a leading space: start and end characters of every token of a text."""
+    """For byte-level BPE with a leading space: the pieces of a text with their token counts, and the spans of a piece's tokens."""
 
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-    def _spans(self, pieces: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        out = []
-        for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False):
-            a = np.array(e.offsets, np.int64).reshape(-1, 2)
-            out.append((a[:, 0], a[:, 1]))
+        self.cache: dict[str, int] = {}
+        probe = [" Straße,", "éÀñ.", " Zebra", " ÿŁódź!", "don", " x", "İ", " a"]
+        self.plain_way = True
+        found = self._count_new(set(probe))
+        self.plain_way = [found[p] for p in probe] == [len(self.spans(p)[0]) for p in probe]
+
+    def spans(self, piece: str) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end characters of the piece's tokens."""
+        a = np.array(self.tokenizer.encode(piece, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
+        return a[:, 0], a[:, 1]
+
+    def pieces(self, texts: list[str]) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
+        """For each text its pieces, their lengths in characters and their tokens."""
+        cut = [[] if not t else [t] if unusual_space(t) else LEADING_SPACE_PIECES.findall(t) for t in texts]
+        new = set().union(*cut).difference(self.cache)
+        if len(self.cache) + len(new) > CACHE_PIECES:
+            self.cache = {}
+            new = set().union(*cut)
+        self.cache.update(self._count_new(new))
+        get = self.cache.__getitem__
+        out = [(p, np.fromiter(map(len, p), np.int64, len(p)), np.fromiter(map(get, p), np.int64, len(p))) for p in cut]
+        for w in new:
+            if len(w) > CACHED_CHARS:
+                del self.cache[w]
         return out
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        if not text:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        if unusual_space(text):
-            return self._spans([text])[0]
-        pieces = LEADING_SPACE_PIECES.findall(text)
-        cache = self.cache
-        new = [p for p in dict.fromkeys(pieces) if p not in cache]
-        if new:
-            if len(cache) > CACHE_PIECES // 4:
-                cache.clear()
-                new = list(dict.fromkeys(pieces))
-            cache.update(zip(new, self._spans(new), strict=True))
-        got = [cache[p] for p in pieces]
-        begins = np.cumsum([0, *map(len, pieces[:-1])])
-        sizes = np.fromiter((len(s) for s, _ in got), np.int64, len(got))
-        shift = np.repeat(begins, sizes)
-        out = np.concatenate([s for s, _ in got]) + shift, np.concatenate([e for _, e in got]) + shift
-        for p in new:
-            if len(p) > CACHED_CHARS:
-                cache.pop(p, None)
+    def _count_new(self, pieces: set[str]) -> dict[str, int]:
+        """A plain word with the space before it is one pre-token and goes straight to the model, a mark after it is another, one token."""
+        out, rest, tokenize = {}, [], self.tokenizer.model.tokenize
+        table = _byte_chars()
+        for w in pieces:
+            m = PLAIN_WORD.fullmatch(w, 1 if w[:1] == " " else 0) if self.plain_way else None
+            if m is None:
+                rest.append(w)
+                continue
+            word, mark = (" " if w[0] == " " else "") + m.group(1), m.group(2)
+            out[w] = len(tokenize(word.encode().decode("latin-1").translate(table))) + bool(mark)
+        for i in range(0, len(rest), 4096):
+            some = rest[i : i + 4096]
+            out.update(zip(some, map(len, self.tokenizer.encode_batch(some, add_special_tokens=False)), strict=True))
         return out
 
 
+def _byte_chars() -> dict[int, int]:
+    """How byte-level alphabets write a byte that is no printable Latin-1 character: as a character above 255."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
+
+
+def count_by_section(encoder: OffsetEncoder, cut: tuple[list[str], np.ndarray, np.ndarray], lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and crossing tokens of [no section, section 0, ...]; only pieces that meet an edge are looked at token by token."""
+    pieces, size, count = cut
+    n = len(lo)
+    end = np.cumsum(size)
+    begin = end - size
+    if n:
+        i = np.searchsorted(hi, begin, side="right")
+        j = np.minimum(i, n - 1)
+        inside = (i < n) & (lo[j] <= begin) & (end <= hi[j])
+        outside = (i >= n) | (lo[j] >= end)
+    else:
+        i, inside, outside = np.zeros(len(size), np.int64), np.zeros(len(size), bool), np.ones(len(size), bool)
+    total = np.bincount(np.where(inside, i + 1, 0), weights=np.where(inside | outside, count, 0), minlength=n + 1).astype(np.int64)
+    crossed = np.zeros(n + 1, np.int64)
+    for k in np.flatnonzero(~inside & ~outside):
+        s, e = encoder.spans(pieces[k])
+        owner, crossing = attribute(s + begin[k], e + begin[k], lo, hi)
+        total += np.bincount(owner + 1, minlength=n + 1)
+        crossed += np.bincount((owner + 1)[crossing], minlength=n + 1)
+    return total, crossed
+
+
 @lru_cache(maxsize=2)
 def offset_encoder(path: str) -> OffsetEncoder:
     return OffsetEncoder(path)
@@ -214,26 +247,19 @@ def section_tokens(docs: DataFrame, path: str, text_col: str = "text") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = offset_encoder(path)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            cols: list[list] = [[], [], [], [], [], []]
-            for i, doc_id in enumerate(ids):
-                text = texts[i].as_py() or ""
-                starts, ends = encoder.encode(text)
-                lo, hi = line_sections(text)
-                owner, crossing = attribute(starts, ends, lo, hi)
-                counts = np.bincount(owner + 1, minlength=len(lo) + 1)
-                crossed = np.bincount((owner + 1)[crossing], minlength=len(lo) + 1)
-                cols[0].append(np.full(len(lo) + 1, -1 if doc_id is None else doc_id, np.int64))
-                cols[1].append(np.arange(-1, len(lo)))
-                cols[2].append(np.concatenate([[0], lo]))
-                cols[3].append(np.concatenate([[len(text)], hi - lo]))
-                cols[4].append(counts)
-                cols[5].append(crossed)
-                if sum(map(len, cols[0])) > 50_000 or i == len(ids) - 1:
-                    a = [np.concatenate(c).astype(np.int64) for c in cols]
-                    absent = a[0] < 0
-                    yield pa.RecordBatch.from_arrays([pa.array(a[0], mask=absent), *map(pa.array, a[1:])], names=["doc_id", "section_id", "start", "length", "n_tokens", "n_crossing"])
-                    cols = [[], [], [], [], [], []]
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                cols: list[list[np.ndarray]] = [[], [], [], [], []]
+                sizes = []
+                for text, cut in zip(texts, encoder.pieces(texts), strict=True):
+                    lo, hi = line_sections(text)
+                    counts, crossed = count_by_section(encoder, cut, lo, hi)
+                    sizes.append(len(lo) + 1)
+                    for c, v in zip(cols, (np.arange(-1, len(lo)), np.append(0, lo), np.append(len(text), hi - lo), counts, crossed), strict=True):
+                        c.append(v)
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), sizes)))
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(np.concatenate(c).astype(np.int64)) for c in cols]], names=["doc_id", "section_id", "start", "length", "n_tokens", "n_crossing"])
 
     return only(docs, "doc_id", text_col).mapInArrow(run, "doc_id long, section_id long, start long, length long, n_tokens long, n_crossing long")
 
@@ -250,11 +276,11 @@ def attribute_to_spans(docs: DataFrame, spans: DataFrame, path: str) -> DataFram
         out = []
         s = s.sort_values("start")
         for doc_id, text in zip(d["doc_id"], d["text"], strict=True):
-            starts, ends = offset_encoder(path).encode(text or "")
-            owner, crossing = attribute(starts, ends, s["start"].to_numpy(np.int64), (s["start"] + s["length"]).to_numpy(np.int64))
+            encoder = offset_encoder(path)
+            counts, crossed = count_by_section(encoder, encoder.pieces([text or ""])[0], s["start"].to_numpy(np.int64), (s["start"] + s["length"]).to_numpy(np.int64))
             out.append(pd.DataFrame({
                 "doc_id": doc_id, "section_id": [-1, *s["section_id"]],
-                "n_tokens": np.bincount(owner + 1, minlength=len(s) + 1), "n_crossing": np.bincount((owner + 1)[crossing], minlength=len(s) + 1),
+                "n_tokens": counts, "n_crossing": crossed,
             }))
         return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "section_id": [], "n_tokens": [], "n_crossing": []})
 
