@@ -302,7 +302,7 @@ def test_knn_and_grid(spark):
             want = pdf["y"][ix].mean() if weights == "uniform" else pdf["y"][ix[0]]
             assert got[i] == pytest.approx(want)
     ids = [c["configuration_id"] for c in L.grid()]
-    assert len(ids) == len(set(ids)) == 48
+    assert len(ids) == len(set(ids)) == 53
 
 
 def test_split_search_resumes(spark):

@@ -17,9 +17,9 @@ from visitloom.operators.tables import anti_join, left_join_one, membership, pre
 # Thresholds of type inference and patterns of names that ask for a review.
 NUMERIC_SHARE, INTEGER_SHARE, LOW_CARDINALITY = 0.98, 0.98, 20
 NAME_FLAGS = [
-    ("identifier_name_pattern", r"(?i)(^|_)(rid|id|uid|guid|key)($|_)|id$"),
-    ("date_or_time_name_pattern", r"(?i)date|time|stamp|year"),
-    ("administrative_name_pattern", r"(?i)site|phase|viscode|update|user|version"),
+    ("identifier_name_pattern", r"(?i)(^|_)(RID|ID|UID|IMAGEUID|PTID|SITEID|ROWID|RECORDID)($|_)"),
+    ("date_or_time_name_pattern", r"(?i)(DATE|TIME|TIMESTAMP|MONTH|YEAR|DAY)"),
+    ("administrative_name_pattern", r"(?i)(PHASE|VISCODE|VERSION|STATUS|SOURCE|SITE|PROTOCOL|UPDATE|USER|COMMENT)"),
 ]
 
 

@@ -207,7 +207,7 @@ def elastic_net_base(x: np.ndarray, y: np.ndarray) -> float:
     return float(np.linalg.norm(c, axis=1).max() / len(x))
 
 
-def elastic_net_fit(x: np.ndarray, y: np.ndarray, alpha: float, l1_ratio: float, w: np.ndarray | None = None, max_iter: int = 2000, tol: float = 1e-5) -> tuple[np.ndarray, np.ndarray, int]:
+def elastic_net_fit(x: np.ndarray, y: np.ndarray, alpha: float, l1_ratio: float, w: np.ndarray | None = None, max_iter: int = 5000, tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray, int]:
     """Cyclic block coordinate descent on the squared loss with L2,1 and L2 penalties; ``w`` starts warm."""
     mx, my = x.mean(0), y.mean(0)
     xc, n = x - mx, len(x)
@@ -277,14 +277,15 @@ class _Tree:
         return np.stack([self.nodes[k][4] for k in at])
 
 
-def extra_trees(x: np.ndarray, y: np.ndarray, xv: np.ndarray, seeds: Sequence[int], trees: int = 20, depth: int = 12, leaf: int = 5, share: float = 1 / 3) -> tuple[np.ndarray, float]:
+def extra_trees(x: np.ndarray, y: np.ndarray, xv: np.ndarray, seeds: Sequence[int], trees: int = 20, depth: int = 12, leaf: int = 5, share: float | str = 1 / 3) -> tuple[np.ndarray, float]:
     """Mean prediction of an ensemble for each seed, and their spread. An approximation of the usual forests: splits are random, the data are not resampled."""
+    tries = max(1, int(x.shape[1] ** 0.5 if share == "sqrt" else share * x.shape[1]))
     preds = []
     for seed in seeds:
         rng = np.random.default_rng(seed)
         out = 0
         for _ in range(trees):
-            t = _Tree(rng, depth, leaf, max(1, int(share * x.shape[1])))
+            t = _Tree(rng, depth, leaf, tries)
             t.grow(x, y)
             out = out + t.predict(xv)
         preds.append(out / trees)
@@ -318,9 +319,16 @@ class PeakMemory:
 
 # The declared grid.
 RIDGE_ALPHAS = (100.0, 300.0, 1000.0, 3000.0, 10000.0, 30000.0, 100000.0)
-PLS_COMPONENTS = (2, 5, 10, 15, 20, 30, 40)
-KNN_K, KNN_WEIGHTS = (5, 10, 20, 40, 80, 160, 320), ("uniform", "distance")
-EN_FRACTIONS, EN_RATIOS = (0.3, 0.1, 0.03, 0.01, 0.003), (0.1, 0.5, 0.9)
+EN_FRACTIONS, EN_RATIOS = (0.3, 0.1, 0.03, 0.01, 0.003, 0.001), (0.1, 0.5, 0.9)
+EN_ITERATIONS, EN_TOLERANCE = 5000, 1e-4
+PLS_COMPONENTS = (2, 5, 10, 20, 40)
+FORESTS = (
+    {"trees": 120, "depth": 14, "features": 0.4, "leaf": 3},
+    {"trees": 150, "depth": 18, "features": 0.6, "leaf": 2},
+    {"trees": 120, "depth": 16, "features": "sqrt", "leaf": 3},
+)
+FOREST_SEEDS = (2026002, 2026003, 2026004, 2026005, 2026006)
+KNN_K, KNN_WEIGHTS = (5, 10, 20, 40, 80, 120, 160, 240, 320), ("uniform", "distance")
 
 
 def grid() -> list[dict]:
@@ -329,7 +337,7 @@ def grid() -> list[dict]:
     out += [{"model": "ridge", "alpha": a} for a in RIDGE_ALPHAS]
     out += [{"model": "multitask_elastic_net", "l1_ratio": r, "alpha_fraction": f} for r in EN_RATIOS for f in EN_FRACTIONS]
     out += [{"model": "pls", "n_components": c} for c in PLS_COMPONENTS]
-    out += [{"model": "extra_trees", "trees": t, "depth": d, "leaf": m} for t, d, m in ((20, 8, 5), (20, 12, 5), (40, 12, 2))]
+    out += [{"model": "extra_trees", **f} for f in FORESTS]
     out += [{"model": "knn", "k": k, "weights": w} for k in KNN_K for w in KNN_WEIGHTS]
     return [{"configuration_order": i, "configuration_id": decision_id(c, 16), **c} for i, c in enumerate(out)]
 
@@ -348,11 +356,11 @@ def _predict(c: dict, x: np.ndarray, y: np.ndarray, xv: np.ndarray, warm: dict)
         w, b = pls_fit(x, y, int(c["n_components"]))
         return xv @ w + b, True, int(c["n_components"])
     if m == "multitask_elastic_net":
-        w, b, it = elastic_net_fit(x, y, elastic_net_base(x, y) * c["alpha_fraction"] / c["l1_ratio"], c["l1_ratio"], warm.get(c["l1_ratio"]))
+        w, b, it = elastic_net_fit(x, y, elastic_net_base(x, y) * c["alpha_fraction"] / c["l1_ratio"], c["l1_ratio"], warm.get(c["l1_ratio"]), EN_ITERATIONS, EN_TOLERANCE)
         warm[c["l1_ratio"]] = w
-        return xv @ w + b, it < 2000, it
+        return xv @ w + b, it < EN_ITERATIONS, it
     if m == "extra_trees":
-        return extra_trees(x, y, xv, (11, 22, 33, 44, 55), int(c["trees"]), int(c["depth"]), int(c["leaf"]))[0], True, 0
+        return extra_trees(x, y, xv, FOREST_SEEDS, int(c["trees"]), int(c["depth"]), int(c["leaf"]), c["features"])[0], True, 0
     k = min(int(c["k"]), len(x))
     d = np.sqrt(np.maximum((xv**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * xv @ x.T, 0))
     ix = np.argsort(d, axis=1, kind="stable")[:, :k]

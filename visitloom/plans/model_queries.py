@@ -155,7 +155,8 @@ def model_grid(spark, sf):
     """A part of the declared grid on vectors, and the best trial of each model."""
     _, train, rest = _vectors(spark, sf)
     one = lambda d: d.select("x", F.array("y", F.col("x")[0] * 3 + F.col("x")[1]).alias("y"), (F.col("vec_id") % 50).cast("string").alias("participant"))
-    want = [c for c in L.grid() if c["model"] in ("mean", "median", "ridge") or c.get("n_components") in (2, 5) or c.get("alpha_fraction") in (0.3, 0.1) or (c.get("depth") == 8) or c.get("k") in (5, 20)]
+    keep = lambda c: c["model"] in ("mean", "median", "ridge") or c.get("n_components") in (2, 5) or c.get("alpha_fraction") in (0.3, 0.1) or c.get("k") in (5, 20)
+    want = [c for c in L.grid() if keep(c)] + [{**c, "trees": 5} for c in L.grid() if c.get("features") == "sqrt"]
     trials = L.run_grid(one(train), one(rest), "x", "y", "participant", want)
     cols = ["configuration_order", "configuration_id", "model", "participant_macro_rmse", "participant_macro_mae", "converged"]
     return R.best_configurations(trials.select(*cols), ["model"], ["participant_macro_rmse", "participant_macro_mae", "configuration_order"], "converged", "configuration_order")

@@ -32,4 +32,4 @@ def append_new(stream: DataFrame, path: str, key: str, checkpoint: str) -> Strea
 
 def windowed_counts(stream: DataFrame, time: str, groups: list[str], width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Rows by tumbling window and group; rows later than the watermark are left out."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, width), *groups).agg(F.count(F.lit(1)).alias("rows"))
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width), *groups).agg(F.count(F.lit(1)).alias("rows"))
