@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from visitloom.llm.common import materialize, only
 
-PIVOTS, PREFIX, FRACTION, LEAST = 256, 128, 0.08, 200
+PIVOTS, PREFIX, FRACTION, LEAST = 256, 256, 0.15, 200
 #: So many queries are broadcast at once: with 64 components and their pivot lists about 6 MB.
 QUERY_BLOCK = 8192
 
@@ -56,7 +56,11 @@ def footrule_scores(postings: np.ndarray, queries: np.ndarray, pivots: int) -> n
         a, b = slice(q_bounds[p], q_bounds[p + 1]), slice(bounds[p], bounds[p + 1])
         if a.start == a.stop or b.start == b.stop:
             continue
-        score[np.ix_(q_member[a], member[b])] += np.minimum(q_weight[a][:, None], weight[b][None, :])
+        part = np.minimum(q_weight[a][:, None], weight[b][None, :])
+        if b.stop - b.start == n:  # every vector of the block has this pivot, in order
+            score[q_member[a]] += part
+        else:
+            score[np.ix_(q_member[a], member[b])] += part
     return score
 
 
