@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitloom.llm.common import as_text, connected_components, keep_ids, materialize, only
+from visitloom.llm.common import as_text, connected_components, keep_ids, materialize, only, slices
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -132,7 +132,7 @@ def _signatures(words: int, bands: int, rows: int):
     coeff[:, 0] = coeff[:, 0] * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t.encode() for t in batch.column(2).to_pylist()]
             parts = []
             for lo, hi in _blocks(texts):
@@ -166,20 +166,21 @@ def jaccard_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray |
     n = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets) if n else np.empty(0, np.uint64)
-    owner = np.repeat(np.arange(n), size)
+    owner = np.repeat(np.arange(n, dtype=np.int32), size)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
+    del order
     new = np.append(True, flat[1:] != flat[:-1]) if len(flat) else np.empty(0, bool)
-    col = np.cumsum(new) - 1
-    shared = np.bincount(col)[col] > 1 if len(col) else np.empty(0, bool)
-    owner, col = owner[shared], np.unique(col[shared], return_inverse=True)[1] if shared.any() else np.empty(0, np.int64)
+    shared = ~(new & np.append(new[1:], True)) if len(flat) else new
+    del flat
+    owner, col = owner[shared], np.cumsum(new[shared]) - 1
     other = left if right is None else right
     inter = np.zeros((len(left), len(other)), np.float32)
     row_l = np.full(n, -1)
     row_l[left] = np.arange(len(left))
     row_r = np.full(n, -1)
     row_r[other] = np.arange(len(other))
-    width = max(64, (8 << 20) // max(1, len(left) + len(other)))
+    width = max(64, (4 << 20) // max(1, len(left) + len(other)))
     bounds = np.searchsorted(col, np.arange(0, (col[-1] + 1 if len(col) else 0) + width, width))
     for k in range(len(bounds) - 1):
         o, c = owner[bounds[k] : bounds[k + 1]], col[bounds[k] : bounds[k + 1]] - k * width
@@ -195,8 +196,12 @@ def jaccard_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray |
             m = row_r[o] >= 0
             b[row_r[o[m]], c[m]] = 1
         inter += a @ b.T
-    union = size[left][:, None] + size[other][None, :] - inter
-    return (inter > 0) & (inter >= threshold * union - 1e-9)
+    out = np.empty(inter.shape, bool)
+    for lo in range(0, len(left), 256):
+        both = inter[lo : lo + 256].astype(np.float64)
+        union = size[left[lo : lo + 256]][:, None] + size[other][None, :] - both
+        out[lo : lo + 256] = (both > 0) & (both >= threshold * union - 1e-9)
+    return out
 
 
 def _verify(threshold: float, by_bucket: bool):
@@ -224,7 +229,8 @@ def _verify(threshold: float, by_bucket: bool):
             rows = [(left, links, right), (right, links.T, left)]
         for own, m, other in rows:
             live = m.any(1)
-            n = m.astype(np.float64) @ copies[other].astype(np.float64)
+            weight = copies[other].astype(np.float64)
+            n = np.concatenate([m[lo : lo + 256] @ weight for lo in range(0, max(1, len(m)), 256)])
             low = np.where(live, reps[other][np.argmax(m, axis=1)], -1)
             out.append(pd.DataFrame({"rep": reps[own][live], "links": n[live].astype(np.int64), "low": low[live]}))
         return pd.concat(out)
@@ -234,7 +240,7 @@ def _verify(threshold: float, by_bucket: bool):
 
 def _gram_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t.encode() for t in batch.column(1).to_pylist()]
             sets = []
             for lo, hi in _blocks(texts):

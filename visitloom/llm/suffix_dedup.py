@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitloom.llm.common import as_text, materialize, only
+from visitloom.llm.common import as_text, materialize, only, slices
 from visitloom.llm.near_dup import _INVERSE, _STEP, _TABLE, _blocks, _mix, _powers
 
 LENGTH, GRAM = 400, 200
@@ -95,7 +95,7 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM, full: bo
 
 def _scan(full: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
             for lo, hi in _blocks(texts):

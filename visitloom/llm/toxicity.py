@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitloom.llm.common import keep_ids, materialize, only, table
+from visitloom.llm.common import keep_ids, materialize, only, slices, table
 
 #: Labelled rows used for fitting, toxic and other rows each at most half of it: those with the smallest hash of doc_id.
 MAX_TRAIN = 20_000
@@ -102,7 +102,7 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         counts[1].clear()
         return batch
 
-    for batch in batches:
+    for batch in slices(batches):
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             counts[toxic].update(features(text or ""))
             if len(counts[0]) + len(counts[1]) > 500_000:
@@ -112,7 +112,7 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _to_rows(vocabulary: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             rows = [sorted(vocabulary[f] for f in features(t or "") if f in vocabulary) for t in texts]
             words = [len(WORD.findall(t or "")) for t in texts]
@@ -167,7 +167,7 @@ def score_severity(docs: DataFrame, model: OrdinalModel, reject_at: float = 0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             rows = [np.array([m.vocabulary[f] for f in features(t or "") if f in m.vocabulary], np.int64) for t in batch.column(1).to_pylist()]
             p = m.exceed(m.scores(rows)) if rows else np.empty((0, 2))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "severity": p.sum(1), "p_toxic": p[:, 0], "p_severe": p[:, 1], "rejected": p[:, 0] >= reject_at})
