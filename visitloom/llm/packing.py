@@ -30,8 +30,8 @@ def _encode(path: str, end_id: int):
         encoder, part, at = word_encoder(path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                cut = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, 512):
+                cut = batch.slice(k, 512)
                 coded = encoder.encode([t or "" for t in cut.column(1).to_pylist()])
                 ids = [np.frombuffer(c, encoder.dtype).astype("<u4").tobytes() + end for c in coded]
                 sizes = np.array([len(x) // 4 for x in ids], np.int64)

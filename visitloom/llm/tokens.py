@@ -26,7 +26,7 @@ UNUSUAL_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028
 ASCII_UNUSUAL = "\x0b\x0c\x1c\x1d\x1e\x1f"
 #: Pieces of a byte-level BPE text: words with the space before them, runs of white space.
 LEADING_SPACE_PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s")
-CACHE_PIECES, CACHED_CHARS = 250_000, 48
+CACHE_PIECES, CACHED_CHARS = 1_000_000, 48
 #: A word of Latin letters that normalisation leaves as they are but for their case, and one mark after it.
 PLAIN_WORD = re.compile("([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?]?)")
 
@@ -83,12 +83,16 @@ class WordEncoder:
         """A plain word is one pre-token and goes straight to the tokenizer's model, a mark after it is another; other pieces take the whole way."""
         out, rest = {}, []
         tokenize, table, cache, code = self.tokenizer.model.tokenize, self.byte_chars, self.cache, self.dtype.char
+        plain, fullmatch = self.plain_way, PLAIN_WORD.fullmatch
         for w in pieces:
-            m = PLAIN_WORD.fullmatch(w) if self.plain_way else None
-            if m is None:
-                rest.append(w)
-                continue
-            word, mark = m.groups()
+            if plain and w.isascii() and w.isalpha():
+                word, mark = w, ""
+            else:
+                m = fullmatch(w) if plain else None
+                if m is None:
+                    rest.append(w)
+                    continue
+                word, mark = m.groups()
             low = word.lower()
             ids = cache.get(low)
             if ids is None:
