@@ -305,6 +305,46 @@ def test_near_duplicates(spark, medium, unit):
     assert sum(degree.values()) > 50
 
 
+def drifting_chains(seed=11, chains=40, versions=8):
+    """Texts that change a little from version to version, so that only neighbours are links; ids are shuffled."""
+    rng = np.random.default_rng(seed)
+    texts = []
+    for c in range(chains):
+        words = [f"w{c}x{i}" for i in range(100)]
+        for v in range(versions):
+            texts.append(" ".join(words))
+            words = words[6:] + [f"n{c}x{v}x{k}" for k in range(6)]
+    return dict(zip((int(i) for i in rng.permutation(len(texts))), texts, strict=True))
+
+
+@pytest.mark.parametrize("unit", [2000, 2])
+def test_near_duplicates_of_drifting_chains(spark, unit):
+    texts = drifting_chains()
+    degree, group = brute_near(texts)
+    assert len(set(group.values())) == 40 and max(degree.values()) == 2
+    rows = near_dup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), unit=unit).collect()
+    assert {r["doc_id"]: r["n_links"] for r in rows} == {d: degree[d] for d in group}
+    assert {r["doc_id"]: r["class_id"] for r in rows} == group
+
+
+def test_verify_spans_all_links_and_empty_tiles():
+    import pandas as pd
+
+    def unit(sets, side, i, j):
+        n = len(sets)
+        grams = [np.array(sorted(x), np.uint64).tobytes() for x in sets]
+        return pd.DataFrame({"rep": range(1, n + 1), "copies": 1, "grams": grams, "bands": [np.zeros(1, np.int64)] * n, "side": side, "band": 0, "i": i, "j": j})
+
+    chain = [set(range(a, a + 100)) for a in (0, 15, 5, 10)]  # links 1-3, 3-4, 4-2 and no others at 0.9
+    for by_bucket in (False, True):
+        got = near_dup._verify(0.9, by_bucket)(unit(chain, 0, 0, 0))
+        assert got[["rep", "links", "low"]].values.tolist() == [[1, 1, 1], [2, 1, 1], [3, 2, 1], [4, 2, 1]]
+    got = near_dup._verify(0.9, True)(unit(chain, [0, 0, 1, 0], 0, 1))  # 3 alone in the right tile: 1-3, 3-4
+    assert sorted(got[["rep", "links", "low"]].values.tolist()) == [[1, 1, 1], [3, 2, 1], [4, 1, 1]]
+    for side in (0, 1):
+        assert len(near_dup._verify(0.9, True)(unit(chain, side, 0, 1))) == 0
+
+
 def test_near_duplicates_awkward(spark):
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near_dup.op7_near_duplicates(spark, awkward(spark)).collect()}
     assert got[1] == (1, 2) and got[2] == (1, 2) and got[None] == (None, 0)

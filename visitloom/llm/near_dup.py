@@ -204,16 +204,41 @@ def jaccard_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray |
     return out
 
 
+def component_lows(links: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest id of the component of each row and of each column, a true cell joining its row and its column; own id without links."""
+    low_r, low_c = rows.copy(), cols.copy()
+    todo_r, todo_c = links.any(1), np.ones(len(cols), bool)
+    while todo_r.any():
+        front = np.array([np.argmax(todo_r)])
+        todo_r[front] = False
+        in_r, in_c = [front], []
+        while len(front):
+            reached = np.flatnonzero(links[front].any(0) & todo_c)
+            todo_c[reached] = False
+            front = np.flatnonzero(links[:, reached].any(1) & todo_r)
+            todo_r[front] = False
+            in_r.append(front)
+            in_c.append(reached)
+        at_r, at_c = np.concatenate(in_r), np.concatenate(in_c)
+        low_r[at_r] = low_c[at_c] = min(rows[at_r].min(), cols[at_c].min())
+    return low_r, low_c
+
+
 def _verify(threshold: float, by_bucket: bool):
-    """A unit's classes -> (rep, links, lowest linked rep): links counts documents, copies of the linked class included."""
+    """A unit's classes -> (rep, links, low): links counts documents, copies of the linked class included; low is the smallest rep of the unit's component of links.
+
+    The edges (rep, low) span the unit's links, so no link is lost to the groups.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep", kind="stable").reset_index(drop=True)
         sets = [np.frombuffer(b, np.uint64) for b in pdf["grams"]]
         reps, copies, side = pdf["rep"].to_numpy(), pdf["copies"].to_numpy(), pdf["side"].to_numpy()
-        tiled = (side == 1).any()
+        tiled = by_bucket and pdf["i"].iloc[0] != pdf["j"].iloc[0]
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1) if tiled else None
+        if tiled and not (len(left) and len(right)):  # one tile of the pair is empty
+            return pd.DataFrame({"rep": reps[:0], "links": reps[:0], "low": reps[:0]})
         links = jaccard_links(sets, left, right, threshold)
         if by_bucket:
             bands = np.stack(pdf["bands"].to_list())
@@ -223,15 +248,17 @@ def _verify(threshold: float, by_bucket: bool):
                 links &= bands[left, b][:, None] != bands[other, b][None, :]
         out = []
         if right is None:
+            np.fill_diagonal(links, True)  # a class is its own row and column
+            low, _ = component_lows(links, reps[left], reps[left])
             np.fill_diagonal(links, False)
-            rows = [(left, links, left)]
+            rows = [(left, links, left, low)]
         else:
-            rows = [(left, links, right), (right, links.T, left)]
-        for own, m, other in rows:
+            low_l, low_r = component_lows(links, reps[left], reps[right])
+            rows = [(left, links, right, low_l), (right, links.T, left, low_r)]
+        for own, m, other, low in rows:
             live = m.any(1)
             weight = copies[other].astype(np.float64)
             n = np.concatenate([m[lo : lo + 256] @ weight for lo in range(0, max(1, len(m)), 256)])
-            low = np.where(live, reps[other][np.argmax(m, axis=1)], -1)
             out.append(pd.DataFrame({"rep": reps[own][live], "links": n[live].astype(np.int64), "low": low[live]}))
         return pd.concat(out)
 
