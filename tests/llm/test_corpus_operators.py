@@ -528,6 +528,46 @@ def test_mix(spark, medium):
     assert all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
 
 
+def test_whole_stream():
+    rng = np.random.default_rng(4)
+    for n, period in ((1, 10), (5, 20), (30, 120), (3, 10_000)):
+        blocks = {f"s{i:02}": int(x) for i, x in enumerate(rng.integers(1, 900, n))} | {"rare": 1}
+        weights = mixing.tempered_weights(blocks)
+        parts, schedule = mixing.whole_stream(blocks, weights, period)
+        at = defaultdict(list)
+        for part, s, i, slot in schedule:
+            at[part, s].append((i, slot))
+        slots = {}
+        for part, s, lo, hi, q, p, start in parts:
+            slots |= {start + r * p + slot: (s, lo + r * q + i) for r in range((hi - lo) // q) for i, slot in at[part, s]}
+        assert sorted(slots) == list(range(sum(blocks.values())))
+        had = Counter()
+        for slot in sorted(slots):
+            s, i = slots[slot]
+            assert had[s] == i
+            had[s] += 1
+        assert had == blocks
+        first = min(blocks[s] / weights[s] for s in blocks)  # until the first source leaves
+        for s in blocks:
+            early = sum(slots[t][0] == s for t in range(min(len(slots), int(first * sum(weights.values())))))
+            assert abs(early - first * weights[s]) < n + 2
+
+
+def test_mix_keeps_every_document(spark):
+    sizes = {"hot": 700, "a": 150, "b": 150, "rare": 3, None: 2}
+    sources = [s for s, n in sizes.items() for _ in range(n)]
+    docs = spark.createDataFrame(list(enumerate(sources)), "doc_id long, source string")
+    for kwargs in ({}, {"weights": {"hot": 1, "a": 2, "b": 1, "rare": 1, "": 1}, "stop": False}):
+        rows = mixing.mix_sources(docs, block=4, period=20, **kwargs).collect()
+        assert len(rows) == len(sources) and all(r["in_mix"] for r in rows)
+        of = {r["slot"]: (r["source"], r["block"]) for r in rows}
+        assert sorted(of) == list(range(len({(r["source"], r["block"]) for r in rows}))) and len(set(of.values())) == len(of)
+        assert all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
+    assert mixing.mixed(spark, docs).count() == len(sources)
+    rows = mixing.mix_sources(docs, {"hot": 1, "a": 0, "b": 1}, stop=False).collect()
+    assert {s: {r["in_mix"] for r in rows if r["source"] == s} for s in ("hot", "a", "b", "rare")} == {"hot": {True}, "a": {False}, "b": {True}, "rare": {False}}
+
+
 def test_mix_awkward(spark):
     rows = mixing.op10_mix_sources(spark, awkward(spark)).collect()
     assert len(rows) == 10
