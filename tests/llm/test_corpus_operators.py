@@ -261,6 +261,14 @@ def test_exact_dedup_awkward(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 5, 6, 7, 8]
 
 
+def test_without_copies_tells_rows_by_text_and_id(spark):
+    rows = [(None, "a"), (None, "b"), (None, "b"), (None, "c"), (1, "c"), (2, "d"), (2, "e"), (2, "e"), (3, "e"), (4, None), (4, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as digest")
+    kept = exact_dedup.without_copies(spark, docs)
+    assert kept.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(None, "a"), (None, "b"), (1, "c"), (2, "d"), (2, "e"), (4, None), (4, "f")])
+
+
 # --- 7: n-gram Jaccard join ---
 
 

@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitloom.llm.common import as_text, keep_ids, materialize, only, scratch_path
+from visitloom.llm.common import as_text, materialize, only, scratch_path
 
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -90,8 +90,13 @@ def op6_exact_dedup(spark: SparkSession, docs: DataFrame, buckets: int = 64) ->
 
 
 def without_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; a row repeated whole stays once."""
-    kept = op6_exact_dedup(spark, docs).filter("kept").select("doc_id")
-    out = keep_ids(docs, kept)
-    repeated = not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    """The documents that stay, with all their columns: of each text the row that op6 keeps; rows of equal text and id stay once.
+
+    Rows are told by text and id together, so different texts under one id, or without one, all stay.
+    """
+    kept = op6_exact_dedup(spark, docs).filter("kept").select(F.col("text_sha256").alias("__vl_digest"), F.col("doc_id").alias("__vl_id"))
+    kept = materialize(kept, "digest-kept")
+    keyed = docs.withColumn("__vl_text", text_digest())
+    out = keyed.join(kept, (keyed["__vl_text"] == kept["__vl_digest"]) & keyed["doc_id"].eqNullSafe(kept["__vl_id"]), "left_semi")
+    repeated = not kept.groupBy("__vl_digest").count().filter("count > 1").isEmpty()
+    return (out.dropDuplicates(["__vl_text", "doc_id"]) if repeated else out).drop("__vl_text")
