@@ -470,9 +470,9 @@ def repeats_corpus(seed=5):
 def test_repeats(spark, crowd, per_part):
     texts = repeats_corpus()
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    base = docs.selectExpr("doc_id", "coalesce(text, '') as text")
+    base = suffix_dedup.keyed(docs)
     spans = defaultdict(set)
-    for r in suffix_dedup.repeated_spans(base, crowd, per_part).collect():
+    for r in suffix_dedup.repeated_spans(base, crowd, per_part).join(base.select("key", "doc_id"), "key").collect():
         spans[r["doc_id"]].update(range(r["s"], r["e"]))
     want = brute_repeats(texts)
     assert {d: len(spans[d]) for d in texts} == {d: want[d][1] for d in texts}
@@ -481,6 +481,52 @@ def test_repeats(spark, crowd, per_part):
         assert got == want
 
 
+def test_repeats_whatever_the_ids(spark):
+    """Rows repeated whole, several texts under one id and rows without an id all take part, each by itself."""
+    texts = repeats_corpus(9)
+    rows = [(i, t) for i, t in texts.items() if i < 40 or i > 199]
+    rows += [rows[3], rows[3], (rows[5][0], "x" + texts[206][:1200]), (rows[5][0], "y" * 900 + texts[7]), (None, texts[206][500:1100]), (None, "q" * 300), (None, texts[8])]
+    want = brute_repeats({k: t for k, (_, t) in enumerate(rows)})
+    got = suffix_dedup.op9_remove_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got)
+    assert found == Counter((rows[k][0], *w) for k, w in want.items())
+    whole = [r for r in got if r["doc_id"] == rows[3][0]]
+    assert len(whole) == 3 and all(r["n_removed"] == r["n_bytes"] for r in whole)
+
+
+def test_segments_of_long_texts(monkeypatch):
+    rng = np.random.default_rng(8)
+    text = bytes(rng.integers(97, 100, 5000, dtype=np.uint8))
+    whole = {int(c): (int(a), int(lo), int(hi)) for _, a, lo, hi, c in zip(*suffix_dedup.anchors([text]), strict=True)}
+    parts, owner, place = suffix_dedup.segments([b"short", text, b""], most=700)
+    assert owner.tolist() == [0, *[1] * 7, 2] and parts[0] == b"short"
+    covered = set()
+    for t, at in zip(parts[1:8], place[1:8], strict=True):
+        for _, a, lo, hi, c in zip(*suffix_dedup.anchors([t]), strict=True):
+            wa, wlo, whi = whole[int(c)]
+            assert wa == a + at and wlo <= lo + at <= hi + at <= whi
+            covered.update(range(int(lo + at), int(hi + at) + 1))
+    assert covered == set(range(5000 - 399))
+
+
+def test_shared_passages(spark, medium):
+    """Never missed from 51 words on, never told below 41."""
+
+    def sharing(texts, k):
+        owners = defaultdict(set)
+        for d, t in texts.items():
+            w = t.split()
+            for i in range(len(w) - k + 1):
+                owners[tuple(w[i : i + k])].add(d)
+        return set().union(*(o for o in owners.values() if len(o) > 1))
+
+    docs = table(spark, medium, "documents")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    base = suffix_dedup.keyed(docs)
+    got = {r["doc_id"] for r in suffix_dedup.shared_passages(base).join(base, "key").select("doc_id").collect()}
+    assert sharing(texts, 51) <= got <= sharing(texts, 41) and got
+
+
 def test_repeats_on_documents(spark, small):
     docs = table(spark, small, "documents")
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.op9_remove_repeats(spark, docs).collect()}

@@ -5,18 +5,25 @@ A byte goes when it lies in a string of ``length`` bytes that starts more than o
 *Which suffixes.* Of the ``length - GRAM + 1`` GRAM-byte grams of a window of ``length`` bytes the one
 with the smallest hash (the first of equals) is its anchor. The choice depends on the window's
 bytes alone, so equal windows have equal anchors in the same place, and comparing the text around
-anchors (about one in a hundred bytes) compares all windows. Anchors whose gram occurs once in the
-corpus are dropped, and anchors whose whole neighbourhood is repeated are settled by a count.
+anchors (about one in a hundred bytes) compares all windows. One scan writes the anchors; those
+whose gram occurs once in the corpus are dropped, and all others go through the merge.
 
-*The merge sort.* For what is left, one text for each distinct neighbourhood, tasks sort the
-suffixes that start at the anchors, code each run against its predecessors (length of the common
-prefix and the remaining bytes) and exchange the coded runs by anchor gram. The receiving task
-merges its runs by a loser tree that carries common prefix lengths and never compares the bytes of
-a known prefix again. From the merged order and its common prefixes follow, for each distance of
-the window's start from its anchor, the classes of equal windows.
+*The merge sort.* Tasks sort the suffixes that start at the anchors, keep one of each group of equal
+neighbourhoods (the sort has compared their bytes) with the group's count, code each run against
+its predecessors (length of the common prefix and the remaining bytes) and exchange the coded runs
+by anchor gram. The receiving task merges its runs by a loser tree that carries common prefix
+lengths and never compares the bytes of a known prefix again. From the merged order and its common
+prefixes follow, for each distance of the window's start from its anchor, the classes of equal
+windows. Group members, however many, wait in a table and are joined with the spans found.
 
-Grams with more than ``crowd`` different neighbourhoods would make one task's share unbounded; their
+*Identity.* Rows are told by a digest of their text: rows of equal text, whatever their ids, lose the
+same bytes, and one of them is sorted with the number of all.
+
+Grams that stand in more than ``crowd`` different texts would make one task's share unbounded; their
 windows are counted by 128-bit hash in a distributed aggregate instead. Results are the same.
+
+*Passages.* Beside the byte rule a row tells whether its text shares a passage of more than 50 words
+with another row: such a passage can be shorter than ``length`` bytes. See ``shared_passages``.
 """
 
 from __future__ import annotations
@@ -28,17 +35,24 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitloom.llm.common import as_text, materialize, only, slices
-from visitloom.llm.near_dup import _INVERSE, _STEP, _TABLE, _blocks, _mix, _powers
+from visitloom.llm.near_dup import _INVERSE, _STEP, _TABLE, _blocks, _mix, _powers, shingle_hashes
 
 LENGTH, GRAM = 400, 200
+#: A passage is noticed for sure from so many words on, and never below so many.
+PASSAGE_WORDS, PASSAGE_GRAM = 51, 41
+#: Longer texts are scanned in overlapping segments of so many bytes.
+SEGMENT = 8 << 20
+#: Up to so many crowded grams (9 bytes each) are broadcast.
+MOST_CROWDED = 500_000
 _STEP2 = np.uint64(0xA24BAED4963EE407)
 _INVERSE2 = np.uint64(pow(int(_STEP2), -1, 1 << 64))
 _TABLE2 = _mix(_TABLE + np.uint64(0x632BE59BD9B4E019))
-_PLACE_BITS = 28
+_PLACE_BITS = 31  # more than a column value can have bytes
 
 
 class Prints:
@@ -63,20 +77,19 @@ def _window_min(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
 
 
-def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM, full: bool = True):
-    """Anchors of all windows of the texts: text number, anchor, first and last window start (all from the text's begin), gram hash and, with ``full``, a hash of the neighbourhood."""
+def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
+    """Anchors of all windows of the texts: text number, anchor, first and last window start (all from the text's begin), gram hash."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     base = np.cumsum(sizes) - sizes
     none = np.empty(0, np.int64)
     windows = np.maximum(sizes - length + 1, 0)
     if not windows.any():
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64)
     prints = Prints(data)
     at = np.arange(len(data) - gram + 1)
     hashes = prints.of(at, at + gram)
-    place = at.astype(np.uint64)
-    key = ((hashes >> np.uint64(_PLACE_BITS)) << np.uint64(_PLACE_BITS)) | place
+    key = ((hashes >> np.uint64(_PLACE_BITS)) << np.uint64(_PLACE_BITS)) | at.astype(np.uint64)
     low = _window_min(key, length - gram + 1) & np.uint64((1 << _PLACE_BITS) - 1)
     doc = np.repeat(np.arange(len(texts)), windows)
     start = np.repeat(base - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
@@ -85,31 +98,37 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM, full: bo
     i = np.flatnonzero(new)
     last = start[np.append(i[1:], len(start)) - 1]
     doc, anchor, first = doc[i], anchor[i], start[i]
-    c = hashes[anchor]
-    f = c
-    if full:
-        other = Prints(data, _TABLE2, _STEP2, _INVERSE2)
-        f = _mix(other.of(first, last + length) ^ _mix(((anchor - first) * 1024 + last - anchor + 2048).astype(np.uint64)))
-    return doc, anchor - base[doc], first - base[doc], last - base[doc], c, f
+    return doc, anchor - base[doc], first - base[doc], last - base[doc], hashes[anchor]
 
 
-def _scan(full: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            for lo, hi in _blocks(texts):
-                doc, a, first, last, c, f = anchors(texts[lo:hi], full=full)
-                cols = {"c": c.view(np.int64)}
-                if full:
-                    cols |= {"f": f.view(np.int64), "doc_id": ids[lo:hi][doc].astype(np.int64), "a": a.astype(np.int32), "lo": first.astype(np.int32), "hi": last.astype(np.int32)}
-                if len(c):
-                    yield pa.RecordBatch.from_pydict(cols)
+def segments(texts: list[bytes], overlap: int = LENGTH - 1, most: int = SEGMENT) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The texts with the longer ones cut into segments that overlap, each segment's text number and its place in it."""
+    out, owner, place = [], [], []
+    for i, t in enumerate(texts):
+        for at in range(0, max(1, len(t) - overlap), most):
+            out.append(t if len(t) <= most else t[at : at + most + overlap])
+            owner.append(i)
+            place.append(at)
+            if len(t) <= most:
+                break
+    return out, np.array(owner, np.int64), np.array(place, np.int64)
 
-    return run
 
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        texts, owner, place = segments([t.encode() for t in batch.column(2).to_pylist()])
+        for lo, hi in _blocks(texts):
+            doc, a, first, last, c = anchors(texts[lo:hi])
+            if len(c):
+                row, at = owner[lo:hi][doc], place[lo:hi][doc]
+                rows = pa.array(row)
+                yield pa.RecordBatch.from_pydict({
+                    "c": c.view(np.int64), "key": batch.column(0).take(rows), "doc_id": batch.column(1).take(rows),
+                    "a": (a + at).astype(np.int32), "lo": (first + at).astype(np.int32), "hi": (last + at).astype(np.int32),
+                })
 
-ANCHOR = "c long, f long, doc_id long, a int, lo int, hi int"
+
+ANCHOR = "c long, key binary, doc_id long, a int, lo int, hi int"
 
 
 # --- runs, front coding, loser tree ---------------------------------------------------------------
@@ -255,94 +274,156 @@ def _spans(rows: np.ndarray, hit: np.ndarray, anchor: np.ndarray, length: int =
     return rows[i], anchor[i] - (hi - 1), anchor[i] - lo + length
 
 
-# --- the two kinds of work on what is left ---------------------------------------------------------
+# --- the two kinds of work ------------------------------------------------------------------------
+
+#: One row for each coded run (part, rid, run), each member of a run (rid, idx, key, a) and each window of a crowded gram (h1, h2, key, a).
+WORK = "kind int, part long, rid long, run binary, idx int, key binary, a int, h1 long, h2 long"
+_NOTHING = {"part": 0, "rid": 0, "run": None, "idx": 0, "key": None, "a": 0, "h1": 0, "h2": 0}
+
 
-WORK = "part long, run binary, h1 long, h2 long, doc_id long, p int"
+def _work(kind: int, n: int, **cols) -> pd.DataFrame:
+    return pd.DataFrame({"kind": kind, **{k: cols.get(k, v) for k, v in _NOTHING.items()}}, index=range(n))
 
 
-def _runs(parts: int, crowd: int):
-    """Texts with their anchors -> coded runs (part, run) for ordinary grams, window hashes (h1, h2, doc_id, p) for crowded ones."""
+def _runs(parts: int, most: int = 64 << 20):
+    """Texts with their anchors -> coded runs and their members for ordinary grams, window hashes for crowded ones."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rid = TaskContext.get().partitionId() << 32
+        buckets: dict[int, list] = {}
+        size = 0
         for pdf in batches:
-            buckets: dict[int, list] = {}
-            crowded: list[np.ndarray] = []
-            size = 0
-            for doc_id, text, marks in zip(pdf["doc_id"], pdf["text"], pdf["marks"], strict=True):
+            for key, text, marks, n in zip(pdf["key"], pdf["text"], pdf["marks"], pdf["n"], strict=True):
                 data = text.encode()
                 wide = []
                 for m in marks:
-                    if m["nf"] > crowd:
-                        wide.append(np.arange(m["lo"], m["hi"] + 1))
+                    a, lo, hi = m["a"], m["lo"], m["hi"]
+                    if m["crowded"]:
+                        wide.append(np.arange(lo, hi + 1))
                         continue
-                    a = m["a"]
-                    buckets.setdefault(m["c"] % parts, []).append((data[a : m["hi"] + LENGTH], data[m["lo"] : a][::-1], doc_id, a, m["lo"], m["hi"], m["n"]))
-                    size += m["hi"] - m["lo"] + LENGTH
+                    buckets.setdefault(m["c"] % parts, []).append((data[a : hi + LENGTH], data[lo:a][::-1], n, key, a))
+                    size += hi - lo + LENGTH
                 if wide:
                     p = np.unique(np.concatenate(wide))
                     arr = np.frombuffer(data, np.uint8)
                     h1, h2 = Prints(arr).of(p, p + LENGTH), Prints(arr, _TABLE2, _STEP2, _INVERSE2).of(p, p + LENGTH)
-                    crowded.append(pd.DataFrame({"part": -1, "run": None, "h1": h1.view(np.int64), "h2": h2.view(np.int64), "doc_id": doc_id, "p": p.astype(np.int32)}))
-                if size > 64 << 20:
-                    yield _coded(buckets)
+                    yield _work(2, len(p), h1=h1.view(np.int64), h2=h2.view(np.int64), key=[key] * len(p), a=p.astype(np.int32), idx=n)
+                if size > most:
+                    yield from _coded(buckets, rid)
+                    rid += len(buckets)
                     buckets, size = {}, 0
-            if crowded:
-                yield pd.concat(crowded)
-            if buckets:
-                yield _coded(buckets)
+        yield from _coded(buckets, rid)
 
     return run
 
 
-def _coded(buckets: dict[int, list]) -> pd.DataFrame:
-    out = []
-    for part, rows in buckets.items():
-        rows.sort(key=lambda r: r[:5])
-        lcp, tails = front_code([r[0] for r in rows])
-        out.append((part, pickle.dumps((lcp, tails, [r[1] for r in rows], np.array([r[2:] for r in rows], np.int64)), protocol=5)))
-    n = len(out)
-    return pd.DataFrame({"part": [x[0] for x in out], "run": [x[1] for x in out], "h1": [0] * n, "h2": [0] * n, "doc_id": [0] * n, "p": [0] * n})
+def _coded(buckets: dict[int, list], rid: int) -> Iterator[pd.DataFrame]:
+    """One sorted, front-coded run for each part, equal neighbourhoods once, and the members of its entries."""
+    for r, (part, rows) in enumerate(buckets.items(), rid):
+        rows.sort(key=lambda x: x[:2])
+        idx, suffixes, lefts, counts = [], [], [], []
+        for suffix, left, n, _, _ in rows:
+            if not suffixes or suffix != suffixes[-1] or left != lefts[-1]:
+                suffixes.append(suffix)
+                lefts.append(left)
+                counts.append(0)
+            counts[-1] += n
+            idx.append(len(suffixes) - 1)
+        lcp, tails = front_code(suffixes)
+        coded = pickle.dumps((lcp, tails, lefts, np.array(counts, np.int64), np.array([len(x) for x in suffixes], np.int64)), protocol=5)
+        yield _work(0, 1, part=part, rid=r, run=[coded])
+        yield _work(1, len(rows), rid=r, idx=idx, key=[x[3] for x in rows], a=[x[4] for x in rows])
 
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The runs of one part -> spans of repeated windows of neighbourhoods that stand once."""
+    """The runs of one part -> spans of repeated windows of each run entry, from its anchor."""
     loaded = [pickle.loads(b) for b in pdf["run"]]
+    rids = pdf["rid"].to_numpy(np.int64)
     order, lcp = merge_runs([(x[0], x[1]) for x in loaded])
+    at = np.array(order, np.int64).reshape(-1, 2)
     lefts = [loaded[r][2][i] for r, i in order]
-    info = np.array([loaded[r][3][i] for r, i in order], np.int64).reshape(-1, 5)
-    doc_id, a, lo, hi, n = info.T
-    hit = repeated_windows(lcp, lefts, a - hi, a - lo)
-    hit[n > 1] = False
-    rows, start, end = _spans(np.arange(len(info)), hit, a) if hit.size else (np.empty(0, np.int64),) * 3
-    return pd.DataFrame({"doc_id": doc_id[rows], "s": start.astype(np.int32), "e": end.astype(np.int32)})
+    counts = np.array([loaded[r][3][i] for r, i in order], np.int64)
+    far = np.array([len(x) for x in lefts], np.int64)
+    near = LENGTH - np.array([loaded[r][4][i] for r, i in order], np.int64)
+    hit = repeated_windows(lcp, lefts, near, far)
+    if hit.shape[1]:
+        d = np.arange(hit.shape[1])
+        hit |= (counts > 1)[:, None] & (near[:, None] <= d) & (d <= far[:, None])
+    rows, start, end = _spans(np.arange(len(at)), hit, np.zeros(len(at), np.int64)) if hit.size else (np.empty(0, np.int64),) * 3
+    return pd.DataFrame({"rid": rids[at[rows, 0]], "idx": at[rows, 1].astype(np.int32), "s": start.astype(np.int32), "e": end.astype(np.int32)})
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, key): null text as empty, and the first 16 bytes of its SHA-256."""
+    text = as_text("text")
+    return only(docs, "doc_id", "text").select("doc_id", text.alias("text"), F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32)).alias("key"))
 
 
 def repeated_spans(docs: DataFrame, crowd: int = 4096, per_part: int = 20_000) -> DataFrame:
-    """Spans (doc_id, s, e) in bytes whose union is what is repeated; they overlap. ``docs``: doc_id (unique, not null), text."""
-    spark = docs.sparkSession
-    grams = docs.select("doc_id", "text").mapInArrow(_scan(False), "c long")
-    twice = materialize(grams.groupBy("c").count().filter("count > 1").select("c"), "grams")
-    marks = docs.select("doc_id", "text").mapInArrow(_scan(True), ANCHOR)
-    marks = materialize(marks.join(twice, "c", "left_semi"), "anchors")
-    kinds = marks.groupBy("c", "f").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "a", "lo", "hi")).alias("m"))
-    kinds = materialize(kinds.select("c", "f", "n", "m.*"), "neighbourhoods")
-    settled = marks.join(kinds.filter("n > 1").select("c", "f"), ["c", "f"], "left_semi").select("doc_id", F.col("lo").alias("s"), (F.col("hi") + LENGTH).alias("e"))
-    cores = kinds.groupBy("c").agg(F.count(F.lit(1)).alias("nf"), F.count_if(F.col("n") == 1).alias("single")).filter("nf > 1 AND single > 0")
-    open_ones = materialize(kinds.join(cores.select("c", "nf"), "c").select("c", "doc_id", "a", "lo", "hi", "n", "nf"), "open")
-    parts = max(1, -(-open_ones.count() // per_part))
-    lists = open_ones.groupBy("doc_id").agg(F.collect_list(F.struct("c", "a", "lo", "hi", "n", "nf")).alias("marks"))
-    work = materialize(docs.select("doc_id", "text").join(lists, "doc_id").mapInPandas(_runs(parts, crowd), WORK), "runs")
-    merged = work.filter("part >= 0").select("part", "run").groupBy("part").applyInPandas(_merge, "doc_id long, s int, e int")
-    windows = work.filter("part < 0")
-    again = windows.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2")
-    crowded = windows.join(again, ["h1", "h2"], "left_semi").select("doc_id", F.col("p").alias("s"), (F.col("p") + LENGTH).alias("e"))
-    return settled.union(merged).union(crowded)
+    """Spans (key, s, e) in bytes whose union is what is repeated in the texts of ``docs``, as ``keyed`` gives them; spans overlap."""
+    found = materialize(docs.select("key", "doc_id", "text").mapInArrow(_scan, ANCHOR), "anchors")
+    twice = materialize(found.groupBy("c").count().filter("count > 1").select("c"), "grams")
+    marks = found.join(twice, "c", "left_semi").groupBy("key", "c", "a", "lo", "hi").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+    marks = materialize(marks, "marks")
+    crowded = materialize(marks.groupBy("c").count().filter(F.col("count") > crowd).select("c", F.lit(True).alias("crowded")), "crowded")
+    marks = marks.join(F.broadcast(crowded) if crowded.count() <= MOST_CROWDED else crowded, "c", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    parts = max(1, -(-marks.filter("NOT crowded").count() // per_part))
+    lists = marks.groupBy("key").agg(
+        F.max("n").alias("n"), F.min("first").alias("first"), F.collect_list(F.struct("c", "a", "lo", "hi", "crowded")).alias("marks")
+    )
+    # One row of each text: rows of equal text and id, if any, come along and change nothing.
+    one = docs.select("key", "doc_id", "text").join(lists.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("first")))
+    work = materialize(one.select("key", "text", "marks", "n").mapInPandas(_runs(parts), WORK), "runs")
+    merged = work.filter("kind = 0").select("part", "rid", "run").groupBy("part").applyInPandas(_merge, "rid long, idx int, s int, e int")
+    members = work.filter("kind = 1").select(F.col("rid").alias("r"), F.col("idx").alias("i"), "key", "a")
+    spans = members.join(merged, (F.col("r") == F.col("rid")) & (F.col("i") == F.col("idx"))).select("key", (F.col("a") + F.col("s")).alias("s"), (F.col("a") + F.col("e")).alias("e"))
+    windows = work.filter("kind = 2").select("h1", "h2", "key", "a", "idx")
+    again = windows.groupBy("h1", "h2").agg(F.sum("idx").alias("n")).filter("n > 1").select("h1", "h2")
+    return spans.union(windows.join(again, ["h1", "h2"], "left_semi").select("key", F.col("a").alias("s"), (F.col("a") + LENGTH).alias("e")))
+
+
+def _passage_grams(words: int, gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = [t.encode() for t in batch.column(1).to_pylist()]
+            for lo, hi in _blocks(texts):
+                h, first = shingle_hashes([t.translate(_BLANKS) for t in texts[lo:hi]], gram)
+                sizes = np.diff(np.append(first, len(h)))
+                windows = np.maximum(sizes - (words - gram), 0)
+                if not windows.any():
+                    continue
+                low = _window_min(h, words - gram + 1)
+                doc = np.repeat(np.arange(hi - lo), windows)
+                start = np.repeat(first - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
+                h = low[start]
+                order = np.lexsort((h, doc))
+                doc, h = doc[order], h[order]
+                new = np.append(True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]))  # a gram counts once in a text
+                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), batch.column(0).take(pa.array(lo + doc[new]))], names=["h", "key"])
+
+    return run
+
+
+#: Bytes up to the space separate words.
+_BLANKS = bytes([32] * 33 + list(range(33, 256)))
+
+
+def shared_passages(docs: DataFrame, words: int = PASSAGE_WORDS, gram: int = PASSAGE_GRAM) -> DataFrame:
+    """(key) of the texts that share a passage of at least ``words`` words with another row, by winnowing.
+
+    Of the ``gram``-word grams of each window of ``words`` words the one with the smallest hash is
+    kept; a text is returned when another row keeps the same. So a passage of ``words`` words or
+    more is never missed, and none of fewer than ``gram`` words is ever the reason.
+    """
+    kept = materialize(docs.select("key", "text").mapInArrow(_passage_grams(words, gram), "h long, key binary"), "passage-grams")
+    shared = kept.groupBy("h").count().filter("count > 1").select("h")
+    return kept.join(shared, "h", "left_semi").select("key").distinct()
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for doc_id, text, spans in zip(pdf["doc_id"], pdf["text"], pdf["spans"], strict=True):
+        for doc_id, text, spans, shares in zip(pdf["doc_id"], pdf["text"], pdf["spans"], pdf["shares_passage"], strict=True):
             data = text.encode()
             kept, at, removed, runs = [], 0, 0, 0
             if spans is not None and len(spans):
@@ -354,29 +435,29 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     kept.append(data[at:s])
                     at, removed, runs = e, removed + e - s, runs + 1
             kept.append(data[at:])
-            rows.append((doc_id, len(data), removed, runs, b"".join(kept)))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            rows.append((doc_id, len(data), removed, runs, b"".join(kept), shares))
+        out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "shares_passage"])
+        yield out.astype({"doc_id": "Int64"})
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept, the remaining bytes.
+    """One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes) and shares_passage.
 
-    Null text counts as empty; texts under ``LENGTH`` bytes lose nothing. doc_id must be a key: a row
-    with a null doc_id passes with nothing removed and takes no part in the comparison, and rows
-    repeated whole are one document, returned once for each row.
+    Null text counts as empty; texts under ``LENGTH`` bytes lose nothing. Rows with any doc_id, null
+    or repeated, take part: a string that stands in two rows is repeated, also when the rows are
+    equal as a whole. ``shares_passage``: more than 50 words stand in another row too.
     """
-    base = only(docs, "doc_id", "text").select("doc_id", as_text("text").alias("text"))
-    ided = base.filter("doc_id IS NOT NULL")
-    repeated = not ided.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    spans = repeated_spans(ided.dropDuplicates(["doc_id"]) if repeated else ided)
-    lists = spans.groupBy(F.col("doc_id").alias("d")).agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    joined = base.join(lists, base["doc_id"] == lists["d"], "left").select("doc_id", "text", "spans")
-    return joined.mapInPandas(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    base = keyed(docs)
+    none = F.lit(None)
+    found = repeated_spans(base).withColumn("p", F.lit(False)).union(shared_passages(base).select("key", none.cast("int"), none.cast("int"), F.lit(True)))
+    lists = found.groupBy(F.col("key").alias("k")).agg(F.collect_set(F.when(F.col("s").isNotNull(), F.struct("s", "e"))).alias("spans"), F.max("p").alias("shares"))
+    joined = base.join(lists, base["key"] == lists["k"], "left").select("doc_id", "text", "spans", F.coalesce("shares", F.lit(False)).alias("shares_passage"))
+    return joined.mapInPandas(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, shares_passage boolean")
 
 
 def op9_remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     out = remove_repeats(docs)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "shares_passage")
 
 
 def sha256_hex(data: bytes) -> str:
