@@ -39,12 +39,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitloom.llm.common import as_text, materialize, only, slices
+from visitloom.llm.common import as_text, materialize, only, slices, text_key
 from visitloom.llm.near_dup import _INVERSE, _STEP, _TABLE, _blocks, _mix, _powers, shingle_hashes
 
 LENGTH, GRAM = 400, 200
 #: A passage is noticed for sure from so many words on, and never below so many.
-PASSAGE_WORDS, PASSAGE_GRAM = 51, 41
+PASSAGE_WORDS, PASSAGE_GRAM = 51, 36
 #: Longer texts are scanned in overlapping segments of so many bytes.
 SEGMENT = 8 << 20
 #: Up to so many crowded grams (9 bytes each) are broadcast.
@@ -236,8 +236,9 @@ def merge_runs(runs: list[tuple[np.ndarray, list[bytes]]]) -> tuple[list[tuple[i
     return out, np.array(lcp, np.int32)
 
 
-def repeated_windows(lcp: np.ndarray, lefts: list[bytes], near: np.ndarray, far: np.ndarray, length: int = LENGTH) -> np.ndarray:
+def repeated_windows(lcp: np.ndarray, lefts: list[bytes], near: np.ndarray, far: np.ndarray, owner: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Boolean (suffix, distance): the window that starts ``distance`` before the suffix's anchor stands more than once.
+    Boolean (suffix): one of them stands in the text of another owner, told by one suffix of each owner at least.
 
     Suffixes come in sorted order with their common prefixes; ``lefts`` are the bytes before the
     anchors, read backwards. Distances near..far are the suffix's own windows. Two windows at one
@@ -251,7 +252,7 @@ def repeated_windows(lcp: np.ndarray, lefts: list[bytes], near: np.ndarray, far:
         prev = lefts[j]
     widest = int(far.max(initial=-1)) + 1
     out = np.zeros((n, widest), bool)
-    left_class = np.empty(n, np.int64)
+    left_class, cross = np.empty(n, np.int64), np.zeros(n, bool)
     for d in range(widest):
         live = np.flatnonzero((near <= d) & (d <= far))
         if len(live) < 2:
@@ -263,7 +264,9 @@ def repeated_windows(lcp: np.ndarray, lefts: list[bytes], near: np.ndarray, far:
         same = key[by][1:] == key[by][:-1]
         again = np.append(False, same) | np.append(same, False)
         out[live[by[again]], d] = True
-    return out
+        other = same & (owner[live[by[1:]]] != owner[live[by[:-1]]])
+        cross[live[by[np.append(False, other) | np.append(other, False)]]] = True
+    return out, cross
 
 
 def _spans(rows: np.ndarray, hit: np.ndarray, anchor: np.ndarray, length: int = LENGTH):
@@ -276,7 +279,7 @@ def _spans(rows: np.ndarray, hit: np.ndarray, anchor: np.ndarray, length: int =
 
 # --- the two kinds of work ------------------------------------------------------------------------
 
-#: One row for each coded run (part, rid, run), each member of a run (rid, idx, key, a) and each window of a crowded gram (h1, h2, key, a).
+#: One row for each coded run (part, rid, run), each member of a run (rid, idx, key, a) and each window of a crowded gram (its owner as part, h1, h2, key, a, the text's rows as idx).
 WORK = "kind int, part long, rid long, run binary, idx int, key binary, a int, h1 long, h2 long"
 _NOTHING = {"part": 0, "rid": 0, "run": None, "idx": 0, "key": None, "a": 0, "h1": 0, "h2": 0}
 
@@ -307,7 +310,7 @@ def _runs(parts: int, most: int = 64 << 20):
                     p = np.unique(np.concatenate(wide))
                     arr = np.frombuffer(data, np.uint8)
                     h1, h2 = Prints(arr).of(p, p + LENGTH), Prints(arr, _TABLE2, _STEP2, _INVERSE2).of(p, p + LENGTH)
-                    yield _work(2, len(p), h1=h1.view(np.int64), h2=h2.view(np.int64), key=[key] * len(p), a=p.astype(np.int32), idx=n)
+                    yield _work(2, len(p), part=_owner(key), h1=h1.view(np.int64), h2=h2.view(np.int64), key=[key] * len(p), a=p.astype(np.int32), idx=n)
                 if size > most:
                     yield from _coded(buckets, rid)
                     rid += len(buckets)
@@ -317,20 +320,26 @@ def _runs(parts: int, most: int = 64 << 20):
     return run
 
 
+def _owner(key: bytes) -> int:
+    return int.from_bytes(key[:8], "little", signed=True)
+
+
 def _coded(buckets: dict[int, list], rid: int) -> Iterator[pd.DataFrame]:
     """One sorted, front-coded run for each part, equal neighbourhoods once, and the members of its entries."""
     for r, (part, rows) in enumerate(buckets.items(), rid):
         rows.sort(key=lambda x: x[:2])
-        idx, suffixes, lefts, counts = [], [], [], []
-        for suffix, left, n, _, _ in rows:
+        idx, suffixes, lefts, info = [], [], [], []  # info: rows, length, owner, in several rows' texts
+        for suffix, left, n, key, _ in rows:
+            owner = _owner(key)
             if not suffixes or suffix != suffixes[-1] or left != lefts[-1]:
                 suffixes.append(suffix)
                 lefts.append(left)
-                counts.append(0)
-            counts[-1] += n
+                info.append([0, len(suffix), owner, 0])
+            info[-1][0] += n
+            info[-1][3] |= n > 1 or info[-1][2] != owner
             idx.append(len(suffixes) - 1)
         lcp, tails = front_code(suffixes)
-        coded = pickle.dumps((lcp, tails, lefts, np.array(counts, np.int64), np.array([len(x) for x in suffixes], np.int64)), protocol=5)
+        coded = pickle.dumps((lcp, tails, lefts, np.array(info, np.int64)), protocol=5)
         yield _work(0, 1, part=part, rid=r, run=[coded])
         yield _work(1, len(rows), rid=r, idx=idx, key=[x[3] for x in rows], a=[x[4] for x in rows])
 
@@ -342,25 +351,27 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     order, lcp = merge_runs([(x[0], x[1]) for x in loaded])
     at = np.array(order, np.int64).reshape(-1, 2)
     lefts = [loaded[r][2][i] for r, i in order]
-    counts = np.array([loaded[r][3][i] for r, i in order], np.int64)
-    far = np.array([len(x) for x in lefts], np.int64)
-    near = LENGTH - np.array([loaded[r][4][i] for r, i in order], np.int64)
-    hit = repeated_windows(lcp, lefts, near, far)
+    counts, size, owner, several = np.array([loaded[r][3][i] for r, i in order], np.int64).reshape(-1, 4).T
+    near, far = LENGTH - size, np.array([len(x) for x in lefts], np.int64)
+    hit, cross = repeated_windows(lcp, lefts, near, far, owner)
     if hit.shape[1]:
         d = np.arange(hit.shape[1])
         hit |= (counts > 1)[:, None] & (near[:, None] <= d) & (d <= far[:, None])
+    cross |= several > 0
     rows, start, end = _spans(np.arange(len(at)), hit, np.zeros(len(at), np.int64)) if hit.size else (np.empty(0, np.int64),) * 3
-    return pd.DataFrame({"rid": rids[at[rows, 0]], "idx": at[rows, 1].astype(np.int32), "s": start.astype(np.int32), "e": end.astype(np.int32)})
+    return pd.DataFrame({"rid": rids[at[rows, 0]], "idx": at[rows, 1].astype(np.int32), "s": start.astype(np.int32), "e": end.astype(np.int32), "cross": cross[rows]})
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, key): null text as empty, and the first 16 bytes of its SHA-256."""
-    text = as_text("text")
-    return only(docs, "doc_id", "text").select("doc_id", text.alias("text"), F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32)).alias("key"))
+    """(doc_id, text, key), null text as empty."""
+    return only(docs, "doc_id", "text").select("doc_id", as_text("text").alias("text"), text_key().alias("key"))
 
 
 def repeated_spans(docs: DataFrame, crowd: int = 4096, per_part: int = 20_000) -> DataFrame:
-    """Spans (key, s, e) in bytes whose union is what is repeated in the texts of ``docs``, as ``keyed`` gives them; spans overlap."""
+    """Spans (key, s, e, cross) in bytes whose union is what is repeated in the texts of ``docs``, as ``keyed`` gives them; they overlap.
+
+    A text that shares ``LENGTH`` bytes with another row has a span with ``cross``.
+    """
     found = materialize(docs.select("key", "doc_id", "text").mapInArrow(_scan, ANCHOR), "anchors")
     twice = materialize(found.groupBy("c").count().filter("count > 1").select("c"), "grams")
     marks = found.join(twice, "c", "left_semi").groupBy("key", "c", "a", "lo", "hi").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
@@ -374,32 +385,43 @@ def repeated_spans(docs: DataFrame, crowd: int = 4096, per_part: int = 20_000) -
     # One row of each text: rows of equal text and id, if any, come along and change nothing.
     one = docs.select("key", "doc_id", "text").join(lists.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("first")))
     work = materialize(one.select("key", "text", "marks", "n").mapInPandas(_runs(parts), WORK), "runs")
-    merged = work.filter("kind = 0").select("part", "rid", "run").groupBy("part").applyInPandas(_merge, "rid long, idx int, s int, e int")
+    merged = work.filter("kind = 0").select("part", "rid", "run").groupBy("part").applyInPandas(_merge, "rid long, idx int, s int, e int, cross boolean")
     members = work.filter("kind = 1").select(F.col("rid").alias("r"), F.col("idx").alias("i"), "key", "a")
-    spans = members.join(merged, (F.col("r") == F.col("rid")) & (F.col("i") == F.col("idx"))).select("key", (F.col("a") + F.col("s")).alias("s"), (F.col("a") + F.col("e")).alias("e"))
-    windows = work.filter("kind = 2").select("h1", "h2", "key", "a", "idx")
-    again = windows.groupBy("h1", "h2").agg(F.sum("idx").alias("n")).filter("n > 1").select("h1", "h2")
-    return spans.union(windows.join(again, ["h1", "h2"], "left_semi").select("key", F.col("a").alias("s"), (F.col("a") + LENGTH).alias("e")))
+    spans = members.join(merged, (F.col("r") == F.col("rid")) & (F.col("i") == F.col("idx")))
+    spans = spans.select("key", (F.col("a") + F.col("s")).alias("s"), (F.col("a") + F.col("e")).alias("e"), "cross")
+    windows = work.filter("kind = 2").select("h1", "h2", "key", "a", F.col("part").alias("owner"), "idx")
+    again = windows.groupBy("h1", "h2").agg(F.sum("idx").alias("n"), ((F.min("owner") < F.max("owner")) | (F.max("idx") > 1)).alias("cross")).filter("n > 1")
+    wide = windows.select("h1", "h2", "key", "a").join(again, ["h1", "h2"]).select("key", F.col("a").alias("s"), (F.col("a") + LENGTH).alias("e"), "cross")
+    return spans.union(wide)
 
 
 def _passage_grams(words: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
         for batch in slices(batches):
             texts = [t.encode() for t in batch.column(1).to_pylist()]
+            hashes, sizes = [], []
             for lo, hi in _blocks(texts):
                 h, first = shingle_hashes([t.translate(_BLANKS) for t in texts[lo:hi]], gram)
-                sizes = np.diff(np.append(first, len(h)))
-                windows = np.maximum(sizes - (words - gram), 0)
-                if not windows.any():
-                    continue
-                low = _window_min(h, words - gram + 1)
+                windows = np.maximum(np.diff(np.append(first, len(h))) - (words - gram), 0)
                 doc = np.repeat(np.arange(hi - lo), windows)
-                start = np.repeat(first - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
-                h = low[start]
-                order = np.lexsort((h, doc))
-                doc, h = doc[order], h[order]
-                new = np.append(True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]))  # a gram counts once in a text
-                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), batch.column(0).take(pa.array(lo + doc[new]))], names=["h", "key"])
+                if windows.any():
+                    start = np.repeat(first - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
+                    h = _window_min(h, words - gram + 1)[start]
+                    new = np.append(True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]))
+                    doc, h = doc[new], h[new]
+                    order = np.lexsort((h, doc))
+                    doc, h = doc[order], h[order]
+                    new = np.append(True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]))  # a gram counts once in a text
+                    doc, h = doc[new], h[new]
+                else:
+                    h = h[:0]
+                hashes.append(h.view(np.int64))
+                sizes.append(np.bincount(doc, minlength=hi - lo))
+            ends = np.cumsum(np.concatenate([[0], *sizes]))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(hashes) if hashes else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(texts))), batch.column(0), lists], names=["row", "key", "grams"])
+            row += len(texts)
 
     return run
 
@@ -408,16 +430,20 @@ def _passage_grams(words: int, gram: int):
 _BLANKS = bytes([32] * 33 + list(range(33, 256)))
 
 
-def shared_passages(docs: DataFrame, words: int = PASSAGE_WORDS, gram: int = PASSAGE_GRAM) -> DataFrame:
+def shared_passages(docs: DataFrame, known: DataFrame | None = None, words: int = PASSAGE_WORDS, gram: int = PASSAGE_GRAM) -> DataFrame:
     """(key) of the texts that share a passage of at least ``words`` words with another row, by winnowing.
 
     Of the ``gram``-word grams of each window of ``words`` words the one with the smallest hash is
     kept; a text is returned when another row keeps the same. So a passage of ``words`` words or
-    more is never missed, and none of fewer than ``gram`` words is ever the reason.
+    more is never missed, and none of fewer than ``gram`` words is ever the reason. Texts in
+    ``known`` (key) are compared with, but not returned.
     """
-    kept = materialize(docs.select("key", "text").mapInArrow(_passage_grams(words, gram), "h long, key binary"), "passage-grams")
-    shared = kept.groupBy("h").count().filter("count > 1").select("h")
-    return kept.join(shared, "h", "left_semi").select("key").distinct()
+    kept = docs.select("key", "text").mapInArrow(_passage_grams(words, gram), "row long, key binary, grams array<long>").filter(F.size("grams") > 0)
+    kept = materialize(kept, "passage-grams")
+    shared = kept.select(F.explode("grams").alias("h")).groupBy("h").count().filter("count > 1").select("h")
+    asked = kept if known is None else kept.join(known, "key", "left_anti")
+    hits = asked.select("row", F.explode("grams").alias("h")).join(shared, "h", "left_semi").select("row").distinct()
+    return kept.select("row", "key").join(hits, "row").select("key").distinct()
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -445,12 +471,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Null text counts as empty; texts under ``LENGTH`` bytes lose nothing. Rows with any doc_id, null
     or repeated, take part: a string that stands in two rows is repeated, also when the rows are
-    equal as a whole. ``shares_passage``: more than 50 words stand in another row too.
+    equal as a whole. ``shares_passage``: ``LENGTH`` bytes or more than 50 words stand in another row too.
     """
     base = keyed(docs)
-    none = F.lit(None)
-    found = repeated_spans(base).withColumn("p", F.lit(False)).union(shared_passages(base).select("key", none.cast("int"), none.cast("int"), F.lit(True)))
-    lists = found.groupBy(F.col("key").alias("k")).agg(F.collect_set(F.when(F.col("s").isNotNull(), F.struct("s", "e"))).alias("spans"), F.max("p").alias("shares"))
+    spans = materialize(repeated_spans(base), "spans")
+    crossing = spans.filter("cross").select("key").distinct()
+    passages = shared_passages(base, crossing).select("key", F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(True))
+    lists = spans.union(passages).groupBy(F.col("key").alias("k")).agg(F.collect_set(F.when(F.col("s").isNotNull(), F.struct("s", "e"))).alias("spans"), F.max("cross").alias("shares"))
     joined = base.join(lists, base["key"] == lists["k"], "left").select("doc_id", "text", "spans", F.coalesce("shares", F.lit(False)).alias("shares_passage"))
     return joined.mapInPandas(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, shares_passage boolean")
 
