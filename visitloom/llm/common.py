@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,18 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="visitloom-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only a local session, where driver and executors are one process, may go without the
-    setting; a temporary folder is then made and set.
+    Only a local session, where driver and executors are one process, may go without the setting:
+    it gets a temporary folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="visitloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _own_dir()
     return path.rstrip("/")
 
 
@@ -51,6 +57,11 @@ def as_text(col: Column | str) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def text_key(col: Column | str = "text") -> Column:
+    """The first 16 bytes of the SHA-256 of a text, null read as empty: with doc_id it tells rows whose ids repeat or are null."""
+    return F.unhex(F.substring(F.sha2(as_text(col).cast("binary"), 256), 1, 32))
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that other columns of a table can never clash with an operator's own."""
     return df.select(*names)
@@ -86,7 +97,7 @@ def number_gapless(df: DataFrame, groups: Sequence[str], order: Sequence[str], o
     return joined.withColumn(out, F.col("__before") + F.col("__row") - 1).select(*df.columns, out)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph given as (a, b) long columns: rows (node, component), component being the smallest node.
 
     Alternates large-star and small-star steps (each a min aggregate and a join on the node);
@@ -96,7 +107,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     e = materialize(e, "cc")
     signature = None
-    for _ in range(max_rounds):
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -109,16 +120,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if now == signature and now[0] == now[1]:
             break
         signature = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame, drop: bool = False) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is (or, with ``drop``, is not) in the one-column ``ids``; all columns stay."""
-    right = ids.select(F.col(ids.columns[0]).alias("__vl_id"))
-    return docs.join(right, docs["doc_id"].eqNullSafe(right["__vl_id"]), "left_anti" if drop else "left_semi")
 
 
 LONG = T.LongType()

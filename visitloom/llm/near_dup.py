@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitloom.llm.common import as_text, connected_components, keep_ids, materialize, only, slices
+from visitloom.llm.common import as_text, connected_components, materialize, only, slices, text_key
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -133,7 +133,7 @@ def _signatures(words: int, bands: int, rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = [t.encode() for t in batch.column(2).to_pylist()]
+            texts = [t.encode() for t in batch.column(3).to_pylist()]
             parts = []
             for lo, hi in _blocks(texts):
                 grams, first = shingle_hashes(texts[lo:hi], words)
@@ -153,7 +153,7 @@ def _signatures(words: int, bands: int, rows: int):
             sig = np.concatenate(parts) if parts else np.zeros((0, bands), np.uint64)
             flat = pa.array(sig.reshape(-1).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, bands, dtype=np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([bool(t) for t in texts]), lists], names=["doc_id", "digest", "worded", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([bool(t) for t in texts]), lists], names=["doc_id", "key", "digest", "worded", "bands"])
 
     return run
 
@@ -279,25 +279,30 @@ def _gram_sets(words: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, unit: int = 2000, unit_bytes: int = 32 << 20) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest doc_id of its group), rep_id (smallest doc_id of its equal word sequences), n_links.
+def near_duplicate_rows(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, unit: int = 2000, unit_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of ``near_duplicates`` with two more columns: key (``text_key`` of the text) and kept (the row stays for its group).
 
-    ``n_links`` counts the other documents whose n-gram sets have a Jaccard similarity of at least
-    ``threshold``, copies included. A document with fewer than ``words`` words has its whole word
-    sequence as its only n-gram; one without words (null, empty or punctuation alone) has no links
-    and is a group of its own. A null doc_id takes no part: its class_id is null, its links 0.
-    Rows repeated whole count as copies. Extra columns are ignored.
+    Rows are told by (doc_id, key), classes by a number of their own, so that several texts under
+    one id, or without an id, are rows like others.
     """
     bands, rows = choose_bands(threshold, recall)
-    base = only(docs, "doc_id", "text").filter("doc_id IS NOT NULL").select("doc_id", normalised().alias("norm"))
-    base = base.select("doc_id", F.sha2(F.col("norm").cast("binary"), 256).alias("digest"), "norm")
-    sig = materialize(base.mapInArrow(_signatures(words, bands, rows), "doc_id long, digest string, worded boolean, bands array<long>"), "signatures")
+    base = only(docs, "doc_id", "text").select("doc_id", text_key().alias("key"), normalised().alias("norm"))
+    base = base.select("doc_id", "key", F.sha2(F.col("norm").cast("binary"), 256).alias("digest"), "norm")
+    sig = materialize(base.mapInArrow(_signatures(words, bands, rows), "doc_id long, key binary, digest string, worded boolean, bands array<long>"), "signatures")
     worded = sig.filter("worded")
-    classes = worded.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    members = materialize(sig.select("doc_id", "digest", "worded").join(classes, "digest", "left").select("doc_id", "worded", "rep", "copies"), "members")
-    reps = materialize(
-        worded.join(classes, (worded["digest"] == classes["digest"]) & (worded["doc_id"] == classes["rep"])).select("rep", "copies", "bands").dropDuplicates(["rep"]), "reps"
-    )
+    top = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("top")
+    classes = worded.groupBy("digest").agg(top, F.count(F.lit(1)).alias("copies"))
+    # The number is written with the class, so it stays what it is when executors are lost.
+    classes = materialize(classes.select("digest", F.monotonically_increasing_id().alias("rep"), F.col("top.doc_id").alias("first"), F.col("top.key").alias("first_key"), "copies"), "classes")
+    members = sig.select("doc_id", "key", "digest", "worded").join(classes, "digest", "left")
+    members = materialize(members.select("doc_id", "key", "worded", "rep", "first", "first_key", "copies"), "members")
+
+    def first_rows(df: DataFrame, of: DataFrame) -> DataFrame:
+        """The first row of each class of ``of``: equal rows, if the table repeats it, give one."""
+        c = of.withColumnRenamed("digest", "__digest")
+        return df.join(c, (df["digest"] == c["__digest"]) & df["doc_id"].eqNullSafe(c["first"]) & (df["key"] == c["first_key"])).dropDuplicates(["rep"])
+
+    reps = materialize(first_rows(worded, classes).select("rep", "copies", "bands"), "reps")
     posts = reps.select("rep", F.posexplode("bands").alias("band", "h")).select("rep", "band", F.xxhash64("band", "h").alias("bucket"))
     buckets = posts.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"), F.min("rep").alias("low"), F.min("band").alias("band"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("print")
@@ -307,8 +312,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     seats = materialize(posts.drop("band").join(kept, "bucket").select("rep", "bucket", "band", "low"), "seats")
     cluster = connected_components(seats.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     placed = materialize(cluster.select(F.col("node").alias("rep"), "component"), "clusters")
-    texts = keep_ids(base.select("doc_id", "norm"), placed.select("rep")).dropDuplicates(["doc_id"])
-    grams = texts.mapInArrow(_gram_sets(words), "rep long, grams binary")
+    texts = first_rows(base, classes.join(placed.select("rep"), "rep", "left_semi"))
+    grams = texts.select("rep", "norm").mapInArrow(_gram_sets(words), "rep long, grams binary")
     data = materialize(grams.join(placed, "rep").join(reps, "rep"), "grams")
     weight = data.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum(F.octet_length("grams")).alias("bytes"))
     above = materialize(weight.filter((F.col("members") > unit) | (F.col("bytes") > unit_bytes)).select("component"), "large-clusters")
@@ -320,16 +325,31 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     links = materialize(links, "links")
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = connected_components(links.select(F.col("rep").alias("a"), F.col("low").alias("b")))
-    per_rep = counts.join(groups, counts["rep"] == groups["node"]).select(F.col("rep").alias("r"), "links", "component")
-    joined = members.join(per_rep, members["rep"] == per_rep["r"], "left")
-    out = joined.select(
+    placed = groups.select(F.col("node").alias("rep"), "component")
+    heads = placed.join(classes.select("rep", "first", "first_key"), "rep").groupBy("component").agg(F.min(F.struct(F.col("first").isNull(), "first", "first_key")).alias("head"))
+    per_rep = counts.join(placed, "rep").join(heads, "component").select(F.col("rep").alias("r"), "links", F.struct("head.first", "head.first_key").alias("head"))
+    head = F.coalesce("head", F.when(F.col("worded"), F.struct("first", "first_key")), F.struct(F.col("doc_id").alias("first"), F.col("key").alias("first_key")))
+    joined = members.join(per_rep, members["rep"] == per_rep["r"], "left").withColumn("head", head)
+    return joined.select(
         "doc_id",
-        F.coalesce("component", "rep", "doc_id").alias("class_id"),
-        F.coalesce("rep", "doc_id").alias("rep_id"),
+        F.col("head.first").alias("class_id"),
+        F.when(F.col("worded"), F.col("first")).otherwise(F.col("doc_id")).alias("rep_id"),
         (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
+        "key",
+        (F.col("doc_id").eqNullSafe(F.col("head.first")) & (F.col("key") == F.col("head.first_key"))).alias("kept"),
     )
-    null = F.lit(None).cast("long")
-    return out.union(only(docs, "doc_id").filter("doc_id IS NULL").select("doc_id", null, null, F.lit(0).cast("long")))
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, unit: int = 2000, unit_bytes: int = 32 << 20) -> DataFrame:
+    """One row per document: doc_id, class_id (smallest doc_id of its group), rep_id (smallest doc_id of its equal word sequences), n_links.
+
+    ``n_links`` counts the other documents whose n-gram sets have a Jaccard similarity of at least
+    ``threshold``, copies included. A document with fewer than ``words`` words has its whole word
+    sequence as its only n-gram; one without words (null, empty or punctuation alone) has no links
+    and is a group of its own. Rows without an id take part: a group without any id has the class_id
+    null. Rows repeated whole count as copies. Extra columns are ignored.
+    """
+    return near_duplicate_rows(docs, words, threshold, recall, unit, unit_bytes).drop("key", "kept")
 
 
 def _verify_buckets(large: DataFrame, seats: DataFrame, threshold: float, unit: int, unit_bytes: int, schema: str) -> DataFrame:
@@ -351,8 +371,13 @@ def op7_near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents that are the smallest of their group, with all their columns; rows without an id stay."""
-    gone = near_duplicates(docs).filter("doc_id IS NOT NULL AND doc_id <> class_id").select("doc_id")
-    out = keep_ids(docs, gone, drop=True)
-    repeated = not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+    """One document of each group, with all its columns: the row with the smallest doc_id (of equal ids, the smallest text key).
+
+    Rows are told by id and text together, so other groups' rows under the same id stay; rows of
+    equal id and text stay once. Documents without words stay, once for each id and text.
+    """
+    kept = materialize(near_duplicate_rows(docs).filter("kept").select(F.col("doc_id").alias("__vl_id"), F.col("key").alias("__vl_kept")), "near-kept")
+    keyed = docs.withColumn("__vl_key", text_key())
+    out = keyed.join(kept, (keyed["__vl_key"] == kept["__vl_kept"]) & keyed["doc_id"].eqNullSafe(kept["__vl_id"]), "left_semi")
+    repeated = not kept.groupBy("__vl_id", "__vl_kept").count().filter("count > 1").isEmpty()
+    return (out.dropDuplicates(["doc_id", "__vl_key"]) if repeated else out).drop("__vl_key")
