@@ -62,16 +62,21 @@ FROM d
 
 
 def op4_sql() -> str:
+    """Every unit in canonical form, without the choice of units that the operator makes first."""
+
     def quoted(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
 
     def words(x: str) -> str:
+        x = rf"regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')"
         for pattern, to in licenses.SPELLINGS:
             x = f"regexp_replace({x}, {quoted(pattern)}, {quoted(to.replace('$', chr(92)))}, 'g')"
-        return rf"trim(regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+        return f"trim({x})"
 
-    known = ", ".join(f"({i}, {quoted(a)}, {quoted(b)})" for i, (a, _, b) in enumerate(licenses.KNOWN))
-    longest = max([len(k[2]) for k in licenses.KNOWN] + [1000]) * 4
+    known = ", ".join(f"({i}, {quoted(a)}, {quoted(b)})" for i, (a, _, b) in enumerate(licenses.known_texts()))
+    bare = "chr(10) || replace(low, chr(10), chr(10) || chr(10)) || chr(10)"
+    for pattern in licenses.NOTICE_LINES:
+        bare = f"regexp_replace({bare}, {quoted(pattern)}, chr(10), 'g')"
     return rf"""
 WITH k AS (SELECT * FROM (VALUES {known}) AS t(n, license, body)),
 d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
@@ -86,10 +91,9 @@ u AS (
 ),
 c AS (
   SELECT doc_id, unit, unit_no, lower(body) AS low FROM u
-  WHERE length(body) BETWEEN 4 AND {longest} AND regexp_matches(lower(body), 'licen[cs]e|permission|rights reserved|released under|\bcc0\b|\bcc by')
   UNION ALL SELECT NULL, license, n, lower(body) FROM k
 ),
-w AS (SELECT doc_id, unit, unit_no, low, {words(f"regexp_replace(low, {quoted(licenses.COPYRIGHT_LINE)}, ' ', 'g')")} AS bare FROM c),
+w AS (SELECT doc_id, unit, unit_no, low, {words(bare)} AS bare FROM c),
 f AS (SELECT doc_id, unit, unit_no, CASE WHEN bare = '' THEN {words("low")} ELSE bare END AS form FROM w)
 SELECT f.doc_id, f.unit, f.unit_no, g.license
 FROM f JOIN (SELECT form, arg_min(unit, unit_no) AS license FROM f WHERE doc_id IS NULL AND form <> '' GROUP BY form) g USING (form)
