@@ -2,8 +2,9 @@
 
 A tokenizer file is loaded once per Python worker. The encoders split a text where no token can
 cross, look each piece up in a cache and let the tokenizer encode only pieces not seen before; the
-ids are those of the tokenizer over the whole text. Texts with unusual white space, where the
-split would not be certain, go to the tokenizer whole.
+ids and the offsets put together from the pieces are those of the tokenizer over the whole text.
+Texts with unusual white space, where the split would not be certain, go to the tokenizer whole.
+(A call of the tokenizer for every whole text takes about 2,000 CPU seconds a GB of input.)
 """
 
 from __future__ import annotations
@@ -121,51 +122,71 @@ def word_encoder(path: str) -> WordEncoder:
 
 
 class OffsetEncoder:
-    """For byte-level BPE with a leading space: the pieces of a text with their token counts, and the spans of a piece's tokens."""
+    """For byte-level BPE with a leading space: the character spans of all tokens of whole texts."""
 
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, int] = {}
-        probe = [" Straße,", "éÀñ.", " Zebra", " ÿŁódź!", "don", " x", "İ", " a"]
+        self.cache: dict[str, bytes] = {}
+        self.skip = int(self._spans([" x"])[0][0, 0])  # 1 where the tokenizer leaves a leading space out of the offsets
+        probe = [" Strasse,", "eAn.", " Zebra", " Lodz!", "don", " x", "a", " a", "zzxq;"]
         self.plain_way = True
-        found = self._count_new(set(probe))
-        self.plain_way = [found[p] for p in probe] == [len(self.spans(p)[0]) for p in probe]
-
-    def spans(self, piece: str) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end characters of the piece's tokens."""
-        a = np.array(self.tokenizer.encode(piece, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
-        return a[:, 0], a[:, 1]
-
-    def pieces(self, texts: list[str]) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
-        """For each text its pieces, their lengths in characters and their tokens."""
-        cut = [[] if not t else [t] if unusual_space(t) else LEADING_SPACE_PIECES.findall(t) for t in texts]
-        new = set().union(*cut).difference(self.cache)
+        found = self._encode_new(set(probe))
+        self.plain_way = [found[p] for p in probe] == [self._packed(x) for x in self._spans(probe)]
+
+    def _spans(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.offsets, np.int64).reshape(-1, 2) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def _packed(spans: np.ndarray) -> bytes:
+        return spans.astype("<u2").tobytes()
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Start and end characters of the tokens of each text, encoded once as a whole."""
+        cut = [None if unusual_space(t) else LEADING_SPACE_PIECES.findall(t) for t in texts]
+        cut = [p if p is not None and max(map(len, p), default=0) < 1 << 16 else None for p in cut]
+        words = set().union(*(p for p in cut if p is not None))
+        new = words.difference(self.cache)
         if len(self.cache) + len(new) > CACHE_PIECES:
-            self.cache = {}
-            new = set().union(*cut)
-        self.cache.update(self._count_new(new))
-        get = self.cache.__getitem__
-        out = [(p, np.fromiter(map(len, p), np.int64, len(p)), np.fromiter(map(get, p), np.int64, len(p))) for p in cut]
+            self.cache, new = {}, words
+        self.cache.update(self._encode_new(new))
+        out = []
+        for pieces, text in zip(cut, texts, strict=True):
+            if pieces is None:
+                spans = self._spans([text])[0]
+            else:
+                packed = list(map(self.cache.__getitem__, pieces))
+                size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+                tokens = np.fromiter(map(len, packed), np.int64, len(pieces)) // 4
+                spans = np.frombuffer(b"".join(packed), "<u2").reshape(-1, 2) + np.repeat(np.cumsum(size) - size, tokens)[:, None]
+            out.append((spans[:, 0], spans[:, 1]))
         for w in new:
             if len(w) > CACHED_CHARS:
                 del self.cache[w]
         return out
 
-    def _count_new(self, pieces: set[str]) -> dict[str, int]:
-        """A plain word with the space before it is one pre-token and goes straight to the model, a mark after it is another, one token."""
+    def _encode_new(self, pieces: set[str]) -> dict[str, bytes]:
+        """A plain ASCII word with the space before it is one pre-token and goes straight to the model, a mark after it is another, one token."""
         out, rest, tokenize = {}, [], self.tokenizer.model.tokenize
-        table = _byte_chars()
         for w in pieces:
-            m = PLAIN_WORD.fullmatch(w, 1 if w[:1] == " " else 0) if self.plain_way else None
+            space = w[:1] == " "
+            m = PLAIN_WORD.fullmatch(w, int(space)) if self.plain_way and w.isascii() else None
             if m is None:
                 rest.append(w)
                 continue
-            word, mark = (" " if w[0] == " " else "") + m.group(1), m.group(2)
-            out[w] = len(tokenize(word.encode().decode("latin-1").translate(table))) + bool(mark)
+            word = m.group(1)
+            sizes = [len(t.value) for t in tokenize("\u0120" + word if space else word)]
+            if space and sizes[0] == 1:
+                rest.append(w)
+                continue
+            ends = np.cumsum(sizes)
+            spans = np.stack([ends - sizes, ends], 1)
+            spans[0, 0] = self.skip * space
+            if m.group(2):
+                spans = np.append(spans, [[len(w) - 1, len(w)]], 0)
+            out[w] = self._packed(spans)
         for i in range(0, len(rest), 4096):
-            some = rest[i : i + 4096]
-            out.update(zip(some, map(len, self.tokenizer.encode_batch(some, add_special_tokens=False)), strict=True))
+            out.update(zip(rest[i : i + 4096], map(self._packed, self._spans(rest[i : i + 4096])), strict=True))
         return out
 
 
@@ -175,27 +196,11 @@ def _byte_chars() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
 
 
-def count_by_section(encoder: OffsetEncoder, cut: tuple[list[str], np.ndarray, np.ndarray], lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and crossing tokens of [no section, section 0, ...]; only pieces that meet an edge are looked at token by token."""
-    pieces, size, count = cut
-    n = len(lo)
-    end = np.cumsum(size)
-    begin = end - size
-    if n:
-        i = np.searchsorted(hi, begin, side="right")
-        j = np.minimum(i, n - 1)
-        inside = (i < n) & (lo[j] <= begin) & (end <= hi[j])
-        outside = (i >= n) | (lo[j] >= end)
-    else:
-        i, inside, outside = np.zeros(len(size), np.int64), np.zeros(len(size), bool), np.ones(len(size), bool)
-    total = np.bincount(np.where(inside, i + 1, 0), weights=np.where(inside | outside, count, 0), minlength=n + 1).astype(np.int64)
-    crossed = np.zeros(n + 1, np.int64)
-    for k in np.flatnonzero(~inside & ~outside):
-        s, e = encoder.spans(pieces[k])
-        owner, crossing = attribute(s + begin[k], e + begin[k], lo, hi)
-        total += np.bincount(owner + 1, minlength=n + 1)
-        crossed += np.bincount((owner + 1)[crossing], minlength=n + 1)
-    return total, crossed
+def count_by_section(starts: np.ndarray, ends: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and crossing tokens of [no section, section 0, ...]."""
+    owner, crossing = attribute(starts, ends, lo, hi)
+    n = len(lo) + 1
+    return np.bincount(owner + 1, minlength=n), np.bincount((owner + 1)[crossing], minlength=n)
 
 
 @lru_cache(maxsize=2)
@@ -256,9 +261,9 @@ def section_tokens(docs: DataFrame, path: str, text_col: str = "text") -> DataFr
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 cols: list[list[np.ndarray]] = [[], [], [], [], []]
                 sizes = []
-                for text, cut in zip(texts, encoder.pieces(texts), strict=True):
+                for text, (starts, ends) in zip(texts, encoder.encode(texts), strict=True):
                     lo, hi = line_sections(text)
-                    counts, crossed = count_by_section(encoder, cut, lo, hi)
+                    counts, crossed = count_by_section(starts, ends, lo, hi)
                     sizes.append(len(lo) + 1)
                     for c, v in zip(cols, (np.arange(-1, len(lo)), np.append(0, lo), np.append(len(text), hi - lo), counts, crossed), strict=True):
                         c.append(v)
@@ -280,8 +285,8 @@ def attribute_to_spans(docs: DataFrame, spans: DataFrame, path: str) -> DataFram
         out = []
         s = s.sort_values("start")
         for doc_id, text in zip(d["doc_id"], d["text"], strict=True):
-            encoder = offset_encoder(path)
-            counts, crossed = count_by_section(encoder, encoder.pieces([text or ""])[0], s["start"].to_numpy(np.int64), (s["start"] + s["length"]).to_numpy(np.int64))
+            starts, ends = offset_encoder(path).encode([text or ""])[0]
+            counts, crossed = count_by_section(starts, ends, s["start"].to_numpy(np.int64), (s["start"] + s["length"]).to_numpy(np.int64))
             out.append(pd.DataFrame({
                 "doc_id": doc_id, "section_id": [-1, *s["section_id"]],
                 "n_tokens": counts, "n_crossing": crossed,
