@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from visitloom.llm import ann, exact_dedup, licenses, mixing, near_dup, packing, queries, sharding, suffix_dedup, tokens, toxicity
 from visitloom.llm.common import connected_components, number_gapless, table
@@ -177,18 +178,38 @@ def test_section_tokens(spark, small):
 
     t = Tokenizer.from_file(tokens.public_tokenizer_path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
-    docs = table(spark, small, "documents").limit(60).unionByName(awkward(spark).select("doc_id", "text", "lang", "source", "n_chars").filter("doc_id <> 5 or doc_id is null").filter("doc_id > 2"))
-    docs = docs.selectExpr("doc_id + 1000 * (doc_id % 7) as doc_id", "text").dropDuplicates(["doc_id"])
+    docs = table(spark, small, "documents").unionByName(awkward(spark).select("doc_id", "text", "lang", "source", "n_chars").filter("doc_id > 2").withColumn("doc_id", F.col("doc_id") + 100_000))
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     got = defaultdict(dict)
     for r in tokens.op3_section_tokens(spark, docs).collect():
         got[r["doc_id"]][r["section_id"]] = (r["n_tokens"], r["n_crossing"])
     assert set(got) == set(texts)
     for d, text in texts.items():
+        if text.startswith("word word"):  # one line of 30,001 words
+            assert got[d][0][0] == len(t.encode(text, add_special_tokens=False).ids)
+            continue
         counts, crossing = brute_attribution(t, text)
         assert {k: v for k, v in got[d].items() if v[0]} == {k: (n, crossing[k]) for k, n in counts.items()}, text[:200]
 
 
+def test_offsets_are_those_of_whole_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokens.public_tokenizer_path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    rng = np.random.default_rng(6)
+    alphabet = [*"abcXYZ  ,.'\n\t0195é\u00df\u4f60\U0001f600-", "the ", " Word", "  ", "\u00a0", "n't", "<|endoftext|>"]
+    texts = ["".join(rng.choice(alphabet, int(rng.integers(0, 60)))) for _ in range(3000)] + ["x" * 70_000, "", " ", "\n"]
+    for pieces in (1_000_000, 5):
+        monkeypatch.setattr(tokens, "CACHE_PIECES", pieces)
+        encoder = tokens.OffsetEncoder(path)
+        assert encoder.plain_way
+        for at in range(0, len(texts), 500):
+            for text, (starts, ends) in zip(texts[at : at + 500], encoder.encode(texts[at : at + 500]), strict=True):
+                assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == t.encode(text, add_special_tokens=False).offsets, text
+
+
 def test_sections_given_as_spans(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, None), (None, "x")], "doc_id long, text string")
     spans = spark.createDataFrame([(1, 0, 0, 8), (1, 1, 8, 8)], "doc_id long, section_id long, start long, length long")
@@ -209,31 +230,82 @@ def test_licenses(spark):
     assert licenses.op4_licenses(spark, empty(spark)).count() == 0
 
 
+def rewrapped(text, width=37):
+    """The words of a text in other lines, as a comment."""
+    lines, line = [], ""
+    for w in text.split():
+        if len(line) + len(w) > width:
+            lines.append(line)
+            line = ""
+        line += " " + w
+    return "\n".join("#" + x for x in [*lines, line])
+
+
+def test_every_known_text_is_found(spark):
+    """As a document, as a block, behind 200 copyright lines and wrapped anew; with the registry of the module and with a given one."""
+    own = [("Own-1", "text", "Do as you please, but tell nobody. " * 900), ("Own-2", "text", "CC BY\n4.0"), ("Own-3", "line", "x"), ("Own-4", "text", "Copyright notice and holder:\nthe gnu general public licence")]
+    head = "\n".join(f"Copyright (c) {1990 + i % 30} Contributor {i}" for i in range(200))
+    for known in (licenses.known_texts(), own):
+        given = None if known is not own else own
+        rows = []
+        for i, (_, form, body) in enumerate(known):
+            block = re.sub(r"\n\s*\n", "\n", body.strip())
+            rows += [(10 * i, body.upper()), (10 * i + 1, f"Intro.\n\n{block}\n  \nEnd."), (10 * i + 2, f"{head}\n\n{body}\nAll rights reserved."), (10 * i + 4, "no such text at all")]
+            if form == "text":
+                rows.append((10 * i + 3, rewrapped(body)))
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = defaultdict(set)
+        for r in licenses.scan_licenses(docs, given).collect():
+            got[r["doc_id"]].add(r["license"])
+        for i, (name, form, body) in enumerate(known):
+            for k in (0, 1) if body == "All rights reserved." else (0, 1, 2, 3) if form == "text" else (0, 1, 2):
+                if k == 3 and re.search(r"copyright (\(c\)|\[)", body.lower()):  # lines that are notices only while they stand by themselves
+                    continue
+                assert name in got[10 * i + k], (name, k, body[:60])
+            assert not got[10 * i + 4]
+
+
 # --- 5: toxicity ---
 
 
 def test_toxicity_held_out(spark):
+    """Held-out rows of all languages of sf0.1; Spanish has some 22 toxic rows to learn from there."""
     sf = "/root/testdata/sf0.1"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     train, held = labels.filter("doc_id % 3 <> 0"), labels.filter("doc_id % 3 = 0")
     model = toxicity.fit_severity(docs, train)
     assert (np.diff(model.thresholds) > 0).all()
-    # The toxic rows of the other languages hold no word that clean rows lack in these tables.
-    rows = toxicity.score_severity(docs.filter("lang = 'en'"), model).join(held, "doc_id").select("rejected", "toxic", "severity").collect()
-    toxic, clean = [r for r in rows if r["toxic"]], [r for r in rows if not r["toxic"]]
-    assert sum(r["rejected"] for r in toxic) / len(toxic) >= 0.9
-    assert sum(r["rejected"] for r in clean) / len(clean) <= 0.01
+    rows = toxicity.score_severity(docs, model).join(held, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").select("lang", "rejected", "toxic", "severity").collect()
+
+    def rejected(toxic, langs):
+        some = [r["rejected"] for r in rows if r["toxic"] == toxic and r["lang"] in langs]
+        return sum(some) / len(some)
+
+    every = ("en", "de", "fr", "es")
+    print({(lang, t): rejected(t, [lang]) for lang in every for t in (0, 1)}, rejected(1, every), rejected(0, every))
+    assert rejected(1, every) >= 0.88 and rejected(0, every) <= 0.01
+    assert rejected(1, ["en"]) >= 0.92 and min(rejected(1, [lang]) for lang in ("de", "fr")) >= 0.8 and rejected(1, ["es"]) >= 0.7
     assert all(0 <= r["severity"] <= 2 for r in rows)
 
 
 def test_toxicity_awkward(spark):
-    labels = spark.createDataFrame([(1, 1, 0), (5, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(1, 1, 0), (5, 1, 1), (5, 0, 1), (5, 1, 0), (7, None, None)], "doc_id long, quality int, toxic int")
+    assert sorted((r["doc_id"], r["grade"]) for r in toxicity.training_rows(awkward(spark), labels).collect()) == [(1, 0), (5, 2)]
     assert toxicity.op5_toxicity(spark, awkward(spark), labels).count() == 10
     assert toxicity.op5_toxicity(spark, empty(spark), labels).count() == 0
     rows = toxicity.op5_toxicity(spark, awkward(spark), labels.limit(0)).collect()
     assert len(rows) == 10 and not any(r["rejected"] for r in rows)
 
 
+def test_toxic_rows_go_by_their_own_text(spark):
+    model = toxicity.OrdinalModel({"bad": 0}, np.array([5.0]), np.array([2.0, 8.0]))
+    rows = [(1, "good"), (1, "so bad"), (None, "bad"), (None, "fine"), (2, None), (3, "good"), (3, "good")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "array(doc_id) as severity", "true as rejected")
+    kept = toxicity.keep_tolerable(docs, model)
+    assert kept.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(1, "good"), (None, "fine"), (2, None), (3, "good"), (3, "good")])
+
+
 # --- 6: exact dedup ---
 
 
@@ -355,11 +427,35 @@ def test_verify_spans_all_links_and_empty_tiles():
 
 def test_near_duplicates_awkward(spark):
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near_dup.op7_near_duplicates(spark, awkward(spark)).collect()}
-    assert got[1] == (1, 2) and got[2] == (1, 2) and got[None] == (None, 0)
+    assert got[1] == (1, 3) and got[2] == (1, 3) and got[None] == (1, 3)
     assert all(got[d] == (d, 0) for d in (3, 4, 5, 6, 7, 8))
     assert near_dup.op7_near_duplicates(spark, empty(spark)).count() == 0
     kept = near_dup.one_of_each(spark, awkward(spark))
-    assert kept.columns == awkward(spark).columns and kept.count() == 8
+    assert kept.columns == awkward(spark).columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4, 5, 6, 7, 8]
+
+
+def test_near_duplicates_whatever_the_ids(spark):
+    """Several texts under one id and rows without an id: no link is lost, and one row of each group stays."""
+    a = " ".join(f"a{i}" for i in range(100))
+    b, c = a.replace("a50 ", "x50 "), " ".join(f"c{i}" for i in range(100))
+    rows = [(7, a), (7, c), (7, c), (3, b), (None, c.replace("c40 ", "y ")), (None, "alone in the world with this"), (None, "!"), (None, None), (9, c + "!"), (7, "alone in the world")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'r' as rep")
+    for unit in (2000, 2):
+        got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in near_dup.near_duplicates(docs, unit=unit).collect())
+        assert got == Counter([(7, 3, 1), (3, 3, 1), (7, 7, 3), (7, 7, 3), (None, 7, 3), (9, 7, 3), (None, None, 0), (None, None, 0), (None, None, 0), (7, 7, 0)])
+    kept = near_dup.one_of_each(spark, docs)
+    assert kept.columns == docs.columns
+    texts = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert texts == Counter([(3, b), (7, c), (None, rows[5][1]), (None, "!"), (None, None), (7, "alone in the world")])
+
+
+@pytest.mark.parametrize("kwargs", [{"unit": 2}, {"unit_bytes": 4000}, {}])
+def test_near_duplicates_of_one_bucket(spark, kwargs):
+    """Six mutual near copies, in tiles of which some are empty."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(w if i != 60 * k else f"z{k}" for i, w in enumerate(words)) for k in range(1, 7)]
+    rows = near_dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **kwargs).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in rows} == dict.fromkeys(range(6), (0, 5))
 
 
 def test_bands_reach_recall():
@@ -510,7 +606,7 @@ def test_segments_of_long_texts(monkeypatch):
 
 
 def test_shared_passages(spark, medium):
-    """Never missed from 51 words on, never told below 41."""
+    """Never missed from 51 words on, never told below 36."""
 
     def sharing(texts, k):
         owners = defaultdict(set)
@@ -524,7 +620,15 @@ def test_shared_passages(spark, medium):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     base = suffix_dedup.keyed(docs)
     got = {r["doc_id"] for r in suffix_dedup.shared_passages(base).join(base, "key").select("doc_id").collect()}
-    assert sharing(texts, 51) <= got <= sharing(texts, 41) and got
+    assert sharing(texts, 51) <= got <= sharing(texts, 36) and got
+    data = {d: t.encode() for d, t in texts.items()}
+    owners = defaultdict(set)
+    for d, b in data.items():
+        for i in range(len(b) - 399):
+            owners[hash(b[i : i + 400])].add(d)
+    bytewise = set().union(*(o for o in owners.values() if len(o) > 1))
+    told = {r["doc_id"] for r in suffix_dedup.op9_remove_repeats(spark, docs).filter("shares_passage").collect()}
+    assert sharing(texts, 51) | bytewise <= told <= sharing(texts, 36) | bytewise
 
 
 def test_repeats_on_documents(spark, small):
@@ -626,7 +730,17 @@ def test_mix_awkward(spark):
     rows = mixing.op10_mix_sources(spark, awkward(spark)).collect()
     assert len(rows) == 10
     assert mixing.op10_mix_sources(spark, empty(spark)).count() == 0
-    assert mixing.mixed(spark, awkward(spark)).columns == awkward(spark).columns
+    got = mixing.mixed(spark, awkward(spark))
+    assert got.columns == awkward(spark).columns
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, awkward(spark).collect()))
+    assert mixing.mixed(spark, empty(spark)).count() == 0
+
+
+def test_mixed_rows_come_in_slot_order(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "case when id % 10 < 7 then 'hot' else concat('s', id % 10) end as source", "id as slot")
+    slot = {r["doc_id"]: (r["slot"], r["position"]) for r in mixing.mix_sources(docs).collect()}
+    order = [slot[r["doc_id"]] for r in mixing.mixed(spark, docs, slots=20).collect()]
+    assert len(order) == 3000 and order == sorted(order)
 
 
 # --- the pipeline ---
