@@ -47,7 +47,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 @stage
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mixed stream: all of them, as a source leaves it only with its last block."""
+    """The documents in the order of the mixed stream: all of them, as a source leaves it only with its last block."""
     return mixing.mixed(spark, docs)
 
 
