@@ -95,28 +95,40 @@ def date_coverage(c: DataFrame, keys: Sequence[str]) -> DataFrame:
 def pair_previous(current: DataFrame, visits: DataFrame, person: str, code: str, month: str, boundary: bool = True) -> DataFrame:
     """The previous visit of each current visit.
 
-    ``current`` has one row for each person; both sides have (person, code, month) and the date
-    profile columns. Of the visits of an earlier month the latest month's are the candidates; one
-    is taken, several are decided by ``strict_interval_winner``, whose winner must end before the
-    current visit begins (``boundary``). Everything else is excluded with its reason. The latest
-    month comes from a partial aggregate; only its visits are joined again.
+    ``current`` has one row for each person, ``visits`` one for each (person, code); both sides have
+    (person, code, month) and the date profile columns. Of the visits of an earlier month the latest
+    month's are the candidates; one is taken, several are decided by strict date intervals as in
+    ``strict_interval_winner``, whose winner must end before the current visit begins
+    (``boundary``). Everything else is excluded with its reason. The months of a person come from a
+    partial aggregate (no more than there are months), and everything after it keeps the rows
+    where the join by person has put them. ``visits`` is read twice and should be cheap to read.
     """
     cur = current.select(person, F.col(code).alias("current_code"), F.col(month).alias("current_month"), F.col("date_min").alias("__cmin"), F.col("date_median").alias("__cmed"))
-    hist = visits.select(person, F.col(code).alias("code"), F.col(month).alias("month"), "date_min", "date_max", "date_median").dropDuplicates([person, "code"])
-    j = cur.join(hist, person)
-    facts = j.groupBy(person).agg(
-        F.max(F.when(F.col("month") < F.col("current_month"), F.col("month"))).alias("__latest"), F.count_if(F.col("month").isNull() | (F.col("month") >= F.col("current_month"))).alias("__other")
+    hist = visits.select(F.col(person).alias("__p"), F.col(code).alias("code"), F.col(month).alias("month"), "date_min", "date_max", "date_median")
+    seen = hist.groupBy("__p").agg(F.collect_set("month").alias("__months"), F.count_if(F.col("month").isNull()).alias("__unknown"))
+    facts = cur.join(seen, F.col(person) == F.col("__p"), "left").select(
+        *cur.columns, F.array_max(F.filter("__months", lambda m: m < F.col("current_month"))).alias("__latest"),
+        ((F.col("__unknown") > 0) | F.exists("__months", lambda m: m >= F.col("current_month"))).alias("__other"),
+    )
+    # The month is compared without being a join key: the rows stay dealt out by person.
+    tied = hist.join(facts.select(person, "__latest").filter("__latest IS NOT NULL"), (F.col(person) == F.col("__p")) & (F.col("month") - F.col("__latest") == 0)).drop("__p")
+    top = tied.groupBy(person).agg(
+        F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("date_min").isNull()).alias("__undated"), F.max(F.struct("date_max", "date_min", "code", "date_median")).alias("__top")
     )
-    tied = hist.join(facts.filter(F.col("__latest").isNotNull()).select(person, "__latest"), person).filter("month = __latest").drop("__latest")
-    count = tied.groupBy(person).agg(F.count(F.lit(1)).alias("candidates"), F.min("code").alias("__only"))
-    winner = strict_interval_winner(tied.join(count.filter("candidates > 1").select(person), person, "left_semi"), [person], "code")
-    pick = count.join(winner, person, "left").select(person, "candidates", F.when(F.col("candidates") == 1, F.col("__only")).otherwise(F.col("winner")).alias("__pick"))
-    chosen = pick.join(tied.select(F.col(person).alias("__p"), F.col("code").alias("__code"), F.col("date_max").alias("__pmax"), F.col("date_median").alias("__pmed")), (F.col(person) == F.col("__p")) & (F.col("__pick") == F.col("__code")), "left").drop("__p", "__code")
-    all_ = cur.join(facts, person, "left").join(chosen, person, "left")
+    # With every candidate dated the struct's maximum is the last to end, and its code is told again here.
+    next_ = tied.join(top.filter("candidates > 1").select(F.col(person).alias("__p"), F.col("__top.code").alias("__c")), (F.col(person) == F.col("__p")) & (F.col("code") != F.col("__c")))
+    next_ = next_.groupBy(F.col("__p").alias("__q")).agg(F.max("date_max").alias("__next"))
+    chosen = top.join(next_, F.col(person) == F.col("__q"), "left")
+    wins = (F.col("candidates") == 1) | ((F.col("__undated") == 0) & (F.col("__top.date_min") > F.col("__next")))
+    chosen = chosen.select(
+        F.col(person).alias("__p"), "candidates", F.when(wins, F.col("__top.code")).alias("__pick"),
+        F.when(wins, F.col("__top.date_max")).alias("__pmax"), F.when(wins, F.col("__top.date_median")).alias("__pmed"),
+    )
+    all_ = facts.join(chosen, F.col(person) == F.col("__p"), "left").drop("__p")
     late = F.lit(boundary) & ~F.coalesce(F.col("__pmax") < F.col("__cmin"), F.lit(False))
     reason = (
         F.when(F.col("current_month").isNull(), NO_MONTH)
-        .when(F.col("__latest").isNull() & (F.coalesce("__other", F.lit(0)) > 0), NO_EARLIER)
+        .when(F.col("__latest").isNull() & F.coalesce("__other", F.lit(False)), NO_EARLIER)
         .when(F.col("__latest").isNull(), NO_HISTORY)
         .when(F.col("candidates") == 1, ELIGIBLE_UNIQUE)
         .when(F.col("__pick").isNull(), NO_WINNER)

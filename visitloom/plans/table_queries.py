@@ -12,7 +12,7 @@ from visitloom.operators import resolve as V
 from visitloom.operators import tables as R
 from visitloom.operators import temporal as T
 from visitloom.plans.registry import query
-from visitloom.session import table
+from visitloom.session import staged, table
 
 # --- time -------------------------------------------------------------------------------------------
 
@@ -37,7 +37,7 @@ def visits(spark, sf):
 
 
 def paired(spark, sf):
-    v = visits(spark, sf)
+    v = staged(visits(spark, sf), "visits")
     return T.pair_previous(T.current_visits(v, "person", ["month", "code"]), v, "person", "code", "month")
 
 
@@ -81,6 +81,7 @@ t AS (SELECT * FROM g WHERE n > 1)"""
 
 def waves(spark, sf):
     v = visits(spark, sf).withColumn("status", F.when(F.col("date_min") == F.col("date_max"), "exact_date_consensus").otherwise("other"))
+    v = staged(v, "visits")
     many = v.groupBy("person", "month").count().filter("count > 1").select("person", "month")
     return v.join(many, ["person", "month"])
 
@@ -140,11 +141,12 @@ SELECT items, excluded, features > 0 AS retained, count(*) AS pairs, CAST(sum(fe
 """)
 def temporal_exclusions(spark, sf):
     """Sources of the previous visit that are not before the current one, and what is left of each pair."""
-    pairs = paired(spark, sf).filter("status = 'eligible'").select("person", "previous_code")
-    cur = T.current_visits(visits(spark, sf), "person", ["month", "code"]).select("person", F.col("date_min").alias("current_date"))
-    pairs = pairs.join(cur, "person")
+    v = staged(visits(spark, sf), "visits")
+    cur = T.current_visits(v, "person", ["month", "code"])
+    pairs = T.pair_previous(cur, v, "person", "code", "month").filter("status = 'eligible'").select("person", "previous_code")
+    pairs = staged(pairs.join(cur.select("person", F.col("date_min").alias("current_date")), "person"), "pairs")
     li = table(spark, sf, "lineitem").groupBy("l_orderkey", F.col("l_returnflag").alias("source")).agg(F.max(F.to_date("l_shipdate")).alias("previous_date"), F.count(F.lit(1)).alias("n"))
-    content = pairs.join(li, pairs["previous_code"] == li["l_orderkey"]).select("person", "source", "previous_date", "n")
+    content = staged(pairs.join(li, pairs["previous_code"] == li["l_orderkey"]).select("person", "source", "previous_date", "n"), "content")
     acts = T.exclusion_actions(pairs.select("person", "current_date"), content.select("person", "source", "previous_date"), ["person"], "source")
     out = T.apply_exclusions(pairs.select("person"), content.select("person", "source", "n"), acts, ["person"], "source", "n")
     return out.groupBy("items", "excluded", "retained").agg(F.count(F.lit(1)).alias("pairs"), F.sum("features").alias("features"))
@@ -576,7 +578,7 @@ UNION ALL SELECT 'snapshot_all', count(*), round(sum(o_totalprice), 2), NULL FRO
 def scenarios(spark, sf):
     """The three views."""
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("person"), F.col("o_orderkey").alias("code"), "o_totalprice")
-    pairs = paired(spark, sf)
+    pairs = staged(paired(spark, sf), "pairs")
     both = X.longitudinal(o.select("person", "code"), pairs, o, "person", "code", ["o_totalprice"])
     a = both.groupBy("scenario").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("current__o_totalprice"), 2).alias("current_total"), F.round(F.sum("previous__o_totalprice"), 2).alias("previous_total"))
     single = X.snapshot_all(o).unionByName(X.snapshot_matched(o, pairs, "person", "code"))
