@@ -6,6 +6,7 @@ NULL is the only missing value. Where a cell breaks a rule, the function yields
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
@@ -213,6 +214,11 @@ def column_catalog(columns: Iterable[str], pattern: str, without: Iterable[str]
     return [c for c in columns if re.fullmatch(pattern, c, re.IGNORECASE) and c.upper() not in gone]
 
 
+def catalog_hash(names: Iterable[str]) -> str:
+    """SHA-256 of the catalog's names in upper case, one on each line."""
+    return hashlib.sha256("\n".join(n.upper() for n in names).encode()).hexdigest()
+
+
 def drop_columns(df: DataFrame, protected: Iterable[str], exact: Iterable[str] = (), patterns: Iterable[str] = ()) -> DataFrame:
     """Drops names and full pattern matches; a protected column must not be among them."""
     gone = {c for c in df.columns if c in set(exact) or any(re.fullmatch(p, c) for p in patterns)}

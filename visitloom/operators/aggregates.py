@@ -95,8 +95,17 @@ def sets_as_text(df: DataFrame, keys: Sequence[str], item: str, n: str) -> DataF
     return df.groupBy(*keys).agg(F.count_distinct(item).alias("sources"), F.sum(n).alias("total"), F.array_join(F.array_sort(F.collect_set(item)), "|").alias("items"))
 
 
+#: Rows of an ordered table hash.
+MOST_HASHED = 1_000_000
+
+
 def table_hash(df: DataFrame, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """A10: SHA-256 over the rows' canonical lines in order, for report-sized tables: one row."""
+    """A10: SHA-256 over the rows' canonical lines in order: one row, for tables of at most ``MOST_HASHED`` rows, which is checked.
+
+    Such a hash needs all lines in one place; ``table_fingerprint`` has no bound.
+    """
+    if df.limit(MOST_HASHED + 1).count() > MOST_HASHED:
+        raise ValueError(f"more than {MOST_HASHED} rows; take table_fingerprint")
     line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit(S.NULL_MARK)) for c in columns])
     lines = df.select(F.struct(*order, line.alias("__line")).alias("s")).agg(F.array_sort(F.collect_list("s")).alias("a"), F.count(F.lit(1)).alias("rows"))
     return lines.select("rows", F.sha2(F.array_join(F.transform("a", lambda s: s["__line"]), "\n"), 256).alias("digest"))

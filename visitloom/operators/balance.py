@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from visitloom.session import staged
+
 # Shares of the splits, tolerance of the visit share, seed of candidate 0.
 SHARES = {"train": 0.70, "validation": 0.15, "test": 0.15}
 VISIT_TOLERANCE, MASTER_SEED, CANDIDATES, REQUIRED_COUNT = 0.03, 42_000_000, 100_000, 10
@@ -53,21 +55,25 @@ def js_distance(df: DataFrame, category: str, split: str) -> DataFrame:
 def wasserstein(df: DataFrame, value: str, split: str) -> DataFrame:
     """1-D Wasserstein distance between each split's values and all rows', after a z-score with the population deviation.
 
-    Works on counts of different values; the cumulative window runs over them within each split.
-    NULL where the criterion is inactive (fewer than two values or no spread).
+    Works on counts of different values. These are dealt out by ranges of value; cumulative counts
+    run inside a range, and the ranges' totals, one row each, give what lies before it. NULL where
+    the criterion is inactive (fewer than two values or no spread).
     """
     stats = df.agg(F.avg(value).alias("__mean"), F.stddev_pop(value).alias("__sd"), F.count(value).alias("__n"))
     counts = df.filter(F.col(value).isNotNull()).groupBy(split, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     sizes = counts.groupBy(split).agg(F.sum("n").alias("__size"))
-    totals = counts.groupBy("v").agg(F.sum("n").alias("g"))
+    totals = counts.groupBy("v").agg(F.sum("n").alias("g")).repartitionByRange("v").withColumn("__range", F.spark_partition_id())
+    totals = staged(totals, "values")  # the ranges stay what they are
     grid = totals.crossJoin(F.broadcast(sizes))  # a few splits
-    j = grid.join(counts, [split, "v"], "left")
-    w = Window.partitionBy(split).orderBy("v")
-    steps = j.select(
-        split, "v", "__size", F.sum(F.coalesce("n", F.lit(0))).over(w).alias("cn"), F.sum("g").over(w).alias("cg"), (F.lead("v").over(w) - F.col("v")).alias("dv")
-    )
-    joined = steps.crossJoin(stats)  # one row
-    area = F.sum(F.abs(F.col("cn") / F.col("__size") - F.col("cg") / F.col("__n")) * F.col("dv"))
+    j = grid.join(counts, [split, "v"], "left").select(split, "v", "__size", "__range", F.coalesce("n", F.lit(0)).alias("n"), "g")
+    before, all_ = Window.partitionBy(split).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(split).orderBy("__range")
+    ranges = j.groupBy(split, "__range").agg(F.sum("n").alias("tn"), F.sum("g").alias("tg"), F.min("v").alias("lo"))
+    ranges = ranges.select(split, "__range", F.coalesce(F.sum("tn").over(before), F.lit(0)).alias("bn"), F.coalesce(F.sum("tg").over(before), F.lit(0)).alias("bg"), F.lead("lo").over(all_).alias("next"))
+    w = Window.partitionBy(split, "__range").orderBy("v")
+    steps = j.select(split, "v", "__size", "__range", F.sum("n").over(w).alias("cn"), F.sum("g").over(w).alias("cg"), F.lead("v").over(w).alias("then"))
+    joined = steps.join(F.broadcast(ranges), [split, "__range"]).crossJoin(stats)  # a row for each range and split; one row
+    gap = F.coalesce("then", "next") - F.col("v")
+    area = F.sum(F.abs((F.col("cn") + F.col("bn")) / F.col("__size") - (F.col("cg") + F.col("bg")) / F.col("__n")) * gap)
     return joined.groupBy(split).agg(F.when((F.first("__n") >= 2) & (F.first("__sd") > 0), F.coalesce(area, F.lit(0.0)) / F.first("__sd")).alias("distance"))
 
 
@@ -167,6 +173,8 @@ def search_splits(profile: DataFrame, candidates: int = CANDIDATES, first: int =
 
 def split_mapping(profile: DataFrame, seed: int) -> DataFrame:
     """The split of every participant under one seed."""
+    if (n := profile.count()) > MAX_PARTICIPANTS:
+        raise ValueError(f"{n} participants; a permutation of so many is not laid out on the driver")
     ids = [r[0] for r in profile.select("participant").orderBy("participant").collect()]
     sizes = split_sizes(len(ids))
     order = np.random.default_rng(seed).permutation(len(ids))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,6 +91,24 @@ def directive_table(catalog: DataFrame, directives: DataFrame, legacy: DataFrame
     return precedence_lookup(catalog, [directives, legacy], keys, value).withColumn(value, F.coalesce(F.col(value), F.lit(default)))
 
 
+def refine_baseline(rows: DataFrame, person: str, wave: str, day: str, compared: Sequence[str]) -> DataFrame:
+    """One baseline record for each person: of the rows of the earliest known wave (else of the earliest day) those of the
+    earliest day; if they agree in every compared column (a missing cell agrees with all) their common values, else none.
+
+    Columns: person, candidates, status, and the compared columns (NULL when unresolved). Three
+    partial aggregates; no person's rows come together in one task before the last few.
+    """
+    first = rows.groupBy(person).agg(F.min(wave).alias("__w"), F.min(day).alias("__t"))
+    near = F.when(F.col("__w").isNotNull(), F.col(wave) == F.col("__w")).otherwise(F.col(day) == F.col("__t"))
+    at = rows.join(first, person).filter(near).select(person, day, *compared)
+    early = at.groupBy(person).agg(F.min(day).alias("__d"))
+    kept = at.join(early, person).filter(F.col(day) == F.col("__d"))
+    same = [F.coalesce(F.min(c) == F.max(c), F.lit(True)) for c in compared]
+    out = kept.groupBy(person).agg(F.count(F.lit(1)).alias("candidates"), reduce(lambda a, b: a & b, same).alias("__same"), *[F.min(c).alias(c) for c in compared])
+    status = F.when(F.col("candidates") == 1, "earliest_date").when(F.col("__same"), "equivalent").otherwise("unresolved")
+    return out.select(person, "candidates", status.alias("status"), *[F.when(F.col("__same"), F.col(c)).alias(c) for c in compared])
+
+
 def canonical_json(payload) -> str:
     """Sorted keys, no spaces, no NaN."""
     return json.dumps(payload, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)

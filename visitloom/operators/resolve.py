@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from visitloom.functions import scalars as S
 from visitloom.operators.tables import keyed, substantive
+from visitloom.session import staged
 
 # Outcomes of resolution.
 UNIQUE, EQUIVALENT, DOMINANT, UNRESOLVED = "unique_record", "exact_or_equivalent_duplicate", "dominant_record", "unresolved_conflict"
@@ -47,8 +48,12 @@ class Contract:
 
 
 def with_source_row(df: DataFrame) -> DataFrame:
-    """An explicit row number for tables that come without one; ids grow with the file order but are not gapless."""
-    return df if "__source_row" in df.columns else df.withColumn("__source_row", F.monotonically_increasing_id())
+    """An explicit row number for tables that come without one; numbers are not gapless.
+
+    The numbered rows are written once: plans meet on the number from several sides, and a number
+    made anew in each of them could differ after a shuffle or a lost executor.
+    """
+    return df if "__source_row" in df.columns else staged(df.withColumn("__source_row", F.monotonically_increasing_id()), "numbered")
 
 
 def _key(c: str, types: Mapping[str, T.DataType]) -> Column:
@@ -72,7 +77,8 @@ def earliest_wave(df: DataFrame, contract: Contract) -> DataFrame:
 def judge_groups(df: DataFrame, keys: Sequence[str], columns: Sequence[str], unique: Column) -> DataFrame:
     """One row for each key: n, status, and the ``__source_row`` to keep (NULL when unresolved).
 
-    J09 without pairs. The kept row is the covering one with the smallest ``unique`` (W06).
+    J09 without pairs. The kept row is the covering one with the smallest ``unique`` (W06); a key's
+    only row is kept as it is.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     seen = S.observed_count(columns) if columns else F.lit(0)
@@ -82,12 +88,13 @@ def judge_groups(df: DataFrame, keys: Sequence[str], columns: Sequence[str], uni
     stats = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.min("__seen").alias("__least"),
+        F.min("__source_row").alias("__only"),
         (reduce(lambda a, b: a | b, disagree) if disagree else F.lit(False)).alias("__conflict"),
         (reduce(lambda a, b: a + b, any_seen) if any_seen else F.lit(0)).alias("__all"),
     )
     covering = (
         rows.select(*keys, "__seen", "__order", "__source_row")
-        .join(stats.filter("NOT __conflict"), list(keys))
+        .join(stats.filter("n > 1 AND NOT __conflict"), list(keys))
         .filter("__seen = __all")
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("__covering"), F.min(F.struct("__order", "__source_row")).alias("__pick"))
@@ -100,7 +107,7 @@ def judge_groups(df: DataFrame, keys: Sequence[str], columns: Sequence[str], uni
         .when(F.col("__covering") == 1, DOMINANT)
         .otherwise(UNRESOLVED)
     )
-    return judged.select(*keys, "n", status.alias("status"), F.when(status != UNRESOLVED, F.col("__pick.__source_row")).alias("__source_row"))
+    return judged.select(*keys, "n", status.alias("status"), F.when(F.col("n") == 1, F.col("__only")).when(status != UNRESOLVED, F.col("__pick.__source_row")).alias("__source_row"))
 
 
 @dataclass

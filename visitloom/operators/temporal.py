@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from visitloom.operators.features import decision_id
 from visitloom.operators.tables import unsafe_in_time
 
 # Reasons of pairing, date states, and the explicit order of codes at month 0.
@@ -146,6 +147,38 @@ def pair_previous(current: DataFrame, visits: DataFrame, person: str, code: str,
     )
 
 
+def same_wave_audit(candidates: DataFrame, keys: Sequence[str], code: str, order: Sequence[str] = ZERO_ORDER) -> DataFrame:
+    """Every key with what each tie policy decides: strict, consensus, median and explicit_order winner, how many of the
+    dated policies decide, whether any two of them disagree, date coverage and the widest gap between medians.
+    """
+    n = candidates.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("candidates"), F.count("date_min").alias("__d"), F.datediff(F.max("date_median"), F.min("date_median")).alias("widest_gap_days")
+    )
+    out = n.withColumn("coverage", F.when(F.col("__d") == 0, "none_dated").when(F.col("__d") == F.col("candidates"), "all_dated").otherwise("partially_dated")).drop("__d")
+    policies = {
+        "strict": strict_interval_winner(candidates, keys, code), "consensus": by_consensus(candidates, keys, code), "median": by_median(candidates, keys, code),
+        "explicit_order": unique_at_maximum(candidates, keys, code, F.array_position(F.array(*[F.lit(x) for x in order]), F.col(code).cast("string")), F.col(code).cast("string").isin(*order)),
+    }
+    for name, winner in policies.items():
+        out = out.join(winner.withColumnRenamed("winner", name), list(keys), "left")
+    dated = [F.col(c) for c in ("strict", "consensus", "median")]
+    decided = sum((c.isNotNull().cast("int") for c in dated[1:]), dated[0].isNotNull().cast("int"))
+    return out.withColumns({"decided_by": decided, "disagree": F.coalesce(F.greatest(*dated) != F.least(*dated), F.lit(False))})
+
+
+def strict_date_freeze(pairs: DataFrame, policy: Mapping[str, object]) -> tuple[DataFrame, dict]:
+    """The eligible pairs with the id of the policy they were made by, and the lock: policy, its id and the number of pairs."""
+    lock_id = decision_id(dict(policy))
+    frozen = pairs.filter("status = 'eligible'").withColumn("policy_id", F.lit(lock_id))
+    return frozen, {"policy": dict(policy), "policy_id": lock_id}
+
+
+def check_lock(lock: Mapping[str, object], policy: Mapping[str, object]) -> None:
+    """A lock holds only for the very policy it was made with."""
+    if decision_id(dict(policy)) != lock["policy_id"] or lock["policy"] != dict(policy):
+        raise ValueError("the pairs were frozen under another policy")
+
+
 def current_visits(visits: DataFrame, person: str, order: Sequence[str]) -> DataFrame:
     """The last visit of each person, as the largest struct of the order columns: a partial aggregate."""
     cols = visits.columns

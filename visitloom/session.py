@@ -41,22 +41,26 @@ def _own_dir() -> str:
     return "file://" + tempfile.mkdtemp(prefix="visitloom-")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to the folder that driver and executors share (``spark.checkpoint.dir``) and read back.
-
-    For a narrow table that a plan reads several times: what made it runs once, and lost executors
-    cost nothing. Only a local session may go without the setting; it gets a temporary folder.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``). Only a local session may go without the setting; it gets a temporary folder."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = _own_dir()
-    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return shared.rstrip("/")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read back.
+
+    For a narrow table that a plan reads several times, or whose row numbers must stay: what made it
+    runs once, and lost executors cost nothing.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:
