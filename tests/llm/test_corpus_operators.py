@@ -739,8 +739,16 @@ def test_mix_awkward(spark):
 def test_mixed_rows_come_in_slot_order(spark):
     docs = spark.range(3000).selectExpr("id as doc_id", "case when id % 10 < 7 then 'hot' else concat('s', id % 10) end as source", "id as slot")
     slot = {r["doc_id"]: (r["slot"], r["position"]) for r in mixing.mix_sources(docs).collect()}
-    order = [slot[r["doc_id"]] for r in mixing.mixed(spark, docs, slots=20).collect()]
-    assert len(order) == 3000 and order == sorted(order)
+    rows = mixing.mixed(spark, docs, slots=20).withColumn("part", F.spark_partition_id()).collect()
+    parts = defaultdict(list)
+    for r in rows:
+        parts[r["part"]].append(slot[r["doc_id"]])
+    assert len(rows) == 3000 and len(parts) > 2 and all(p == sorted(p) for p in parts.values())
+    whereabouts = defaultdict(set)
+    for k, p in parts.items():
+        for at, _ in p:
+            whereabouts[at // 20].add(k)
+    assert all(len(ks) == 1 for ks in whereabouts.values())  # a run of slots lies in one partition
 
 
 # --- the pipeline ---

@@ -297,10 +297,13 @@ def near_duplicate_rows(docs: DataFrame, words: int = WORDS, threshold: float =
     members = sig.select("doc_id", "key", "digest", "worded").join(classes, "digest", "left")
     members = materialize(members.select("doc_id", "key", "worded", "rep", "first", "first_key", "copies"), "members")
 
+    repeated = not sig.groupBy("doc_id", "key").count().filter("count > 1").isEmpty()
+
     def first_rows(df: DataFrame, of: DataFrame) -> DataFrame:
-        """The first row of each class of ``of``: equal rows, if the table repeats it, give one."""
-        c = of.withColumnRenamed("digest", "__digest")
-        return df.join(c, (df["digest"] == c["__digest"]) & df["doc_id"].eqNullSafe(c["first"]) & (df["key"] == c["first_key"])).dropDuplicates(["rep"])
+        """The first row of each class of ``of``; rows repeated whole, where there are such, give one."""
+        c = of.select("rep", "first", "first_key", "copies")
+        out = df.join(c, (df["key"] == c["first_key"]) & df["doc_id"].eqNullSafe(c["first"]))
+        return out.dropDuplicates(["rep"]) if repeated else out
 
     reps = materialize(first_rows(worded, classes).select("rep", "copies", "bands"), "reps")
     posts = reps.select("rep", F.posexplode("bands").alias("band", "h")).select("rep", "band", F.xxhash64("band", "h").alias("bucket"))

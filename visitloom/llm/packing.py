@@ -25,9 +25,9 @@ from visitloom.llm.tokens import public_tokenizer_path, word_encoder
 BROADCAST_PARTS = 500_000
 
 
-def _encode(path: str, end_id: int):
+def _encode(path: str, end_id: int, pieces: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at = word_encoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, at = word_encoder(path, pieces), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
@@ -45,12 +45,13 @@ def _encode(path: str, end_id: int):
     return run
 
 
-def encode_documents(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, end_id: int = 1, pieces: int = 0) -> DataFrame:
     """Pass one: (doc_id, part, at, doc_tokens, ids), ids as little-endian unsigned 32-bit integers with ``end_id`` last.
 
-    The rows are written, so part and at stay what they are when executors are lost later.
+    The rows are written, so part and at stay what they are when executors are lost later. A smaller
+    cache of ``pieces`` takes less memory and more time.
     """
-    return materialize(only(docs, "doc_id", "text").mapInArrow(_encode(path, end_id), "doc_id long, part int, at long, doc_tokens long, ids binary"), "ids")
+    return materialize(only(docs, "doc_id", "text").mapInArrow(_encode(path, end_id, pieces), "doc_id long, part int, at long, doc_tokens long, ids binary"), "ids")
 
 
 def cut_windows(encoded: DataFrame, window: int = 2048) -> DataFrame:
@@ -79,7 +80,7 @@ def cut_windows(encoded: DataFrame, window: int = 2048) -> DataFrame:
     )
 
 
-def op8_pack(spark: SparkSession, docs: DataFrame, window: int = 2048) -> DataFrame:
+def op8_pack(spark: SparkSession, docs: DataFrame, window: int = 2048, pieces: int = 0) -> DataFrame:
     """All documents packed; null and empty texts are the end id alone, repeated rows are packed as often as they stand there."""
-    pieces = cut_windows(encode_documents(docs, public_tokenizer_path("word_bpe_49k.json")), window)
+    pieces = cut_windows(encode_documents(docs, public_tokenizer_path("word_bpe_49k.json"), pieces=pieces), window)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -55,8 +55,9 @@ def load_tokenizer(path: str):
 class WordEncoder:
     """For tokenizers that drop white space and never cross it: ids as little-endian uint16 or uint32 bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces: int = 0):
         self.tokenizer = load_tokenizer(path)
+        self.most = pieces or CACHE_PIECES
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65536 else np.dtype("<u4")
         self.cache: dict[str, bytes] = {"": b""}
         self.byte_chars = _byte_chars()
@@ -71,7 +72,7 @@ class WordEncoder:
         cache = self.cache
         words = set().union(*(p for p in pieces if p is not None))
         new = words.difference(cache)
-        if len(cache) + len(new) > CACHE_PIECES:
+        if len(cache) + len(new) > self.most:
             cache = self.cache = {w: cache[w] for w in words if w in cache} | {"": b""}
         cache.update(self._encode_new(new))
         out = [b"".join(map(cache.__getitem__, p)) if p is not None else self._ids([t])[0] for p, t in zip(pieces, texts, strict=True)]
@@ -116,9 +117,9 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
-    """The encoder of this Python worker."""
-    return WordEncoder(path)
+def word_encoder(path: str, pieces: int = 0) -> WordEncoder:
+    """The encoder of this Python worker; its cache holds ``pieces`` or ``CACHE_PIECES``."""
+    return WordEncoder(path, pieces)
 
 
 class OffsetEncoder:
