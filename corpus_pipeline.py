@@ -54,7 +54,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 @stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 2048 tokens."""
-    return packing.op8_pack(spark, docs)
+    return packing.op8_pack(spark, docs, pieces=250_000)  # the executors' memory already holds the earlier stages' workers
 
 
 STAGES: list[tuple[str, Stage]] = [
