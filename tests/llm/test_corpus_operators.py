@@ -73,8 +73,11 @@ def test_components(spark):
 # --- 1: nearest neighbours ---
 
 
-def test_nearest_recall(spark, small):
-    df = table(spark, small, "embeddings")
+@pytest.mark.parametrize("data", ["sf0.001", "sf0.1", "check_h"])
+def test_nearest_recall(spark, data):
+    """check_h holds a third of its vectors in one narrow ball."""
+    small = f"/root/testdata/{data}"
+    df = table(spark, small, "embeddings").filter("embedding IS NOT NULL")
     rows = df.collect()
     ids = np.array([r["vec_id"] for r in rows])
     x = np.array([r["embedding"] for r in rows], np.float64)
@@ -94,9 +97,20 @@ def test_nearest_recall(spark, small):
         for v, s in got[q].values():
             assert s == pytest.approx(d[ids == v][0], abs=1e-12)
         hits += len(set(best.tolist()) & {v for v, _ in got[q].values()})
+    print(data, hits / (10 * len(asked)))
     assert hits / (10 * len(asked)) >= 0.9
 
 
+def test_footrule_through_inverted_files():
+    rng = np.random.default_rng(3)
+    lists, asked = (np.array([rng.permutation(30)[:7] for _ in range(n)]) for n in (50, 9))
+    got = ann.footrule_scores(ann.inverted_files(lists, 30), 50, asked)
+    for q, a in zip(asked.tolist(), got, strict=True):
+        for v, s in zip(lists.tolist(), a, strict=True):
+            place = lambda x, p: x.index(p) if p in x else 7
+            assert 7 * 8 - 2 * s == sum(abs(place(q, p) - place(v, p)) for p in {*q, *v})
+
+
 def test_nearest_awkward(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (5, [1.0, 0.0]), (3, [1.0, 0.0]), (7, None), (8, [0.0, 0.0]), (9, [nan, 1.0]), (10, [inf, 1.0]), (11, [None, 1.0]), (12, [0.0, 1.0])]
@@ -104,6 +118,9 @@ def test_nearest_awkward(spark):
     got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.op1_nearest(spark, df).collect())
     assert got == [(0, 1, 3), (0, 2, 5), (0, 3, 100), (0, 4, 12), (100, 1, 0), (100, 2, 3), (100, 3, 5), (100, 4, 12)]
     assert ann.op1_nearest(spark, df.limit(0)).count() == 0
+    mixed = df.union(spark.createDataFrame([(200, [3.0]), (13, [4.0]), (14, [3.5])], "vec_id long, embedding array<float>").selectExpr("*", "1", "2"))
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.op1_nearest(spark, mixed).collect())
+    assert got[-2:] == [(200, 1, 14), (200, 2, 13)] and len(got) == 10
     many = ann.nearest(df, df.filter("vec_id % 100 = 0"), k=2, query_block=1).collect()
     assert sorted((r["query_id"], r["vec_id"]) for r in many) == [(0, 3), (0, 5), (100, 0), (100, 3)]
 
