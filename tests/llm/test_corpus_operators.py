@@ -579,7 +579,7 @@ def repeats_corpus(seed=5):
     return texts
 
 
-@pytest.mark.parametrize("crowd,per_part", [(4096, 20_000), (1, 20_000), (3, 7)])
+@pytest.mark.parametrize("crowd,per_part", [(50_000, 20_000), (1, 20_000), (3, 7)])
 def test_repeats(spark, crowd, per_part):
     texts = repeats_corpus()
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
@@ -589,7 +589,7 @@ def test_repeats(spark, crowd, per_part):
         spans[r["doc_id"]].update(range(r["s"], r["e"]))
     want = brute_repeats(texts)
     assert {d: len(spans[d]) for d in texts} == {d: want[d][1] for d in texts}
-    if crowd == 4096:
+    if crowd == 50_000:
         got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.op9_remove_repeats(spark, docs).collect()}
         assert got == want
 

@@ -367,7 +367,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return only(docs, "doc_id", "text").select("doc_id", as_text("text").alias("text"), text_key().alias("key"))
 
 
-def repeated_spans(docs: DataFrame, crowd: int = 4096, per_part: int = 20_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, crowd: int = 50_000, per_part: int = 20_000) -> DataFrame:
     """Spans (key, s, e, cross) in bytes whose union is what is repeated in the texts of ``docs``, as ``keyed`` gives them; they overlap.
 
     A text that shares ``LENGTH`` bytes with another row has a span with ``cross``.
