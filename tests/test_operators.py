@@ -257,6 +257,48 @@ def test_preprocessor(spark):
     assert x["u"] == 0.0 and x["v__missing"] == 1.0 and x["c=a"] == x["c=b"] == 0.0
 
 
+def moments(x, y):
+    z = np.c_[np.ones(len(x)), x, y]
+    return L.Moments.from_products(z.T @ z, x.shape[1])
+
+
+def nipals(x, y, components):
+    """Brute force: partial least squares by alternating over the rows."""
+    xk, yk = x - x.mean(0), y - y.mean(0)
+    w_all, p_all, q_all = [], [], []
+    for _ in range(components):
+        u = yk[:, 0]
+        for _ in range(2000):
+            w = xk.T @ u
+            w /= np.linalg.norm(w)
+            t = xk @ w
+            q = yk.T @ t / (t @ t)
+            u = yk @ q / (q @ q)
+        p = xk.T @ t / (t @ t)
+        xk, yk = xk - np.outer(t, p), yk - np.outer(t, q)
+        w_all.append(w), p_all.append(p), q_all.append(q)
+    w, p, q = np.array(w_all).T, np.array(p_all).T, np.array(q_all).T
+    coef = w @ np.linalg.solve(p.T @ w, q.T)
+    return coef, y.mean(0) - x.mean(0) @ coef
+
+
+def test_grid_scores_linear_models_as_by_hand(spark):
+    rng = np.random.default_rng(12)
+    x, who = rng.normal(size=(90, 4)), rng.integers(0, 7, 90)
+    y = x @ rng.normal(size=(4, 2)) + rng.normal(size=(90, 2))
+    df = spark.createDataFrame([(a.tolist(), b.tolist(), int(w), i) for i, (a, b, w) in enumerate(zip(x, y, who, strict=True))], "x array<double>, y array<double>, p long, i long")
+    want = [c for c in L.grid() if c["model"] in L.LINEAR or c.get("k") == 5]
+    got = {r["configuration_id"]: r for r in L.run_grid(df.filter("i < 60"), df.filter("i >= 60"), "x", "y", "p", want).collect()}
+    assert set(got) == {c["configuration_id"] for c in want}
+    m, medians = moments(x[:60], y[:60]), np.median(y[:60], axis=0)
+    for c, (w, b, _) in zip([c for c in want if c["model"] in L.LINEAR], L._fit_linear([c for c in want if c["model"] in L.LINEAR], m, medians), strict=True):
+        e = x[60:] @ w + b - y[60:]
+        g = pd.DataFrame({"w": who[60:], "s": (e**2).mean(1), "a": np.abs(e).mean(1)}).groupby("w").mean()
+        assert got[c["configuration_id"]]["participant_macro_rmse"] == pytest.approx(np.sqrt(g["s"]).mean())
+        assert got[c["configuration_id"]]["participant_macro_mae"] == pytest.approx(g["a"].mean())
+    assert L.run_grid(df, df, "x", "y", "p", want, done=list(got)).count() == 0
+
+
 def test_ridge_pca_pls_against_numpy(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(200, 6))
@@ -269,18 +311,24 @@ def test_ridge_pca_pls_against_numpy(spark):
     pca = L.PCA.fit(df, "y")
     s = np.linalg.svd(yc, compute_uv=False) ** 2
     assert np.allclose(pca.ratio, (s / s.sum())[: len(pca.ratio)]) and pca.ratio.sum() >= 0.9 > pca.ratio[:-1].sum()
-    full, c = L.pls_fit(x, y, 6)
+    m = L.Moments.of(df, "x", "y", 6)
+    fits = L.pls_fit(m, 6)
+    for k, (coef, at) in enumerate(fits, 1):
+        want_coef, want_at = nipals(x, y, k)
+        assert np.allclose(coef, want_coef, atol=1e-4) and np.allclose(at, want_at, atol=1e-4)
+    full, c = fits[-1]
     assert np.allclose(x @ full + c, x @ np.linalg.lstsq(np.c_[x, np.ones(200)], y, rcond=None)[0][:6] + (y - x @ np.linalg.lstsq(np.c_[x, np.ones(200)], y, rcond=None)[0][:6]).mean(0), atol=1e-6)
 
 
 def test_elastic_net_conditions():
     rng = np.random.default_rng(1)
     x, y = rng.normal(size=(80, 5)), rng.normal(size=(80, 2))
-    base = L.elastic_net_base(x, y)
-    w, _, _ = L.elastic_net_fit(x, y, base * 1.01, 1.0)
+    m = moments(x, y)
+    base = L.elastic_net_base(m)
+    w, _, _ = L.elastic_net_fit(m, base * 1.01, 1.0)
     assert not w.any()
     alpha = base * 0.3
-    w, b, _ = L.elastic_net_fit(x, y, alpha, 0.5, tol=1e-10)
+    w, b, _ = L.elastic_net_fit(m, alpha, 0.5, tol=1e-10)
     r = y - x @ w - b
     g = (x - x.mean(0)).T @ r / len(x) - alpha * 0.5 * w
     for j in range(5):  # stationarity

@@ -1,7 +1,9 @@
 """Targets and models: PCA by variance, baselines, ridge, PLS, k-NN, extra trees, multi-task elastic net, the grid.
 
-Data sums (Gram matrices, medians) are Spark aggregates. A trial of an iterative model is one task
-over a training table of checked size, trials being the rows that are distributed.
+Data sums (Gram matrices, medians) are Spark aggregates, and ridge, PLS and elastic net are solved from
+them: after one pass over the training rows only matrices of columns are left. Their validation
+errors are one aggregate over the validation rows. Trials of k-NN and of extra trees are one task
+each over a training table of checked size, trials being the rows that are distributed.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ import resource
 import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -109,18 +112,39 @@ def median_baseline(train: DataFrame, y: str, n: int) -> np.ndarray:
     return np.array(list(row))
 
 
+@dataclass
+class Moments:
+    """Row count, means and centred cross products of two array columns: all that the linear models need of the training rows."""
+
+    n: float
+    mx: np.ndarray
+    my: np.ndarray
+    sxx: np.ndarray
+    sxy: np.ndarray
+
+    @classmethod
+    def of(cls, df: DataFrame, x: str, y: str, width: int) -> Moments:
+        g = gram(df, x, y)
+        return cls.from_products(g["all"], width)
+
+    @classmethod
+    def from_products(cls, a: np.ndarray, width: int) -> Moments:
+        """From the cross products of (1, x, y)."""
+        n = a[0, 0]
+        mx, my = a[0, 1 : 1 + width] / n, a[0, 1 + width :] / n
+        return cls(n, mx, my, a[1 : 1 + width, 1 : 1 + width] - n * np.outer(mx, mx), a[1 : 1 + width, 1 + width :] - n * np.outer(mx, my))
+
+
+def ridge_fit(m: Moments, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients and intercept."""
+    w = np.linalg.solve(m.sxx + alpha * np.eye(len(m.mx)), m.sxy)
+    return w, m.my - m.mx @ w
+
+
 def ridge(train: DataFrame, x: str, y: str, width: int, alphas: Sequence[float]) -> dict[float, tuple[np.ndarray, np.ndarray]]:
     """Coefficients and intercept for each alpha from one pass of normal equations."""
-    g = gram(train, x, y)
-    a, n = g["all"], g["n"]
-    mx, my = a[0, 1 : 1 + width] / n, a[0, 1 + width :] / n
-    sxx = a[1 : 1 + width, 1 : 1 + width] - n * np.outer(mx, mx)
-    sxy = a[1 : 1 + width, 1 + width :] - n * np.outer(mx, my)
-    out = {}
-    for alpha in alphas:
-        w = np.linalg.solve(sxx + alpha * np.eye(width), sxy)
-        out[alpha] = (w, my - mx @ w)
-    return out
+    m = Moments.of(train, x, y, width)
+    return {alpha: ridge_fit(m, alpha) for alpha in alphas}
 
 
 def knn_regress(train: DataFrame, queries: DataFrame, key: str, x: str, y: str, k: int, weights: str = "uniform", block: int = 2000) -> DataFrame:
@@ -163,74 +187,60 @@ def knn_regress(train: DataFrame, queries: DataFrame, key: str, x: str, y: str,
     return zero.select(key, F.when(F.col("z") > 0, F.col("exact")).otherwise(F.col("near")).alias("prediction"))
 
 
-# --- iterative models: NumPy in one task for each trial ---
-
-
-def pls_fit(x: np.ndarray, y: np.ndarray, components: int, tol: float = 1e-6, max_iter: int = 500) -> tuple[np.ndarray, np.ndarray]:
-    """NIPALS without scaling: coefficients and intercept."""
-    mx, my = x.mean(0), y.mean(0)
-    xk, yk = x - mx, y - my
-    w_all, p_all, q_all = [], [], []
-    for _ in range(min(components, x.shape[1], len(x))):
-        u = yk[:, np.argmax((yk**2).sum(0))]
-        w_old = None
-        for _ in range(max_iter):
-            w = xk.T @ u
-            norm = np.linalg.norm(w)
-            if norm < 1e-14:
-                break
-            w = w / norm
-            t = xk @ w
-            q = yk.T @ t / (t @ t)
-            u = yk @ q / max(q @ q, 1e-300)
-            if w_old is not None and ((w - w_old) ** 2).sum() < tol**2 or y.shape[1] == 1:
-                break
-            w_old = w
-        if norm < 1e-14:
+# --- iterative models from the same sums ---
+
+
+def pls_fit(m: Moments, components: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """M10 without scaling: coefficients and intercept for 1, 2, ... components (fewer, once nothing is left to explain).
+
+    Each weight vector is the leading left singular vector of what is left of the cross products,
+    which the alternating iteration over rows converges to; deflation needs the cross products alone.
+    """
+    left = m.sxy.copy()
+    r_all, p_all, q_all, out = [], [], [], []
+    first = np.linalg.norm(left)
+    for _ in range(min(components, len(m.mx), int(m.n) - 1)):
+        if np.linalg.norm(left) <= 1e-12 * first:
+            break
+        w = np.linalg.svd(left, full_matrices=False)[0][:, 0]
+        r = w - sum(((p @ w) * r for p, r in zip(p_all, r_all, strict=True)), np.zeros_like(w))
+        tt = r @ m.sxx @ r
+        if tt <= 1e-12 * max(1.0, np.trace(m.sxx)) / len(w):
             break
-        t = xk @ w
-        p, q = xk.T @ t / (t @ t), yk.T @ t / (t @ t)
-        xk, yk = xk - np.outer(t, p), yk - np.outer(t, q)
-        w_all.append(w)
-        p_all.append(p)
-        q_all.append(q)
-    if not w_all:
-        return np.zeros((x.shape[1], y.shape[1])), my
-    w, p, q = np.array(w_all).T, np.array(p_all).T, np.array(q_all).T
-    coef = w @ np.linalg.solve(p.T @ w, q.T)
-    return coef, my - mx @ coef
-
-
-def elastic_net_base(x: np.ndarray, y: np.ndarray) -> float:
+        p, q = m.sxx @ r / tt, left.T @ r / tt
+        left = left - np.outer(p, q) * tt
+        for held, v in ((r_all, r), (p_all, p), (q_all, q)):
+            held.append(v)
+        coef = np.array(r_all).T @ np.array(q_all)
+        out.append((coef, m.my - m.mx @ coef))
+    return out
+
+
+def elastic_net_base(m: Moments) -> float:
     """The penalty scale of the train rows."""
-    c = (x - x.mean(0)).T @ (y - y.mean(0))
-    return float(np.linalg.norm(c, axis=1).max() / len(x))
+    return float(np.linalg.norm(m.sxy, axis=1).max() / m.n)
 
 
-def elastic_net_fit(x: np.ndarray, y: np.ndarray, alpha: float, l1_ratio: float, w: np.ndarray | None = None, max_iter: int = 5000, tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray, int]:
+def elastic_net_fit(m: Moments, alpha: float, l1_ratio: float, w: np.ndarray | None = None, max_iter: int = 5000, tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray, int]:
     """Cyclic block coordinate descent on the squared loss with L2,1 and L2 penalties; ``w`` starts warm."""
-    mx, my = x.mean(0), y.mean(0)
-    xc, n = x - mx, len(x)
-    w = np.zeros((x.shape[1], y.shape[1])) if w is None else w.copy()
-    r = (y - my) - xc @ w
-    norms = (xc**2).sum(0)
-    l1, l2 = alpha * l1_ratio * n, alpha * (1 - l1_ratio) * n
+    w = np.zeros_like(m.sxy) if w is None else w.copy()
+    rest = m.sxy - m.sxx @ w  # cross products of x with the residuals
+    norms = np.diag(m.sxx)
+    l1, l2 = alpha * l1_ratio * m.n, alpha * (1 - l1_ratio) * m.n
     for it in range(1, max_iter + 1):
         shift = size = 0.0
-        for j in range(x.shape[1]):
-            if norms[j] == 0:
-                continue
+        for j in np.flatnonzero(norms > 0):
             old = w[j].copy()
-            z = xc[:, j] @ r + norms[j] * old
+            z = rest[j] + norms[j] * old
             nz = np.linalg.norm(z)
             new = z * max(0.0, 1 - l1 / nz) / (norms[j] + l2) if nz > 0 else z * 0
             if (new != old).any():
-                r += np.outer(xc[:, j], old - new)
+                rest -= np.outer(m.sxx[:, j], new - old)
                 w[j] = new
             shift, size = max(shift, np.abs(new - old).max()), max(size, np.abs(new).max())
         if size == 0 or shift / size < tol:
             break
-    return w, my - mx @ w, it
+    return w, m.my - m.mx @ w, it
 
 
 class _Tree:
@@ -342,68 +352,113 @@ def grid() -> list[dict]:
     return [{"configuration_order": i, "configuration_id": decision_id(c, 16), **c} for i, c in enumerate(out)]
 
 
-def _predict(c: dict, x: np.ndarray, y: np.ndarray, xv: np.ndarray, warm: dict) -> tuple[np.ndarray, bool, int]:
-    m = c["model"]
-    if m == "mean":
-        return np.tile(y.mean(0), (len(xv), 1)), True, 0
-    if m == "median":
-        return np.tile(np.median(y, axis=0), (len(xv), 1)), True, 0
-    if m == "ridge":
-        mx, my = x.mean(0), y.mean(0)
-        w = np.linalg.solve((x - mx).T @ (x - mx) + c["alpha"] * np.eye(x.shape[1]), (x - mx).T @ (y - my))
-        return xv @ w + my - mx @ w, True, 1
-    if m == "pls":
-        w, b = pls_fit(x, y, int(c["n_components"]))
-        return xv @ w + b, True, int(c["n_components"])
-    if m == "multitask_elastic_net":
-        w, b, it = elastic_net_fit(x, y, elastic_net_base(x, y) * c["alpha_fraction"] / c["l1_ratio"], c["l1_ratio"], warm.get(c["l1_ratio"]), EN_ITERATIONS, EN_TOLERANCE)
-        warm[c["l1_ratio"]] = w
-        return xv @ w + b, it < EN_ITERATIONS, it
-    if m == "extra_trees":
-        return extra_trees(x, y, xv, FOREST_SEEDS, int(c["trees"]), int(c["depth"]), int(c["leaf"]), c["features"])[0], True, 0
+LINEAR = ("mean", "median", "ridge", "pls", "multitask_elastic_net")
+
+
+def _fit_linear(configurations: Sequence[dict], m: Moments, medians: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray, dict]]:
+    """Coefficients, intercept and record of each configuration; an elastic-net chain starts warm from the stronger penalty."""
+    out, warm, components = [], {}, []
+    zero = np.zeros_like(m.sxy)
+    for c in configurations:
+        with PeakMemory() as memory:
+            start, converged, iterations = time.perf_counter(), True, 0
+            if c["model"] in ("mean", "median"):
+                w, b = zero, m.my if c["model"] == "mean" else medians
+            elif c["model"] == "ridge":
+                (w, b), iterations = ridge_fit(m, c["alpha"]), 1
+            elif c["model"] == "pls":
+                iterations = int(c["n_components"])
+                if len(components) < iterations:
+                    components = pls_fit(m, iterations)
+                w, b = components[min(iterations, len(components)) - 1] if components else (zero, m.my)
+            else:
+                alpha = elastic_net_base(m) * c["alpha_fraction"] / c["l1_ratio"]
+                w, b, iterations = elastic_net_fit(m, alpha, c["l1_ratio"], warm.get(c["l1_ratio"]), EN_ITERATIONS, EN_TOLERANCE)
+                warm[c["l1_ratio"]], converged = w, iterations < EN_ITERATIONS
+            seconds = time.perf_counter() - start
+        out.append((w, b, {"converged": converged, "iterations": iterations, "seconds": seconds, "peak_mb": memory.peak_mb}))
+    return out
+
+
+def _score_linear(validation: DataFrame, x: str, y: str, participant: str, fits: Sequence[tuple[np.ndarray, np.ndarray]], pca: PCA | None) -> DataFrame:
+    """(i, participant_macro_rmse, participant_macro_mae) of each fit, by sums over the validation rows of each participant."""
+    shared = validation.sparkSession.sparkContext.broadcast((list(fits), pca))  # columns by targets by trials
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models, p = shared.value
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            xv, yv = _matrix(pdf[x]), _matrix(pdf[y])
+            for i, (w, b) in enumerate(models):
+                pred = xv @ w + b
+                e = (p.inverse(pred) if p is not None else pred) - yv
+                sums = pd.DataFrame({"who": pdf[participant], "s": (e**2).mean(1), "a": np.abs(e).mean(1), "n": 1}).groupby("who", as_index=False).sum()
+                yield sums.assign(i=i)[["i", "who", "s", "a", "n"]]
+
+    sums = validation.select(x, y, F.col(participant).cast("string").alias(participant)).mapInPandas(run, "i int, who string, s double, a double, n long")
+    per = sums.groupBy("i", "who").agg(F.sqrt(F.sum("s") / F.sum("n")).alias("rmse"), (F.sum("a") / F.sum("n")).alias("mae"))
+    return per.groupBy("i").agg(F.avg("rmse").alias("participant_macro_rmse"), F.avg("mae").alias("participant_macro_mae"))
+
+
+def _predict(c: dict, x: np.ndarray, y: np.ndarray, xv: np.ndarray) -> np.ndarray:
+    if c["model"] == "extra_trees":
+        return extra_trees(x, y, xv, FOREST_SEEDS, int(c["trees"]), int(c["depth"]), int(c["leaf"]), c["features"])[0]
     k = min(int(c["k"]), len(x))
     d = np.sqrt(np.maximum((xv**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * xv @ x.T, 0))
     ix = np.argsort(d, axis=1, kind="stable")[:, :k]
     near = np.take_along_axis(d, ix, 1)
     w = np.ones_like(near) if c["weights"] == "uniform" else np.where((near == 0).any(1, keepdims=True), near == 0, 1 / np.maximum(near, 1e-300))
-    return np.einsum("ij,ijk->ik", w / w.sum(1, keepdims=True), y[ix]), True, 0
+    return np.einsum("ij,ijk->ik", w / w.sum(1, keepdims=True), y[ix])
+
+
+TRIALS = "configuration_order int, configuration_id string, model string, participant_macro_rmse double, participant_macro_mae double, converged boolean, iterations int, seconds double, peak_mb double"
 
 
 def run_grid(train: DataFrame, validation: DataFrame, x: str, y: str, participant: str, configurations: Sequence[dict], done: Sequence[str] = (), pca: PCA | None = None) -> DataFrame:
     """One row of metrics for each trial that is not in ``done`` (S13 resumes this way).
 
-    Trials are rows; an elastic-net chain, which starts warm from the stronger penalty, is one task.
-    The training table is broadcast once its size is checked. With ``pca``, models learn the scores
-    and their predictions are brought back before any metric (M07).
+    Linear models of all configurations come from one pass over the training rows and are scored in
+    one pass over the validation rows, both of any size. k-NN and extra trees are rows of trials,
+    one task each, over broadcast tables of checked size. With ``pca``, models learn the scores and
+    their predictions are brought back before any metric (M07).
     """
     spark = train.sparkSession
+    todo = [c for c in configurations if c["configuration_id"] not in set(done)]
+    head = lambda c: {k: c[k] for k in ("configuration_order", "configuration_id", "model")}
+    linear, other = [c for c in todo if c["model"] in LINEAR], [c for c in todo if c["model"] not in LINEAR]
+    out = spark.createDataFrame([], TRIALS)
+    names = [f.split()[0] for f in TRIALS.split(", ")]
+    if linear:
+        t = train.select(x, y) if pca is None else map_array(train.select(x, y), y, pca.transform, "__z").select(x, F.col("__z").alias(y))
+        first = t.first()
+        medians = median_baseline(t, y, len(first[y])) if any(c["model"] == "median" for c in linear) else None
+        fits = _fit_linear(linear, Moments.of(t, x, y, len(first[x])), medians)
+        records = spark.createDataFrame(pd.DataFrame([{"i": i, **head(c), **r} for i, (c, (_, _, r)) in enumerate(zip(linear, fits, strict=True))]))
+        scores = _score_linear(validation, x, y, participant, [(w, b) for w, b, _ in fits], pca)
+        joined = F.broadcast(records).join(scores, "i")  # a row for each trial
+        out = out.union(joined.select(*[F.col(n).cast(f.dataType).alias(n) for n, f in zip(names, out.schema.fields, strict=True)]))
+    if not other:
+        return out
     t, v = train.select(x, y), validation.select(x, y, participant)
-    n = t.count()
     width = len(t.first()[x]) + len(t.first()[y])
-    if n * width > MAX_VALUES:
-        raise ValueError("the training table is too large for one trial task; fit ridge and k-NN by their distributed forms")
+    if (t.count() + v.count()) * width > MAX_VALUES:
+        raise ValueError("the tables are too large for one trial task; fit k-NN by its distributed form")
     tp, vp = t.toPandas(), v.toPandas()
     shared = spark.sparkContext.broadcast((_matrix(tp[x]), _matrix(tp[y]), _matrix(vp[x]), _matrix(vp[y]), vp[participant].to_numpy(), pca))
-    todo = [c for c in configurations if c["configuration_id"] not in set(done)]
-    plan = pd.DataFrame({"chain": [f"en{c['l1_ratio']}" if c["model"] == "multitask_elastic_net" else c["configuration_id"] for c in todo], "i": range(len(todo))})
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         xt, yt, xv, yv, who, p = shared.value
-        target = p.transform(yt) if p is not None else yt
-        warm, rows = {}, []
-        for i in sorted(pdf["i"]):
-            c = todo[i]
+        target, rows = p.transform(yt) if p is not None else yt, []
+        for i in pdf["i"]:
             with PeakMemory() as memory:
                 start = time.perf_counter()
-                pred, converged, iterations = _predict(c, xt, target, xv, warm)
+                pred = _predict(other[i], xt, target, xv)
                 seconds = time.perf_counter() - start
-            pred = p.inverse(pred) if p is not None else pred
-            e = pred - yv
+            e = (p.inverse(pred) if p is not None else pred) - yv
             g = pd.DataFrame({"w": who, "s": (e**2).mean(1), "a": np.abs(e).mean(1)}).groupby("w").mean()
-            rows.append({"configuration_order": c["configuration_order"], "configuration_id": c["configuration_id"], "model": c["model"], "participant_macro_rmse": float(np.sqrt(g["s"]).mean()), "participant_macro_mae": float(g["a"].mean()), "converged": converged, "iterations": iterations, "seconds": seconds, "peak_mb": memory.peak_mb})
-        return pd.DataFrame(rows)
+            rows.append({**head(other[i]), "participant_macro_rmse": float(np.sqrt(g["s"]).mean()), "participant_macro_mae": float(g["a"].mean()), "converged": True, "iterations": 0, "seconds": seconds, "peak_mb": memory.peak_mb})
+        return pd.DataFrame(rows)[names]
 
-    schema = "configuration_order int, configuration_id string, model string, participant_macro_rmse double, participant_macro_mae double, converged boolean, iterations int, seconds double, peak_mb double"
-    if not todo:
-        return spark.createDataFrame([], schema)
-    return spark.createDataFrame(plan).groupBy("chain").applyInPandas(run, schema)
+    plan = spark.createDataFrame(pd.DataFrame({"i": range(len(other))})).withColumn("k", F.col("i"))
+    return out.union(plan.groupBy("k").applyInPandas(run, TRIALS))

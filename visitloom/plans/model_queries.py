@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from visitloom.operators import balance as B
+from visitloom.operators import features as X
 from visitloom.operators import metrics as M
 from visitloom.operators import models as L
 from visitloom.operators import preprocess as P
@@ -150,13 +151,18 @@ def ridge(spark, sf):
     return out
 
 
+def small_forest() -> dict:
+    """A configuration of its own beside the declared ones: five trees, one seed's worth of work for a query."""
+    c = {"model": "extra_trees", "trees": 5, "depth": 16, "features": "sqrt", "leaf": 3}
+    return {"configuration_order": 100, "configuration_id": X.decision_id(c, 16), **c}
+
+
 @query()
 def model_grid(spark, sf):
-    """A part of the declared grid on vectors, and the best trial of each model."""
+    """The declared grid on vectors, its three forests (hours in Python) replaced by one small one under an id of its own; the best trial of each model."""
     _, train, rest = _vectors(spark, sf)
     one = lambda d: d.select("x", F.array("y", F.col("x")[0] * 3 + F.col("x")[1]).alias("y"), (F.col("vec_id") % 50).cast("string").alias("participant"))
-    keep = lambda c: c["model"] in ("mean", "median", "ridge") or c.get("n_components") in (2, 5) or c.get("alpha_fraction") in (0.3, 0.1) or c.get("k") in (5, 20)
-    want = [c for c in L.grid() if keep(c)] + [{**c, "trees": 5} for c in L.grid() if c.get("features") == "sqrt"]
+    want = [c for c in L.grid() if c["model"] != "extra_trees"] + [small_forest()]
     trials = L.run_grid(one(train), one(rest), "x", "y", "participant", want)
     cols = ["configuration_order", "configuration_id", "model", "participant_macro_rmse", "participant_macro_mae", "converged"]
     return R.best_configurations(trials.select(*cols), ["model"], ["participant_macro_rmse", "participant_macro_mae", "configuration_order"], "converged", "configuration_order")
@@ -187,9 +193,8 @@ def split_sizes(spark, sf):
 
 @query()
 def pls(spark, sf):
-    """NIPALS in one task over a table of checked size."""
+    """Every declared number of components, from one pass of cross products."""
     _, train, rest = _vectors(spark, sf)
-    want = [c for c in L.grid() if c["model"] == "pls" and c["n_components"] <= 10]
+    want = [c for c in L.grid() if c["model"] == "pls"]
     one = lambda d: d.select("x", F.array("y").alias("y"), (F.col("vec_id") % 50).cast("string").alias("participant"))
     return L.run_grid(one(train), one(rest), "x", "y", "participant", want).select("configuration_id", "model", "participant_macro_rmse", "converged")
-
