@@ -14,6 +14,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -157,9 +158,12 @@ class OffsetEncoder:
                 spans = self._spans([text])[0]
             else:
                 packed = list(map(self.cache.__getitem__, pieces))
-                size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-                tokens = np.fromiter(map(len, packed), np.int64, len(pieces)) // 4
-                spans = np.frombuffer(b"".join(packed), "<u2").reshape(-1, 2) + np.repeat(np.cumsum(size) - size, tokens)[:, None]
+                size = np.fromiter(map(len, pieces), np.int32, len(pieces))
+                tokens = np.fromiter(map(len, packed), np.int32, len(pieces)) >> 2
+                begin = np.repeat(np.cumsum(size, dtype=np.int32) - size, tokens)
+                flat = np.frombuffer(b"".join(packed), "<u2")
+                out.append((flat[0::2] + begin, flat[1::2] + begin))
+                continue
             out.append((spans[:, 0], spans[:, 1]))
         for w in new:
             if len(w) > CACHED_CHARS:
@@ -175,19 +179,21 @@ class OffsetEncoder:
             if m is None:
                 rest.append(w)
                 continue
-            word = m.group(1)
-            sizes = [len(t.value) for t in tokenize("\u0120" + word if space else word)]
-            if space and sizes[0] == 1:
+            tokens = [t.value for t in tokenize("\u0120" + m.group(1) if space else m.group(1))]
+            if space and len(tokens[0]) == 1:
                 rest.append(w)
                 continue
-            ends = np.cumsum(sizes)
-            spans = np.stack([ends - sizes, ends], 1)
-            spans[0, 0] = self.skip * space
+            flat, at = [], 0
+            for t in tokens:
+                flat += (at, at := at + len(t))
+            flat[0] = self.skip * space
             if m.group(2):
-                spans = np.append(spans, [[len(w) - 1, len(w)]], 0)
-            out[w] = self._packed(spans)
+                flat += (at, at + 1)
+            out[w] = array("H", flat).tobytes()
         for i in range(0, len(rest), 4096):
-            out.update(zip(rest[i : i + 4096], map(self._packed, self._spans(rest[i : i + 4096])), strict=True))
+            some = rest[i : i + 4096]
+            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+                out[w] = array("H", chain.from_iterable(e.offsets)).tobytes()
         return out
 
 
@@ -198,10 +204,22 @@ def _byte_chars() -> dict[int, int]:
 
 
 def count_by_section(starts: np.ndarray, ends: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and crossing tokens of [no section, section 0, ...]."""
-    owner, crossing = attribute(starts, ends, lo, hi)
-    n = len(lo) + 1
-    return np.bincount(owner + 1, minlength=n), np.bincount((owner + 1)[crossing], minlength=n)
+    """Tokens and crossing tokens of [no section, section 0, ...]: an interval join of two ascending lists.
+
+    The tokens that lie within a section are one run of the list, found by its ends; those between
+    the runs are attributed one by one.
+    """
+    n = len(lo)
+    ends = np.maximum(ends, starts + 1)
+    first = np.searchsorted(starts, lo, side="left")
+    last = np.maximum(np.searchsorted(ends, hi, side="right"), first)
+    gap_lo, gap_hi = np.append(0, last), np.append(first, len(starts))
+    size = gap_hi - gap_lo
+    between = np.repeat(gap_lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    owner, crossing = attribute(starts[between].astype(np.int64), ends[between].astype(np.int64), lo, hi)
+    total = np.bincount(owner + 1, minlength=n + 1)
+    total[1:] += last - first
+    return total, np.bincount((owner + 1)[crossing], minlength=n + 1)
 
 
 @lru_cache(maxsize=2)
