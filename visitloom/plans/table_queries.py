@@ -480,11 +480,11 @@ def support_counts(spark, sf):
     return A.support_counts(long_lines(spark, sf), ["feature"], "value", "p", "split")
 
 
-@query(f"WITH {LONG_SQL} SELECT a.feature, cells, missing_cells, missing_share, coalesce(unknown_cells, 0) AS unknown_cells FROM (SELECT feature, count(*) AS cells, count(*) - count(value) AS missing_cells, round((count(*) - count(value)) / count(*), 6) AS missing_share FROM l GROUP BY 1) a LEFT JOIN (SELECT feature, count(*) AS unknown_cells FROM l v WHERE split = 'validation' AND value IS NOT NULL AND NOT EXISTS (SELECT 1 FROM l t WHERE t.split = 'train' AND t.feature = v.feature AND t.value = v.value AND t.p < 50) GROUP BY 1) b ON a.feature = b.feature")
+@query(f"WITH {LONG_SQL} SELECT a.feature, cells, missing_cells, missing_share, coalesce(unknown_cells, 0) AS unknown_cells FROM (SELECT feature, count(*) AS cells, count(*) - count(value) AS missing_cells, round((count(*) - count(value)) / count(*), 6) AS missing_share FROM l GROUP BY 1) a LEFT JOIN (SELECT feature, count(*) AS unknown_cells FROM l v WHERE split = 'validation' AND value IS NOT NULL AND NOT EXISTS (SELECT 1 FROM l t WHERE t.split = 'train' AND t.feature = v.feature AND t.value = v.value) GROUP BY 1) b ON a.feature = b.feature")
 def missingness_and_unknown(spark, sf):
-    """The vocabulary is that of some train participants."""
+    """The vocabulary is that of the train participants."""
     long = long_lines(spark, sf)
-    u = A.unknown_values(long.filter("split = 'train' AND p < 50"), long.filter("split = 'validation'"), "feature", "value").select("feature", "unknown_cells")
+    u = A.unknown_values(long.filter("split = 'train'"), long.filter("split = 'validation'"), "feature", "value").select("feature", "unknown_cells")
     m = A.missingness(long, ["feature"], "value").withColumn("missing_share", F.round("missing_share", 6))
     return m.join(u, "feature", "left").withColumn("unknown_cells", F.coalesce("unknown_cells", F.lit(0)))
 
