@@ -791,3 +791,34 @@ def test_pipeline_stages(spark, medium):
     assert not degree
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, medium)
     assert pieces.select("doc_id").distinct().count() == counts[4]
+
+
+@pytest.mark.parametrize("rows", ["awkward", "none"])
+def test_pipeline_stages_with_repeated_and_missing_ids(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    chain = " ".join(f"c{i}" for i in range(100))
+    docs = awkward(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    more = [(1, chain), (1, "another text under this id"), (None, "alone and without an id"), (None, "also alone and without one"), (9, chain.replace("c40 ", "y ")), (10, "you vile scum"), (10, "kind words here")]
+    docs = docs.union(spark.createDataFrame([(*r, "en", "a", 0) for r in more], "doc_id long, text string, lang string, source string, n_chars long"))
+    labels = [(100 + i, 1, i % 2) for i in range(20)]
+    docs = docs.union(spark.createDataFrame([(d, "vile scum again" if t else "nice weather today", "en", None, 0) for d, _, t in labels], docs.schema))
+    docs = docs if rows == "awkward" else docs.limit(0)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, columns = spark.read.parquet(f"{tmp_path}/documents.parquet"), docs.columns
+    counts = [docs.count()]
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.columns == columns
+        counts.append(docs.count())
+    kept = Counter((r["doc_id"], r["text"]) for r in docs.collect())
+    if rows == "awkward":
+        assert not any("scum" in (t or "") for _, t in kept) and max(kept.values()) == 1
+        for pair in ((1, chain), (1, "another text under this id"), (None, "alone and without an id"), (None, "also alone and without one"), (10, "kind words here"), (1, "one two three four five six"), (3, None)):
+            assert kept[pair] == 1, pair
+        assert (9, more[4][1]) not in kept and sum(t == "nice weather today" for _, t in kept) == 1 and counts[3] == counts[4]
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert len({r["doc_id"] for r in pieces}) == len({d for d, _ in kept})
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(pieces)
