@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from visitloom.llm import ann, exact_dedup, licenses, mixing, near_dup, packing, sharding, suffix_dedup, tokens, toxicity
+from visitloom.llm import ann, exact_dedup, licenses, mixing, near_dup, packing, periods, sharding, suffix_dedup, tokens, toxicity
 from visitloom.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op10_mix_sources(spark, table(spark, sf_dir, "documents"))
 
 
+def op13_basic_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.op13_runs(spark, table(spark, sf_dir, "documents"))
+
+
 OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -105,7 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_permutation_index, op2_best_fit_shards, op3_section_tokens, op4_license_digests, op5_ordinal_toxicity,
-        op6_exact_dedup, op7_minhash_join, op8_concat_and_cut, op9_suffix_dedup, op10_pfair_mix,
+        op6_exact_dedup, op7_minhash_join, op8_concat_and_cut, op9_suffix_dedup, op10_pfair_mix, op13_basic_factors,
     )
 }
 SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op4_license_digests": op4_sql()}
