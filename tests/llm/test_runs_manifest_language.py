@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tests.llm.test_corpus_operators import awkward, empty
-from visitloom.llm import periods, queries
+from visitloom.llm import merkle, periods, queries
 from visitloom.llm.common import table
 
 
@@ -86,3 +86,96 @@ def test_runs_awkward(spark):
     got = sorted((tuple(r) for r in periods.op13_runs(spark, docs).select(RUN_COLUMNS).collect()), key=key)
     assert got == sorted((runs_of_document(*r) for r in rows + more), key=key)
     assert periods.op13_runs(spark, empty(spark)).count() == 0
+
+
+# --- 12: Merkle manifest ---
+
+
+def manifest_by_levels(rows):
+    """Tree by tree and level by level; rows of (doc_id, source, lang, n_chars, text)."""
+    enc = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    lower = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+
+    def tree(digests):
+        """Root and the siblings of every leaf, level by level."""
+        levels = [digests]
+        while len(levels[-1]) > 1:
+            x = levels[-1]
+            levels.append([sha("".join(x[i : i + 16])) for i in range(0, len(x), 16)])
+        proofs = []
+        for i in range(len(digests)):
+            proof = []
+            for level in levels[:-1]:
+                first = i // 16 * 16
+                proof.append((level[first:i], level[i + 1 : first + 16]))
+                i //= 16
+            proofs.append(proof)
+        return levels[-1][0], proofs
+
+    sources = {}
+    for r in rows:
+        sources.setdefault(r[1], []).append((r[0], sha("".join(map(enc, r))), r))
+    names = sorted(sources, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {}
+    for s in names:
+        sources[s].sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        trees[s] = tree([x[1] for x in sources[s]])
+    root, above = tree([trees[s][0] for s in names]) if names else (None, [])
+    out = []
+    for s, top in zip(names, above, strict=True):
+        for (doc_id, leaf, r), own in zip(sources[s], trees[s][1], strict=True):
+            proof = own + top
+            at = leaf
+            if doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 0 and r[4] is not None:
+                at = sha("".join(map(enc, (*r[:4], r[4].translate(lower)))))
+            for a, b in proof:
+                at = sha("".join(a) + at + "".join(b))
+            out.append((doc_id, leaf, trees[s][0], root, sha("".join("".join(a + b) for a, b in proof)), at, at == root))
+    return sorted(out, key=repr)
+
+
+MANIFEST_COLUMNS = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+
+
+def manifest_of(spark, docs):
+    return sorted((tuple(r) for r in merkle.op12_manifest(spark, docs).select(MANIFEST_COLUMNS).collect()), key=repr)
+
+
+def test_manifest_equals_sql(spark, small):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    got = sorted((tuple(r) for r in queries.op12_merkle_manifest(spark, small).select(MANIFEST_COLUMNS).collect()), key=repr)
+    rel = con.sql(queries.SQL["op12_merkle_manifest"])
+    at = [rel.columns.index(c) for c in MANIFEST_COLUMNS]
+    assert got == sorted((tuple(r[i] for i in at) for r in rel.fetchall()), key=repr)
+    rows = [tuple(r) for r in table(spark, small, "documents").select("doc_id", "source", "lang", "n_chars", "text").collect()]
+    assert got == manifest_by_levels(rows)
+    assert {r[6] for r in got} == {True, False}
+
+
+@pytest.mark.parametrize("sizes", [[1], [1, 1, 1], [16, 17, 1], [256, 257], [5000, 300, *[1] * 40]])
+def test_manifest_of_sizes(spark, sizes):
+    """Trees of one leaf, whole runs, last runs of one node, several rounds."""
+    rows = [(1000 * s + i, None if s == 1 else f"s{s}", "en", i, f"Text {i}") for s, n in enumerate(sizes) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string")
+    assert manifest_of(spark, docs) == manifest_by_levels(rows)
+
+
+def test_manifest_awkward(spark):
+    docs = awkward(spark).unionByName(awkward(spark)).withColumnRenamed("kept", "place").withColumnRenamed("spans", "digest")
+    rows = [tuple(r) for r in docs.select("doc_id", "source", "lang", "n_chars", "text").collect()]
+    assert manifest_of(spark, docs) == manifest_by_levels(rows)
+    assert merkle.op12_manifest(spark, empty(spark)).count() == 0
+
+
+def test_manifest_sweeps_keep_label_order():
+    digests = [sha(str(i)) for i in range(37)]
+    levels = merkle.sweep_up(digests, 2)
+    assert [len(x) for x in levels] == [37, 3, 1]
+    for d, proof in zip(digests, merkle.sweep_down(levels, [("a", "b")]), strict=True):
+        assert len(proof) == 3 and proof[-1] == ("a", "b")
+        for before, after in proof[:-1]:
+            d = sha(before + d + after)
+        assert d == levels[2][0]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from visitloom.llm import ann, exact_dedup, licenses, mixing, near_dup, packing, periods, sharding, suffix_dedup, tokens, toxicity
+from visitloom.llm import ann, exact_dedup, licenses, merkle, mixing, near_dup, packing, periods, sharding, suffix_dedup, tokens, toxicity
 from visitloom.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op10_mix_sources(spark, table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.op12_manifest(spark, table(spark, sf_dir, "documents"))
+
+
 def op13_basic_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.op13_runs(spark, table(spark, sf_dir, "documents"))
 
@@ -105,11 +109,54 @@ WHERE f.doc_id IS NOT NULL
 """
 
 
+def op12_sql(levels: int = 6, tops: int = 4) -> str:
+    """The manifest level by level, for up to 16 ** levels rows in a source and 16 ** tops sources."""
+
+    def entry(x: str) -> str:
+        return f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen({x}) || ':' || {x} END"
+
+    fields = " || ".join(entry(f"CAST({c} AS VARCHAR)") for c in merkle.FIELDS[:-1])
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    lower = f"translate(text, '{upper}', '{upper.lower()}')"
+    bit = "CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END"
+    byte = f"list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: {bit})"
+    crc = f"xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ord(s) AS BIGINT))), lambda c, b: {byte}), 4294967295)"
+    parts = [
+        f"""d AS (SELECT doc_id, source, sha256({fields} || {entry("text")}) AS leaf,
+  CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN sha256({fields} || {entry(lower)}) END AS changed FROM documents)""",
+        """l0 AS (SELECT *, leaf AS h, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM d)""",
+    ]
+
+    def grow(name: str, count: int) -> None:
+        for k in range(count):
+            parts.append(
+                f"{name}{k + 1} AS (SELECT source, i // 16 AS i, (n + 15) // 16 AS n, CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE min(h) END AS h "
+                f"FROM {name}{k} GROUP BY source, i // 16, n)"
+            )
+            parts.append(f"{name}k{k} AS (SELECT source, i // 16 AS i, list(h ORDER BY i) AS kids FROM {name}{k} WHERE n > 1 GROUP BY source, i // 16)")
+
+    grow("l", levels)
+    parts.append(f"t0 AS (SELECT NULL AS source, source AS name, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM l{levels})")
+    grow("t", tops)
+    parts.append(f"f0 AS (SELECT l0.doc_id, l0.source, l0.leaf, l0.i, coalesce(l0.changed, l0.leaf) AS cur, '' AS proof, t0.i AS ti, t0.h AS subroot FROM l0 JOIN t0 ON l0.source IS NOT DISTINCT FROM t0.name)")
+    for k in range(levels + tops):
+        kids, place = (f"lk{k}", f"f.i // {16**k}") if k < levels else (f"tk{k - levels}", f"f.ti // {16 ** (k - levels)}")
+        tree = "f.source IS NOT DISTINCT FROM k.source AND " if k < levels else ""
+        left, right = f"array_to_string(kids[1:({place}) % 16], '')", f"array_to_string(kids[({place}) % 16 + 2:], '')"
+        parts.append(
+            f"f{k + 1} AS (SELECT doc_id, f.source, leaf, f.i, ti, subroot, CASE WHEN kids IS NULL THEN cur ELSE sha256({left} || cur || {right}) END AS cur, "
+            f"CASE WHEN kids IS NULL THEN proof ELSE proof || {left} || {right} END AS proof FROM f{k} f LEFT JOIN {kids} k ON {tree}({place}) // 16 = k.i)"
+        )
+    last = f"SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = root AS verified FROM f{levels + tops}, (SELECT h AS root FROM t{tops})"
+    return "WITH " + ",\n".join(parts) + "\n" + last
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_permutation_index, op2_best_fit_shards, op3_section_tokens, op4_license_digests, op5_ordinal_toxicity,
-        op6_exact_dedup, op7_minhash_join, op8_concat_and_cut, op9_suffix_dedup, op10_pfair_mix, op13_basic_factors,
+        op6_exact_dedup, op7_minhash_join, op8_concat_and_cut, op9_suffix_dedup, op10_pfair_mix, op12_merkle_manifest,
+        op13_basic_factors,
     )
 }
-SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op4_license_digests": op4_sql()}
+SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op4_license_digests": op4_sql(), "op12_merkle_manifest": op12_sql()}
