@@ -1,15 +1,18 @@
 """Periodic runs, the Merkle manifest and language ID against brute force, SQL and held-out labels, and on awkward rows."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.test_corpus_operators import awkward, empty
-from visitloom.llm import merkle, periods, queries
+from visitloom.llm import language, merkle, periods, queries
 from visitloom.llm.common import table
 
 
@@ -179,3 +182,93 @@ def test_manifest_sweeps_keep_label_order():
         for before, after in proof[:-1]:
             d = sha(before + d + after)
         assert d == levels[2][0]
+
+
+# --- 11: language of words and documents ---
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_marginals_against_all_labellings(k):
+    rng = np.random.default_rng(k)
+    sizes = [1, 2, 5, 7]
+    score, trans, start = rng.normal(0, 2, (sum(sizes), k)), rng.normal(0, 2, (k, k)), rng.normal(0, 2, k)
+    ends = np.cumsum(sizes)
+    got, pairs = language.marginals(score, ends, trans, start, pairs=True)
+    want_pairs = np.zeros((k, k))
+    for n, end in zip(sizes, ends.tolist(), strict=True):
+        e, gamma, xi, total = score[end - n : end], np.zeros((n, k)), np.zeros((k, k)), 0.0
+        for y in itertools.product(range(k), repeat=n):
+            p = np.exp(start[y[0]] + sum(e[i][y[i]] for i in range(n)) + sum(trans[a][b] for a, b in itertools.pairwise(y)))
+            total += p
+            for i, a in enumerate(y):
+                gamma[i][a] += p
+            for a, b in itertools.pairwise(y):
+                xi[a][b] += p
+        assert np.allclose(got[end - n : end], gamma / total)
+        want_pairs += xi / total
+    assert np.allclose(pairs, want_pairs)
+
+
+def test_marginals_of_long_chains():
+    """Chains of many pieces give what one pass over all their words gives."""
+    rng = np.random.default_rng(5)
+    sizes, k = [1000, 32, 33, 1, 64, 700], 4
+    score, trans, start = rng.normal(0, 3, (sum(sizes), k)), rng.normal(0, 2, (k, k)), rng.normal(0, 2, k)
+    got = language.marginals(score, np.cumsum(sizes), trans, start)[0]
+    t, at = np.exp(trans), 0
+    for n in sizes:
+        e = np.exp(score[at : at + n] - score[at : at + n].max(1, keepdims=True))
+        a, b = np.empty((n, k)), np.ones((n, k))
+        a[0] = np.exp(start) * e[0]
+        for i in range(1, n):
+            a[i] = a[i - 1] @ t * e[i]
+            a[i] /= a[i].sum()
+        for i in range(n - 2, -1, -1):
+            b[i] = t @ (e[i + 1] * b[i + 1])
+            b[i] /= b[i].sum()
+        g = a * b
+        assert np.allclose(got[at : at + n], g / g.sum(1, keepdims=True))
+        at += n
+
+
+def test_language_of_held_out_documents(spark, medium):
+    docs = table(spark, medium, "documents")
+    truth = {r["doc_id"]: (r["lang"], r["text"]) for r in docs.collect()}
+    rows = queries.op11_crf_language(spark, medium).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(truth)
+    hits = {}
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1
+        if r["held_out"]:
+            hits.setdefault(truth[r["doc_id"]][0], []).append(r["lang_pred"] == truth[r["doc_id"]][0])
+    assert len(hits) == 4 and all(np.mean(h) >= 0.97 for h in hits.values())
+
+
+def test_language_of_switching_text(spark, medium):
+    """Two halves of different languages: nearly all words get the language of their half."""
+    docs = table(spark, medium, "documents").filter(~language.held_out(F.col("doc_id")))
+    model = language.learn(docs)
+    assert (np.diag(model.trans) > model.trans - np.eye(4) * 99).all()  # to stay is likelier than to switch
+    held = table(spark, medium, "documents").filter(language.held_out(F.col("doc_id"))).filter("n_chars BETWEEN 300 AND 3000")
+    by = {}
+    for r in held.orderBy("doc_id").collect():
+        by.setdefault(r["lang"], []).append(" ".join(language.words_of(pa.array([r["text"]]))[0].to_pylist()[:40]))
+    right = []
+    for a, b in itertools.permutations(sorted(by), 2):
+        for x, y in zip(by[a][:8], by[b][8:16], strict=False):
+            got = [label for _, label, _ in language.label_words(model, f"{x} {y}")]
+            right += [g == w for g, w in zip(got, [a] * len(x.split()) + [b] * len(y.split()), strict=True)]
+    assert np.mean(right) >= 0.9
+
+
+def test_language_awkward(spark):
+    docs = awkward(spark).withColumnRenamed("kept", "score").withColumnRenamed("spans", "held_out")
+    rows = language.op11_language(spark, docs).collect()
+    assert len(rows) == docs.count()
+    by = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in rows}
+    assert by[3] == by[4] == by[6] == ("und", 0.0) and by[1][0] in ("en", "fr")
+    one = [(r["lang_pred"], r["score"]) for r in rows if r["doc_id"] == 2]
+    assert one[0] == one[1]
+    assert language.op11_language(spark, empty(spark)).count() == 0
+    unknown = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["lang_pred"] for r in language.op11_language(spark, unknown).collect()} == {"und"}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from visitloom.llm import ann, exact_dedup, licenses, merkle, mixing, near_dup, packing, periods, sharding, suffix_dedup, tokens, toxicity
+from visitloom.llm import ann, exact_dedup, language, licenses, merkle, mixing, near_dup, packing, periods, sharding, suffix_dedup, tokens, toxicity
 from visitloom.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op10_mix_sources(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.op11_language(spark, table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.op12_manifest(spark, table(spark, sf_dir, "documents"))
 
@@ -155,8 +159,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_permutation_index, op2_best_fit_shards, op3_section_tokens, op4_license_digests, op5_ordinal_toxicity,
-        op6_exact_dedup, op7_minhash_join, op8_concat_and_cut, op9_suffix_dedup, op10_pfair_mix, op12_merkle_manifest,
-        op13_basic_factors,
+        op6_exact_dedup, op7_minhash_join, op8_concat_and_cut, op9_suffix_dedup, op10_pfair_mix, op11_crf_language,
+        op12_merkle_manifest, op13_basic_factors,
     )
 }
 SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op4_license_digests": op4_sql(), "op12_merkle_manifest": op12_sql()}
