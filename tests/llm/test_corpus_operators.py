@@ -73,10 +73,19 @@ def test_components(spark):
 # --- 1: nearest neighbours ---
 
 
-@pytest.mark.parametrize("data", ["sf0.001", "sf0.1", "check_h"])
-def test_nearest_recall(spark, data):
-    """check_h holds a third of its vectors in one narrow ball."""
-    small = f"/root/testdata/{data}"
+def narrow_ball(spark, path, rows=6000, size=64):
+    """A third of the vectors in one narrow ball, the others around 40 centres."""
+    rng = np.random.default_rng(17)
+    centres = rng.normal(0, 1, (40, size))
+    x = centres[rng.integers(0, 40, rows)] + rng.normal(0, 0.4, (rows, size))
+    x[::3] = centres[0] + rng.normal(0, 0.01, (len(x[::3]), size))
+    spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").write.parquet(f"{path}/embeddings.parquet")
+    return path
+
+
+@pytest.mark.parametrize("data", ["sf0.001", "sf0.1", "narrow ball"])
+def test_nearest_recall(spark, data, tmp_path):
+    small = narrow_ball(spark, f"file://{tmp_path}") if data == "narrow ball" else f"/root/testdata/{data}"
     df = table(spark, small, "embeddings").filter("embedding IS NOT NULL")
     rows = df.collect()
     ids = np.array([r["vec_id"] for r in rows])
