@@ -26,12 +26,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitloom.llm.common import only
+from visitloom.llm.common import materialize, only
 from visitloom.llm.periods import _blocks as text_blocks
 
 #: Documents used for fitting, as many of each language where there are so many, and the words that each gives.
 MAX_TRAIN, WINDOW = 3_000, 48
-#: Languages learned: the most frequent ones. Words of the lexicon: those of the most training documents.
+#: Languages learned: the most frequent ones. Most words of the lexicon: those of the most training documents.
 MAX_LANGUAGES, LEXICON = 100, 20_000
 BITS, PIECE = 18, 32
 #: Steps of a document's share in a language that the lexicon tells apart.
@@ -268,6 +268,18 @@ def _counts(labels: list[str]):
     return run
 
 
+def commonest(words: DataFrame) -> DataFrame:
+    """The rows (word, n, ...) from the least ``n`` on that leaves at most ``LEXICON`` of them, in steps of an eighth of a doubling."""
+    step = F.floor(8 * F.log2("n"))
+    room, least = LEXICON, None
+    for r in words.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # at most 8 * 63 rows
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["step"]
+    return words.filter(F.lit(False) if least is None else step >= least).orderBy("word")
+
+
 def learn(docs: DataFrame, most: int = MAX_TRAIN) -> LanguageModel:
     """The model of ``docs`` (text, lang): rows without lang are left out. Without any word of a known language it has no labels."""
     known = docs.select("text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL")
@@ -291,7 +303,7 @@ def learn(docs: DataFrame, most: int = MAX_TRAIN) -> LanguageModel:
         return none
     summed = known.mapInArrow(_counts(labels), "word string, n array<long>").groupBy("word").agg(*[F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(k)])
     total = sum((F.col(f"n{i}") for i in range(1, k)), F.col("n0"))
-    lexicon = summed.filter(total > 1).orderBy(total.desc(), "word").limit(LEXICON).toPandas()
+    lexicon = commonest(materialize(summed.withColumn("n", total).filter("n > 1"), "lexicon")).toPandas()
     n = lexicon[[f"n{i}" for i in range(k)]].to_numpy(np.float64)
     rates = (n + 0.01) / np.array([counts[x] for x in labels])  # of a language's documents
     model = none
