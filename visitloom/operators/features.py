@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from visitloom.functions import scalars as S
+from visitloom.operators import resolve as V
 from visitloom.operators.aggregates import scope_profile
 from visitloom.operators.tables import anti_join, left_join_one, membership, precedence_lookup, with_position
 
@@ -91,22 +92,46 @@ def directive_table(catalog: DataFrame, directives: DataFrame, legacy: DataFrame
     return precedence_lookup(catalog, [directives, legacy], keys, value).withColumn(value, F.coalesce(F.col(value), F.lit(default)))
 
 
+# How a baseline record was found and how it was judged.
+WAVE_BASIS, DATE_BASIS, NO_BASIS, DATED = "earliest_protocol_wave", "earliest_available_clinical_date", "no_temporal_evidence", "+earliest_date_within_wave"
+BASELINE_STATUS = {
+    V.UNIQUE: "unique_temporal_candidate", V.EQUIVALENT: "same_time_equivalent_duplicate",
+    V.DOMINANT: "same_time_unique_dominant_record", V.UNRESOLVED: "same_time_unresolved_conflict",
+}
+NO_EVIDENCE = "unresolved_no_temporal_evidence"
+
+
 def refine_baseline(rows: DataFrame, person: str, wave: str, day: str, compared: Sequence[str]) -> DataFrame:
-    """One baseline record for each person: of the rows of the earliest known wave (else of the earliest day) those of the
-    earliest day; if they agree in every compared column (a missing cell agrees with all) their common values, else none.
+    """One baseline record for each person, and always one row for each person.
 
-    Columns: person, candidates, status, and the compared columns (NULL when unresolved). Three
-    partial aggregates; no person's rows come together in one task before the last few.
+    Candidates are the rows of the earliest known wave, else of the earliest known day, else all;
+    where several are left and one has a day, those of the earliest day. They are judged as any group (J09):
+    cells of different rows are never merged. Without wave and day only equivalent rows resolve.
+
+    Columns: person, candidates, basis, status, and the compared columns of the record that stays (NULL
+    when unresolved). Aggregates by (person, wave, day), then (person, wave), then person: a person
+    with a third of all rows is pre-aggregated, and no rows are joined back.
     """
-    first = rows.groupBy(person).agg(F.min(wave).alias("__w"), F.min(day).alias("__t"))
-    near = F.when(F.col("__w").isNotNull(), F.col(wave) == F.col("__w")).otherwise(F.col(day) == F.col("__t"))
-    at = rows.join(first, person).filter(near).select(person, day, *compared)
-    early = at.groupBy(person).agg(F.min(day).alias("__d"))
-    kept = at.join(early, person).filter(F.col(day) == F.col("__d"))
-    same = [F.coalesce(F.min(c) == F.max(c), F.lit(True)) for c in compared]
-    out = kept.groupBy(person).agg(F.count(F.lit(1)).alias("candidates"), reduce(lambda a, b: a & b, same).alias("__same"), *[F.min(c).alias(c) for c in compared])
-    status = F.when(F.col("candidates") == 1, "earliest_date").when(F.col("__same"), "equivalent").otherwise("unresolved")
-    return out.select(person, "candidates", status.alias("status"), *[F.when(F.col("__same"), F.col(c)).alias(c) for c in compared])
+    types = {f.name: f.dataType for f in rows.schema.fields}
+    values = F.struct(*[F.col(c) for c in compared])
+    facts = V.judgement(compared, types, S.row_hash(compared), F.struct(F.col("__id").alias("id"), values.alias("v")))
+    late = lambda c: F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("at"))  # noqa: E731, nulls last
+    rows = rows.withColumn("__id", F.monotonically_increasing_id())  # tells rows apart that are alike; read by one branch of the plan alone
+    at = rows.groupBy(person, F.col(wave).alias("__w"), F.col(day).alias("__t")).agg(F.struct(*[c.alias(k) for k, c in facts.items()]).alias("__j"))
+    by_wave = at.groupBy(person, "__w").agg(F.min_by(F.struct("__t", "__j"), late("__t")).alias("__b"), F.sum("__j.n").alias("__n"))
+    first = by_wave.groupBy(person).agg(F.min_by(F.struct("__w", "__n", "__b"), late("__w")).alias("__f"))
+    out = first.select(person, F.col("__f.__w").alias("w"), F.col("__f.__n").alias("nw"), F.col("__f.__b.__t").alias("t"), F.col("__f.__b.__j").alias("j"))
+    several = F.when(F.col("w").isNull(), F.col("j.n")).otherwise(F.col("nw")) > 1
+    basis = F.when(F.col("w").isNotNull(), WAVE_BASIS).when(F.col("t").isNotNull(), DATE_BASIS).otherwise(NO_BASIS)
+    judged = V.verdict("j")
+    status = F.when((basis == NO_BASIS) & judged.isin(V.DOMINANT, V.UNRESOLVED), NO_EVIDENCE)
+    for k, v in BASELINE_STATUS.items():
+        status = status.when(judged == k, v)
+    out = out.select(
+        person, F.col("j.n").alias("candidates"), F.when(several & F.col("t").isNotNull(), F.concat(basis, F.lit(DATED))).otherwise(basis).alias("basis"), status.alias("status"), F.col("j.pick.row.v").alias("v")
+    )
+    kept = F.col("status").isin(*[v for k, v in BASELINE_STATUS.items() if k != V.UNRESOLVED])
+    return out.select(person, "candidates", "basis", "status", *[F.when(kept, F.col("v")[c]).alias(c) for c in compared])
 
 
 def canonical_json(payload) -> str:

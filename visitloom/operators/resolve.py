@@ -74,40 +74,44 @@ def earliest_wave(df: DataFrame, contract: Contract) -> DataFrame:
     return rows.join(first, list(contract.keys)).filter(near).drop("__m", "__d", "__m0", "__d0")
 
 
-def judge_groups(df: DataFrame, keys: Sequence[str], columns: Sequence[str], unique: Column) -> DataFrame:
-    """One row for each key: n, status, and the ``__source_row`` to keep (NULL when unresolved).
+def judgement(columns: Sequence[str], types: Mapping[str, T.DataType], order: Column, row: Column) -> dict[str, Column]:
+    """J09 and W06 as aggregates of a group's rows, without pairs: n, least, conflict, all, pick, other.
 
-    J09 without pairs. The kept row is the covering one with the smallest ``unique`` (W06); a key's
-    only row is kept as it is.
+    ``all`` counts the columns that any row observes. A row observes at most those, so the rows that
+    cover the group are the ones with the most observed columns, if these are all; ``pick`` is the one
+    of them with the smallest (order, row), ``other`` the one with the largest, so that only one row covers
+    when both are the same.
     """
-    types = {f.name: f.dataType for f in df.schema.fields}
     seen = S.observed_count(columns) if columns else F.lit(0)
-    rows = df.withColumns({"__seen": seen, "__order": unique})
     disagree = [F.coalesce(F.min(_key(c, types)) != F.max(_key(c, types)), F.lit(False)) for c in columns]
     any_seen = [F.max(F.col(c).isNotNull().cast("int")) for c in columns]
-    stats = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("__seen").alias("__least"),
-        F.min("__source_row").alias("__only"),
-        (reduce(lambda a, b: a | b, disagree) if disagree else F.lit(False)).alias("__conflict"),
-        (reduce(lambda a, b: a + b, any_seen) if any_seen else F.lit(0)).alias("__all"),
-    )
-    covering = (
-        rows.select(*keys, "__seen", "__order", "__source_row")
-        .join(stats.filter("n > 1 AND NOT __conflict"), list(keys))
-        .filter("__seen = __all")
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__covering"), F.min(F.struct("__order", "__source_row")).alias("__pick"))
-    )
-    judged = stats.join(covering, list(keys), "left")
-    status = (
-        F.when(F.col("n") == 1, UNIQUE)
-        .when(F.col("__conflict"), UNRESOLVED)
-        .when(F.col("__least") == F.col("__all"), EQUIVALENT)
-        .when(F.col("__covering") == 1, DOMINANT)
-        .otherwise(UNRESOLVED)
-    )
-    return judged.select(*keys, "n", status.alias("status"), F.when(F.col("n") == 1, F.col("__only")).when(status != UNRESOLVED, F.col("__pick.__source_row")).alias("__source_row"))
+    return {
+        "n": F.count(F.lit(1)),
+        "least": F.min(seen),
+        "conflict": reduce(lambda a, b: a | b, disagree) if disagree else F.lit(False),
+        "all": reduce(lambda a, b: a + b, any_seen) if any_seen else F.lit(0),
+        "pick": F.min(F.struct((-seen).alias("seen"), order.alias("order"), row.alias("row"))),
+        "other": F.max(F.struct(seen.alias("seen"), order.alias("order"), row.alias("row"))),
+    }
+
+
+def verdict(of: str = "") -> Column:
+    """The outcome of a group from its judgement, which stands in columns or in the struct column ``of``."""
+    c = {k: F.col(f"{of}.{k}" if of else k) for k in ("n", "least", "conflict", "all", "pick", "other")}
+    covered = (-c["pick"]["seen"] == c["all"]) & (c["pick"]["row"] == c["other"]["row"])
+    return F.when(c["n"] == 1, UNIQUE).when(c["conflict"], UNRESOLVED).when(c["least"] == c["all"], EQUIVALENT).when(covered, DOMINANT).otherwise(UNRESOLVED)
+
+
+def judge_groups(df: DataFrame, keys: Sequence[str], columns: Sequence[str], unique: Column) -> DataFrame:
+    """One row for each key, in one aggregate: n, status, and the ``__source_row`` to keep (NULL when unresolved).
+
+    The kept row is the covering one with the smallest ``unique`` (W06); a key's only row is kept as it is.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    facts = judgement(columns, types, unique, F.col("__source_row"))
+    stats = df.groupBy(*keys).agg(F.struct(*[c.alias(k) for k, c in facts.items()]).alias("__j"))
+    out = stats.select(*keys, F.col("__j.n").alias("n"), verdict("__j").alias("status"), F.col("__j.pick.row").alias("__row"))
+    return out.select(*keys, "n", "status", F.when(F.col("status") != UNRESOLVED, F.col("__row")).alias("__source_row"))
 
 
 @dataclass

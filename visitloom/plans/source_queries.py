@@ -266,18 +266,40 @@ def strict_date_freeze(spark, sf):
     return frozen.select("person", "current_code", "previous_code", "reason", "policy_id")
 
 
-@query("""WITH w AS (SELECT user_id AS person, CAST(event_type AS VARCHAR) AS wave, ts, value, event_id FROM events),
-o AS (SELECT *, CASE wave WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'cart' THEN 2 WHEN 'purchase' THEN 3 END AS rank FROM w),
-f AS (SELECT person, min(rank) AS r0, min(ts) AS t0 FROM o GROUP BY 1),
-c AS (SELECT o.* FROM o JOIN f USING (person) WHERE CASE WHEN r0 IS NOT NULL THEN rank = r0 ELSE ts = t0 END),
-d AS (SELECT person, min(ts) AS t1 FROM c GROUP BY 1),
-e AS (SELECT c.person, count(*) AS n, count(DISTINCT value) AS v, min(value) AS value FROM c JOIN d ON d.person = c.person AND c.ts = t1 GROUP BY 1)
-SELECT person, CAST(n AS BIGINT) AS candidates, CASE WHEN n = 1 THEN 'earliest_date' WHEN v <= 1 THEN 'equivalent' ELSE 'unresolved' END AS status, CASE WHEN n = 1 OR v <= 1 THEN value END AS value FROM e""")
+BASELINE_ROWS_SQL = """e AS (SELECT event_id AS id, user_id * 31 + event_id % 31 AS person,
+  CASE WHEN user_id % 5 < 3 AND event_id // 31 % 6 <> 1 THEN CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'cart' THEN 2 ELSE 3 END END AS wave,
+  CASE WHEN user_id % 5 IN (0, 3) AND event_id // 31 % 4 <> 1 THEN CAST(date_trunc('year', ts) AS DATE) END AS day,
+  CASE WHEN event_id // 31 % 3 > 0 THEN CASE WHEN user_id % 4 = 0 THEN event_id // 31 % 2 ELSE user_id % 7 END END AS a,
+  CASE WHEN user_id % 2 = 0 OR event_id // 31 % 2 = 0 THEN user_id % 9 END AS b FROM events)"""
+
+
+def baseline_rows(spark, sf):
+    """Records with missing waves, days and cells: some persons have neither wave nor day, some a wave without any day."""
+    e = table(spark, sf, "events")
+    user, event = F.col("user_id"), F.floor(F.col("event_id") / 31)
+    rank = F.when(F.col("event_type") == "view", 0).when(F.col("event_type") == "click", 1).when(F.col("event_type") == "cart", 2).otherwise(3)
+    return e.select(
+        (user * 31 + F.col("event_id") % 31).alias("person"), F.when((user % 5 < 3) & (event % 6 != 1), rank).alias("wave"),
+        F.when((user % 5).isin(0, 3) & (event % 4 != 1), F.to_date(F.date_trunc("year", "ts"))).alias("day"),
+        F.when(event % 3 > 0, F.when(user % 4 == 0, event % 2).otherwise(user % 7)).alias("a"), F.when((user % 2 == 0) | (event % 2 == 0), user % 9).alias("b"),
+    )
+
+
+@query("WITH " + BASELINE_ROWS_SQL + """,
+f AS (SELECT person, min(wave) AS w0, min(day) AS d0 FROM e GROUP BY 1),
+c AS (SELECT e.*, CASE WHEN w0 IS NOT NULL THEN 'earliest_protocol_wave' WHEN d0 IS NOT NULL THEN 'earliest_available_clinical_date' ELSE 'no_temporal_evidence' END AS basis
+  FROM e JOIN f USING (person) WHERE CASE WHEN w0 IS NOT NULL THEN wave = w0 WHEN d0 IS NOT NULL THEN day = d0 ELSE true END),
+g AS (SELECT *, count(*) OVER p AS many, min(day) OVER p AS d1 FROM c WINDOW p AS (PARTITION BY person)),
+k AS (SELECT * EXCLUDE (basis), CASE WHEN many > 1 AND d1 IS NOT NULL THEN basis || '+earliest_date_within_wave' ELSE basis END AS basis FROM g WHERE many = 1 OR d1 IS NULL OR day = d1),
+p AS (SELECT x.person, x.id, bool_and(x.a IS NOT DISTINCT FROM y.a AND x.b IS NOT DISTINCT FROM y.b) AS same, bool_and((x.a = y.a OR y.a IS NULL) IS TRUE AND (x.b = y.b OR y.b IS NULL) IS TRUE) AS covers
+  FROM k x JOIN k y ON x.person = y.person GROUP BY 1, 2),
+s AS (SELECT k.person, count(*) AS candidates, min(basis) AS basis, bool_and(same) AS same, count(*) FILTER (WHERE covers) AS covering, min(k.id) FILTER (WHERE covers) AS id FROM k JOIN p USING (person, id) GROUP BY 1),
+t AS (SELECT *, CASE WHEN candidates = 1 THEN 'unique_temporal_candidate' WHEN same THEN 'same_time_equivalent_duplicate' WHEN basis = 'no_temporal_evidence' THEN 'unresolved_no_temporal_evidence'
+  WHEN covering = 1 THEN 'same_time_unique_dominant_record' ELSE 'same_time_unresolved_conflict' END AS status FROM s)
+SELECT t.person, candidates, basis, status, CASE WHEN status NOT LIKE '%unresolved%' THEN e.a END AS a, CASE WHEN status NOT LIKE '%unresolved%' THEN e.b END AS b FROM t LEFT JOIN e ON e.id = t.id""")
 def baseline_refinement(spark, sf):
-    """One baseline record for each participant: earliest wave, then earliest date, then equivalence."""
-    rank = F.create_map(*[F.lit(x) for kv in (("view", 0), ("click", 1), ("cart", 2), ("purchase", 3)) for x in kv])[F.col("event_type")]
-    rows = table(spark, sf, "events").select(F.col("user_id").alias("person"), rank.alias("wave"), "ts", "value")
-    return X.refine_baseline(rows, "person", "wave", "ts", ["value"])
+    """One baseline record for each participant: earliest wave, then earliest date, then equivalence or dominance."""
+    return X.refine_baseline(baseline_rows(spark, sf), "person", "wave", "day", ["a", "b"])
 
 
 @query(f"""WITH s AS (SELECT c_custkey AS person, {SPLIT_SQL.replace('o_custkey', 'c_custkey')} AS split FROM customer), v AS (SELECT o_custkey AS person, o_orderkey AS code, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS position FROM orders),
