@@ -51,7 +51,7 @@ def with_source_row(df: DataFrame) -> DataFrame:
     """An explicit row number for tables that come without one; numbers are not gapless.
 
     The numbered rows are written once: plans meet on the number from several sides, and a number
-    made anew in each of them could differ after a shuffle or a lost executor.
+    made anew in each of them could differ after a shuffle or a lost executor. Give it narrow tables.
     """
     return df if "__source_row" in df.columns else staged(df.withColumn("__source_row", F.monotonically_increasing_id()), "numbered")
 
@@ -103,31 +103,36 @@ def verdict(of: str = "") -> Column:
 
 
 def judge_groups(df: DataFrame, keys: Sequence[str], columns: Sequence[str], unique: Column) -> DataFrame:
-    """One row for each key, in one aggregate: n, status, and the ``__source_row`` to keep (NULL when unresolved).
+    """One row for each key, in one aggregate: n, status, and ``__kept``, the value of ``unique`` in the row to keep (NULL when unresolved).
 
     The kept row is the covering one with the smallest ``unique`` (W06); a key's only row is kept as it is.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    facts = judgement(columns, types, unique, F.col("__source_row"))
-    stats = df.groupBy(*keys).agg(F.struct(*[c.alias(k) for k, c in facts.items()]).alias("__j"))
-    out = stats.select(*keys, F.col("__j.n").alias("n"), verdict("__j").alias("status"), F.col("__j.pick.row").alias("__row"))
-    return out.select(*keys, "n", "status", F.when(F.col("status") != UNRESOLVED, F.col("__row")).alias("__source_row"))
+    rows = df.withColumn("__id", F.monotonically_increasing_id())  # tells rows apart that are alike, in this aggregate alone
+    facts = judgement(columns, types, unique, F.col("__id"))
+    stats = rows.groupBy(*keys).agg(F.struct(*[c.alias(k) for k, c in facts.items()]).alias("__j"))
+    out = stats.select(*keys, F.col("__j.n").alias("n"), verdict("__j").alias("status"), F.col("__j.pick.order").alias("__order"))
+    return out.select(*keys, "n", "status", F.when(F.col("status") != UNRESOLVED, F.col("__order")).alias("__kept"))
 
 
 @dataclass
 class Resolution:
-    """Resolved rows, unresolved keys, and the judgement of every key; rows without a whole key are counted in the summary."""
+    """Resolved rows, unresolved keys, and the judgement of every key; rows without a whole key are counted in the summary.
+
+    A row is known by its key and row hash; of rows that are alike in all cells any one stands for the others. Nothing wide is written.
+    """
 
     source: DataFrame
     contract: Contract
     judged: DataFrame
 
     def resolved(self) -> DataFrame:
-        j = self.judged.filter(F.col("__source_row").isNotNull()).select("__source_row", F.col("status").alias("__resolution_status"))
-        return self.source.join(j, "__source_row").drop("__row_hash")
+        keys = list(self.contract.keys)
+        j = self.judged.filter(F.col("__kept").isNotNull()).select(*keys, F.col("__kept").alias("__row_hash"), F.col("status").alias("__resolution_status"))
+        return self.source.join(j, [*keys, "__row_hash"]).dropDuplicates([*keys, "__row_hash"]).select(*[c for c in self.source.columns if c != "__row_hash"], "__resolution_status")
 
     def unresolved(self) -> DataFrame:
-        return self.judged.filter(F.col("__source_row").isNull()).select(
+        return self.judged.filter(F.col("__kept").isNull()).select(
             *self.contract.keys, F.lit(self.contract.name).alias("source_name"), F.col("group_rows").alias("n_source_rows"), F.col("n").alias("n_candidate_rows"), F.col("status").alias("resolution_status")
         )
 
@@ -137,32 +142,38 @@ class Resolution:
         groups = self.judged.agg(
             F.count(F.lit(1)).alias("valid_key_groups"),
             F.count_if(F.col("group_rows") > 1).alias("duplicate_groups"),
-            F.count_if(F.col("__source_row").isNotNull()).alias("resolved_rows"),
+            F.count_if(F.col("__kept").isNotNull()).alias("resolved_rows"),
             *[F.count_if(F.col("status") == s).alias(s) for s in (UNIQUE, EQUIVALENT, DOMINANT, UNRESOLVED)],
         )
         return rows.crossJoin(groups)  # two rows of counts, one each
 
     def ledger(self) -> DataFrame:
-        """Every source row with its action, reason and group size."""
-        j = self.judged.select(*self.contract.keys, "group_rows", F.col("status").alias("__st"), F.col("__source_row").alias("__kept"))
-        out = self.source.join(j, list(self.contract.keys), "left")
+        """Every source row with its action, reason and group size. Keys, hashes and row numbers are written once, as two branches read the numbers."""
+        keys = list(self.contract.keys)
+        rows = with_source_row(self.source.select(*keys, "__row_hash", *[c for c in self.source.columns if c == "__source_row"]))
+        j = self.judged.select(*keys, "group_rows", F.col("status").alias("__st"), "__kept")
+        alike = rows.join(j.select(*keys, F.col("__kept").alias("__row_hash")), [*keys, "__row_hash"])
+        chosen = alike.groupBy(*keys).agg(F.min("__source_row").alias("__chosen"))
+        out = rows.join(j.join(chosen, keys, "left"), keys, "left")
         reason = (
-            F.when(~keyed(self.contract.keys), "missing_key")
+            F.when(~keyed(keys), "missing_key")
             .when(F.col("__kept").isNull(), "unresolved_group")
-            .when(F.col("__kept") == F.col("__source_row"), F.col("__st"))
+            .when(F.col("__chosen") == F.col("__source_row"), F.col("__st"))
             .otherwise("not_selected")
         )
-        action = F.when(F.col("__kept") == F.col("__source_row"), "selected").otherwise("excluded")
-        return out.select("__source_row", *self.contract.keys, action.alias("action"), reason.alias("reason"), F.coalesce("group_rows", F.lit(0)).alias("group_rows"))
+        action = F.when(F.col("__chosen") == F.col("__source_row"), "selected").otherwise("excluded")
+        return out.select("__source_row", *keys, action.alias("action"), reason.alias("reason"), F.coalesce("group_rows", F.lit(0)).alias("group_rows"))
 
 
 def resolve(df: DataFrame, contract: Contract) -> Resolution:
     """Resolves a source by its contract."""
-    source = with_source_row(df)
-    real = [c for c in source.columns if not c.startswith("__")]
-    valid = source.filter(keyed(contract.keys)).withColumn("__row_hash", S.row_hash(real))
+    real = [c for c in df.columns if not c.startswith("__")]
+    source = df.withColumn("__row_hash", S.row_hash(real))
+    valid = source.filter(keyed(contract.keys))
     candidates = earliest_wave(valid, contract)
     judged = judge_groups(candidates, contract.keys, contract.compare(real), F.col("__row_hash"))
+    if candidates is valid:
+        return Resolution(source, contract, judged.withColumn("group_rows", F.col("n")))
     sizes = valid.groupBy(*contract.keys).agg(F.count(F.lit(1)).alias("group_rows"))
     return Resolution(source, contract, judged.join(sizes, list(contract.keys)))
 
@@ -178,20 +189,20 @@ def resolve_by_completeness(df: DataFrame, keys: Sequence[str], targets: Sequenc
     The most observed targets win. Ties that agree with their first row (smallest image id, then
     row hash) within the tolerance, NULL with NULL, give that row; others stay unresolved.
     """
-    source = with_source_row(df).filter(keyed(keys))
-    real = [c for c in source.columns if not c.startswith("__")]
-    rows = source.select(
+    real = [c for c in df.columns if not c.startswith("__")]
+    numbered = df if "__source_row" in df.columns else df.withColumn("__source_row", F.monotonically_increasing_id())
+    rows = numbered.filter(keyed(keys)).select(
         *keys, "__source_row", F.col(image).cast("long").alias("__image"), S.row_hash(real).alias("__hash"),
         F.array(*[F.col(t).cast("double") for t in targets]).alias("__t"), S.observed_count(targets).alias("__n"),
     )
     best = rows.groupBy(*keys).agg(F.max("__n").alias("best_count"), F.count(F.lit(1)).alias("n"))
     top = rows.join(best, list(keys)).filter("__n = best_count")
-    first = top.groupBy(*keys).agg(F.min(F.struct("__image", "__hash", "__source_row", "__t")).alias("__f"))
+    first = top.groupBy(*keys).agg(F.min(F.struct("__image", "__hash", "__t")).alias("__f"))
     close = lambda a, b: (a.isNull() & b.isNull()) | F.coalesce(F.abs(a - b) <= F.lit(atol) + F.lit(rtol) * F.abs(b), F.lit(False))
     pair = F.zip_with("__t", F.col("__f.__t"), close)
     judged = top.join(first, list(keys)).groupBy(*keys).agg(
         F.first("n").alias("n"), F.count(F.lit(1)).alias("n_best"), F.first("best_count").alias("best_count"),
-        F.bool_and(F.forall(pair, lambda x: x)).alias("__same"), F.first("__f.__source_row").alias("__row"),
+        F.bool_and(F.forall(pair, lambda x: x)).alias("__same"), F.min(F.when(F.col("__hash") == F.col("__f.__hash"), F.col("__source_row"))).alias("__row"),
     )
     status = (
         F.when(F.col("n") == 1, ONE_CANDIDATE).when(F.col("n_best") == 1, MOST_COMPLETE).when(F.col("__same"), EQUAL_TARGETS).otherwise(TARGET_CONFLICT)
@@ -201,7 +212,7 @@ def resolve_by_completeness(df: DataFrame, keys: Sequence[str], targets: Sequenc
 
 def tie_funnel(df: DataFrame, keys: Sequence[str], targets: Sequence[str], measures: Sequence[str], qc: Sequence[str], overall: str, regional: Sequence[str], rtol: float = 1e-6, atol: float = 1e-8) -> DataFrame:
     """The audit of ties at the most observed targets: step, entering, resolved, remaining. It selects nothing."""
-    rows = with_source_row(df).filter(keyed(keys)).select(
+    rows = df.filter(keyed(keys)).select(
         *keys, S.observed_count(targets).alias("t"), S.observed_count(measures).alias("m"), S.observed_count(qc).alias("q"),
         (F.coalesce(S.audit_text(F.col(overall)) == "PASS", F.lit(False))).cast("int").alias("p"),
         F.aggregate(F.array(*[(S.audit_text(F.col(c)) == "FAIL").cast("int") for c in regional]), F.lit(0), lambda a, x: a + x).alias("f"),
