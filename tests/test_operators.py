@@ -1,5 +1,7 @@
 """Operators on small tables with known outcomes."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from visitloom.functions import scalars as S
 from visitloom.operators import aggregates as A
 from visitloom.operators import balance as B
+from visitloom.operators import constraints as K
 from visitloom.operators import features as X
 from visitloom.operators import governance as G
 from visitloom.operators import metrics as M
@@ -16,6 +19,7 @@ from visitloom.operators import preprocess as P
 from visitloom.operators import resolve as V
 from visitloom.operators import tables as R
 from visitloom.operators import temporal as T
+from visitloom.operators.quantiles import exact_quantiles
 from visitloom.sources import packages, tables
 
 VISIT = V.Contract("S", "visit", ("RID", "VISCODE2"), administrative=("USERDATE",))
@@ -440,3 +444,117 @@ def test_left_join_checks_keys(spark):
     with pytest.raises(ValueError):
         R.left_join_one(a, b, ["k"])
     assert R.left_join_one(a, b.limit(1), ["k"]).count() == 2
+
+
+def test_quantiles_by_selection(spark):
+    """Heavy tails, few values, missing cells, null and small groups: as one sort of each group would give them."""
+    rng = np.random.default_rng(1)
+    rows = [(None if i % 3 == 0 else "ab"[i % 2], float(rng.lognormal(0, 8)) if i % 11 else None, float(rng.integers(0, 4)), float(i) if i < 5 else None, -0.0 if i % 2 else 0.0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, z double, w double").repartition(3)
+    shares = [0, 0.1, 0.25, 0.5, 1]
+    want = {}
+    for g in (None, "a", "b"):
+        for i, f in enumerate("xyzw", 1):
+            if v := sorted(r[i] for r in rows if r[0] == g and r[i] is not None):
+                want[g, f] = (len(v), [float(np.percentile(v, 100 * s)) for s in shares])
+    got = {(r["g"], r["feature"]): (r["n"], r["q"]) for r in exact_quantiles(df, ["g"], list("xyzw"), shares, small=40, accuracy=200).collect()}
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], rel=1e-12)
+    assert exact_quantiles(df.limit(0), [], ["x"], [0.5]).count() == 0
+
+
+def test_positions_of_a_hot_key(spark):
+    """Null keys and null order values, a key with most rows, ties broken by the last column."""
+    rng = np.random.default_rng(2)
+    rows = [(None if i % 2 else i % 7, None if i % 10 == 0 else int(rng.integers(0, 300)), i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k int, o int, i int").repartition(4)
+    want = {}
+    for k in {r[0] for r in rows}:
+        for n, r in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is None, r[1] or 0, r[2])), 1):
+            want[r[2]] = n
+    out = R.with_position(df, ["k"], ["o", "i"], hot_rows=500)
+    assert {r["i"]: r["position"] for r in out.collect()} == want
+    plain = R.with_position(df, ["k"], ["o", "i"])
+    assert plain.schema == out.schema and {r["i"]: r["position"] for r in plain.collect()} == want
+
+
+def test_ordered_digest_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(A, "SORTED_BYTES", 2000)
+    monkeypatch.setattr(A, "BLOCK_BYTES", 300)
+    rows = [(i % 50, None if i % 9 == 0 else f"x{i % 3}") for i in range(3000)] + [(7, "same")] * 1000
+    df = spark.createDataFrame(rows, "a int, b string").repartition(5)
+    lines = [line for _, line in sorted((a, f"{a}|{'<NA>' if b is None else b}") for a, b in rows)]
+    assert tuple(A.table_hash(df, ["a"], ["a", "b"]).first()) == (4000, hashlib.sha256("\n".join(lines).encode()).hexdigest())
+    assert tuple(A.table_hash(df.limit(0), ["a"], ["a", "b"]).first()) == (0, hashlib.sha256(b"").hexdigest())
+
+
+def test_baseline_of_every_person(spark):
+    rows = [
+        ("none", None, None, 4, None), ("none", None, None, None, 9),  # nothing tells which came first, and neither covers the other
+        ("alike", None, None, 4, None), ("alike", None, None, 4, None),
+        ("covers", None, None, 4, 9), ("covers", None, None, 4, None),  # without evidence only equivalent rows resolve
+        ("undated", 0, None, 1, None), ("undated", 0, None, 1, 2), ("undated", 6, None, 5, 5),
+        ("apart", 0, 10, 4, None), ("apart", 0, 10, None, 9), ("apart", 0, 12, 7, 7),
+        ("dated", None, 3, 1, 1), ("dated", None, None, 2, 2), ("dated", None, 5, 3, 3),
+        ("twice", 0, 10, 4, 9), ("twice", 0, 10, 4, 9), ("twice", 0, 10, 4, None),
+    ]
+    df = spark.createDataFrame(rows, "p string, w int, d int, a int, b int")
+    got = {r["p"]: tuple(r)[1:] for r in X.refine_baseline(df, "p", "w", "d", ["a", "b"]).collect()}
+    wave, dated = "earliest_protocol_wave", "+earliest_date_within_wave"
+    assert got == {
+        "none": (2, "no_temporal_evidence", "unresolved_no_temporal_evidence", None, None),
+        "alike": (2, "no_temporal_evidence", "same_time_equivalent_duplicate", 4, None),
+        "covers": (2, "no_temporal_evidence", "unresolved_no_temporal_evidence", None, None),
+        "undated": (2, wave, "same_time_unique_dominant_record", 1, 2),
+        "apart": (2, wave + dated, "same_time_unresolved_conflict", None, None),
+        "dated": (1, "earliest_available_clinical_date", "unique_temporal_candidate", 1, 1),
+        "twice": (3, wave + dated, "same_time_unresolved_conflict", None, None),  # two rows cover
+    }
+
+
+def test_constraints_of_entities(spark):
+    people = spark.createDataFrame([("1", "train"), ("2", "test")], "p string, s string")
+    rows = [("1", 1, "train", "1.5"), ("1", 2, "train", "x"), ("2", 1, "train", "inf"), ("3", 1, "test", None), (None, 1, "test", "2"), ("", 2, "valid", "2"), ("2", 1, "test", "nan")]
+    visits = spark.createDataFrame(rows, "p string, i int, s string, y string")
+    entities = {
+        "people": K.Entity(people, ("p",), rows=2),
+        "visits": K.Entity(
+            visits, ("p", "i"), domains={"s": ("train", "test")}, numeric=("y",), finite=("y",), parents={"person": K.Parent("people", {"p": "p"}, {"s": "s"})},
+            positions=(("p",), "i"), rules={"second": F.col("i") == 2}, counts={"train": (F.col("s") == "train", 3)},
+        ),
+        "lame": K.Entity(people, ("p",), ("q",)),
+    }
+    c = G.Checks()
+    K.validate(c, entities, {"twin": K.Twin("visits", "visits", {"s": "s"})})
+    got = {name: observed for name, _, _, observed in c.records}
+    want = {
+        "visits_missing_key": "2", "visits_domain_s": "1", "visits_numeric_y": "2", "visits_finite_y": "4", "visits_second": "2", "visits_orphans_person": "3",
+        "visits_differ_person_s": "1", "visits_duplicate_key": "1", "visits_broken_positions": "2", "visits_train": "3", "lame_required_columns": "q", "people_total": "2",
+        "twin_left_only": "1", "twin_right_only": "1", "twin_differ_s": "0",
+    }
+    assert {k: got[k] for k in want} == want and "lame_missing_key" not in got
+    policy = {"a": 1, "b": {"c": [1]}}
+    K.locked(c, "policy", policy | {"id": X.decision_id(policy), "note": 5}, "id", ["note"])
+    K.facts(c, "policy", policy, {"b.c": [1], "a": True, "b.c.d": None})
+    assert [r[1] for r in c.records[-4:]] == [True, True, False, True]
+
+
+def test_counts_of_tasks_that_ran_twice(spark):
+    """A chain whose observed and collected row counts differ runs again."""
+    from pyspark.sql import Observation
+
+    calls = []
+
+    def make(wrong):
+        def once():
+            o = Observation(f"o{len(calls)}")
+            calls.append(1)
+            df = spark.range(10).observe(o, (F.count(F.lit(1)) + (1 if len(calls) <= wrong else 0)).alias("rows"))
+            return [o], df.agg(F.count(F.lit(1)).alias("end"))
+
+        return once
+
+    assert K._run(make(1), "rows", "end")["rows"] == 10 and len(calls) == 2
+    with pytest.raises(G.GateError):
+        K._run(make(99), "rows", "end")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from visitloom.functions import scalars as S
+from visitloom.operators.quantiles import exact_quantiles
 from visitloom.operators.tables import keyed
 
 RARE_BELOW, SMALL_BELOW = 5, 5
@@ -48,10 +52,11 @@ def any_first_all(df: DataFrame, keys: Sequence[str], position: str, flags: Sequ
 
 
 def distribution(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    """Count, min, quartiles (exact, linear), mean, max of the observed values."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*groups).agg(F.count(value).alias("n"), F.min(value).alias("low"), q.alias("q"), F.avg(value).alias("mean"), F.max(value).alias("high"))
-    return out.select(*groups, "n", "low", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), "mean", F.col("q")[2].alias("q75"), "high")
+    """Count, min, quartiles (exact, linear), mean, max of the observed values; no group needs all its values in one place."""
+    facts = df.groupBy(*groups).agg(F.count(value).alias("n"), F.min(value).alias("low"), F.avg(value).alias("mean"), F.max(value).alias("high"))
+    q = exact_quantiles(df, groups, [value], [0.25, 0.5, 0.75]).select(*[F.col(g).alias(f"__{g}") for g in groups], "q")
+    on = reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups], F.lit(True))
+    return facts.join(q, on, "left").select(*groups, "n", "low", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), "mean", F.col("q")[2].alias("q75"), "high")
 
 
 def equivalence_classes(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
@@ -95,20 +100,42 @@ def sets_as_text(df: DataFrame, keys: Sequence[str], item: str, n: str) -> DataF
     return df.groupBy(*keys).agg(F.count_distinct(item).alias("sources"), F.sum(n).alias("total"), F.array_join(F.array_sort(F.collect_set(item)), "|").alias("items"))
 
 
-#: Rows of an ordered table hash.
-MOST_HASHED = 1_000_000
+#: Bytes of lines that a sorted partition holds on average, and that travel in one block.
+SORTED_BYTES, BLOCK_BYTES = 32_000_000, 1_000_000
+
+
+def _line_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for batch in batches:
+        for line in batch.column(0).to_pylist():
+            held.append(line)
+            size += len(line)
+            if size >= BLOCK_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(["\n".join(held)], pa.string()), pa.array([len(held)], pa.int64())], names=["block", "rows"])
+                held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(["\n".join(held)], pa.string()), pa.array([len(held)], pa.int64())], names=["block", "rows"])
 
 
 def table_hash(df: DataFrame, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """A10: SHA-256 over the rows' canonical lines in order: one row, for tables of at most ``MOST_HASHED`` rows, which is checked.
+    """A10: SHA-256 over the rows' canonical lines in order (then by line): one row (rows, digest), for tables of any size.
 
-    Such a hash needs all lines in one place; ``table_fingerprint`` has no bound.
+    A sort over range partitions of about ``SORTED_BYTES`` puts the lines in order, tasks join them to blocks, and
+    the digest takes up one block after the other, partition by partition: such a hash is sequential by its nature, but
+    the driver holds one partition of lines at most. Rows alike in all of these columns are spread as well.
     """
-    if df.limit(MOST_HASHED + 1).count() > MOST_HASHED:
-        raise ValueError(f"more than {MOST_HASHED} rows; take table_fingerprint")
     line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit(S.NULL_MARK)) for c in columns])
-    lines = df.select(F.struct(*order, line.alias("__line")).alias("s")).agg(F.array_sort(F.collect_list("s")).alias("a"), F.count(F.lit(1)).alias("rows"))
-    return lines.select("rows", F.sha2(F.array_join(F.transform("a", lambda s: s["__line"]), "\n"), 256).alias("digest"))
+    lines = df.select(*[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], line.alias("__line"))
+    size = lines.agg(F.sum(F.octet_length("__line"))).first()[0] or 0
+    keys = [f"__o{i}" for i in range(len(order))] + ["__line"]
+    salted = lines.withColumn("__salt", F.monotonically_increasing_id())
+    parts = max(1, -(-size // SORTED_BYTES))
+    blocks = salted.repartitionByRange(parts, *keys, "__salt").sortWithinPartitions(*keys).select("__line").mapInArrow(_line_blocks, "block string, rows long")
+    state, rows = hashlib.sha256(), 0
+    for r in blocks.toLocalIterator():
+        state.update((b"\n" if rows else b"") + r["block"].encode())
+        rows += r["rows"]
+    return df.sparkSession.createDataFrame([(rows, state.hexdigest())], "rows long, digest string")
 
 
 def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

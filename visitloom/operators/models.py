@@ -22,6 +22,7 @@ from pyspark.sql.window import Window
 
 from visitloom.operators.features import decision_id
 from visitloom.operators.preprocess import scaling
+from visitloom.operators.quantiles import exact_quantiles
 
 #: Training values (rows x columns) that one trial task may hold.
 MAX_VALUES = 200_000_000
@@ -108,8 +109,9 @@ def mean_baseline(train: DataFrame, y: str, n: int) -> np.ndarray:
 
 def median_baseline(train: DataFrame, y: str, n: int) -> np.ndarray:
     """Exact medians."""
-    row = train.agg(*[F.percentile(F.col(y)[i].cast("double"), 0.5).alias(f"m{i}") for i in range(n)]).first()
-    return np.array(list(row))
+    names = [f"m{i}" for i in range(n)]
+    found = {r["feature"]: r["q"][0] for r in exact_quantiles(train.select(*[F.col(y)[i].alias(c) for i, c in enumerate(names)]), [], names, [0.5]).collect()}
+    return np.array([found.get(c, np.nan) for c in names])
 
 
 @dataclass

@@ -13,15 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitloom.functions import scalars as S
+from visitloom.operators.quantiles import exact_quantiles
 
 #: Categories of one column above which one-hot encoding is refused.
 MAX_CATEGORIES = 10_000
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    """Exact medians of the observed values, all in one aggregate."""
-    row = df.agg(*[F.percentile(c, 0.5).alias(c) for c in columns]).first()
-    return {c: row[c] for c in columns}
+    """Exact medians of the observed values of all columns together; None where nothing is observed."""
+    found = {r["feature"]: r["q"][0] for r in exact_quantiles(df, [], columns, [0.5]).collect()}
+    return {c: found.get(c) for c in columns}
 
 
 def impute(c: str, median: float) -> tuple[Column, Column]:

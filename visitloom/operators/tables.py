@@ -142,9 +142,50 @@ def distinct_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
 # --- windows, order, selection ---
 
 
-def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "position") -> DataFrame:
-    """Positions from 1, NULL last; the last order column should be unique within a key."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in order])))
+#: Rows of one key above which they are numbered in several stretches, and stretches of such a key.
+HOT_ROWS, STRETCHES = 1_000_000, 64
+
+
+def _stretch_ends(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int) -> DataFrame | None:
+    """For every key of more than ``hot_rows`` rows the values of the order columns that begin its stretches, from a sample of
+    its rows by hash; None without such a key."""
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_rows).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__n")
+    if hot.isEmpty():
+        return None
+    every = F.greatest(F.lit(1).cast("long"), F.floor(F.col("__n") / (16 * STRETCHES)))
+    chosen = df.join(small_side(hot), _on_keys(keys)).filter(F.pmod(F.xxhash64(*order), every) == 0)
+    sample = chosen.groupBy(*[f"__k{i}" for i in range(len(keys))]).agg(F.array_sort(F.collect_set(_ordered(order))).alias("s"))
+    step = F.greatest(F.lit(1), F.floor(F.size("s") / STRETCHES).cast("int"))
+    return sample.select(*[f"__k{i}" for i in range(len(keys))], F.filter("s", lambda x, i: i % step == 0).alias("__ends"))
+
+
+def _on_keys(keys: Sequence[str], other: str = "__k") -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{other}{i}")) for i, k in enumerate(keys)])
+
+
+def _ordered(order: Sequence[str]) -> Column:
+    """The order columns as one comparable value with NULL last."""
+    return F.struct(*[x for i, c in enumerate(order) for x in (F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"o{i}"))])
+
+
+def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "position", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Positions from 1, NULL last; the last order column should be unique within a key.
+
+    A key of more than ``hot_rows`` rows is numbered in two passes over stretches of its order: the
+    rows of each stretch are counted, prefix sums say where it begins, and only a stretch is sorted in one task.
+    """
+    in_order = [F.col(c).asc_nulls_last() for c in order]
+    ends = _stretch_ends(df, keys, order, hot_rows)
+    if ends is None:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*in_order)))
+    at = F.coalesce(F.size(F.filter("__ends", lambda e: e <= _ordered(order))), F.lit(0))
+    placed = df.join(small_side(ends), _on_keys(keys), "left").withColumn("__at", F.when(F.col("__ends").isNull(), 0).otherwise(at)).select(*df.columns, "__at", F.col("__ends").isNotNull().alias("__hot"))
+    counts = placed.filter("__hot").groupBy(*keys, "__at").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)  # at most STRETCHES + a few rows a key
+    offsets = counts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__at").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    row = F.row_number().over(Window.partitionBy(*keys, "__at").orderBy(*in_order))
+    joined = placed.withColumn("__row", row).join(small_side(offsets), _on_keys(keys) & (F.col("__at") == F.col("__b")), "left")
+    return joined.select(*df.columns, (F.col("__row") + F.coalesce("__before", F.lit(0))).cast("int").alias(out))
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], observed: str | None = None) -> DataFrame:

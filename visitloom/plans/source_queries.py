@@ -9,6 +9,8 @@ from urllib.parse import urlparse
 from pyspark.sql import functions as F
 
 from visitloom.functions import scalars as S
+from visitloom.operators import aggregates as A
+from visitloom.operators import constraints as K
 from visitloom.operators import features as X
 from visitloom.operators import governance as G
 from visitloom.operators import resolve as V
@@ -319,3 +321,118 @@ def package_validation(spark, sf):
     checks = G.Checks()
     G.validate_package(checks, splits, visits, targets, {"lines": lines}, "person", ["person", "code"], "position", ["o_totalprice"])
     return checks.frame(spark)
+
+
+# A package with planted faults: ``visits`` and ``targets`` are the orders once more, with cells, keys, splits, positions and rows changed.
+VISITS_SQL = f"""p AS (SELECT c_custkey AS person, {SPLIT_SQL.replace("o_custkey", "c_custkey")} AS split FROM customer),
+a AS (SELECT o_custkey AS person, o_orderkey AS visit, {SPLIT_SQL} AS split, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INT) AS position, o_totalprice AS target FROM orders),
+b AS (SELECT CASE WHEN visit % 97 <> 5 THEN person END AS person, visit, CASE WHEN visit % 89 = 7 THEN 'other' ELSE split END AS split, CASE WHEN visit % 83 = 1 THEN position + 1 ELSE position END AS position,
+  CASE WHEN visit % 79 = 2 THEN 'n/a' WHEN visit % 79 = 3 THEN 'inf' ELSE CAST(target AS VARCHAR) END AS target FROM a WHERE visit % 71 <> 4
+  UNION ALL SELECT person, visit, split, position, CAST(target AS VARCHAR) FROM a WHERE visit % 73 = 6)"""
+
+
+def planted_visits(spark, sf):
+    a = R.with_position(table(spark, sf, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"])
+    a = a.select(F.col("o_custkey").alias("person"), F.col("o_orderkey").alias("visit"), split_of(F.col("o_custkey")).alias("split"), "position", F.col("o_totalprice").alias("target"))
+    v = F.col("visit")
+    text = F.col("target").cast("string")
+    b = a.filter(v % 71 != 4).select(
+        F.when(v % 97 != 5, F.col("person")).alias("person"), "visit", F.when(v % 89 == 7, "other").otherwise(F.col("split")).alias("split"),
+        F.when(v % 83 == 1, F.col("position") + 1).otherwise(F.col("position")).alias("position"), F.when(v % 79 == 2, "n/a").when(v % 79 == 3, "inf").otherwise(text).alias("target"),
+    )
+    return a, b.union(a.filter(v % 73 == 6).select("person", "visit", "split", "position", text))
+
+
+POLICY_FACTS = {"boundary": "winner_date_max < current_date_min", "method": "strict_date_intervals", "version": 2}
+MANIFEST = {"package": "visits", "splits": {"names": ["train", "validation", "test"], "frozen": True}, "tables": {"region": 5, "nation": 25}}
+MANIFEST_FACTS = {"package": "visits", "splits.names": ["train", "validation", "test"], "splits.frozen": True, "splits.test_values_used": False, "tables.region": 5}
+
+
+def _checks_sql() -> str:
+    """One row for each check: its name, what is expected, and a query for what is observed."""
+    zero, rows = [], []
+    count = lambda t, where: f"SELECT count(*) FROM {t} WHERE {where}"
+    repeated = lambda t, key: f"SELECT count(*) - count(DISTINCT ({key})) FROM {t}"
+    orphan = lambda t, on, parent, to: f"SELECT count(*) FROM {t} WHERE {on} IS NULL OR {on} NOT IN (SELECT {to} FROM {parent})"
+    entities = {  # name: (table, key columns, [(check, query)])
+        "regions": ("region", ["r_regionkey"], []),
+        "nations": ("nation", ["n_nationkey"], [("orphans_region", orphan("nation", "n_regionkey", "region", "r_regionkey"))]),
+        "suppliers": ("supplier", ["s_suppkey"], [("finite_s_acctbal", "SELECT 0"), ("orphans_nation", orphan("supplier", "s_nationkey", "nation", "n_nationkey"))]),
+        "parts": ("part", ["p_partkey"], [("finite_p_retailprice", "SELECT 0"), ("large", count("part", "p_size > 45"))]),
+        "participants": ("p", ["person"], [("domain_split", "SELECT 0")]),
+        "anchor": ("a", ["person", "visit"], [("domain_split", "SELECT 0"), ("orphans_participant", "SELECT 0"), ("differ_participant_split", "SELECT 0"), ("broken_positions", "SELECT 0")]),
+        "visits": ("b", ["person", "visit"], [
+            ("domain_split", count("b", "split = 'other'")), ("numeric_target", count("b", "target = 'n/a'")), ("finite_target", count("b", "target IN ('n/a', 'inf')")),
+            ("orphans_participant", count("b", "person IS NULL")), ("differ_participant_split", "SELECT count(*) FROM b JOIN p USING (person) WHERE b.split <> p.split"),
+            ("broken_positions", """SELECT count(*) FROM (SELECT person, list_sort(list(position)) AS x FROM b GROUP BY 1) WHERE x <> range(1, len(x) + 1)"""),
+        ]),
+        "lines": ("lineitem", ["l_orderkey", "l_linenumber"], [
+            ("domain_l_returnflag", count("lineitem", "l_returnflag NOT IN ('A', 'N')")), ("finite_l_quantity", "SELECT 0"), ("finite_l_discount", "SELECT 0"),
+            ("shipped_late", count("lineitem", "l_shipdate > TIMESTAMP '1998-09-01'")), ("dear", count("lineitem", "l_extendedprice > 50000")),
+            ("orphans_order", orphan("lineitem", "l_orderkey", "orders", "o_orderkey")), ("orphans_part", orphan("lineitem", "l_partkey", "part", "p_partkey")), ("orphans_supplier", orphan("lineitem", "l_suppkey", "supplier", "s_suppkey")),
+            ("broken_positions", "SELECT count(*) FROM (SELECT l_orderkey, list_sort(list(CAST(l_linenumber AS BIGINT))) AS x FROM lineitem GROUP BY 1) WHERE x <> range(1, len(x) + 1)"),
+        ]),
+        "events": ("events", ["event_id"], [("domain_event_type", count("events", "event_type NOT IN ('view', 'click', 'cart')")), ("orphans_participant", orphan("events", "user_id", "customer", "c_custkey"))]),
+        "documents": ("documents", ["doc_id"], [("empty", count("documents", "text IS NULL OR text = ''")), ("domain_lang", count("documents", "lang NOT IN ('en', 'de', 'fr')"))]),
+        "labels": ("labels", ["doc_id"], [("domain_toxic", "SELECT 0"), ("orphans_document", orphan("labels", "doc_id", "documents", "doc_id"))]),
+        "turns": ("conversations", ["conv_id", "turn"], [("domain_role", count("conversations", "role <> 'user'")), ("broken_positions", "SELECT count(*) FROM (SELECT conv_id, list_sort(list(turn)) AS x FROM conversations GROUP BY 1) WHERE x <> range(1, len(x) + 1)")]),
+    }
+    for name, (t, key, more) in entities.items():
+        rows.append((f"{name}_required_columns", "", "SELECT ''"))
+        missing = " OR ".join(f"{k} IS NULL" for k in key)
+        distinct = ", ".join(f"coalesce(CAST({k} AS VARCHAR), '')" for k in key)
+        zero += [(f"{name}_missing_key", count(t, missing)), (f"{name}_duplicate_key", repeated(t, distinct)), *[(f"{name}_{n}", q) for n, q in more if n not in ("large", "dear")]]
+    rows += [(n, "0", q) for n, q in zero]
+    rows += [("nations_catalog_order", "n_nationkey,n_name,n_regionkey", "SELECT 'n_nationkey,n_name,n_regionkey'"), ("regions_total", "5", "SELECT count(*) FROM region"), ("nations_total", "25", "SELECT count(*) FROM nation")]
+    rows += [("parts_large", "0", entities["parts"][2][1][1]), ("lines_dear", "10", next(q for n, q in entities["lines"][2] if n == "dear"))]
+    keys = lambda t: f"(SELECT person, visit FROM {t} WHERE person IS NOT NULL)"
+    rows += [
+        ("anchor_and_visits_left_only", "0", f"SELECT count(*) FROM ({keys('a')} EXCEPT {keys('b')})"),
+        ("anchor_and_visits_right_only", "0", "SELECT count(DISTINCT visit) FROM b WHERE person IS NULL"),
+        ("anchor_and_visits_differ_split", "0", "SELECT count(*) FROM a JOIN (SELECT person, visit, min(split) AS s FROM b GROUP BY 1, 2) x USING (person, visit) WHERE a.split <> s"),
+        ("anchor_and_visits_differ_position", "0", "SELECT count(*) FROM a JOIN (SELECT person, visit, min(position) AS q FROM b GROUP BY 1, 2) x USING (person, visit) WHERE a.position <> q"),
+        ("manifest_package", '["visits"]', """SELECT '["visits"]'"""), ("manifest_splits_names", '[["train","validation","test"]]', """SELECT '[["train","validation","test"]]'"""),
+        ("manifest_splits_frozen", "[true]", "SELECT '[true]'"), ("manifest_splits_test_values_used", "[false]", "SELECT '[null]'"), ("manifest_tables_region", "[5]", "SELECT '[5]'"),
+        ("policy_version", "[2]", "SELECT '[1]'"), ("policy_method", '["strict_date_intervals"]', """SELECT '["strict_date_intervals"]'"""), ("policy_boundary", '["winner_date_max < current_date_min"]', """SELECT '["winner_date_max < current_date_min"]'"""),
+        ("participant_mapping_sha256", None, "SELECT sha256(string_agg(person || ',' || split, chr(10) ORDER BY person)) FROM p"),
+    ]
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    parts = [f"SELECT {quoted(n)} AS name, {quoted(w) if w is not None else f'({q})'} AS want, CAST(({q}) AS VARCHAR) AS got" for n, w, q in rows]
+    return f"WITH {VISITS_SQL}, r AS (" + " UNION ALL ".join(parts) + """) SELECT name AS "check", want = got AS passed, want AS expected, got AS observed FROM r"""
+
+
+@query(_checks_sql())
+def package_constraints(spark, sf):
+    """A package of all kinds of constraints with planted faults: each check with what it expects and finds."""
+    t = lambda name: table(spark, sf, name)
+    a, b = planted_visits(spark, sf)
+    participants = t("customer").select(F.col("c_custkey").alias("person"), split_of(F.col("c_custkey")).alias("split"))
+    person = {"participant": K.Parent("participants", {"person": "person"}, {"split": "split"})}
+    names = ("train", "validation", "test")
+    entities = {
+        "regions": K.Entity(t("region"), ("r_regionkey",), ("r_name",), rows=5),
+        "nations": K.Entity(t("nation"), ("n_nationkey",), catalog=("n_nationkey", "n_name", "n_regionkey"), rows=25, parents={"region": K.Parent("regions", {"n_regionkey": "r_regionkey"})}),
+        "suppliers": K.Entity(t("supplier"), ("s_suppkey",), finite=("s_acctbal",), parents={"nation": K.Parent("nations", {"s_nationkey": "n_nationkey"})}),
+        "parts": K.Entity(t("part"), ("p_partkey",), finite=("p_retailprice",), counts={"large": (F.col("p_size") > 45, 0)}),
+        "participants": K.Entity(participants, ("person",), domains={"split": names}),
+        "anchor": K.Entity(a, ("person", "visit"), domains={"split": names}, parents=person, positions=(("person",), "position")),
+        "visits": K.Entity(b, ("person", "visit"), domains={"split": names}, numeric=("target",), finite=("target",), parents=person, positions=(("person",), "position")),
+        "orders": K.Entity(t("orders"), ("o_orderkey",)),
+        "lines": K.Entity(
+            t("lineitem"), ("l_orderkey", "l_linenumber"), ("l_shipdate",), domains={"l_returnflag": ("A", "N")}, finite=("l_quantity", "l_discount"),
+            rules={"shipped_late": F.col("l_shipdate") > F.lit("1998-09-01").cast("timestamp")}, counts={"dear": (F.col("l_extendedprice") > 50000, 10)},
+            parents={"order": K.Parent("orders", {"l_orderkey": "o_orderkey"}), "part": K.Parent("parts", {"l_partkey": "p_partkey"}), "supplier": K.Parent("suppliers", {"l_suppkey": "s_suppkey"})},
+            positions=(("l_orderkey",), "l_linenumber"),
+        ),
+        "events": K.Entity(t("events"), ("event_id",), domains={"event_type": ("view", "click", "cart")}, parents={"participant": K.Parent("participants", {"user_id": "person"})}),
+        "documents": K.Entity(t("documents"), ("doc_id",), domains={"lang": ("en", "de", "fr")}, rules={"empty": F.col("text").isNull() | (F.col("text") == "")}),
+        "labels": K.Entity(t("labels"), ("doc_id",), domains={"toxic": (0, 1)}, parents={"document": K.Parent("documents", {"doc_id": "doc_id"})}),
+        "turns": K.Entity(t("conversations"), ("conv_id", "turn"), domains={"role": ("user",)}, positions=(("conv_id",), "turn")),
+    }
+    checks = G.Checks()
+    K.validate(checks, entities, {"anchor_and_visits": K.Twin("anchor", "visits", {"split": "split", "position": "position"})})
+    K.facts(checks, "manifest", MANIFEST, MANIFEST_FACTS)
+    K.facts(checks, "policy", POLICY, POLICY_FACTS)
+    mapping = A.table_hash(participants.select("person", F.concat_ws(",", "person", "split").alias("line")), ["person"], ["line"]).first()["digest"]
+    checks.equal("participant_mapping_sha256", mapping, mapping)
+    return checks.frame(spark).filter("check NOT LIKE 'orders_%'")

@@ -11,6 +11,7 @@ from visitloom.operators import features as X
 from visitloom.operators import resolve as V
 from visitloom.operators import tables as R
 from visitloom.operators import temporal as T
+from visitloom.operators.quantiles import exact_quantiles
 from visitloom.plans.registry import query
 from visitloom.session import staged, table
 
@@ -595,3 +596,30 @@ def availability_timeline(spark, sf):
     a = table(spark, sf, "orders").select(F.col("o_custkey").alias("p"), F.col("o_totalprice").alias("x"), F.when(F.col("o_orderstatus") != "O", F.lit(1)).alias("y"))
     b = table(spark, sf, "events").select(F.col("user_id").alias("p"), F.col("value").alias("x"))
     return X.availability_timeline({"orders": a, "events": b}, ["p"], {"orders": ["x", "y"], "events": ["x"]})
+
+
+@query("""SELECT l_returnflag AS flag, feature, count(v) AS n, round(quantile_cont(v, 0), 6) AS low, round(quantile_cont(v, 0.1), 6) AS q10, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.99), 6) AS q99, round(quantile_cont(v, 1), 6) AS high
+FROM (SELECT l_returnflag, unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS feature, unnest([l_quantity, l_extendedprice, l_discount, CASE WHEN l_tax > 0 THEN l_tax END]) AS v FROM lineitem) GROUP BY 1, 2""")
+def large_group_quantiles(spark, sf):
+    """Exact quantiles of several columns in groups that no task sorts whole."""
+    li = table(spark, sf, "lineitem").withColumn("l_tax", F.nullif("l_tax", F.lit(0.0)))
+    q = exact_quantiles(li, ["l_returnflag"], ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], [0, 0.1, 0.5, 0.99, 1], small=1_000)
+    return q.select(F.col("l_returnflag").alias("flag"), "feature", "n", *[F.round(F.col("q")[i], 6).alias(c) for i, c in enumerate(("low", "q10", "median", "q99", "high"))])
+
+
+HOT_PERSON = "CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END"
+
+
+@query(f"SELECT o_orderkey, {HOT_PERSON} AS person, CAST(row_number() OVER (PARTITION BY {HOT_PERSON} ORDER BY o_orderdate, o_orderkey) AS INT) AS position FROM orders")
+def hot_participant_positions(spark, sf):
+    """Positions where one participant has a third of all rows, numbered in stretches."""
+    o = table(spark, sf, "orders").withColumn("person", F.when(F.col("o_orderkey") % 3 == 0, 0).otherwise(F.col("o_custkey")))
+    return R.with_position(o.select("o_orderkey", "person", "o_orderdate"), ["person"], ["o_orderdate", "o_orderkey"], hot_rows=200).select("o_orderkey", "person", "position")
+
+
+@query("""SELECT count(*) AS rows, sha256(string_agg(line, chr(10) ORDER BY o_orderpriority, o_custkey, line)) AS digest FROM (
+SELECT *, concat_ws('|', coalesce(o_orderpriority, '<NA>'), CAST(o_custkey AS VARCHAR), CAST(o_orderkey AS VARCHAR), CASE WHEN o_custkey % 9 = 0 THEN '<NA>' ELSE o_orderstatus END) AS line FROM orders)""")
+def ordered_digest(spark, sf):
+    """A10: the digest of a table's lines in order, of any number of rows."""
+    o = table(spark, sf, "orders").withColumn("o_orderstatus", F.when(F.col("o_custkey") % 9 != 0, F.col("o_orderstatus")))
+    return A.table_hash(o, ["o_orderpriority", "o_custkey"], ["o_orderpriority", "o_custkey", "o_orderkey", "o_orderstatus"])
