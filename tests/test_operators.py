@@ -219,13 +219,24 @@ def test_scope_profile(spark):
     assert (r["rows"], r["participants"], r["observed_rows"], r["observed_participants"]) == (4, 3, 2, 2)
 
 
+def js_of(p, q):
+    m = (p + q) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return float(np.sqrt(max(0.0, (np.where(p > 0, p * np.log2(p / m), 0).sum() + np.where(q > 0, q * np.log2(q / m), 0).sum()) / 2)))
+
+
+def w1_of(u, v):
+    u, v, both = np.sort(u), np.sort(v), np.sort(np.concatenate([u, v]))
+    return float((np.abs(np.searchsorted(u, both[:-1], side="right") / len(u) - np.searchsorted(v, both[:-1], side="right") / len(v)) * np.diff(both)).sum())
+
+
 def test_split_sizes_and_score(spark):
     assert list(B.split_sizes(2839).values()) == [1987, 426, 426]
     df = spark.createDataFrame([("c", "train", 0.1), ("c", "validation", 0.2), ("c", "test", 0.3)], "criterion string, split string, distance double")
     assert B.score_criteria(df).first()["score_final"] == pytest.approx(0.25)
     p, q = np.array([0.5, 0.5]), np.array([1.0, 0.0])
-    assert B._js(p, p) == 0 and 0 < B._js(p, q) < 1
-    assert B._w1(np.array([0.0, 1.0]), np.array([1.0, 2.0])) == pytest.approx(1.0)
+    assert js_of(p, p) == 0 and 0 < js_of(p, q) < 1
+    assert w1_of(np.array([0.0, 1.0]), np.array([1.0, 2.0])) == pytest.approx(1.0)
 
 
 def test_distances_agree_with_numpy(spark):
@@ -237,8 +248,8 @@ def test_distances_agree_with_numpy(spark):
     z = (pdf["v"] - pdf["v"].mean()) / pdf["v"].std(ddof=0)
     share = pdf["c"].value_counts(normalize=True).sort_index()
     for s, g in pdf.groupby("split"):
-        assert js[s] == pytest.approx(B._js(share.to_numpy(), g["c"].value_counts(normalize=True).reindex(share.index, fill_value=0).to_numpy()))
-        assert w1[s] == pytest.approx(B._w1(np.sort(z.to_numpy()), z[g.index].to_numpy()))
+        assert js[s] == pytest.approx(js_of(share.to_numpy(), g["c"].value_counts(normalize=True).reindex(share.index, fill_value=0).to_numpy()))
+        assert w1[s] == pytest.approx(w1_of(z.to_numpy(), z[g.index].to_numpy()))
 
 
 def test_metrics(spark):
@@ -365,10 +376,70 @@ def test_split_search_resumes(spark):
     df = spark.createDataFrame(pdf)
     a = B.search_splits(df, 30, tasks=3).orderBy("candidate_id").toPandas()
     b = B.search_splits(df, 30, first=11, tasks=2).orderBy("candidate_id").toPandas()
-    assert len(a) == 30 and a.iloc[10:].reset_index(drop=True).equals(b)
+    pd.testing.assert_frame_equal(a.iloc[10:].reset_index(drop=True), b, rtol=1e-12)
+    assert len(a) == 30
     assert a["seed"].iloc[0] == B.MASTER_SEED + 1
 
 
+def split_one_by_one(profile, seed):
+    """One candidate at a time: the split laid out and every criterion compared with all participants."""
+    sizes, visits = B.split_sizes(len(profile)), profile["n_visits"].to_numpy()
+    order = np.random.default_rng(seed).permutation(len(profile))
+    by, reasons, at = {}, set(), 0
+    for s, size in sizes.items():
+        ix, at = order[at : at + size], at + size
+        error = abs(visits[ix].sum() / visits.sum() - B.SHARES[s])
+        by.setdefault("visit_proportion", []).append(error)
+        reasons |= {f"visit_proportion_outside_tolerance:{s}"} if error > B.VISIT_TOLERANCE else set()
+        reasons |= {f"insufficient_{k}plus:{s}" for k in (2, 3) if not (visits[ix] >= k).any()}
+        for c in B.CATEGORICAL:
+            values = profile[c].fillna("__MISSING__").astype(str)
+            all_ = values.value_counts(normalize=True)
+            by.setdefault(c, []).append(js_of(values.iloc[ix].value_counts(normalize=True).reindex(all_.index, fill_value=0).to_numpy(), all_.to_numpy()))
+            common = {v for v, n in values.value_counts().items() if n >= B.REQUIRED_COUNT and v not in ("__MISSING__", "__RARE__")}
+            if c == "diagnosis_first" and not common <= set(values.iloc[ix]):
+                reasons.add(f"missing_required_diagnosis_category:{s}")
+        for c in B.NUMERIC:
+            x = profile[c].to_numpy(float)
+            known = np.isfinite(x)
+            if known.sum() >= 2 and x[known].std() > 0:
+                z = (x - x[known].mean()) / x[known].std()
+                mine = z[ix][np.isfinite(z[ix])]
+                by.setdefault(c, []).append(w1_of(z[known], mine) if len(mine) else np.inf)
+    scores = {c: (np.mean(d) + np.max(d)) / 2 for c, d in by.items()}
+    live = {c: d for c, d in scores.items() if np.isfinite(d)}
+    return np.mean(list(live.values())), max(live.values()), not reasons, "|".join(sorted(reasons))
+
+
+def test_split_search_scores(spark):
+    """Many candidates at once score as each by itself, with missing cells, rare categories and a constant criterion."""
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"participant": np.arange(70), "n_visits": rng.choice([1, 1, 1, 2, 3], 70), "followup_months": np.where(rng.random(70) < 0.2, np.nan, rng.integers(0, 9, 70)), "modality_count_mean": 2.0})
+    for c in B.CATEGORICAL:
+        pdf[c] = rng.choice(["u", "v", "w", None], 70, p=[0.6, 0.2, 0.15, 0.05])
+    got = B.search_splits(spark.createDataFrame(pdf), 60, tasks=2).orderBy("candidate_id").toPandas()
+    profile = pdf.sort_values("participant").reset_index(drop=True)
+    for r in got.itertuples():
+        score, worst, valid, reasons = split_one_by_one(profile, r.seed)
+        assert (r.score_final, r.score_max_component) == pytest.approx((score, worst), rel=1e-9) and (r.is_valid, r.rejection_reasons) == (valid, reasons)
+    assert 0 < got["is_valid"].sum() < 60
+
+
+def test_best_split_replayed_by_operators(spark, small):
+    """The best candidate's mapping gives its score again through the Spark operators of each distance."""
+    from visitloom.plans.model_queries import _profile
+
+    profile = _profile(spark, small)
+    best = B.search_splits(profile, 300, tasks=4).orderBy("score_final").first()
+    df = profile.join(B.split_mapping(profile, best["seed"]), "participant").cache()
+    per = [B.js_distance(df, c, "split").withColumn("criterion", F.lit(c)) for c in B.CATEGORICAL] + [B.wasserstein(df, c, "split").withColumn("criterion", F.lit(c)) for c in B.NUMERIC]
+    total = df.agg(F.sum("n_visits")).first()[0]
+    share = F.create_map(*[F.lit(x) for kv in B.SHARES.items() for x in kv])[F.col("split")]
+    visits = df.groupBy("split").agg(F.sum("n_visits").alias("v")).select("split", F.abs(F.col("v") / total - share).alias("distance"), F.lit("visit_proportion").alias("criterion"))
+    out = B.score_criteria(R.union_all([*per, visits])).first()
+    assert out["score_final"] == pytest.approx(best["score_final"], rel=1e-6) and out["worst"] == best["score_max_component_name"]
+
+
 # --- features, governance, sources ---
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,8 @@ CATEGORICAL = ("diagnosis_first", "sex", "apoe_availability", "modality_pattern_
 NUMERIC = ("n_visits", "followup_months", "modality_count_mean")
 #: Participants of a profile that may be broadcast to the search tasks.
 MAX_PARTICIPANTS = 2_000_000
+#: Candidates times participants that a search task holds at once.
+CELLS = 1_000_000
 
 
 def split_sizes(n: int, shares: Mapping[str, float] = SHARES) -> dict[str, int]:
@@ -87,85 +90,104 @@ def score_criteria(distances: DataFrame, candidate: Sequence[str] = (), weight:
     return live.groupBy(*keys).agg((F.sum(F.col("w") * F.col("score")) / F.sum("w")).alias("score_final"), F.max("score").alias("score_max_component"), F.max_by("criterion", "score").alias("worst"))
 
 
-def _js(p: np.ndarray, q: np.ndarray) -> float:
-    m = (p + q) / 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        a, b = np.where(p > 0, p * np.log2(p / m), 0).sum(), np.where(q > 0, q * np.log2(q / m), 0).sum()
-    return float(np.sqrt(max(0.0, (a + b) / 2)))
-
-
-def _w1(u: np.ndarray, v: np.ndarray) -> float:
-    """``u`` sorted."""
-    v = np.sort(v)
-    both = np.sort(np.concatenate([u, v]))
-    cu, cv = np.searchsorted(u, both[:-1], side="right") / len(u), np.searchsorted(v, both[:-1], side="right") / len(v)
-    return float((np.abs(cu - cv) * np.diff(both)).sum())
-
-
-def evaluate_candidate(profile: Mapping[str, np.ndarray], seed: int, sizes: Mapping[str, int], context: Mapping) -> dict:
-    """One permutation, split and scored; the reasons for which it is not valid are in ``reasons``."""
-    n = len(profile["n_visits"])
-    order = np.random.default_rng(seed).permutation(n)
-    cuts = np.cumsum([0, *sizes.values()])
-    parts = {s: order[cuts[i] : cuts[i + 1]] for i, s in enumerate(sizes)}
-    visits, total = profile["n_visits"], profile["n_visits"].sum()
-    by: dict[str, list[float]] = {"visit_proportion": []}
-    reasons = set()
-    for s, ix in parts.items():
-        error = abs(visits[ix].sum() / total - SHARES[s])
-        by["visit_proportion"].append(error)
-        reasons |= {f"visit_proportion_outside_tolerance:{s}"} if error > VISIT_TOLERANCE else set()
-        reasons |= {f"insufficient_{k}plus:{s}" for k in (2, 3) if (visits[ix] >= k).sum() < 1}
-        for name, (codes, share) in context["categorical"].items():
-            p = np.bincount(codes[ix], minlength=len(share)) / len(ix)
-            by.setdefault(name, []).append(_js(share, p))
-            if name == "diagnosis_first" and not context["required"] <= set(codes[ix].tolist()):
-                reasons.add(f"missing_required_diagnosis_category:{s}")
-        for name, (z, known) in context["numeric"].items():
-            v = z[ix][np.isfinite(z[ix])]
-            by.setdefault(name, []).append(_w1(known, v) if len(v) else np.inf)
-    scores = {k: (np.mean(v) + np.max(v)) / 2 for k, v in by.items()}
-    live = {k: v for k, v in scores.items() if np.isfinite(v)}
-    worst = max(live, key=lambda k: live[k])
-    return {"score_final": float(np.mean(list(live.values()))), "score_max_component": float(live[worst]), "score_max_component_name": worst, "is_valid": not reasons, "rejection_reasons": "|".join(sorted(reasons))}
-
-
-def search_context(profile: pd.DataFrame) -> tuple[dict[str, np.ndarray], dict]:
-    """Codes, shares and standardized values of a profile, sorted by participant."""
-    categorical, numeric = {}, {}
-    for c in CATEGORICAL:
-        values = profile[c].fillna("__MISSING__").astype(str)
-        names, codes = np.unique(values, return_inverse=True)
-        count = np.bincount(codes)
-        categorical[c] = (codes, count / count.sum())
-        if c == "diagnosis_first":
-            required = {i for i, n in enumerate(names) if count[i] >= REQUIRED_COUNT and n not in ("__MISSING__", "__RARE__")}
-    for c in NUMERIC:
-        x = pd.to_numeric(profile[c], errors="coerce").to_numpy(float)
-        known = x[np.isfinite(x)]
-        if len(known) >= 2 and known.std() > 0:
-            z = (x - known.mean()) / known.std()
-            numeric[c] = (z, np.sort(z[np.isfinite(z)]))
-    return {"n_visits": profile["n_visits"].to_numpy(np.int64)}, {"categorical": categorical, "numeric": numeric, "required": required}
+@dataclass
+class SearchContext:
+    """A profile as arrays, one entry for each participant in their order.
+
+    ``facts`` has a column for the visits, the participants with two and with three visits, and every
+    category of every criterion (``blocks``: name to columns and shares), so that one product with the splits' indicators
+    counts all of them. ``ordered`` has for each number criterion the participants with a value by value, and the gaps between
+    neighbours in standard deviations.
+    """
+
+    sizes: dict[str, int]
+    facts: np.ndarray
+    blocks: dict[str, tuple[slice, np.ndarray]]
+    required: np.ndarray
+    ordered: dict[str, tuple[np.ndarray, np.ndarray]]
+
+    @classmethod
+    def of(cls, profile: pd.DataFrame) -> SearchContext:
+        visits = profile["n_visits"].to_numpy(np.float64)
+        columns, blocks, ordered, required = [visits, visits >= 2, visits >= 3], {}, {}, np.empty(0, np.int64)
+        for c in CATEGORICAL:
+            names, codes = np.unique(profile[c].fillna("__MISSING__").astype(str), return_inverse=True)
+            count, first = np.bincount(codes), len(columns)
+            columns += [codes == k for k in range(len(names))]
+            blocks[c] = (slice(first, len(columns)), count / count.sum())
+            if c == "diagnosis_first":
+                required = np.array([first + k for k, n in enumerate(names) if count[k] >= REQUIRED_COUNT and n not in ("__MISSING__", "__RARE__")], np.int64)
+        for c in NUMERIC:
+            x = pd.to_numeric(profile[c], errors="coerce").to_numpy(float)
+            known = np.flatnonzero(np.isfinite(x))
+            if len(known) >= 2 and x[known].std() > 0:
+                known = known[np.argsort(x[known], kind="stable")]
+                ordered[c] = (known, np.diff(x[known]) / x[known].std())
+        return cls(split_sizes(len(profile)), np.stack([np.asarray(x, np.float64) for x in columns], 1), blocks, required, ordered)
+
+    def score(self, seeds: Sequence[int]) -> dict[str, list]:
+        """The scores of the splits of many seeds: counts come from one product, the distances between numbers from running sums over sorted values."""
+        n, names = len(self.facts), list(self.sizes)
+        codes = np.empty((len(seeds), n), np.int8)
+        laid = np.repeat(np.arange(len(names), dtype=np.int8), list(self.sizes.values()))
+        for i, seed in enumerate(seeds):
+            codes[i, np.random.default_rng(seed).permutation(n)] = laid
+        member = codes[None] == np.arange(len(names))[:, None, None]  # split, candidate, participant
+        counts = (member.reshape(-1, n).astype(np.float64) @ self.facts).reshape(len(names), len(seeds), -1)
+        size = np.array(list(self.sizes.values()), np.float64)[:, None, None]
+        share = np.array([SHARES[s] for s in names])[:, None]
+        by = {"visit_proportion": np.abs(counts[:, :, 0] / self.facts[:, 0].sum() - share)}
+        for c, (columns, q) in self.blocks.items():
+            p = counts[:, :, columns] / size
+            m = (p + q) / 2
+            with np.errstate(divide="ignore", invalid="ignore"):
+                terms = np.where(p > 0, p * np.log2(p / m), 0) + np.where(q > 0, q * np.log2(q / m), 0)
+            by[c] = np.sqrt(np.maximum(terms.sum(2) / 2, 0))
+        for c, (known, gaps) in self.ordered.items():
+            all_ = np.arange(1, len(known)) / len(known)
+            out = []
+            for s in range(len(names)):
+                run = np.cumsum(member[s][:, known], axis=1, dtype=np.int32)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    out.append(np.abs(run[:, :-1] / run[:, -1:] - all_) @ gaps)
+            by[c] = np.where(np.isfinite(out), out, np.inf)
+        score = {c: (d.mean(0) + d.max(0)) / 2 for c, d in by.items()}
+        criteria, table = list(score), np.stack(list(score.values()))
+        live = np.isfinite(table)
+        worst = np.where(live, table, -np.inf).argmax(0)
+        reasons = [[] for _ in seeds]
+        faults = {
+            "missing_required_diagnosis_category": (counts[:, :, self.required] == 0).any(2) if len(self.required) else np.zeros(counts.shape[:2], bool),
+            "insufficient_2plus": counts[:, :, 1] < 1, "insufficient_3plus": counts[:, :, 2] < 1, "visit_proportion_outside_tolerance": by["visit_proportion"] > VISIT_TOLERANCE,
+        }
+        for reason, at in faults.items():
+            for s, i in zip(*np.nonzero(at), strict=True):
+                reasons[i].append(f"{reason}:{names[s]}")
+        return {
+            "score_final": (np.where(live, table, 0).sum(0) / live.sum(0)).tolist(), "score_max_component": table[worst, np.arange(len(seeds))].tolist(),
+            "score_max_component_name": [criteria[k] for k in worst], "is_valid": [not r for r in reasons], "rejection_reasons": ["|".join(sorted(r)) for r in reasons],
+        }
 
 
 def search_splits(profile: DataFrame, candidates: int = CANDIDATES, first: int = 1, master_seed: int = MASTER_SEED, tasks: int = 64) -> DataFrame:
     """Scores of seeded permutations, one row each. ``first`` resumes after candidates that are done.
 
-    Candidates are the rows that are distributed; the profile (one row for each participant, its
-    size checked) is broadcast. Permutations are NumPy's, which Spark's generator cannot replay.
+    Candidates are the rows that are distributed, and a task scores ``CELLS`` cells of candidates by participants at once;
+    the profile (one row for each participant, its size checked) is broadcast. Permutations are NumPy's,
+    which Spark's generator cannot replay.
     """
     spark: SparkSession = profile.sparkSession
     if (n := profile.count()) > MAX_PARTICIPANTS:
         raise ValueError(f"{n} participants; search over groups of participants instead")
-    pdf = profile.orderBy("participant").toPandas()
-    shared = spark.sparkContext.broadcast((*search_context(pdf), split_sizes(n)))
+    shared = spark.sparkContext.broadcast(SearchContext.of(profile.orderBy("participant").toPandas()))
+    step = max(1, CELLS // max(1, n))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, context, sizes = shared.value
-        for ids in batches:
-            rows = [{"candidate_id": int(i), "seed": master_seed + int(i), **evaluate_candidate(table, master_seed + int(i), sizes, context)} for i in ids["id"]]
-            yield pd.DataFrame(rows)
+        for batch in batches:
+            ids = batch["id"].to_numpy()
+            for k in range(0, len(ids), step):
+                some = ids[k : k + step]
+                yield pd.DataFrame({"candidate_id": some, "seed": master_seed + some, **shared.value.score((master_seed + some).tolist())})
 
     schema = "candidate_id long, seed long, score_final double, score_max_component double, score_max_component_name string, is_valid boolean, rejection_reasons string"
     return spark.range(first, candidates + 1, 1, tasks).mapInPandas(run, schema)

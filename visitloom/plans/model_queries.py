@@ -180,8 +180,8 @@ def _profile(spark, sf):
 
 @query()
 def split_search(spark, sf):
-    """The ten best of 200 seeded splits (100,000 by default)."""
-    out = B.search_splits(_profile(spark, sf), candidates=200, tasks=8)
+    """The ten best of the declared 100,000 seeded splits."""
+    out = B.search_splits(_profile(spark, sf))
     return R.best_candidates(out, ["score_final", "score_max_component", "seed"], n=10)
 
 
