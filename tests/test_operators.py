@@ -358,7 +358,7 @@ def test_knn_and_grid(spark):
     pdf = t.toPandas()
     x = np.stack(pdf["x"])
     for weights in ("uniform", "distance"):
-        got = {r["k"]: r["prediction"] for r in L.knn_regress(t, q, "k", "x", "y", 4, weights, block=3).collect()}
+        got = {r["k"]: r["prediction"] for r in L.knn_regress(t, q, "k", "x", "y", 4, weights, pivots=6, cell_rows=7).collect()}
         for i in range(10):
             d = np.linalg.norm(x - x[i], axis=1)
             ix = np.lexsort((pdf["k"], d))[:4]
@@ -440,6 +440,60 @@ def test_best_split_replayed_by_operators(spark, small):
     assert out["score_final"] == pytest.approx(best["score_final"], rel=1e-6) and out["worst"] == best["score_max_component_name"]
 
 
+@pytest.mark.parametrize("cell_rows", [5000, 60])
+def test_neighbours_in_cells(spark, cell_rows):
+    """Clusters, one of them crowded, repeated vectors and ties: as all distances give them, and most rows are never compared."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(0, 10, (25, 8))
+    x = centres[np.where(rng.random(1200) < 0.33, 0, rng.integers(0, 25, 1200))] + rng.normal(0, 0.5, (1200, 8)).round(2)
+    x[100:140] = x[7]
+    df = spark.createDataFrame([(i, v, f"r{i}") for i, v in enumerate(x.tolist())], "id long, v array<double>, name string").repartition(3)
+    ask = np.arange(0, 1200, 15)
+    got = {}
+    visited = {}
+    for r in L.knn_neighbours(df, df.filter("id % 15 = 0").select("id", "v"), "id", "v", 12, ["name"], cell_rows=cell_rows).collect():
+        got.setdefault(r["id"], {})[r["rank"]] = (r["neighbour"], r["distance"])
+        visited[r["id"]] = r["visited"]
+        assert r["name"] == f"r{r['neighbour']}"
+    assert set(got) == set(ask.tolist())
+    for i in ask.tolist():
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        best = np.lexsort((np.arange(1200), d))[:12]
+        assert [got[i][k][0] for k in range(1, 13)] == best.tolist() and [got[i][k][1] for k in range(1, 13)] == d[best].tolist()
+    assert np.mean(list(visited.values())) < 0.4 * 1200
+    few = L.knn_neighbours(df.limit(3), df.filter("id = 5"), "id", "v", 12)
+    assert few.count() == 3 and L.knn_neighbours(df.limit(0), df, "id", "v", 2).count() == 0
+
+
+def test_knn_trials_of_the_grid(spark):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(150, 4)), rng.normal(size=(150, 2))
+    df = spark.createDataFrame([(i, x[i].tolist(), y[i].tolist(), str(i % 7)) for i in range(150)], "i long, x array<double>, y array<double>, p string")
+    want = [c for c in L.grid() if c["model"] == "knn" and c["k"] <= 80]
+    got = {r["configuration_id"]: r for r in L.run_grid(df.filter("i < 100"), df.filter("i >= 100"), "x", "y", "p", want, key="i").collect()}
+    for c in want:
+        e = []
+        for i in range(100, 150):
+            d = np.sqrt(((x[:100] - x[i]) ** 2).sum(1))
+            near = np.argsort(d, kind="stable")[: c["k"]]
+            w = np.ones(c["k"]) if c["weights"] == "uniform" else 1 / d[near]
+            e.append(w @ y[near] / w.sum() - y[i])
+        per = pd.DataFrame({"p": [i % 7 for i in range(100, 150)], "s": (np.array(e) ** 2).mean(1)}).groupby("p")["s"].mean()
+        assert got[c["configuration_id"]]["participant_macro_rmse"] == pytest.approx(np.sqrt(per).mean(), rel=1e-9)
+
+
+def test_memory_of_a_block_not_of_the_process():
+    import time
+
+    with L.PeakMemory() as large:
+        block = np.ones(40_000_000)
+        time.sleep(0.1)
+        del block
+    with L.PeakMemory() as small:
+        time.sleep(0.05)
+    assert large.peak_mb > small.peak_mb + 200
+
+
 # --- features, governance, sources ---
 
 

@@ -13,6 +13,7 @@ import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,7 @@ from pyspark.sql.window import Window
 from visitloom.operators.features import decision_id
 from visitloom.operators.preprocess import scaling
 from visitloom.operators.quantiles import exact_quantiles
+from visitloom.session import staged
 
 #: Training values (rows x columns) that one trial task may hold.
 MAX_VALUES = 200_000_000
@@ -149,43 +151,133 @@ def ridge(train: DataFrame, x: str, y: str, width: int, alphas: Sequence[float])
     return {alpha: ridge_fit(m, alpha) for alpha in alphas}
 
 
-def knn_regress(train: DataFrame, queries: DataFrame, key: str, x: str, y: str, k: int, weights: str = "uniform", block: int = 2000) -> DataFrame:
-    """Exact k nearest neighbours in blocks: (key, prediction).
+#: Pivots of the Voronoi cells at most, and rows of a cell and queries that meet in one task.
+MAX_PIVOTS, CELL_ROWS = 1024, 5_000
+#: Distances that a task holds at once, and the slack on bounds for rounding.
+DISTANCES, SLACK = 2_000_000, 1e-6
 
-    Queries travel in blocks of ``block`` rows to every partition of the training rows; each task
-    keeps only its k nearest, so the shuffle is k rows for each query and task. Ties go to the smaller key.
+
+def _distances(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Euclidean distances from exact differences, in blocks of queries: the same at every size."""
+    out = np.empty((len(q), len(v)))
+    step = max(1, DISTANCES // max(1, v.size))
+    for i in range(0, len(q), step):
+        out[i : i + step] = np.sqrt(((q[i : i + step, None, :] - v[None]) ** 2).sum(2))
+    return out
+
+
+@dataclass
+class Cells:
+    """Voronoi cells of the training rows: pivots, rows, radii (largest and smallest distance to the pivot), and the up to k smallest distances of each cell."""
+
+    pivots: np.ndarray
+    rows: np.ndarray
+    radius: np.ndarray
+    inner: np.ndarray
+    nearest: list[np.ndarray]
+
+    def visits(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the cells it must visit, and a distance within which k rows certainly lie.
+
+        A row of a cell is at most the way over the pivot away, so the k-th smallest of these sums is
+        such a distance. By the triangle inequality no row of a cell is nearer than the distance to its pivot
+        less the cell's radius, than the inner radius less that distance, or than half of how much farther its pivot is than the nearest one.
+        """
+        d = _distances(q, self.pivots)
+        bound = np.full(len(q), np.inf)
+        for i in range(len(q)):
+            sums, have = [], 0
+            for c in np.argsort(d[i], kind="stable"):
+                sums.append(d[i, c] + self.nearest[c])
+                have += len(self.nearest[c])
+                if have >= 2 * k and len(sums) >= 8:
+                    break
+            if have >= k:
+                bound[i] = np.partition(np.concatenate(sums), k - 1)[k - 1]
+        least = np.maximum(np.maximum(d - self.radius, self.inner - d), (d - d.min(1, keepdims=True)) / 2)
+        return (least <= bound[:, None] * (1 + SLACK) + SLACK) & (self.rows > 0), bound
+
+
+def knn_neighbours(train: DataFrame, queries: DataFrame, key: str, x: str, k: int, carry: Sequence[str] = (), pivots: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """The exact k nearest training rows of every query: key, rank (from 1), neighbour, distance, ``visited`` (training rows
+    of the cells that the query had to visit) and the columns ``carry`` of the neighbour. Ties go to the smaller key.
+
+    Training rows are dealt to the Voronoi cells of a bounded sample of them, the pivots. A query goes only to
+    the cells that can hold one of its neighbours. Cells and queries meet in groups of at most
+    about ``cell_rows`` of each, so that a crowded cell is split on both sides; a group keeps its
+    k best for each query. Keys are unique on each side.
     """
-    cols = queries.select(key, x)
-    blocks, out = cols.withColumn("__b", F.pmod(F.xxhash64(key), F.lit(max(1, -(-cols.count() // block))))), None
-    for b in sorted(r[0] for r in blocks.select("__b").distinct().collect()):
-        pdf = blocks.filter(F.col("__b") == b).toPandas()
-        ids, q = pdf[key].to_numpy(), _matrix(pdf[x])
-
-        def run(batches: Iterator[pd.DataFrame], ids=ids, q=q) -> Iterator[pd.DataFrame]:
-            best = None
-            for t in batches:
-                if not len(t):
-                    continue
-                v = _matrix(t[x])
-                d = np.sqrt(np.maximum(((q[:, None, :] - v[None]) ** 2).sum(2) if len(q) * v.size < 2e7 else (q**2).sum(1)[:, None] + (v**2).sum(1)[None] - 2 * q @ v.T, 0))
-                keys = np.broadcast_to(t[key].to_numpy(), d.shape)
-                ys = np.broadcast_to(t[y].to_numpy(float), d.shape)
-                if best is not None:
-                    d, keys, ys = np.hstack([best[0], d]), np.hstack([best[1], keys]), np.hstack([best[2], ys])
-                pick = np.stack([np.lexsort((keys[i], d[i]))[:k] for i in range(len(q))])
-                best = tuple(np.take_along_axis(a, pick, 1) for a in (d, keys, ys))
-            if best is not None:
-                yield pd.DataFrame({key: np.repeat(ids, best[0].shape[1]), "d": best[0].ravel(), "n": best[1].ravel(), "y": best[2].ravel()})
-
-        part = train.select(key, x, y).mapInPandas(run, f"{key} long, d double, n long, y double")
-        out = part if out is None else out.union(part)
-    if out is None:
-        return queries.sparkSession.createDataFrame([], f"{key} long, prediction double")
-    w = Window.partitionBy(key).orderBy("d", "n")
-    top = out.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
+    spark, n = train.sparkSession, train.count()
+    kinds = dict(train.dtypes)
+    held = "".join(f", `{c}` {kinds[c]}" for c in carry)
+    empty = f"{key} long, rank int, neighbour long, distance double, visited long{held}"
+    number = min(MAX_PIVOTS, max(1, int(n**0.5))) if pivots is None else pivots
+    chosen = train.select(key, x).orderBy(F.xxhash64(key), key).limit(number).collect()
+    if not chosen:
+        return spark.createDataFrame([], empty)
+    shared = spark.sparkContext.broadcast(np.array([r[x] for r in chosen], float))  # MAX_PIVOTS vectors
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                d = _distances(_matrix(pdf[x]), shared.value)
+                cell = d.argmin(1)
+                yield pdf.assign(cell=cell.astype(np.int32), dist=d[np.arange(len(d)), cell])
+
+    dealt = staged(train.select(key, x, *carry).mapInPandas(assign, f"`{key}` {kinds[key]}, `{x}` {kinds[x]}{held}, cell int, dist double"), "cells")
+    first = Window.partitionBy("cell").orderBy("dist")
+    near = dealt.select("cell", "dist").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k).groupBy("cell").agg(F.array_sort(F.collect_list("dist")).alias("near"))
+    facts = {r["cell"]: r for r in dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("far"), F.min("dist").alias("inner")).join(near, "cell").collect()}  # a row for each pivot
+    at = lambda f, none: np.array([f(facts[c]) if c in facts else none for c in range(len(chosen))])
+    cells = Cells(shared.value, at(lambda r: r["n"], 0), at(lambda r: r["far"], 0.0), at(lambda r: r["inner"], 0.0), [np.array(facts[c]["near"] if c in facts else [], float) for c in range(len(chosen))])
+    table = spark.sparkContext.broadcast(cells)
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), 1000):
+                some = pdf.iloc[i : i + 1000]
+                visit, bound = table.value.visits(_matrix(some[x]), k)
+                who, cell = np.nonzero(visit)
+                yield pd.DataFrame({key: some[key].to_numpy()[who], x: some[x].to_numpy()[who], "cell": cell.astype(np.int32), "bound": bound[who], "visited": (visit @ table.value.rows)[who]})
+
+    asked = staged(queries.select(key, x).mapInPandas(route, f"`{key}` long, `{x}` array<double>, cell int, bound double, visited long"), "visits")
+    parts = {c: max(1, -(-int(r["n"]) // cell_rows)) for c, r in facts.items()}
+    turns = {r["cell"]: max(1, -(-r["count"] // cell_rows)) for r in asked.groupBy("cell").count().collect()}  # a row for each pivot
+    sizes = spark.createDataFrame([(c, parts[c], t) for c, t in turns.items()], "c int, parts int, turns int")
+    salt = lambda of: F.pmod(F.xxhash64(key), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    left = dealt.join(F.broadcast(sizes), F.col("cell") == F.col("c")).select(key, x, *carry, "cell", salt("parts").alias("part"), every("turns").alias("turn"))
+    right = asked.join(F.broadcast(sizes), F.col("cell") == F.col("c")).select(key, x, "bound", "visited", "cell", every("parts").alias("part"), salt("turns").alias("turn"))
+
+    def meet(t: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        t = t.sort_values(key, kind="stable")
+        if len(t) and len(q):
+            v, keys = _matrix(t[x]), t[key].to_numpy()
+            step = max(1, DISTANCES // len(t))
+            for i in range(0, len(q), step):
+                some = q.iloc[i : i + step]
+                d = _distances(_matrix(some[x]), v)
+                best = np.argsort(d, axis=1, kind="stable")[:, :k]  # keys ascend, so ties keep the smaller one first
+                got = np.take_along_axis(d, best, 1)
+                who, col = np.nonzero(got <= some["bound"].to_numpy()[:, None] * (1 + SLACK) + SLACK)
+                rows = best[who, col]
+                out.append(pd.DataFrame({key: some[key].to_numpy()[who], "neighbour": keys[rows], "distance": got[who, col], "visited": some["visited"].to_numpy()[who], **{c: t[c].to_numpy()[rows] for c in carry}}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in (key, "neighbour", "distance", "visited", *carry)})
+
+    groups = ("cell", "part", "turn")
+    met = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(meet, f"`{key}` long, neighbour long, distance double, visited long{held}")
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("distance", "neighbour"))
+    return met.withColumn("rank", rank).filter(F.col("rank") <= k).select(key, "rank", "neighbour", "distance", "visited", *carry)
+
+
+def knn_regress(train: DataFrame, queries: DataFrame, key: str, x: str, y: str, k: int, weights: str = "uniform", pivots: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(key, prediction) from the exact k nearest neighbours."""
+    top = knn_neighbours(train, queries, key, x, k, [y], pivots, cell_rows)
     if weights == "uniform":
-        return top.groupBy(key).agg(F.avg("y").alias("prediction"))
-    zero = top.groupBy(key).agg(F.count_if(F.col("d") == 0).alias("z"), F.avg(F.when(F.col("d") == 0, F.col("y"))).alias("exact"), F.try_divide(F.sum(F.try_divide("y", "d")), F.sum(F.try_divide(F.lit(1.0), F.col("d")))).alias("near"))
+        return top.groupBy(key).agg(F.avg(y).alias("prediction"))
+    d = F.col("distance")
+    zero = top.groupBy(key).agg(F.count_if(d == 0).alias("z"), F.avg(F.when(d == 0, F.col(y))).alias("exact"), F.try_divide(F.sum(F.try_divide(y, d)), F.sum(F.try_divide(F.lit(1.0), d))).alias("near"))
     return zero.select(key, F.when(F.col("z") > 0, F.col("exact")).otherwise(F.col("near")).alias("prediction"))
 
 
@@ -304,14 +396,22 @@ def extra_trees(x: np.ndarray, y: np.ndarray, xv: np.ndarray, seeds: Sequence[in
     return np.mean(preds, axis=0), float(np.std(preds, axis=0).mean())
 
 
+def resident_mb() -> float:
+    """The memory that this process has now; where the system does not tell, the most it ever had."""
+    try:
+        return int(Path("/proc/self/statm").read_text().split()[1]) * resource.getpagesize() / 2**20
+    except OSError:
+        return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+
+
 class PeakMemory:
-    """The largest resident memory seen while a block runs."""
+    """The largest resident memory seen while a block runs: of the block, not of the process's life."""
 
     def __enter__(self) -> PeakMemory:
-        self.peak_mb, self._stop = 0.0, threading.Event()
+        self.peak_mb, self._stop = resident_mb(), threading.Event()
 
         def watch() -> None:
-            while not self._stop.wait(0.05):
+            while not self._stop.wait(0.02):
                 self.read()
 
         self._thread = threading.Thread(target=watch, daemon=True)
@@ -319,7 +419,7 @@ class PeakMemory:
         return self
 
     def read(self) -> None:
-        self.peak_mb = max(self.peak_mb, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024)
+        self.peak_mb = max(self.peak_mb, resident_mb())
 
     def __exit__(self, *_) -> None:
         self._stop.set()
@@ -403,32 +503,48 @@ def _score_linear(validation: DataFrame, x: str, y: str, participant: str, fits:
     return per.groupBy("i").agg(F.avg("rmse").alias("participant_macro_rmse"), F.avg("mae").alias("participant_macro_mae"))
 
 
-def _predict(c: dict, x: np.ndarray, y: np.ndarray, xv: np.ndarray) -> np.ndarray:
-    if c["model"] == "extra_trees":
-        return extra_trees(x, y, xv, FOREST_SEEDS, int(c["trees"]), int(c["depth"]), int(c["leaf"]), c["features"])[0]
-    k = min(int(c["k"]), len(x))
-    d = np.sqrt(np.maximum((xv**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * xv @ x.T, 0))
-    ix = np.argsort(d, axis=1, kind="stable")[:, :k]
-    near = np.take_along_axis(d, ix, 1)
-    w = np.ones_like(near) if c["weights"] == "uniform" else np.where((near == 0).any(1, keepdims=True), near == 0, 1 / np.maximum(near, 1e-300))
-    return np.einsum("ij,ijk->ik", w / w.sum(1, keepdims=True), y[ix])
+def _score_knn(train: DataFrame, validation: DataFrame, key: str, x: str, y: str, participant: str, trials: Sequence[dict], pca: PCA | None) -> DataFrame:
+    """(i, participant_macro_rmse, participant_macro_mae, peak_mb) of each k and weighting, from one search for the largest k.
+
+    A query's neighbours, at most the largest k, come together once for all trials.
+    """
+    near = knn_neighbours(train, validation, key, x, max(int(c["k"]) for c in trials), [y]).select(F.col(key).alias("__q"), "rank", "distance", F.col(y).alias("__near"))
+    both = near.join(validation.select(key, y, F.col(participant).cast("string").alias("who")), F.col("__q") == F.col(key))
+    shared = validation.sparkSession.sparkContext.broadcast(([(int(c["k"]), c["weights"]) for c in trials], pca))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        wanted, p = shared.value
+        pdf = pdf.sort_values("rank")
+        ys, d, truth = _matrix(pdf["__near"]), pdf["distance"].to_numpy(), np.asarray(pdf[y].iloc[0], float)
+        rows = []
+        for i, (k, weights) in enumerate(wanted):
+            a, b = ys[:k], d[:k]
+            w = np.ones(len(b)) if weights == "uniform" else (b == 0).astype(float) if (b == 0).any() else 1 / b
+            pred = w @ a / w.sum()
+            e = (p.inverse(pred[None])[0] if p is not None else pred) - truth
+            rows.append((i, pdf["who"].iloc[0], (e**2).mean(), np.abs(e).mean(), resident_mb()))
+        return pd.DataFrame(rows, columns=["i", "who", "s", "a", "mb"])
+
+    sums = both.groupBy("__q").applyInPandas(run, "i int, who string, s double, a double, mb double")
+    per = sums.groupBy("i", "who").agg(F.sqrt(F.avg("s")).alias("rmse"), F.avg("a").alias("mae"), F.max("mb").alias("mb"))
+    return per.groupBy("i").agg(F.avg("rmse").alias("participant_macro_rmse"), F.avg("mae").alias("participant_macro_mae"), F.max("mb").alias("peak_mb"))
 
 
 TRIALS = "configuration_order int, configuration_id string, model string, participant_macro_rmse double, participant_macro_mae double, converged boolean, iterations int, seconds double, peak_mb double"
 
 
-def run_grid(train: DataFrame, validation: DataFrame, x: str, y: str, participant: str, configurations: Sequence[dict], done: Sequence[str] = (), pca: PCA | None = None) -> DataFrame:
+def run_grid(train: DataFrame, validation: DataFrame, x: str, y: str, participant: str, configurations: Sequence[dict], done: Sequence[str] = (), pca: PCA | None = None, key: str | None = None) -> DataFrame:
     """One row of metrics for each trial that is not in ``done`` (S13 resumes this way).
 
     Linear models of all configurations come from one pass over the training rows and are scored in
-    one pass over the validation rows, both of any size. k-NN and extra trees are rows of trials,
-    one task each, over broadcast tables of checked size. With ``pca``, models learn the scores and
-    their predictions are brought back before any metric (M07).
+    one pass over the validation rows, both of any size. All k-NN trials come from one distributed search; ``key`` is a
+    unique column of both sides, without it rows are numbered. Extra trees are rows of trials, one task each, over broadcast tables of checked size. With
+    ``pca``, models learn the scores and their predictions are brought back before any metric (M07).
     """
     spark = train.sparkSession
     todo = [c for c in configurations if c["configuration_id"] not in set(done)]
     head = lambda c: {k: c[k] for k in ("configuration_order", "configuration_id", "model")}
-    linear, other = [c for c in todo if c["model"] in LINEAR], [c for c in todo if c["model"] not in LINEAR]
+    linear, knn, other = ([c for c in todo if f(c["model"])] for f in (lambda m: m in LINEAR, lambda m: m == "knn", lambda m: m == "extra_trees"))
     out = spark.createDataFrame([], TRIALS)
     names = [f.split()[0] for f in TRIALS.split(", ")]
     if linear:
@@ -440,12 +556,23 @@ def run_grid(train: DataFrame, validation: DataFrame, x: str, y: str, participan
         scores = _score_linear(validation, x, y, participant, [(w, b) for w, b, _ in fits], pca)
         joined = F.broadcast(records).join(scores, "i")  # a row for each trial
         out = out.union(joined.select(*[F.col(n).cast(f.dataType).alias(n) for n, f in zip(names, out.schema.fields, strict=True)]))
+    if knn:
+        start = time.perf_counter()
+        if key is None:  # numbers that stay what they are
+            key = "__row"
+            train, validation = (staged(d.select(x, y, *c).withColumn(key, F.monotonically_increasing_id()), "numbered") for d, c in ((train, ()), (validation, (participant,))))
+        t = train.select(key, x, y) if pca is None else map_array(train.select(key, x, y), y, pca.transform, "__z").select(key, x, F.col("__z").alias(y))
+        scores = staged(_score_knn(t, validation, key, x, y, participant, knn, pca), "knn-trials")
+        seconds = (time.perf_counter() - start) / len(knn)
+        records = spark.createDataFrame(pd.DataFrame([{"i": i, **head(c), "converged": True, "iterations": 0, "seconds": seconds} for i, c in enumerate(knn)]))
+        joined = F.broadcast(records).join(scores, "i")  # a row for each trial
+        out = out.union(joined.select(*[F.col(n).cast(f.dataType).alias(n) for n, f in zip(names, out.schema.fields, strict=True)]))
     if not other:
         return out
     t, v = train.select(x, y), validation.select(x, y, participant)
     width = len(t.first()[x]) + len(t.first()[y])
     if (t.count() + v.count()) * width > MAX_VALUES:
-        raise ValueError("the tables are too large for one trial task; fit k-NN by its distributed form")
+        raise ValueError("the tables are too large for one trial task")
     tp, vp = t.toPandas(), v.toPandas()
     shared = spark.sparkContext.broadcast((_matrix(tp[x]), _matrix(tp[y]), _matrix(vp[x]), _matrix(vp[y]), vp[participant].to_numpy(), pca))
 
@@ -455,7 +582,8 @@ def run_grid(train: DataFrame, validation: DataFrame, x: str, y: str, participan
         for i in pdf["i"]:
             with PeakMemory() as memory:
                 start = time.perf_counter()
-                pred = _predict(other[i], xt, target, xv)
+                c = other[i]
+                pred = extra_trees(xt, target, xv, FOREST_SEEDS, int(c["trees"]), int(c["depth"]), int(c["leaf"]), c["features"])[0]
                 seconds = time.perf_counter() - start
             e = (p.inverse(pred) if p is not None else pred) - yv
             g = pd.DataFrame({"w": who, "s": (e**2).mean(1), "a": np.abs(e).mean(1)}).groupby("w").mean()

@@ -122,6 +122,17 @@ def knn_regress(spark, sf):
     return L.knn_regress(train, rest, "vec_id", "x", "y", 10).withColumn("prediction", F.round("prediction", 6))
 
 
+@query("""
+WITH q AS (SELECT vec_id AS q, embedding AS a FROM embeddings WHERE vec_id % 5 = 4), t AS (SELECT vec_id AS n, embedding AS b FROM embeddings WHERE vec_id % 5 < 4),
+d AS (SELECT q, n, list_distance(CAST(a AS DOUBLE[]), CAST(b AS DOUBLE[])) AS d FROM q, t)
+SELECT q AS vec_id, CAST(row_number() OVER (PARTITION BY q ORDER BY round(d, 9), n) AS INT) AS rank, n AS neighbour, round(d, 6) AS distance FROM d QUALIFY rank <= 5
+""")
+def knn_nearest(spark, sf):
+    """The exact nearest neighbours, found by visiting only the Voronoi cells that the triangle inequality leaves."""
+    _, train, rest = _vectors(spark, sf)
+    return L.knn_neighbours(train, rest, "vec_id", "x", 5).select("vec_id", "rank", "neighbour", F.round("distance", 6).alias("distance"))
+
+
 @query()
 def pca90(spark, sf):
     """Share of variance and reconstruction error of standardized vectors."""
@@ -161,9 +172,9 @@ def small_forest() -> dict:
 def model_grid(spark, sf):
     """The declared grid on vectors, its three forests (hours in Python) replaced by one small one under an id of its own; the best trial of each model."""
     _, train, rest = _vectors(spark, sf)
-    one = lambda d: d.select("x", F.array("y", F.col("x")[0] * 3 + F.col("x")[1]).alias("y"), (F.col("vec_id") % 50).cast("string").alias("participant"))
+    one = lambda d: d.select("vec_id", "x", F.array("y", F.col("x")[0] * 3 + F.col("x")[1]).alias("y"), (F.col("vec_id") % 50).cast("string").alias("participant"))
     want = [c for c in L.grid() if c["model"] != "extra_trees"] + [small_forest()]
-    trials = L.run_grid(one(train), one(rest), "x", "y", "participant", want)
+    trials = L.run_grid(one(train), one(rest), "x", "y", "participant", want, key="vec_id")
     cols = ["configuration_order", "configuration_id", "model", "participant_macro_rmse", "participant_macro_mae", "converged"]
     return R.best_configurations(trials.select(*cols), ["model"], ["participant_macro_rmse", "participant_macro_mae", "configuration_order"], "converged", "configuration_order")
 
