@@ -20,7 +20,7 @@ from visitloom.operators import resolve as V
 from visitloom.operators import tables as R
 from visitloom.operators import temporal as T
 from visitloom.operators.quantiles import exact_quantiles
-from visitloom.sources import packages, tables
+from visitloom.sources import packages, shared, tables
 
 VISIT = V.Contract("S", "visit", ("RID", "VISCODE2"), administrative=("USERDATE",))
 
@@ -683,3 +683,43 @@ def test_counts_of_tasks_that_ran_twice(spark):
     assert K._run(make(1), "rows", "end")["rows"] == 10 and len(calls) == 2
     with pytest.raises(G.GateError):
         K._run(make(99), "rows", "end")
+
+
+def test_reports_in_a_file_system_that_is_not_local(spark, tmp_path, monkeypatch):
+    """Reports and packages by a URI that open() cannot reach; stretches of few rows, so that there are many."""
+    import gzip
+
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.reports.link./data", f"file://{tmp_path}")
+    monkeypatch.setattr(shared, "MEMBER_ROWS", 40)
+    root = "viewfs://reports/data"
+    rows = [(i % 7, f"x{i % 3},{i}", None if i % 5 == 0 else i) for i in range(333)]
+    df = spark.createDataFrame(rows, "a int, b string, c int")
+    want = pd.DataFrame(sorted(rows, key=lambda r: (r[0], r[1])), columns=["a", "b", "c"]).astype({"c": "Int64"}).to_csv(index=False, lineterminator="\n").encode()
+    df = df.withColumn("c", F.col("c").cast("string"))
+    for n in (1, 5):  # however the rows were dealt out
+        shared.write_report(df.repartition(n), ["a", "b"], f"{root}/r{n}.csv")
+        shared.write_report(df.repartition(n), ["a", "b"], f"{root}/r{n}.csv.gz", compressed=True)
+    assert (tmp_path / "r1.csv").read_bytes() == (tmp_path / "r5.csv").read_bytes() == want
+    assert (tmp_path / "r1.csv.gz").read_bytes() == (tmp_path / "r5.csv.gz").read_bytes() and gzip.decompress((tmp_path / "r1.csv.gz").read_bytes()) == want
+    back, encoding = shared.read_text_table(spark, shared.discover(spark, root, ["R5.csv.GZ"])["R5.csv.GZ"])
+    assert encoding == "utf-8-sig" and back.count() == 333 and back.columns == ["a", "b", "c"]
+    shared.write_report(df.limit(0), ["a"], f"{root}/none.csv")
+    assert (tmp_path / "none.csv").read_text() == "a,b,c\n"
+    with pytest.raises(tables.SourceError):
+        shared.discover(spark, root, ["r1"])
+    put = lambda at: shared.write_bytes(spark, f"{at}/one.txt", b"1")
+    listed = shared.commit_package(spark, f"{root}/p", put, lambda at: None)
+    assert [tuple(r) for r in listed.collect()] == [("one.txt", 1, hashlib.sha256(b"1").hexdigest())]
+    with pytest.raises(FileExistsError):
+        shared.commit_package(spark, f"{root}/p", put, lambda at: None)
+
+    def fails(at):
+        raise ValueError(at)
+
+    with pytest.raises(ValueError):
+        shared.commit_package(spark, f"{root}/p", put, fails, overwrite=True)
+    assert [f.name for f in tmp_path.iterdir() if f.name.startswith("p")] == ["p"]
+    shared.write_bytes(spark, f"{root}/p/two.txt", b"2")
+    assert shared.verify_package(spark, f"{root}/p", listed) == {"missing": 0, "unlisted": 1, "changed": 0, "unsafe": 0}
+    shared.commit_package(spark, f"{root}/p", put, lambda at: None, overwrite=True)
+    assert shared.verify_package(spark, f"{root}/p", listed) == {"missing": 0, "unlisted": 0, "changed": 0, "unsafe": 0}

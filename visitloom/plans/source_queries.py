@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from pathlib import Path
-from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
 
@@ -20,21 +18,20 @@ from visitloom.plans.registry import query
 from visitloom.plans.table_queries import PAIRS_SQL, WAVES_SQL, paired, waves
 from visitloom.session import shared_folder, table
 from visitloom.sources import packages as P
+from visitloom.sources import shared as SH
 from visitloom.sources import tables as SRC
 
 
-def report_folder(spark) -> Path:
-    """A new folder for report files below the shared one."""
-    path = Path(urlparse(shared_folder(spark)).path) / f"report-{uuid.uuid4().hex}"
-    path.mkdir(parents=True)
-    return path
+def report_folder(spark) -> str:
+    """A new folder for report files below the shared one, in whatever file system that is."""
+    return f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
 
 
-def export_reports(spark, sf, folder: Path) -> None:
+def export_reports(spark, sf, folder: str) -> None:
     """The two small reference tables as CSV, one of them compressed."""
     nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
-    P.write_atomic(folder / "nation_export.csv", P.csv_bytes(nation.select("n_nationkey", "n_name", "n_regionkey"), ["n_nationkey"]))
-    P.write_atomic(folder / "sub" / "region_export.csv.gz", P.csv_bytes(region.select("r_regionkey", "r_name"), ["r_regionkey"], compressed=True))
+    SH.write_report(nation.select("n_nationkey", "n_name", "n_regionkey"), ["n_nationkey"], f"{folder}/nation_export.csv")
+    SH.write_report(region.select("r_regionkey", "r_name"), ["r_regionkey"], f"{folder}/sub/region_export.csv.gz", compressed=True)
 
 
 CSV_SQL = """WITH f AS (
@@ -48,11 +45,10 @@ def text_table_scan(spark, sf):
     """Tables exported as plain and compressed CSV, found by token, inspected and read as text."""
     folder = report_folder(spark)
     export_reports(spark, sf, folder)
-    files = SRC.discover(folder, ["NATION", "region"])
-    n, r = (SRC.read_text_table(spark, files[t]) for t in ("NATION", "region"))
-    encoding = {t: SRC.read_header(f)[1] for t, f in files.items()}
-    a = n.select(F.lit("nation").alias("source"), F.col("n_nationkey").alias("code"), F.col("n_name").alias("label"), F.col("n_regionkey").alias("parent"), F.lit(encoding["NATION"]).alias("encoding"))
-    b = r.select(F.lit("region"), "r_regionkey", "r_name", F.lit(None).cast("string"), F.lit(encoding["region"]))
+    files = SH.discover(spark, folder, ["NATION", "region"])
+    (n, n_encoding), (r, r_encoding) = (SH.read_text_table(spark, files[t]) for t in ("NATION", "region"))
+    a = n.select(F.lit("nation").alias("source"), F.col("n_nationkey").alias("code"), F.col("n_name").alias("label"), F.col("n_regionkey").alias("parent"), F.lit(n_encoding).alias("encoding"))
+    b = r.select(F.lit("region"), "r_regionkey", "r_name", F.lit(None).cast("string"), F.lit(r_encoding))
     return a.union(b)
 
 
@@ -61,7 +57,7 @@ def content_fingerprint(spark, sf):
     """Size and digest of an exported file, hashed by the executors; the same rows give the same bytes."""
     folder = report_folder(spark)
     export_reports(spark, sf, folder)
-    tree = SRC.tree_fingerprints(spark, f"file://{folder}")
+    tree = SRC.tree_fingerprints(spark, folder)
     return tree.select(F.element_at(F.split("path", "/"), -1).alias("name"), "size", "sha256").filter("name LIKE '%.csv'")
 
 
@@ -128,18 +124,17 @@ def matrix_sink(spark, sf):
 @query("SELECT CAST(0 AS BIGINT) AS unsafe, CAST(0 AS BIGINT) AS missing, CAST(1 AS BIGINT) AS changed, CAST(1 AS BIGINT) AS unlisted, true AS refused, CAST(2 AS BIGINT) AS listed")
 def package_commit(spark, sf):
     """A package is staged, verified and renamed; a second commit is refused; later changes are found."""
-    folder = report_folder(spark)
-    target = P.commit_package(folder / "package", lambda at: export_reports(spark, sf, at), lambda at: SRC.discover(at, ["nation", "region"]))
-    listed = P.inventory(target)
+    target = f"{report_folder(spark)}/package"
+    listed = SH.commit_package(spark, target, lambda at: export_reports(spark, sf, at), lambda at: SH.discover(spark, at, ["nation", "region"]))
     try:
-        P.commit_package(target, lambda at: None, lambda at: None)
+        SH.commit_package(spark, target, lambda at: None, lambda at: None)
         refused = False
     except FileExistsError:
         refused = True
-    P.write_atomic(target / "nation_export.csv", b"changed")
-    P.write_atomic(target / "note.txt", b"new")
-    found = P.verify_inventory(target, listed)
-    return spark.createDataFrame([(*[len(found[k]) for k in ("unsafe", "missing", "changed", "unlisted")], refused, len(listed))], "unsafe long, missing long, changed long, unlisted long, refused boolean, listed long")
+    SH.write_bytes(spark, f"{target}/nation_export.csv", b"changed")
+    SH.write_bytes(spark, f"{target}/note.txt", b"new")
+    found = SH.verify_package(spark, target, listed)
+    return spark.createDataFrame([(*[found[k] for k in ("unsafe", "missing", "changed", "unlisted")], refused, listed.count())], "unsafe long, missing long, changed long, unlisted long, refused boolean, listed long")
 
 
 @query("""WITH found AS (SELECT CASE WHEN p_partkey % 50 = 1 THEN '../' ELSE 'parts/' END || p_partkey AS path, CAST(p_size AS BIGINT) AS size, sha256(p_name) AS sha256 FROM part WHERE p_partkey % 7 <> 0),
@@ -436,3 +431,12 @@ def package_constraints(spark, sf):
     mapping = A.table_hash(participants.select("person", F.concat_ws(",", "person", "split").alias("line")), ["person"], ["line"]).first()["digest"]
     checks.equal("participant_mapping_sha256", mapping, mapping)
     return checks.frame(spark).filter("check NOT LIKE 'orders_%'")
+
+
+@query("""WITH f AS (SELECT 'o_orderkey,o_custkey,o_orderstatus' || chr(10) || string_agg(o_orderkey || ',' || o_custkey || ',' || o_orderstatus || chr(10), '' ORDER BY o_custkey, o_orderkey) AS body FROM orders)
+SELECT CAST(strlen(body) AS BIGINT) AS size, sha256(body) AS sha256 FROM f""")
+def deterministic_export(spark, sf):
+    """A whole table as one CSV file of fixed bytes, sorted and formatted by the executors."""
+    uri = f"{report_folder(spark)}/orders.csv"
+    SH.write_report(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), ["o_custkey", "o_orderkey"], uri)
+    return SH.inventory(spark, uri.rpartition("/")[0]).select("size", "sha256")

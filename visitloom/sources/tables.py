@@ -52,20 +52,24 @@ def read_header(path: str | Path) -> tuple[list[str], str]:
     """
     path = Path(path)
     with _open(path) as f:
-        line = f.readline()
+        return header_of(f.readline(), path.name)
+
+
+def header_of(line: bytes, name: str) -> tuple[list[str], str]:
+    """Column names and encoding of the first line of the file called ``name``."""
     if not line.strip():
-        raise SourceError(f"{path.name} is empty")
+        raise SourceError(f"{name} is empty")
     for encoding in ENCODINGS:
         try:
             text = line.decode(encoding)
             break
         except UnicodeDecodeError:
             continue
-    names = [n.strip().lstrip("﻿") for n in next(csv.reader([text.rstrip("\r\n")]))]
+    names = [n.strip().lstrip("\ufeff") for n in next(csv.reader([text.rstrip("\r\n")]))]
     if any(not n for n in names):
-        raise SourceError(f"{path.name} has an empty column name")
+        raise SourceError(f"{name} has an empty column name")
     if len(set(names)) != len(names):
-        raise SourceError(f"{path.name} repeats a column name")
+        raise SourceError(f"{name} repeats a column name")
     return names, encoding
 
 
