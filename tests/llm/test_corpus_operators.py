@@ -712,29 +712,43 @@ def test_mix(spark, medium):
     assert all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
 
 
-def test_whole_stream():
-    rng = np.random.default_rng(4)
-    for n, period in ((1, 10), (5, 20), (30, 120), (3, 10_000)):
-        blocks = {f"s{i:02}": int(x) for i, x in enumerate(rng.integers(1, 900, n))} | {"rare": 1}
-        weights = mixing.tempered_weights(blocks)
-        parts, schedule = mixing.whole_stream(blocks, weights, period)
-        at = defaultdict(list)
-        for part, s, i, slot in schedule:
-            at[part, s].append((i, slot))
-        slots = {}
-        for part, s, lo, hi, q, p, start in parts:
-            slots |= {start + r * p + slot: (s, lo + r * q + i) for r in range((hi - lo) // q) for i, slot in at[part, s]}
-        assert sorted(slots) == list(range(sum(blocks.values())))
-        had = Counter()
-        for slot in sorted(slots):
-            s, i = slots[slot]
-            assert had[s] == i
-            had[s] += 1
-        assert had == blocks
-        first = min(blocks[s] / weights[s] for s in blocks)  # until the first source leaves
-        for s in blocks:
-            early = sum(slots[t][0] == s for t in range(min(len(slots), int(first * sum(weights.values())))))
-            assert abs(early - first * weights[s]) < n + 2
+def fluid_counts(blocks, weights, at):
+    """What each source has had of a fluid stream at slot ``at``, by bisection over virtual time."""
+    lo, hi = 0.0, max(n / weights[s] for s, n in blocks.items())
+    for _ in range(200):
+        v = (lo + hi) / 2
+        lo, hi = (v, hi) if sum(min(n, weights[s] * v) for s, n in blocks.items()) < at else (lo, v)
+    return {s: min(n, weights[s] * hi) for s, n in blocks.items()}
+
+
+@pytest.mark.parametrize("n, most", [(1, 900), (5, 900), (30, 900), (60, 40), (3, 60_000), (9, 30_000)])
+def test_whole_stream(n, most):
+    """Every block has its slot, in its window, and no source is ever a block from the fluid stream, whatever has left."""
+    rng = np.random.default_rng(n)
+    blocks = {f"s{i:02}": int(x) for i, x in enumerate(rng.integers(1, most, n))} | {"rare": 1, "rarer": 3}
+    if n == 9:
+        blocks |= {f"s{i:02}": 1 + i for i in range(1, 9)}  # one large source and many small ones
+    weights = mixing.tempered_weights(blocks) if n != 5 else {s: float(x) for s, x in zip(blocks, [1, 2, 4, 0.5, 3, 1e-4, 1], strict=True)}
+    plan = mixing.whole_stream(blocks, weights)
+    assert [slot for *_, slot in plan] == list(range(sum(blocks.values())))
+    had, tried = Counter(), set(rng.integers(0, len(plan), 150).tolist()) | {0, len(plan) - 1}
+    for s, i, release, deadline, slot in plan:
+        assert had[s] == i and release <= slot < deadline
+        had[s] += 1
+        if slot in tried:
+            for k, due in fluid_counts(blocks, weights, slot + 1).items():
+                assert abs(had[k] - due) < 1 + 1e-6
+    assert had == blocks
+    assert mixing.whole_stream({"a": 3, "b": 0}, {"a": 0.0, "b": 1.0}) == []
+
+
+def test_blocks_grow_with_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SLOTS", 50)
+    docs = spark.range(3000).selectExpr("id as doc_id", "case when id % 10 < 7 then 'hot' else concat('s', id % 10) end as source")
+    rows = mixing.mix_sources(docs, block=16).collect()
+    slots = {r["slot"] for r in rows}
+    assert len(rows) == 3000 and slots == set(range(len(slots))) and len(slots) <= 54
+    assert all(r["in_mix"] and r["release"] <= r["slot"] < r["deadline"] and r["block"] == r["position"] // 60 for r in rows)
 
 
 def test_mix_keeps_every_document(spark):
