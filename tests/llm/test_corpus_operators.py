@@ -134,6 +134,17 @@ def test_nearest_awkward(spark):
     assert sorted((r["query_id"], r["vec_id"]) for r in many) == [(0, 3), (0, 5), (100, 0), (100, 3)]
 
 
+def test_nearest_of_repeated_rows(spark):
+    """Rows that share an id are candidates each; the query's own rows are none, however many they are."""
+    rows = [(100, [1.0, 0.0])] * 30 + [(5, [1.0, 0.0])] * 200 + [(7, [1.0, 0.5 + i / 100]) for i in range(3)] + [(200, [9.0, 9.0])] + [(200, [1.0, 0.001 * i]) for i in range(20)]
+    got = {}
+    for r in ann.op1_nearest(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    assert {q: sorted(x) for q, x in got.items()} == {100: list(range(1, 11)), 200: list(range(1, 11))}
+    assert set(got[100].values()) == {(5, 0.0)}
+    assert set(got[200].values()) == {(5, 0.0)}  # asked with (1, 0), where the rows of 5 and 100 lie; the smaller id comes first
+
+
 # --- 2: sharding ---
 
 

@@ -113,6 +113,17 @@ def _post(pivots: np.ndarray, prefix: int, block: int):
 def _search(pivots: np.ndarray, prefix: int, q_ids: np.ndarray, q_vecs: np.ndarray, k: int, fraction: float, least: int):
     q_lists = pivot_lists(q_vecs, pivots, prefix)
 
+    def others(units: np.ndarray, ids: np.ndarray, members: np.ndarray, begins: np.ndarray, own: int) -> np.ndarray:
+        """Of each distinct vector the k rows with the smallest ids, without the query's."""
+        out = []
+        for u in units:
+            rows = members[begins[u] : begins[u + 1]]
+            some = rows[: k + 1]
+            if (ids[some] == own).any():
+                some = rows[ids[rows] != own]
+            out.append(some[:k])
+        return np.concatenate(out)
+
     def answer(cells: list[bytes], best: list[tuple[np.ndarray, np.ndarray]]) -> None:
         ids, x = np.frombuffer(cells[0], np.int64), np.frombuffer(cells[1], np.float64).reshape(-1, q_vecs.shape[1])
         heads, members, begins, *files = (np.frombuffer(c, np.int32) for c in cells[2:])
@@ -126,11 +137,11 @@ def _search(pivots: np.ndarray, prefix: int, q_ids: np.ndarray, q_vecs: np.ndarr
                 cand = top[i]
                 d = np.sqrt(((same[cand] - q_vecs[lo + i]) ** 2).sum(1))
                 near = cand[d <= np.partition(d, k)[k]] if len(cand) > k else cand
-                # Of equal vectors' ids the k + 1 smallest are enough (one may be the query).
-                got = np.concatenate([members[begins[u] : begins[u + 1]][: k + 1] for u in near])
+                got = others(near, ids, members, begins, q_ids[lo + i])
+                if len(got) < k and len(near) < len(cand):  # the query's id has several vectors
+                    got = others(cand, ids, members, begins, q_ids[lo + i])
                 dist = np.sqrt(((x[got] - q_vecs[lo + i]) ** 2).sum(1))
-                other = ids[got] != q_ids[lo + i]
-                all_d, all_i = np.append(best[lo + i][0], dist[other]), np.append(best[lo + i][1], ids[got][other])
+                all_d, all_i = np.append(best[lo + i][0], dist), np.append(best[lo + i][1], ids[got])
                 pick = np.lexsort((all_i, all_d))[:k]
                 best[lo + i] = (all_d[pick], all_i[pick])
 
@@ -157,13 +168,14 @@ def nearest(
     at least ``least``, are reranked exactly; equal vectors count once there, so copies do not crowd
     out others. A query's own row is no candidate; ties go to the smaller id. Vectors that are null,
     zero or hold null or non-finite components take no part; those of different lengths are searched
-    length by length, as no distance is defined between them. Repeated ids answer as one. Queries
+    length by length, as no distance is defined between them. Every row is a candidate, also where rows share an id; a repeated
+    query id asks with the smallest of its vectors, and none of its rows is a candidate for it. Queries
     beyond ``query_block`` are searched in further passes over the written index, each broadcasting
     one block of known size.
     """
     spark = vectors.sparkSession
     rows = materialize(usable(vectors, id_col, vec_col).repartition(max(1, spark.sparkContext.defaultParallelism)), "vectors")
-    asked = materialize(usable(queries, id_col, vec_col).dropDuplicates(["vec_id"]), "queries")
+    asked = materialize(usable(queries, id_col, vec_col).groupBy("vec_id").agg(F.min("vec").alias("vec")), "queries")
     found = spark.createDataFrame([], "query_id long, vec_id long, score double")
     for dim in sorted(r[0] for r in asked.select(F.size("vec")).distinct().collect()):  # one, as a rule
         own = rows.filter(F.size("vec") == dim)
@@ -181,7 +193,7 @@ def nearest(
                 ids, vecs = part["vec_id"].to_numpy(np.int64), np.stack(part["vec"].to_list()).astype(np.float64)
                 found = found.union(index.mapInArrow(_search(table, short, ids, vecs, k, fraction, least), "query_id long, vec_id long, score double"))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_nearest(spark: SparkSession, embeddings: DataFrame) -> DataFrame:
