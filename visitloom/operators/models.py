@@ -2,8 +2,8 @@
 
 Data sums (Gram matrices, medians) are Spark aggregates, and ridge, PLS and elastic net are solved from
 them: after one pass over the training rows only matrices of columns are left. Their validation
-errors are one aggregate over the validation rows. Trials of k-NN and of extra trees are one task
-each over a training table of checked size, trials being the rows that are distributed.
+errors are one aggregate over the validation rows. All k-NN trials come from one search, all forests
+grow together (``operators/forest.py``).
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import partial
 from pathlib import Path
 
 import numpy as np
@@ -22,13 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from visitloom.operators.features import decision_id
+from visitloom.operators.forest import LOCAL_ROWS, extra_trees
 from visitloom.operators.preprocess import scaling
 from visitloom.operators.quantiles import exact_quantiles
 from visitloom.session import staged
 
-#: Training values (rows x columns) that one trial task may hold.
-MAX_VALUES = 200_000_000
-
 
 def _matrix(series: pd.Series) -> np.ndarray:
     return np.stack(series.to_list()).astype(np.float64) if len(series) else np.empty((0, 0))
@@ -337,65 +336,6 @@ def elastic_net_fit(m: Moments, alpha: float, l1_ratio: float, w: np.ndarray | N
     return w, m.my - m.mx @ w, it
 
 
-class _Tree:
-    """One extremely randomized regression tree for several targets."""
-
-    def __init__(self, rng: np.random.Generator, depth: int, leaf: int, tries: int):
-        self.rng, self.depth, self.leaf, self.tries = rng, depth, leaf, tries
-        self.nodes: list[tuple] = []
-
-    def grow(self, x: np.ndarray, y: np.ndarray, level: int = 0) -> int:
-        me = len(self.nodes)
-        self.nodes.append((-1, 0.0, 0, 0, y.mean(0)))
-        if level >= self.depth or len(x) < 2 * self.leaf:
-            return me
-        best = None
-        for j in self.rng.permutation(x.shape[1])[: self.tries]:
-            lo, hi = x[:, j].min(), x[:, j].max()
-            if lo == hi:
-                continue
-            cut = self.rng.uniform(lo, hi)
-            left = x[:, j] <= cut
-            a, b = left.sum(), len(x) - left.sum()
-            if a < self.leaf or b < self.leaf:
-                continue
-            gain = ((y[left].sum(0) ** 2) / a + (y[~left].sum(0) ** 2) / b).sum()
-            if best is None or gain > best[0]:
-                best = (gain, j, cut, left)
-        if best is None:
-            return me
-        _, j, cut, left = best
-        self.nodes[me] = (j, cut, self.grow(x[left], y[left], level + 1), self.grow(x[~left], y[~left], level + 1), None)
-        return me
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        at = np.zeros(len(x), np.int64)
-        live = np.arange(len(x))
-        while len(live):
-            go = np.array([self.nodes[k][0] >= 0 for k in at[live]])
-            live = live[go]
-            for k in np.unique(at[live]):
-                rows = live[at[live] == k]
-                j, cut, a, b, _ = self.nodes[k]
-                at[rows] = np.where(x[rows, j] <= cut, a, b)
-        return np.stack([self.nodes[k][4] for k in at])
-
-
-def extra_trees(x: np.ndarray, y: np.ndarray, xv: np.ndarray, seeds: Sequence[int], trees: int = 20, depth: int = 12, leaf: int = 5, share: float | str = 1 / 3) -> tuple[np.ndarray, float]:
-    """Mean prediction of an ensemble for each seed, and their spread. An approximation of the usual forests: splits are random, the data are not resampled."""
-    tries = max(1, int(x.shape[1] ** 0.5 if share == "sqrt" else share * x.shape[1]))
-    preds = []
-    for seed in seeds:
-        rng = np.random.default_rng(seed)
-        out = 0
-        for _ in range(trees):
-            t = _Tree(rng, depth, leaf, tries)
-            t.grow(x, y)
-            out = out + t.predict(xv)
-        preds.append(out / trees)
-    return np.mean(preds, axis=0), float(np.std(preds, axis=0).mean())
-
-
 def resident_mb() -> float:
     """The memory that this process has now; where the system does not tell, the most it ever had."""
     try:
@@ -530,21 +470,38 @@ def _score_knn(train: DataFrame, validation: DataFrame, key: str, x: str, y: str
     return per.groupBy("i").agg(F.avg("rmse").alias("participant_macro_rmse"), F.avg("mae").alias("participant_macro_mae"), F.max("mb").alias("peak_mb"))
 
 
+def _score_forests(train: DataFrame, validation: DataFrame, key: str, x: str, y: str, participant: str, trials: Sequence[dict], pca: PCA | None, local_rows: int) -> DataFrame:
+    """(i, participant_macro_rmse, participant_macro_mae, peak_mb) of each forest over its seeds."""
+    found = extra_trees(train, validation, key, x, y, trials, FOREST_SEEDS, local_rows).select(F.col(key).alias("__q"), F.col("forest").alias("__i"), "prediction")
+    both = found.join(validation.select(key, y, F.col(participant).cast("string").alias("who")), F.col("__q") == F.col(key)).select(F.col("__i").alias("i"), "who", "prediction", y)
+    shared = validation.sparkSession.sparkContext.broadcast(pca)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                pred = _matrix(pdf["prediction"])
+                e = (shared.value.inverse(pred) if shared.value is not None else pred) - _matrix(pdf[y])
+                yield pd.DataFrame({"i": pdf["i"], "who": pdf["who"], "s": (e**2).mean(1), "a": np.abs(e).mean(1), "mb": resident_mb()})
+
+    per = both.mapInPandas(run, "i int, who string, s double, a double, mb double").groupBy("i", "who").agg(F.sqrt(F.avg("s")).alias("rmse"), F.avg("a").alias("mae"), F.max("mb").alias("mb"))
+    return per.groupBy("i").agg(F.avg("rmse").alias("participant_macro_rmse"), F.avg("mae").alias("participant_macro_mae"), F.max("mb").alias("peak_mb"))
+
+
 TRIALS = "configuration_order int, configuration_id string, model string, participant_macro_rmse double, participant_macro_mae double, converged boolean, iterations int, seconds double, peak_mb double"
 
 
-def run_grid(train: DataFrame, validation: DataFrame, x: str, y: str, participant: str, configurations: Sequence[dict], done: Sequence[str] = (), pca: PCA | None = None, key: str | None = None) -> DataFrame:
+def run_grid(train: DataFrame, validation: DataFrame, x: str, y: str, participant: str, configurations: Sequence[dict], done: Sequence[str] = (), pca: PCA | None = None, key: str | None = None, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """One row of metrics for each trial that is not in ``done`` (S13 resumes this way).
 
     Linear models of all configurations come from one pass over the training rows and are scored in
-    one pass over the validation rows, both of any size. All k-NN trials come from one distributed search; ``key`` is a
-    unique column of both sides, without it rows are numbered. Extra trees are rows of trials, one task each, over broadcast tables of checked size. With
+    one pass over the validation rows, both of any size. All k-NN trials come from one distributed search, all trees of all forests
+    and seeds grow together; ``key`` is a unique column of both sides, without it rows are numbered. With
     ``pca``, models learn the scores and their predictions are brought back before any metric (M07).
     """
     spark = train.sparkSession
     todo = [c for c in configurations if c["configuration_id"] not in set(done)]
     head = lambda c: {k: c[k] for k in ("configuration_order", "configuration_id", "model")}
-    linear, knn, other = ([c for c in todo if f(c["model"])] for f in (lambda m: m in LINEAR, lambda m: m == "knn", lambda m: m == "extra_trees"))
+    linear, knn, forests = ([c for c in todo if f(c["model"])] for f in (lambda m: m in LINEAR, lambda m: m == "knn", lambda m: m == "extra_trees"))
     out = spark.createDataFrame([], TRIALS)
     names = [f.split()[0] for f in TRIALS.split(", ")]
     if linear:
@@ -556,39 +513,17 @@ def run_grid(train: DataFrame, validation: DataFrame, x: str, y: str, participan
         scores = _score_linear(validation, x, y, participant, [(w, b) for w, b, _ in fits], pca)
         joined = F.broadcast(records).join(scores, "i")  # a row for each trial
         out = out.union(joined.select(*[F.col(n).cast(f.dataType).alias(n) for n, f in zip(names, out.schema.fields, strict=True)]))
-    if knn:
-        start = time.perf_counter()
+    if knn or forests:
         if key is None:  # numbers that stay what they are
             key = "__row"
             train, validation = (staged(d.select(x, y, *c).withColumn(key, F.monotonically_increasing_id()), "numbered") for d, c in ((train, ()), (validation, (participant,))))
         t = train.select(key, x, y) if pca is None else map_array(train.select(key, x, y), y, pca.transform, "__z").select(key, x, F.col("__z").alias(y))
-        scores = staged(_score_knn(t, validation, key, x, y, participant, knn, pca), "knn-trials")
-        seconds = (time.perf_counter() - start) / len(knn)
-        records = spark.createDataFrame(pd.DataFrame([{"i": i, **head(c), "converged": True, "iterations": 0, "seconds": seconds} for i, c in enumerate(knn)]))
-        joined = F.broadcast(records).join(scores, "i")  # a row for each trial
-        out = out.union(joined.select(*[F.col(n).cast(f.dataType).alias(n) for n, f in zip(names, out.schema.fields, strict=True)]))
-    if not other:
-        return out
-    t, v = train.select(x, y), validation.select(x, y, participant)
-    width = len(t.first()[x]) + len(t.first()[y])
-    if (t.count() + v.count()) * width > MAX_VALUES:
-        raise ValueError("the tables are too large for one trial task")
-    tp, vp = t.toPandas(), v.toPandas()
-    shared = spark.sparkContext.broadcast((_matrix(tp[x]), _matrix(tp[y]), _matrix(vp[x]), _matrix(vp[y]), vp[participant].to_numpy(), pca))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        xt, yt, xv, yv, who, p = shared.value
-        target, rows = p.transform(yt) if p is not None else yt, []
-        for i in pdf["i"]:
-            with PeakMemory() as memory:
-                start = time.perf_counter()
-                c = other[i]
-                pred = extra_trees(xt, target, xv, FOREST_SEEDS, int(c["trees"]), int(c["depth"]), int(c["leaf"]), c["features"])[0]
-                seconds = time.perf_counter() - start
-            e = (p.inverse(pred) if p is not None else pred) - yv
-            g = pd.DataFrame({"w": who, "s": (e**2).mean(1), "a": np.abs(e).mean(1)}).groupby("w").mean()
-            rows.append({**head(other[i]), "participant_macro_rmse": float(np.sqrt(g["s"]).mean()), "participant_macro_mae": float(g["a"].mean()), "converged": True, "iterations": 0, "seconds": seconds, "peak_mb": memory.peak_mb})
-        return pd.DataFrame(rows)[names]
-
-    plan = spark.createDataFrame(pd.DataFrame({"i": range(len(other))})).withColumn("k", F.col("i"))
-    return out.union(plan.groupBy("k").applyInPandas(run, TRIALS))
+    for some, score in ((knn, _score_knn), (forests, partial(_score_forests, local_rows=local_rows))):
+        if some:
+            start = time.perf_counter()
+            scores = staged(score(t, validation, key, x, y, participant, some, pca), "trials")
+            seconds = (time.perf_counter() - start) / len(some)
+            records = spark.createDataFrame(pd.DataFrame([{"i": i, **head(c), "converged": True, "iterations": 0, "seconds": seconds} for i, c in enumerate(some)]))
+            joined = F.broadcast(records).join(scores, "i")  # a row for each trial
+            out = out.union(joined.select(*[F.col(n).cast(f.dataType).alias(n) for n, f in zip(names, out.schema.fields, strict=True)]))
+    return out
