@@ -19,6 +19,7 @@ from visitloom.plans.table_queries import PAIRS_SQL, WAVES_SQL, paired, waves
 from visitloom.session import shared_folder, table
 from visitloom.sources import packages as P
 from visitloom.sources import shared as SH
+from visitloom.sources import spine as SP
 from visitloom.sources import tables as SRC
 
 
@@ -76,6 +77,25 @@ def development_scan(spark, sf):
     return dev.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("o_custkey").alias("participants"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+@query(f"SELECT o_orderkey, split, c_mktsegment, c_acctbal FROM (SELECT *, {SPLIT_SQL} AS split FROM orders) LEFT JOIN customer ON c_custkey = o_custkey WHERE split IN ('train', 'validation')")
+def laid_participants(spark, sf):
+    """Visits and participants laid out by participant, then joined without an exchange, the test split unopened."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("participant"), split_of(F.col("o_custkey")).alias("split"))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("participant"), "c_mktsegment", "c_acctbal")
+    laid = SP.lay_out({"visits": o, "people": c}, "participant")
+    return SP.left_join_laid(laid["visits"], laid["people"], ["train", "validation"]).select("o_orderkey", "split", "c_mktsegment", "c_acctbal")
+
+
+@query("SELECT o_orderkey, o_totalprice, n AS lines, quantity FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
+def laid_visits(spark, sf):
+    """Sources laid out by visit; the grouping of one and its join with the other move no rows."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("visit"), "o_totalprice")
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("visit"), "l_quantity")
+    laid = SP.lay_out({"visits": o, "items": li}, "visit")
+    items = laid["items"].rows().groupBy("visit").agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+    return laid["visits"].rows().join(items, "visit", "left").select(F.col("visit").alias("o_orderkey"), "o_totalprice", "lines", "quantity")
+
+
 @query(f"SELECT split, count(*) AS rows, round(sum(o_totalprice), 2) AS target_sum FROM (SELECT *, {SPLIT_SQL} AS split FROM orders) WHERE split <> 'test' GROUP BY 1")
 def target_scan(spark, sf):
     """Targets as numbers; the test rows hold text that no cast may meet."""
