@@ -117,6 +117,26 @@ def parse_day(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
     return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats]).cast("date")
 
 
+# What a free date may look like once its parts are joined by hyphens; month before day where both could be.
+MIXED_FORMATS = ("yyyy-M-d", "M-d-yyyy", "d-M-yyyy", "d-MMM-yyyy", "MMM-d-yyyy", "yyyy-MMM-d", "yyyyMMdd", "yyyy-M", "MMM-yyyy", "yyyy")
+_CLOCK = r"^(.+?)(?:(?:\s+|(?<=[0-9])t)(?:[01]?[0-9]|2[0-3]):[0-5][0-9](?::[0-5][0-9](?:[.,][0-9]+)?)?\s*(?:[ap]m)?\s*(?:z|utc|[+-][0-9]{2}:?[0-9]{2})?)?$"
+_WEEKDAY = r"^(?:mon|tue|tues|wed|thu|thur|thurs|fri|sat|sun)(?:day|nesday|rday|urday|sday)?[\s,]+"
+_MONTH = r"\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)(?:uary|ruary|ch|il|e|y|ust|t|tember|ober|ember)?\b"
+
+
+def parse_day_mixed(c: Column) -> Column:
+    """P06 with a format of its own for every cell: the day as it is written, time of day and zone cut off, else NULL.
+
+    Numbers, month names or both, with hyphens, slashes, points, commas or spaces, a weekday before them; month before day unless that
+    is no date. A month or a year alone is its first day. Years have four digits; an impossible time makes the cell NULL.
+    """
+    whole = F.regexp_replace(F.lower(strip(c)), _WEEKDAY, "")
+    day = F.regexp_replace(F.regexp_extract(whole, _CLOCK, 1), _MONTH, "$1")
+    joined = F.initcap(F.regexp_replace(F.regexp_replace(day, r"(?<=[0-9])(?:st|nd|rd|th)\b", ""), r"[\s,./-]+", " "))
+    text = F.translate(joined, " ", "-")
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in MIXED_FORMATS]).cast("date")
+
+
 def iso_day(d: Column) -> Column:
     return F.date_format(d, "yyyy-MM-dd")
 

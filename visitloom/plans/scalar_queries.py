@@ -66,6 +66,17 @@ def date_parse(spark, sf):
     return df.select("o_orderkey", S.iso_day(S.parse_day(F.col("r"))).alias("day"))
 
 
+STYLES = ("yyyy-MM-dd", "M/d/yyyy", "yyyy/M/d", "MM-dd-yyyy", "d MMM yyyy", "MMMM d, yyyy", "yyyyMMdd", "EEEE, d MMMM yyyy", "yyyy-MM-dd'T'HH:mm:ss'Z'", "M.d.yyyy h:mm a", "dd-MMM-yyyy HH:mm:ss.SSS", "yyyy-MM-dd 29:00")
+
+
+@query(f"SELECT o_orderkey, CASE WHEN o_orderkey % {len(STYLES)} < {len(STYLES) - 1} THEN strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') END AS day FROM orders")
+def date_parse_mixed(spark, sf):
+    """Days written in eleven styles, and one impossible time, read without being told which."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("t"))
+    written = F.coalesce(*[F.when(F.col("o_orderkey") % len(STYLES) == i, F.date_format("t", f)) for i, f in enumerate(STYLES)])
+    return o.select("o_orderkey", S.iso_day(S.parse_day_mixed(written)).alias("day"))
+
+
 @query(f"SELECT c_custkey, CASE WHEN lower(trim(r, {WS})) IN ('true','1','yes','y') THEN true WHEN r IS NULL OR lower(trim(r, {WS})) IN ('false','0','no','n','') THEN false END AS flag, coalesce(lower(trim(r, {WS})) NOT IN ('true','1','yes','y','false','0','no','n',''), false) AS violation FROM (SELECT c_custkey, {FLAG} AS r FROM customer)")
 def bool_parse(spark, sf):
     """P07."""

@@ -141,6 +141,21 @@ def matrix_sink(spark, sf):
     return back.select("vec_id", F.size("embedding").alias("width"), F.round(total, 4).alias("total"))
 
 
+@query("""
+SELECT vec_id, CAST(len(x) AS INT) AS width, CAST(len(list_filter(x, lambda v: v <> 0)) AS INT) AS stored, CAST(len(x) AS INT) AS dense, round(coalesce(list_sum(list_transform(x, lambda v, i: v * i)), 0), 3) AS weighted
+FROM (SELECT vec_id, list_transform(embedding, lambda v: CASE WHEN v > 0.1 THEN CAST(CAST(v AS FLOAT) AS DOUBLE) ELSE 0 END) AS x FROM embeddings)
+""")
+def sparse_matrix_sink(spark, sf):
+    """A sparse matrix of single precision, written as places and values, and both forms read again."""
+    path = f"{shared_folder(spark)}/sparse-{uuid.uuid4().hex}"
+    x = F.transform("embedding", lambda v: F.when(v > 0.1, v).otherwise(0))
+    P.write_sparse(table(spark, sf, "embeddings").select("vec_id", x.alias("x")), path, ["vec_id"], "x")
+    dense = P.read_sparse(spark, path, "x").select(F.col("vec_id").alias("k"), "x")
+    weighted = F.aggregate(F.transform("x", lambda v, i: v.cast("double") * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    both = spark.read.parquet(path).join(dense, F.col("vec_id") == F.col("k"))
+    return both.select("vec_id", "width", F.size("cells").alias("stored"), F.size("x").alias("dense"), F.round(weighted, 3).alias("weighted"))
+
+
 @query("SELECT CAST(0 AS BIGINT) AS unsafe, CAST(0 AS BIGINT) AS missing, CAST(1 AS BIGINT) AS changed, CAST(1 AS BIGINT) AS unlisted, true AS refused, CAST(2 AS BIGINT) AS listed")
 def package_commit(spark, sf):
     """A package is staged, verified and renamed; a second commit is refused; later changes are found."""

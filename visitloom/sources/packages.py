@@ -64,6 +64,24 @@ def write_matrix(df: DataFrame, path: str, key: Sequence[str], column: str, mode
     df.select(*key, F.col(column).cast("array<float>").alias(column)).write.mode(mode).parquet(path)
 
 
+def write_sparse(df: DataFrame, path: str, key: Sequence[str], column: str, mode: str = "errorifexists") -> None:
+    """A matrix as Parquet, for each row its keys, width, and the places (from 0) and values of its cells that are not zero.
+
+    Values are single precision; a cell that rounds to zero is not kept. Null cells count as zero, a null row has a null width.
+    """
+    cells = F.transform(F.col(column).cast("array<float>"), lambda v, i: F.struct(i.alias("at"), v.alias("value")))
+    held = F.filter(cells, lambda c: c["value"] != 0)
+    df.select(*key, F.when(F.col(column).isNotNull(), F.size(column)).alias("width"), held["at"].alias("places"), held["value"].alias("cells")).write.mode(mode).parquet(path)
+
+
+def read_sparse(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """The rows of ``write_sparse`` as arrays of their whole width again."""
+    held = F.map_from_arrays("places", "cells")
+    cell = lambda i: F.coalesce(F.try_element_at(held, i), F.lit(0.0).cast("float"))
+    dense = F.when(F.col("width") == 0, F.array().cast("array<float>")).when(F.col("width") > 0, F.transform(F.sequence(F.lit(0), F.col("width") - 1), cell))
+    return spark.read.parquet(path).withColumn(column, dense).drop("width", "places", "cells")
+
+
 def write_model(spark: SparkSession, path: str, parameters: Mapping[str, object]) -> None:
     """Fitted state as a small table, one JSON value for each parameter."""
     rows = [(k, json.dumps(v, allow_nan=False)) for k, v in sorted(parameters.items())]
