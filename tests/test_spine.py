@@ -30,6 +30,8 @@ def test_join_moves_no_rows_and_opens_no_other_split(spark):
     text = plan(got)
     assert "Exchange" not in text and "SelectedBucketsCount: 8 out of 8" in text
     assert "PartitionFilters: [split" in text and "split=test" not in "".join(got.inputFiles())
+    per = laid["visits"].rows().groupBy("participant").count()
+    assert "Exchange" not in plan(per) and "Exchange" not in plan(laid["people"].rows().join(per.hint("merge"), "participant", "left"))
     laid["visits"].drop()
     assert not spark.catalog.tableExists(laid["visits"].name)
 

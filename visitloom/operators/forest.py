@@ -30,7 +30,7 @@ LOCAL_ROWS, QUERY_ROWS = 1000, 20_000
 #: Statistics (doubles) that a chunk of open nodes may have.
 CHUNK_VALUES = 8_000_000
 #: Values of training rows copied for the trees that grow at once, and the largest number of such trees.
-BLOCK_VALUES, MOST_TREES = 2_000_000_000, 2048
+BLOCK_VALUES, MOST_TREES = 250_000_000, 2048
 NODE_BITS = 40
 
 
