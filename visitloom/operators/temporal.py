@@ -40,44 +40,69 @@ def with_date_profile(visits: DataFrame, profile: DataFrame, keys: Sequence[str]
     return visits.join(profile, list(keys), "left").withColumn("status", F.coalesce("status", F.lit("no_clinical_date")))
 
 
-def strict_interval_winner(candidates: DataFrame, keys: Sequence[str], code: str, low: str = "date_min", high: str = "date_max") -> DataFrame:
-    """By key the candidate whose first day lies after the last day of every other, if all are dated; else NULL.
-
-    Only the two latest last days matter, and only their holder can win: aggregates with a partial
-    step, no self-join. A single candidate gives NULL.
-    """
-    latest = candidates.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col(low).isNull()).alias("__undated"), F.max(F.struct(high, low, code)).alias("__top")
-    )
-    others = candidates.join(latest.select(*keys, F.col(f"__top.{code}").alias("__c")), list(keys)).filter(F.col(code) != F.col("__c"))
-    second = others.groupBy(*keys).agg(F.max(high).alias("__next"))
-    joined = latest.join(second, list(keys), "left")
-    wins = (F.col("n") > 1) & (F.col("__undated") == 0) & (F.col(f"__top.{low}") > F.col("__next"))
-    return joined.select(*keys, F.when(wins, F.col(f"__top.{code}")).alias("winner"))
-
-
-def unique_at_maximum(candidates: DataFrame, keys: Sequence[str], code: str, value: Column, allowed: Column) -> DataFrame:
-    """The only candidate at the largest value, if every candidate is allowed; else NULL."""
-    rows = candidates.select(*keys, code, value.alias("__v"), F.coalesce(allowed, F.lit(False)).alias("__ok"))
-    top = rows.groupBy(*keys).agg(F.max("__v").alias("__m"), F.bool_and("__ok").alias("__all"))
-    at = rows.join(top, list(keys)).filter("__v = __m").groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min(code).alias("__c"), F.first("__all").alias("__all"))
-    return top.select(*keys).join(at, list(keys), "left").select(*keys, F.when((F.col("__n") == 1) & F.col("__all"), F.col("__c")).alias("winner"))
+#: A policy takes the only candidate at the largest value (a number), if every candidate is allowed.
+Policy = tuple[Column, Column]
 
 
-def by_consensus(c: DataFrame, keys: Sequence[str], code: str) -> DataFrame:
+def by_consensus() -> Policy:
     """All candidates have one exact date each, and one is latest."""
-    return unique_at_maximum(c, keys, code, F.col("date_min"), F.col("status") == "exact_date_consensus")
+    return F.unix_date("date_min"), F.col("status") == "exact_date_consensus"
 
 
-def by_median(c: DataFrame, keys: Sequence[str], code: str) -> DataFrame:
+def by_median() -> Policy:
     """All candidates are dated, and one has the latest median."""
-    return unique_at_maximum(c, keys, code, F.col("date_median"), F.col("date_min").isNotNull())
+    return F.unix_date("date_median"), F.col("date_min").isNotNull()
 
 
-def by_explicit_order(c: DataFrame, keys: Sequence[str], code: str, order: Sequence[str] = ZERO_ORDER) -> DataFrame:
+def by_explicit_order(code: Column, order: Sequence[str] = ZERO_ORDER) -> Policy:
     """The last of a fixed order of codes, if all candidates are in it."""
-    rank = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(code))
-    return unique_at_maximum(c, keys, code, rank, rank > 0)
+    return F.array_position(F.array(*[F.lit(x) for x in order]), code), code.isin(*order)
+
+
+def decide_ties(candidates: DataFrame, keys: Sequence[str], code: str, policies: Mapping[str, Policy], low: str = "date_min", high: str = "date_max", carry: Sequence[str] = (), extremes: Sequence[str] = ()) -> DataFrame:
+    """By key the number of candidates, how many are dated, the strict winner, and the winner under each policy; NULL where one decides nothing.
+
+    ``candidates`` holds a code of a key once; a key may be null, which is a key like any other. ``strict`` is the candidate whose first
+    day lies after the last day of every other, if all are dated; a single candidate gives NULL there. ``last`` is the candidate that
+    ends last (ties: the later beginning, the larger code), with its days and the columns of ``carry``; ``next_high`` is the last
+    day of the others. Of each column of ``extremes`` there are ``min_`` and ``max_`` over the key.
+
+    Two aggregates with partial steps and no join: by key and last day, then by key over its last days. So a key
+    with any number of candidates is spread over its days, and what is listed for a key is bounded by the number of days there are.
+    A maximum is unique when the largest and the smallest code at it are the same.
+    """
+    rows = candidates.select(*keys, low, high, code, *carry, *[F.col(c).alias(f"__x_{c}") for c in extremes], *[c for n, (v, ok) in policies.items() for c in (v.alias(f"__v_{n}"), F.coalesce(ok, F.lit(False)).alias(f"__ok_{n}"))])
+    at = [
+        c for n in policies for v in [F.col(f"__v_{n}")]
+        for c in (
+            F.max(F.when(v.isNotNull(), F.struct(v, code))).alias(f"__hi_{n}"),
+            F.min(F.when(v.isNotNull(), F.struct((-v).alias("__neg"), code))).alias(f"__lo_{n}"), F.bool_and(f"__ok_{n}").alias(f"__ok_{n}"),
+        )
+    ] + [f(f"__x_{c}").alias(f"{n}_{c}") for c in extremes for n, f in (("min", F.min), ("max", F.max))]
+    days = rows.groupBy(*keys, high).agg(F.count(F.lit(1)).alias("__n"), F.count(low).alias("__d"), F.max(F.struct(low, code, *carry)).alias("__top"), *at)
+    merged = [c for n in policies for c in (F.max(f"__hi_{n}").alias(f"__hi_{n}"), F.min(f"__lo_{n}").alias(f"__lo_{n}"), F.bool_and(f"__ok_{n}").alias(f"__ok_{n}"))]
+    merged += [f(f"{n}_{c}").alias(f"{n}_{c}") for c in extremes for n, f in (("min", F.min), ("max", F.max))]
+    out = days.groupBy(*keys).agg(
+        F.sum("__n").alias("candidates"), F.sum("__d").alias("dated"), F.slice(F.sort_array(F.collect_list(F.struct(high, "__top", "__n")), False), 1, 2).alias("__ends"), *merged
+    )
+    first, then = F.get("__ends", F.lit(0)), F.get("__ends", F.lit(1))
+    last = F.struct(first[high].alias(high), *[first["__top"][c].alias(c) for c in (low, code, *carry)])
+    next_high = F.when(first["__n"] > 1, first[high]).otherwise(then[high])
+    wins = (F.col("candidates") > 1) & (F.col("candidates") == F.col("dated")) & (F.col(f"last.{low}") > F.col("next_high"))
+    out = out.select("*", last.alias("last"), next_high.alias("next_high"))
+    unique = [F.when(F.col(f"__ok_{n}") & (F.col(f"__hi_{n}")[code] == F.col(f"__lo_{n}")[code]), F.col(f"__hi_{n}")[code]).alias(n) for n in policies]
+    return out.select(*keys, "candidates", "dated", "last", "next_high", F.when(wins, F.col("last")[code]).alias("strict"), *unique, *[f"{n}_{c}" for c in extremes for n in ("min", "max")])
+
+
+def strict_interval_winner(candidates: DataFrame, keys: Sequence[str], code: str, low: str = "date_min", high: str = "date_max", least: int = 1) -> DataFrame:
+    """The strict winner of each key with at least ``least`` candidates (see ``decide_ties``)."""
+    out = decide_ties(candidates, keys, code, {}, low, high)
+    return out.filter(F.col("candidates") >= least).select(*keys, F.col("strict").alias("winner"))
+
+
+def coverage_label(dated: Column, candidates: Column) -> Column:
+    """Whether none, some or all candidates are dated."""
+    return F.when(dated == 0, "none_dated").when(dated == candidates, "all_dated").otherwise("partially_dated")
 
 
 def median_gaps(c: DataFrame, keys: Sequence[str], code: str) -> DataFrame:
@@ -87,12 +112,6 @@ def median_gaps(c: DataFrame, keys: Sequence[str], code: str) -> DataFrame:
     return a.join(b, list(keys)).filter("first < second").select(*keys, "first", "second", F.abs(F.datediff("y", "x")).alias("gap_days"))
 
 
-def date_coverage(c: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Whether none, some or all candidates of a key are dated."""
-    n = c.groupBy(*keys).agg(F.count("date_min").alias("d"), F.count(F.lit(1)).alias("n"))
-    return n.select(*keys, F.when(F.col("d") == 0, "none_dated").when(F.col("d") == F.col("n"), "all_dated").otherwise("partially_dated").alias("coverage"))
-
-
 def pair_previous(current: DataFrame, visits: DataFrame, person: str, code: str, month: str, boundary: bool = True) -> DataFrame:
     """The previous visit of each current visit.
 
@@ -100,32 +119,23 @@ def pair_previous(current: DataFrame, visits: DataFrame, person: str, code: str,
     (person, code, month) and the date profile columns. Of the visits of an earlier month the latest
     month's are the candidates; one is taken, several are decided by strict date intervals as in
     ``strict_interval_winner``, whose winner must end before the current visit begins
-    (``boundary``). Everything else is excluded with its reason. The months of a person come from a
-    partial aggregate (no more than there are months), and everything after it keeps the rows
-    where the join by person has put them. ``visits`` is read twice and should be cheap to read.
+    (``boundary``). Everything else is excluded with its reason. Visits are first reduced to one row for each
+    person and month (``decide_ties``), then to one list of months for each person, which meets the current visit: visits
+    themselves never move by person, and no table is joined with itself. ``visits`` is read once.
     """
     cur = current.select(person, F.col(code).alias("current_code"), F.col(month).alias("current_month"), F.col("date_min").alias("__cmin"), F.col("date_median").alias("__cmed"))
     hist = visits.select(F.col(person).alias("__p"), F.col(code).alias("code"), F.col(month).alias("month"), "date_min", "date_max", "date_median")
-    seen = hist.groupBy("__p").agg(F.collect_set("month").alias("__months"), F.count_if(F.col("month").isNull()).alias("__unknown"))
-    facts = cur.join(seen, F.col(person) == F.col("__p"), "left").select(
-        *cur.columns, F.array_max(F.filter("__months", lambda m: m < F.col("current_month"))).alias("__latest"),
-        ((F.col("__unknown") > 0) | F.exists("__months", lambda m: m >= F.col("current_month"))).alias("__other"),
-    )
-    # The month is compared without being a join key: the rows stay dealt out by person.
-    tied = hist.join(facts.select(person, "__latest").filter("__latest IS NOT NULL"), (F.col(person) == F.col("__p")) & (F.col("month") - F.col("__latest") == 0)).drop("__p")
-    top = tied.groupBy(person).agg(
-        F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("date_min").isNull()).alias("__undated"), F.max(F.struct("date_max", "date_min", "code", "date_median")).alias("__top")
+    waves = decide_ties(hist, ["__p", "month"], "code", {}, carry=["date_median"])
+    wins = (F.col("candidates") == 1) | F.col("strict").isNotNull()
+    wave = F.struct("month", "candidates", *[F.when(wins, F.col(f"last.{c}")).alias(n) for c, n in (("code", "pick"), ("date_max", "pmax"), ("date_median", "pmed"))])
+    seen = waves.groupBy("__p").agg(F.collect_list(wave).alias("__waves"))
+    earlier = F.array_max(F.filter("__waves", lambda w: w["month"] < F.col("current_month")))
+    facts = cur.join(seen, F.col(person) == F.col("__p"), "left").withColumns(
+        {"__before": earlier, "__other": F.exists("__waves", lambda w: w["month"].isNull() | (w["month"] >= F.col("current_month")))}
+    )
+    all_ = facts.select(
+        *cur.columns, "__other", F.col("__before.month").alias("__latest"), *[F.col(f"__before.{c}").alias(n) for c, n in (("candidates", "candidates"), ("pick", "__pick"), ("pmax", "__pmax"), ("pmed", "__pmed"))]
     )
-    # With every candidate dated the struct's maximum is the last to end, and its code is told again here.
-    next_ = tied.join(top.filter("candidates > 1").select(F.col(person).alias("__p"), F.col("__top.code").alias("__c")), (F.col(person) == F.col("__p")) & (F.col("code") != F.col("__c")))
-    next_ = next_.groupBy(F.col("__p").alias("__q")).agg(F.max("date_max").alias("__next"))
-    chosen = top.join(next_, F.col(person) == F.col("__q"), "left")
-    wins = (F.col("candidates") == 1) | ((F.col("__undated") == 0) & (F.col("__top.date_min") > F.col("__next")))
-    chosen = chosen.select(
-        F.col(person).alias("__p"), "candidates", F.when(wins, F.col("__top.code")).alias("__pick"),
-        F.when(wins, F.col("__top.date_max")).alias("__pmax"), F.when(wins, F.col("__top.date_median")).alias("__pmed"),
-    )
-    all_ = facts.join(chosen, F.col(person) == F.col("__p"), "left").drop("__p")
     late = F.lit(boundary) & ~F.coalesce(F.col("__pmax") < F.col("__cmin"), F.lit(False))
     reason = (
         F.when(F.col("current_month").isNull(), NO_MONTH)
@@ -147,20 +157,15 @@ def pair_previous(current: DataFrame, visits: DataFrame, person: str, code: str,
     )
 
 
-def same_wave_audit(candidates: DataFrame, keys: Sequence[str], code: str, order: Sequence[str] = ZERO_ORDER) -> DataFrame:
-    """Every key with what each tie policy decides: strict, consensus, median and explicit_order winner, how many of the
-    dated policies decide, whether any two of them disagree, date coverage and the widest gap between medians.
+def same_wave_audit(visits: DataFrame, keys: Sequence[str], code: str, order: Sequence[str] = ZERO_ORDER, least: int = 1) -> DataFrame:
+    """Every key of at least ``least`` visits with what each tie policy decides: strict, consensus, median and explicit_order
+    winner, how many of the dated policies decide, whether any two of them disagree, date coverage and the widest gap between medians.
     """
-    n = candidates.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("candidates"), F.count("date_min").alias("__d"), F.datediff(F.max("date_median"), F.min("date_median")).alias("widest_gap_days")
+    policies = {"consensus": by_consensus(), "median": by_median(), "explicit_order": by_explicit_order(F.col(code).cast("string"), order)}
+    out = decide_ties(visits, keys, code, policies, extremes=["date_median"]).filter(F.col("candidates") >= least)
+    out = out.select(
+        *keys, "candidates", F.datediff("max_date_median", "min_date_median").alias("widest_gap_days"), coverage_label(F.col("dated"), F.col("candidates")).alias("coverage"), "strict", *policies
     )
-    out = n.withColumn("coverage", F.when(F.col("__d") == 0, "none_dated").when(F.col("__d") == F.col("candidates"), "all_dated").otherwise("partially_dated")).drop("__d")
-    policies = {
-        "strict": strict_interval_winner(candidates, keys, code), "consensus": by_consensus(candidates, keys, code), "median": by_median(candidates, keys, code),
-        "explicit_order": unique_at_maximum(candidates, keys, code, F.array_position(F.array(*[F.lit(x) for x in order]), F.col(code).cast("string")), F.col(code).cast("string").isin(*order)),
-    }
-    for name, winner in policies.items():
-        out = out.join(winner.withColumnRenamed("winner", name), list(keys), "left")
     dated = [F.col(c) for c in ("strict", "consensus", "median")]
     decided = sum((c.isNotNull().cast("int") for c in dated[1:]), dated[0].isNotNull().cast("int"))
     return out.withColumns({"decided_by": decided, "disagree": F.coalesce(F.greatest(*dated) != F.least(*dated), F.lit(False))})

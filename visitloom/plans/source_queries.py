@@ -15,7 +15,7 @@ from visitloom.operators import resolve as V
 from visitloom.operators import tables as R
 from visitloom.operators import temporal as T
 from visitloom.plans.registry import query
-from visitloom.plans.table_queries import PAIRS_SQL, WAVES_SQL, paired, waves
+from visitloom.plans.table_queries import PAIRS_SQL, WAVES_SQL, dated_visits, paired
 from visitloom.session import shared_folder, table
 from visitloom.sources import packages as P
 from visitloom.sources import shared as SH
@@ -283,7 +283,7 @@ FROM a LEFT JOIN s USING (person, month) LEFT JOIN c USING (person, month) LEFT
 """)
 def same_wave_audit(spark, sf):
     """Every wave with several visits under each policy, whether the policies agree, and the widest gap."""
-    return T.same_wave_audit(waves(spark, sf), ["person", "month"], "code").drop("explicit_order")
+    return T.same_wave_audit(dated_visits(spark, sf), ["person", "month"], "code", least=2).drop("explicit_order")
 
 
 POLICY = {"boundary": "winner_date_max < current_date_min", "method": "strict_date_intervals", "version": 1}

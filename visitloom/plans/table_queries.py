@@ -80,9 +80,12 @@ g AS (SELECT *, count(*) OVER (PARTITION BY person, month) AS n FROM v),
 t AS (SELECT * FROM g WHERE n > 1)"""
 
 
+def dated_visits(spark, sf):
+    return visits(spark, sf).withColumn("status", F.when(F.col("date_min") == F.col("date_max"), "exact_date_consensus").otherwise("other"))
+
+
 def waves(spark, sf):
-    v = visits(spark, sf).withColumn("status", F.when(F.col("date_min") == F.col("date_max"), "exact_date_consensus").otherwise("other"))
-    v = staged(v, "visits")
+    v = staged(visits(spark, sf), "visits")
     many = v.groupBy("person", "month").count().filter("count > 1").select("person", "month")
     return v.join(many, ["person", "month"])
 
@@ -93,7 +96,7 @@ SELECT person, month, max(CASE WHEN ok THEN code END) AS winner FROM (
 """)
 def same_wave_tie_strict(spark, sf):
     """The strict interval winner of every wave with several visits."""
-    return T.strict_interval_winner(waves(spark, sf), ["person", "month"], "code")
+    return T.strict_interval_winner(visits(spark, sf), ["person", "month"], "code", least=2)
 
 
 @query(WAVES_SQL + """
@@ -105,13 +108,11 @@ SELECT CASE WHEN d = 0 THEN 'none_dated' WHEN d = n THEN 'all_dated' ELSE 'parti
 """)
 def same_wave_policies(spark, sf):
     """How many waves each policy decides, by date coverage."""
-    w = waves(spark, sf).withColumn("o", (F.col("code") % 4).cast("string"))
-    keys = ["person", "month"]
-    out = T.date_coverage(w, keys)
-    order = T.unique_at_maximum(w, keys, "code", F.array_position(F.array(F.lit("0"), F.lit("1"), F.lit("2")), F.col("o")), F.col("o") != "3")
-    for name, d in (("consensus", T.by_consensus(w, keys, "code")), ("median", T.by_median(w, keys, "code")), ("explicit_order", order)):
-        out = out.join(d.withColumnRenamed("winner", name), keys)
-    return out.groupBy("coverage").agg(F.count(F.lit(1)).alias("waves"), *[F.count(c).alias(c) for c in ("consensus", "median", "explicit_order")])
+    v = dated_visits(spark, sf)
+    policies = {"consensus": T.by_consensus(), "median": T.by_median(), "explicit_order": T.by_explicit_order((F.col("code") % 4).cast("string"), ["0", "1", "2"])}
+    out = T.decide_ties(v, ["person", "month"], "code", policies).filter("candidates > 1")
+    coverage = T.coverage_label(F.col("dated"), F.col("candidates"))
+    return out.groupBy(coverage.alias("coverage")).agg(F.count(F.lit(1)).alias("waves"), *[F.count(c).alias(c) for c in policies])
 
 
 @query(WAVES_SQL + " SELECT a.person, a.month, a.code AS first, b.code AS second, CAST(abs(a.med - b.med) AS BIGINT) AS gap_days FROM t a JOIN t b ON a.person = b.person AND a.month = b.month AND a.code < b.code WHERE a.med IS NOT NULL AND b.med IS NOT NULL")
