@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from visitloom.functions import scalars as S
 from visitloom.operators import aggregates as A
 from visitloom.operators import constraints as K
+from visitloom.operators import crosscheck as C
 from visitloom.operators import features as X
 from visitloom.operators import governance as G
 from visitloom.operators import resolve as V
@@ -334,6 +335,94 @@ def baseline_refinement(spark, sf):
     return X.refine_baseline(baseline_rows(spark, sf), "person", "wave", "day", ["a", "b"])
 
 
+CROSS_RULES = [
+    C.Rule("orders", ("o_orderstatus",), "retain_harmonized", "categorical", "status_map"), C.Rule("orders", ("o_totalprice", "o_orderpriority", "o_orderdate"), "retain", "numeric", "numeric_identity"),
+    C.Rule("orders", ("o_year",), C.DERIVE_RETAIN, "numeric"), C.Rule("orders", ("age_at_order",), C.DERIVE_LATER, "numeric", later=True), C.Rule("lines", ("l_quantity",), "retain_transform_retype", "categorical", "tens"),
+    C.Rule("lines", ("l_discount", "l_returnflag"), "retain", "categorical"), C.Rule("customers", ("c_acctbal",), "retain_retype", "categorical"), C.Rule("customers", ("c_mktsegment",), "retain", "categorical"),
+]
+CROSS_REMOVED = {"orders": ["o_custkey"], "lines": ["l_tax"]}
+
+
+def crosschecked(spark, sf):
+    """Three sources before and after correction. Planted faults: prices changed, priorities emptied, flags filled in, an excluded column left
+    in, a column without directive, rows dropped, rows added; the lines' keys repeat."""
+    o, li, c = table(spark, sf, "orders"), table(spark, sf, "lineitem"), table(spark, sf, "customer")
+    orders = o.filter("o_orderkey % 1000 <> 3").select(
+        "o_orderkey", F.when(F.col("o_orderstatus") == "P", "O").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"),
+        (F.col("o_totalprice") + F.when(F.col("o_orderkey") % 97 == 0, 1.0).otherwise(0.0)).alias("o_totalprice"), F.year("o_orderdate").alias("o_year"),
+        F.when(F.col("o_orderkey") % 50 != 7, F.lower("o_orderpriority")).alias("o_orderpriority"), "o_orderdate",
+    )
+    old = li.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("l_returnflag"), "l_tax", "l_linestatus")
+    new = li.select("l_orderkey", "l_linenumber", F.floor(F.col("l_quantity") / 10).alias("l_quantity"), "l_discount", "l_returnflag", "l_tax", "l_linestatus")
+    more = c.select((F.col("c_custkey") + F.when(F.col("c_custkey") % 100 == 1, 10_000_000).otherwise(0)).alias("c_custkey"), F.col("c_acctbal").cast("string").alias("c_acctbal"), "c_mktsegment", "c_nationkey")
+    return {"orders": (o, orders, ["o_orderkey"]), "lines": (old, new, ["l_orderkey", "l_linenumber"]), "customers": (c, more, ["c_custkey"])}
+
+
+def _cross_sql(source, features):
+    """SQL rows of one source; its CTEs are <source>_o and <source>_c with keys k."""
+    return " UNION ALL ".join(
+        f"""SELECT '{source}' AS source, '{name}' AS feature, {position} AS position, {action} AS action, {kind} AS feature_type, {before} AS in_original, {after} AS in_corrected,
+  any_value(r.compared) AS compared, any_value(r.only_original) AS only_original, any_value(r.only_corrected) AS only_corrected, any_value(r.repeated) AS repeated, """
+        + (
+            f"""count(*) FILTER (WHERE k IS NOT NULL AND {a} IS NOT DISTINCT FROM {b}) AS kept, count(*) FILTER (WHERE {a} <> {b}) AS changed, count(*) FILTER (WHERE k IS NOT NULL AND {a} IS NULL AND {b} IS NOT NULL) AS filled,
+  count(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NULL) AS emptied, {verdict} AS verdict FROM {source}_r r LEFT JOIN {source}_j ON true"""
+            if a
+            else f"NULL, NULL, NULL, NULL, '{verdict}' FROM {source}_r r"
+        )
+        for name, position, action, kind, before, after, a, b, verdict in features
+    )
+
+
+def _cross_features():
+    text = lambda n: (f"lower(o.{n})", f"lower(c.{n})")
+    plain = lambda n: (f"o.{n}", f"c.{n}")
+    keep = "CASE WHEN changed + filled + emptied > 0 THEN 'changed_beyond_directive' ELSE 'ok' END"
+    return {
+        "orders": [
+            ("o_orderstatus", 1, "'retain_harmonized'", "'categorical'", True, True, *text("o_orderstatus"), "'ok'"), ("o_totalprice", 2, "'retain'", "'numeric'", True, True, *plain("o_totalprice"), keep),
+            ("o_year", 3, "'derive_retain'", "'numeric'", False, True, None, None, "ok"), ("o_orderpriority", 4, "'retain'", "'numeric'", True, True, *text("o_orderpriority"), keep),
+            ("o_orderdate", 5, "'retain'", "'numeric'", True, True, *plain("o_orderdate"), keep),
+            ("o_custkey", "NULL", "'exclude'", "'excluded'", True, False, None, None, "ok"), ("age_at_order", "NULL", "'derive_later'", "'numeric'", False, False, None, None, "ok"),
+        ],
+        "lines": [
+            ("l_quantity", 1, "'retain_transform_retype'", "'categorical'", True, True, "o.l_quantity", "floor(o.l_quantity / 10)", "CASE WHEN filled + emptied > 0 THEN 'changed_beyond_directive' ELSE 'ok' END"),
+            ("l_discount", 2, "'retain'", "'categorical'", True, True, *plain("l_discount"), keep), ("l_returnflag", 3, "'retain'", "'categorical'", True, True, "nullif(o.l_returnflag, 'N')", "c.l_returnflag", keep),
+            ("l_tax", 4, "'exclude'", "'excluded'", True, True, *plain("l_tax"), "'excluded_but_present'"), ("l_linestatus", 5, "NULL", "NULL", True, True, *plain("l_linestatus"), "'no_directive'"),
+        ],
+        "customers": [
+            ("c_acctbal", 1, "'retain_retype'", "'categorical'", True, True, *plain("c_acctbal"), keep), ("c_mktsegment", 2, "'retain'", "'categorical'", True, True, *text("c_mktsegment"), keep),
+            ("c_nationkey", 3, "NULL", "NULL", True, True, *plain("c_nationkey"), "'no_directive'"), ("c_name", "NULL", "NULL", "NULL", True, False, None, None, "removed_without_directive"),
+        ],
+    }
+
+
+def _cross_ctes(source, keys, original, corrected):
+    k = f"({', '.join(keys)})" if len(keys) > 1 else keys[0]
+    return f"""{source}_o AS (SELECT {k} AS k, *, count(*) OVER (PARTITION BY {k}) AS n FROM ({original})), {source}_c AS (SELECT {k} AS k, *, count(*) OVER (PARTITION BY {k}) AS n FROM ({corrected})),
+{source}_j AS (SELECT o.k, o, c FROM {source}_o o JOIN {source}_c c ON o.k = c.k WHERE o.n = 1 AND c.n = 1),
+{source}_k AS (SELECT coalesce(o.k, c.k) AS k, max(o.n) AS o, max(c.n) AS c FROM {source}_o o FULL JOIN {source}_c c ON o.k = c.k GROUP BY 1),
+{source}_r AS (SELECT count(*) FILTER (WHERE o = 1 AND c = 1) AS compared, count(*) FILTER (WHERE c IS NULL) AS only_original, count(*) FILTER (WHERE o IS NULL) AS only_corrected, count(*) FILTER (WHERE o IS NOT NULL AND c IS NOT NULL AND (o > 1 OR c > 1)) AS repeated FROM {source}_k)"""
+
+
+CROSS_SQL = "WITH " + ", ".join([
+    _cross_ctes("orders", ["o_orderkey"], "FROM orders", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'O' ELSE o_orderstatus END AS o_orderstatus, o_totalprice + CASE WHEN o_orderkey % 97 = 0 THEN 1 ELSE 0 END AS o_totalprice, CASE WHEN o_orderkey % 50 <> 7 THEN o_orderpriority END AS o_orderpriority, o_orderdate FROM orders WHERE o_orderkey % 1000 <> 3"),
+    _cross_ctes("lines", ["l_orderkey", "l_linenumber"], "FROM lineitem", "FROM lineitem"),
+    _cross_ctes("customers", ["c_custkey"], "FROM customer", "SELECT c_custkey + CASE WHEN c_custkey % 100 = 1 THEN 10000000 ELSE 0 END AS c_custkey, c_acctbal, c_mktsegment, c_nationkey FROM customer"),
+]) + " " + " UNION ALL ".join(_cross_sql(s, f) for s, f in _cross_features().items())
+
+
+@query(CROSS_SQL)
+def feature_crosscheck(spark, sf):
+    """Every feature of three corrected sources against its directive: cells kept, changed, filled, emptied, and a verdict."""
+    sources = crosschecked(spark, sf)
+    corrected = {s: c.columns for s, (_, c, _) in sources.items()}
+    directives = C.build_directives(CROSS_RULES, corrected, CROSS_REMOVED)
+    checks = G.Checks()
+    C.check_policy(checks, directives, {f"{r.source}_{r.columns[0]}": r for r in CROSS_RULES}, corrected)
+    checks.gate()
+    return C.cross_check(sources, directives)
+
+
 @query(f"""WITH s AS (SELECT c_custkey AS person, {SPLIT_SQL.replace('o_custkey', 'c_custkey')} AS split FROM customer), v AS (SELECT o_custkey AS person, o_orderkey AS code, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS position FROM orders),
 l AS (SELECT l_orderkey AS code, count(*) AS n FROM lineitem GROUP BY 1),
 r AS (SELECT 'split_participants_unique' AS name, CAST(count(*) - count(DISTINCT person) AS VARCHAR) AS v, '0' AS want FROM s UNION ALL SELECT 'split_names_known', CAST(count(*) FILTER (WHERE split NOT IN ('train', 'validation', 'test')) AS VARCHAR), '0' FROM s
