@@ -11,14 +11,14 @@ from __future__ import annotations
 import resource
 import threading
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import partial
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -527,3 +527,38 @@ def run_grid(train: DataFrame, validation: DataFrame, x: str, y: str, participan
             joined = F.broadcast(records).join(scores, "i")  # a row for each trial
             out = out.union(joined.select(*[F.col(n).cast(f.dataType).alias(n) for n, f in zip(names, out.schema.fields, strict=True)]))
     return out
+
+
+REPRESENTATIONS = ("native", "pca90")
+
+
+def finished_trials(spark: SparkSession, path: str) -> list[tuple[str, str, str]]:
+    """(scenario, representation, configuration_id) of the trials written to ``path``; none where nothing is written yet. As many as the grid has at most."""
+    try:
+        done = spark.read.parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return []
+    return [tuple(r) for r in done.select("scenario", "representation", "configuration_id").distinct().collect()]
+
+
+def run_trials(scenarios: Mapping[str, tuple[DataFrame, DataFrame]], x: str, y: str, participant: str, configurations: Sequence[dict], path: str, key: str, share: float = 0.90) -> DataFrame:
+    """Every configuration in every scenario (train, validation) for both target representations, as one table of trials at ``path``.
+
+    Trials found there are not run again, and each scenario and representation is appended when it is done, so that a run that was
+    stopped goes on from there. Scenarios may differ in the width of ``x``. For ``pca90`` models learn scores that keep ``share`` of the
+    training targets' variance, and errors are those of the targets brought back (M07). Every pair is ``run_grid``, whose passes do not
+    depend on the number of configurations.
+    """
+    spark = next(iter(scenarios.values()))[0].sparkSession
+    done = set(finished_trials(spark, path))
+    for scenario, (train, validation) in scenarios.items():
+        for representation in REPRESENTATIONS:
+            ids = [c["configuration_id"] for c in configurations if (scenario, representation, c["configuration_id"]) in done]
+            if len(ids) == len(configurations):
+                continue
+            pca = None if representation == "native" else PCA.fit(train, y, share)
+            trials = run_grid(train, validation, x, y, participant, configurations, ids, pca, key)
+            trials.select(F.lit(scenario).alias("scenario"), F.lit(representation).alias("representation"), "*").coalesce(1).write.mode("append").parquet(path)
+    return spark.read.parquet(path)

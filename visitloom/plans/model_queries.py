@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from visitloom.operators import balance as B
@@ -11,7 +13,7 @@ from visitloom.operators import models as L
 from visitloom.operators import preprocess as P
 from visitloom.operators import tables as R
 from visitloom.plans.registry import query
-from visitloom.session import table
+from visitloom.session import shared_folder, table
 
 
 @query("WITH m AS (SELECT quantile_cont(l_discount, 0.5) FILTER (WHERE l_discount <> 0) AS d, quantile_cont(l_tax, 0.5) FILTER (WHERE l_tax <> 0) AS t FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN l_discount <> 0 THEN l_discount ELSE d END, 6) AS discount, CAST(l_discount = 0 AS INT) AS discount_missing, round(CASE WHEN l_tax <> 0 THEN l_tax ELSE t END, 6) AS tax FROM lineitem, m")
@@ -175,6 +177,30 @@ def model_grid(spark, sf):
     return R.best_configurations(trials.select(*cols), ["model"], ["participant_macro_rmse", "participant_macro_mae", "configuration_order"], "converged", "configuration_order")
 
 
+def _scenarios(spark, sf):
+    """Sixteen targets from three sets of inputs: all others of the vector, its first half, its third quarter."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    y, who = F.slice("v", 49, 16).alias("y"), (F.col("vec_id") % 50).cast("string").alias("participant")
+    parts = {"all_inputs": (1, 48), "first_half": (1, 32), "third_quarter": (33, 16)}
+    both = {n: e.select("vec_id", F.slice("v", a, k).alias("x"), y, who) for n, (a, k) in parts.items()}
+    return {n: (d.filter("vec_id % 5 < 4"), d.filter("vec_id % 5 = 4")) for n, d in both.items()}
+
+
+@query()
+def grid_resume(spark, sf):
+    """Three scenarios, both target representations, every linear and neighbour configuration (``model_grid`` has the forests);
+    the run is stopped after one scenario's first configurations and goes on. The best trial of each model, and how many ran.
+    """
+    path = f"{shared_folder(spark)}/trials-{uuid.uuid4().hex}"
+    scenarios, configurations = _scenarios(spark, sf), [c for c in L.grid() if c["model"] != "extra_trees"]
+    L.run_trials({"all_inputs": scenarios["all_inputs"]}, "x", "y", "participant", configurations[:10], path, "vec_id")
+    trials = L.run_trials(scenarios, "x", "y", "participant", configurations, path, "vec_id")
+    by = ["scenario", "representation", "model"]
+    cols = [*by, "configuration_order", "configuration_id", "participant_macro_rmse", "participant_macro_mae", "converged"]
+    best = R.best_configurations(trials.select(*cols), by, ["participant_macro_rmse", "participant_macro_mae", "configuration_order"], "converged", "configuration_order")
+    return best.join(trials.groupBy(*by).agg(F.count(F.lit(1)).alias("trials")), by)
+
+
 @query()
 def extra_trees(spark, sf):
     """The three declared forests with five seeds each, 1,950 trees: prediction and seed stability of every validation vector."""
