@@ -425,6 +425,23 @@ def test_split_search_scores(spark):
     assert 0 < got["is_valid"].sum() < 60
 
 
+def test_split_search_counts_codes_not_cells():
+    """A candidate costs its permutation and counts of codes in the smaller splits, whatever the number of criteria; codes that need over 63 bits take several words."""
+    rng = np.random.default_rng(8)
+    n = 5000
+    pdf = pd.DataFrame({"n_visits": rng.permutation(n) + 1, "followup_months": rng.permutation(n) / 3, "modality_count_mean": np.where(rng.random(n) < 0.1, np.nan, rng.permutation(n))})
+    for c in B.CATEGORICAL:
+        pdf[c] = rng.choice([f"v{k}" for k in range(40)], n)
+    context = B.SearchContext.of(pdf)
+    assert len(context.words) == 2  # five times 6 bits, four times 13
+    got, order, at = context.counts([5]), np.random.default_rng(5).permutation(n), 0
+    for s, size in enumerate(context.sizes.values()):
+        mine, at = pdf.iloc[order[at : at + size]], at + size
+        assert got["sex"][s, 0].tolist() == mine["sex"].value_counts().reindex(sorted(pdf["sex"].unique()), fill_value=0).tolist()
+        x = mine["modality_count_mean"]
+        assert got["modality_count_mean"][s, 0].tolist() == [*x.value_counts().reindex(sorted(pdf["modality_count_mean"].dropna()), fill_value=0), x.isna().sum()]
+
+
 def test_best_split_replayed_by_operators(spark, small):
     """The best candidate's mapping gives its score again through the Spark operators of each distance."""
     from visitloom.plans.model_queries import _profile

@@ -20,8 +20,8 @@ CATEGORICAL = ("diagnosis_first", "sex", "apoe_availability", "modality_pattern_
 NUMERIC = ("n_visits", "followup_months", "modality_count_mean")
 #: Participants of a profile that may be broadcast to the search tasks.
 MAX_PARTICIPANTS = 2_000_000
-#: Candidates times participants that a search task holds at once.
-CELLS = 1_000_000
+#: Counts (candidates times codes) that a search task holds at once.
+CELLS = 300_000
 
 
 def split_sizes(n: int, shares: Mapping[str, float] = SHARES) -> dict[str, int]:
@@ -92,73 +92,95 @@ def score_criteria(distances: DataFrame, candidate: Sequence[str] = (), weight:
 
 @dataclass
 class SearchContext:
-    """A profile as arrays, one entry for each participant in their order.
+    """A profile as whole numbers, one entry for each participant in their order.
 
-    ``facts`` has a column for the visits, the participants with two and with three visits, and every
-    category of every criterion (``blocks``: name to columns and shares), so that one product with the splits' indicators
-    counts all of them. ``ordered`` has for each number criterion the participants with a value by value, and the gaps between
-    neighbours in standard deviations.
+    Every criterion is a code (a category, or the rank of a different value), and the codes of a participant are packed
+    side by side into as few 63-bit words as they need: ``place`` has for each criterion its word, shift and bits.
+    ``totals`` counts the codes of all participants, ``categories`` has the shares of each category criterion,
+    ``gaps`` the gaps between different values of each number criterion in standard deviations; participants without a value have the last code.
     """
 
     sizes: dict[str, int]
-    facts: np.ndarray
-    blocks: dict[str, tuple[slice, np.ndarray]]
+    words: list[np.ndarray]
+    place: dict[str, tuple[int, int, int]]
+    totals: dict[str, np.ndarray]
+    visits: np.ndarray
+    categories: dict[str, np.ndarray]
     required: np.ndarray
-    ordered: dict[str, tuple[np.ndarray, np.ndarray]]
+    gaps: dict[str, np.ndarray]
 
     @classmethod
     def of(cls, profile: pd.DataFrame) -> SearchContext:
-        visits = profile["n_visits"].to_numpy(np.float64)
-        columns, blocks, ordered, required = [visits, visits >= 2, visits >= 3], {}, {}, np.empty(0, np.int64)
+        codes, categories, gaps, required = {}, {}, {}, np.empty(0, np.int64)
+        visits, codes["__visits"] = np.unique(profile["n_visits"].to_numpy(np.float64), return_inverse=True)
         for c in CATEGORICAL:
-            names, codes = np.unique(profile[c].fillna("__MISSING__").astype(str), return_inverse=True)
-            count, first = np.bincount(codes), len(columns)
-            columns += [codes == k for k in range(len(names))]
-            blocks[c] = (slice(first, len(columns)), count / count.sum())
+            names, codes[c] = np.unique(profile[c].fillna("__MISSING__").astype(str), return_inverse=True)
+            count = np.bincount(codes[c])
+            categories[c] = count / count.sum()
             if c == "diagnosis_first":
-                required = np.array([first + k for k, n in enumerate(names) if count[k] >= REQUIRED_COUNT and n not in ("__MISSING__", "__RARE__")], np.int64)
+                required = np.array([k for k, n in enumerate(names) if count[k] >= REQUIRED_COUNT and n not in ("__MISSING__", "__RARE__")], np.int64)
         for c in NUMERIC:
             x = pd.to_numeric(profile[c], errors="coerce").to_numpy(float)
-            known = np.flatnonzero(np.isfinite(x))
-            if len(known) >= 2 and x[known].std() > 0:
-                known = known[np.argsort(x[known], kind="stable")]
-                ordered[c] = (known, np.diff(x[known]) / x[known].std())
-        return cls(split_sizes(len(profile)), np.stack([np.asarray(x, np.float64) for x in columns], 1), blocks, required, ordered)
+            known = np.isfinite(x)
+            if known.sum() >= 2 and x[known].std() > 0:
+                values, rank = np.unique(x[known], return_inverse=True)
+                codes[c] = np.full(len(x), len(values))
+                codes[c][known] = rank
+                gaps[c] = np.diff(values) / x[known].std()
+        words, place, used = [], {}, 63
+        for c, code in codes.items():
+            bits = max(1, int(code.max(initial=0)).bit_length())
+            if used + bits > 63:
+                words.append(np.zeros(len(profile), np.int64))
+                used = 0
+            words[-1] |= code.astype(np.int64) << used
+            place[c], used = (len(words) - 1, used, bits), used + bits
+        totals = {c: np.bincount(code, minlength=len(gaps[c]) + 2 if c in gaps else 0) for c, code in codes.items()}
+        return cls(split_sizes(len(profile)), words, place, totals, visits, categories, required, gaps)
+
+    def counts(self, seeds: Sequence[int]) -> dict[str, np.ndarray]:
+        """By criterion: split x candidate x code. The participants of the first split are all others than those of the rest, so only the rest is counted."""
+        sizes = list(self.sizes.values())
+        out = {c: np.zeros((len(sizes), len(seeds), len(t)), np.int64) for c, t in self.totals.items()}
+        ends = np.cumsum(sizes)
+        for i, seed in enumerate(seeds):
+            order = np.random.default_rng(seed).permutation(ends[-1])
+            for s in range(1, len(sizes)):
+                words = [w[order[ends[s - 1] : ends[s]]] for w in self.words]
+                for c, (word, shift, bits) in self.place.items():
+                    out[c][s, i] = np.bincount((words[word] >> shift) & ((1 << bits) - 1), minlength=len(self.totals[c]))
+        for c, n in out.items():
+            n[0] = self.totals[c] - n[1:].sum(0)
+        return out
 
     def score(self, seeds: Sequence[int]) -> dict[str, list]:
-        """The scores of the splits of many seeds: counts come from one product, the distances between numbers from running sums over sorted values."""
-        n, names = len(self.facts), list(self.sizes)
-        codes = np.empty((len(seeds), n), np.int8)
-        laid = np.repeat(np.arange(len(names), dtype=np.int8), list(self.sizes.values()))
-        for i, seed in enumerate(seeds):
-            codes[i, np.random.default_rng(seed).permutation(n)] = laid
-        member = codes[None] == np.arange(len(names))[:, None, None]  # split, candidate, participant
-        counts = (member.reshape(-1, n).astype(np.float64) @ self.facts).reshape(len(names), len(seeds), -1)
+        """The scores of the splits of many seeds, from their counts by code alone."""
+        counts, names = self.counts(seeds), list(self.sizes)
         size = np.array(list(self.sizes.values()), np.float64)[:, None, None]
         share = np.array([SHARES[s] for s in names])[:, None]
-        by = {"visit_proportion": np.abs(counts[:, :, 0] / self.facts[:, 0].sum() - share)}
-        for c, (columns, q) in self.blocks.items():
-            p = counts[:, :, columns] / size
+        by = {"visit_proportion": np.abs(counts["__visits"] @ self.visits / (self.totals["__visits"] @ self.visits) - share)}
+        for c, q in self.categories.items():
+            p = counts[c] / size
             m = (p + q) / 2
             with np.errstate(divide="ignore", invalid="ignore"):
                 terms = np.where(p > 0, p * np.log2(p / m), 0) + np.where(q > 0, q * np.log2(q / m), 0)
             by[c] = np.sqrt(np.maximum(terms.sum(2) / 2, 0))
-        for c, (known, gaps) in self.ordered.items():
-            all_ = np.arange(1, len(known)) / len(known)
-            out = []
-            for s in range(len(names)):
-                run = np.cumsum(member[s][:, known], axis=1, dtype=np.int32)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    out.append(np.abs(run[:, :-1] / run[:, -1:] - all_) @ gaps)
+        for c, gaps in self.gaps.items():
+            all_ = np.cumsum(self.totals[c][:-1])
+            run = np.cumsum(counts[c][:, :, :-1], axis=2)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out = np.abs(run[:, :, :-1] / run[:, :, -1:] - all_[:-1] / all_[-1]) @ gaps
             by[c] = np.where(np.isfinite(out), out, np.inf)
         score = {c: (d.mean(0) + d.max(0)) / 2 for c, d in by.items()}
         criteria, table = list(score), np.stack(list(score.values()))
         live = np.isfinite(table)
         worst = np.where(live, table, -np.inf).argmax(0)
         reasons = [[] for _ in seeds]
+        found = counts["diagnosis_first"][:, :, self.required]
         faults = {
-            "missing_required_diagnosis_category": (counts[:, :, self.required] == 0).any(2) if len(self.required) else np.zeros(counts.shape[:2], bool),
-            "insufficient_2plus": counts[:, :, 1] < 1, "insufficient_3plus": counts[:, :, 2] < 1, "visit_proportion_outside_tolerance": by["visit_proportion"] > VISIT_TOLERANCE,
+            "missing_required_diagnosis_category": (found == 0).any(2),
+            **{f"insufficient_{k}plus": counts["__visits"][:, :, self.visits >= k].sum(2) < 1 for k in (2, 3)},
+            "visit_proportion_outside_tolerance": by["visit_proportion"] > VISIT_TOLERANCE,
         }
         for reason, at in faults.items():
             for s, i in zip(*np.nonzero(at), strict=True):
@@ -172,15 +194,17 @@ class SearchContext:
 def search_splits(profile: DataFrame, candidates: int = CANDIDATES, first: int = 1, master_seed: int = MASTER_SEED, tasks: int = 64) -> DataFrame:
     """Scores of seeded permutations, one row each. ``first`` resumes after candidates that are done.
 
-    Candidates are the rows that are distributed, and a task scores ``CELLS`` cells of candidates by participants at once;
+    Candidates are the rows that are distributed; a task permutes the participants for each, counts codes in the two smaller splits and
+    scores candidates of ``CELLS`` counts at once;
     the profile (one row for each participant, its size checked) is broadcast. Permutations are NumPy's,
     which Spark's generator cannot replay.
     """
     spark: SparkSession = profile.sparkSession
     if (n := profile.count()) > MAX_PARTICIPANTS:
         raise ValueError(f"{n} participants; search over groups of participants instead")
-    shared = spark.sparkContext.broadcast(SearchContext.of(profile.orderBy("participant").toPandas()))
-    step = max(1, CELLS // max(1, n))
+    context = SearchContext.of(profile.orderBy("participant").toPandas())
+    step = max(1, CELLS // sum(map(len, context.totals.values())))
+    shared = spark.sparkContext.broadcast(context)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
