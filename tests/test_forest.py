@@ -104,3 +104,19 @@ def test_forest_learns_and_joins_the_grid(spark):
     assert got["extra_trees"]["participant_macro_rmse"] == pytest.approx(rmse)
     pca = L.PCA.fit(train, "y", 0.999)
     assert L.run_grid(train, rest, "x", "y", "p", [small], pca=pca, key="i").first()["participant_macro_rmse"] == pytest.approx(rmse, rel=0.3)
+
+
+def test_whole_trees_share_rows_by_batches(spark, monkeypatch):
+    """Trees that are finished whole meet one copy of the rows for each batch; batches, turns of queries and the level by level way give the same."""
+    r = np.random.default_rng(7)
+    x = r.normal(size=(120, 5))
+    df = spark.createDataFrame([(i, x[i].tolist(), [float(x[i, 0] + x[i, 1] ** 2), float(i % 3)]) for i in range(120)], "i int, x array<double>, y array<double>")
+    train, rest = df.filter("i < 90"), df.filter("i >= 80")
+    forests = [{"trees": 5, "depth": 6, "features": 0.6, "leaf": 2}, {"trees": 4, "depth": 8, "features": "sqrt", "leaf": 1}]
+    monkeypatch.setattr(W, "BATCH_TREES", 4)
+    monkeypatch.setattr(W, "BATCH_QUERIES", 15)
+    met = []
+    monkeypatch.setattr(W, "_batch_sums", lambda *a, of=W._batch_sums: met.append(len(a[-1])) or of(*a))
+    got = [{(g["i"], g["forest"]): [*g["prediction"], g["spread"]] for g in W.extra_trees(train, rest, "i", "x", "y", forests, [1, 2], n).collect()} for n in (None, 20)]
+    assert met == [18] and set(got[0]) == set(got[1]) and len(got[0]) == 80
+    assert all(np.allclose(got[0][k], got[1][k], rtol=1e-9, atol=1e-12) for k in got[0])
