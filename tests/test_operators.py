@@ -482,6 +482,22 @@ def test_neighbours_in_cells(spark, cell_rows):
     assert few.count() == 3 and L.knn_neighbours(df.limit(0), df, "id", "v", 2).count() == 0
 
 
+def test_queries_are_copied_by_parts_not_cells(spark, monkeypatch):
+    """In many dimensions bounds leave nearly every cell; a query then goes once to each part, and a large k makes the turns smaller."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(900, 40))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, v array<double>")
+    sent = []
+    keep = L.staged
+    monkeypatch.setattr(L, "staged", lambda d, name: sent.append((name, keep(d, name))) or sent[-1][1])
+    monkeypatch.setattr(L, "TURN_NEIGHBOURS", 300)
+    got = {(r["id"], r["rank"]): r["neighbour"] for r in L.knn_neighbours(df.filter("id >= 100"), df.filter("id < 100"), "id", "v", 30, cell_rows=300).collect()}
+    for i in range(100):
+        d = np.sqrt(((x[100:] - x[i]) ** 2).sum(1))
+        assert [got[i, k] for k in range(1, 31)] == (np.argsort(d, kind="stable")[:30] + 100).tolist()
+    assert dict(sent)["visits"].count() <= 100 * 4  # 28 cells in three or four parts
+
+
 def test_knn_trials_of_the_grid(spark):
     rng = np.random.default_rng(4)
     x, y = rng.normal(size=(150, 4)), rng.normal(size=(150, 2))
