@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -756,3 +757,12 @@ def test_reports_in_a_file_system_that_is_not_local(spark, tmp_path, monkeypatch
     assert shared.verify_package(spark, f"{root}/p", listed) == {"missing": 0, "unlisted": 1, "changed": 0, "unsafe": 0}
     shared.commit_package(spark, f"{root}/p", put, lambda at: None, overwrite=True)
     assert shared.verify_package(spark, f"{root}/p", listed) == {"missing": 0, "unlisted": 0, "changed": 0, "unsafe": 0}
+
+
+def test_positions_of_rows_not_of_keys(spark):
+    """Two rows of one key with different positions: the positions of the rows are whole, the key is repeated."""
+    df = spark.createDataFrame([("a", 1, 1), ("a", 1, 2), ("a", 3, 3), ("b", 1, 1), ("b", 2, 1), (None, 4, 1), (None, 5, None)], "p string, v int, i int")
+    checks = G.Checks()
+    K.validate(checks, {"e": K.Entity(df, ("p", "v"), positions=(("p",), "i"))})
+    got = {r["check"]: r["observed"] for r in checks.frame(spark).collect()}
+    assert (got["e_broken_positions"], got["e_duplicate_key"], got["e_missing_key"]) == ("2", "1", "2")

@@ -110,19 +110,19 @@ def _chain(e: Entity, entities: Mapping[str, Entity]) -> dict[str, int]:
             )
             rows = joined.drop("__there", *[f"__on{i}" for i in range(len(p.on))], *[f"__same{i}" for i in range(len(p.same))])
             observed.append(seen)
-        group, position = e.positions or ((), None)
-        extra = [F.min(F.col(position).cast("long")).alias("__lo"), F.max(F.col(position).cast("long")).alias("__hi"), F.count(position).alias("__known")] if position else []
-        extra += [F.min(c).alias(c) for c in group if c not in e.key]
-        keyed = rows.groupBy(*e.key).agg(F.count(F.lit(1)).alias("__n"), *extra)
         grouped = Observation(f"keys-{uuid.uuid4().hex}")
-        keyed = keyed.observe(grouped, F.count(F.lit(1)).alias("keys"), F.sum(F.col("__n") - 1).alias("duplicate_key"))
         observed.append(grouped)
-        if not position:
+        if not e.positions:
+            keyed = rows.groupBy(*e.key).agg(F.count(F.lit(1)).alias("__n")).observe(grouped, F.count(F.lit(1)).alias("keys"), F.sum(F.col("__n") - 1).alias("duplicate_key"))
             return observed, keyed.agg(F.sum("__n").alias("rows_at_the_end"))
-        run = keyed.groupBy(*group).agg(
-            F.sum("__n").alias("__n"), F.sum("__known").alias("__known"), F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"), F.count_distinct("__lo").alias("__d")
-        )
-        whole = (F.col("__lo") == 1) & (F.col("__hi") == F.col("__n")) & (F.col("__d") == F.col("__n")) & (F.col("__known") == F.col("__n"))
+        # Rows by key and rows by group and position, in one pass: rows of one key may have different positions.
+        group, position = e.positions
+        rows = rows.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(e.key)], *[F.col(c).alias(f"__g{i}") for i, c in enumerate(group)], F.col(position).cast("long").alias("__at"))
+        key, place = [c for c in rows.columns if c.startswith("__k")], [c for c in rows.columns if not c.startswith("__k")]
+        both = rows.groupingSets([key, place], *key, *place).agg(F.grouping("__at").cast("boolean").alias("__by_key"), F.count(F.lit(1)).alias("__n"))
+        both = both.observe(grouped, F.count_if("__by_key").alias("keys"), F.sum(F.when(F.col("__by_key"), F.col("__n") - 1)).alias("duplicate_key"))
+        run = both.filter(~F.col("__by_key")).groupBy(*place[:-1]).agg(F.sum("__n").alias("__n"), F.min("__at").alias("__lo"), F.max("__at").alias("__hi"), F.count("__at").alias("__d"))
+        whole = (F.col("__lo") == 1) & (F.col("__hi") == F.col("__n")) & (F.col("__d") == F.col("__n"))
         return observed, run.agg(F.sum("__n").alias("rows_at_the_end"), F.count_if(~F.coalesce(whole, F.lit(False))).alias("broken_positions"))
 
     return _run(make, "rows", "rows_at_the_end")
