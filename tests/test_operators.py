@@ -766,3 +766,10 @@ def test_positions_of_rows_not_of_keys(spark):
     K.validate(checks, {"e": K.Entity(df, ("p", "v"), positions=(("p",), "i"))})
     got = {r["check"]: r["observed"] for r in checks.frame(spark).collect()}
     assert (got["e_broken_positions"], got["e_duplicate_key"], got["e_missing_key"]) == ("2", "1", "2")
+
+
+def test_digest_blocks_travel_compressed():
+    lines = [f"1-URGENT|{i // 10}|{i}|O" for i in range(50_000)]
+    blocks = list(A._line_blocks(iter([pa.RecordBatch.from_arrays([pa.array(lines)], names=["l"])])))
+    assert sum(b.num_rows for b in blocks) == len(blocks) and sum(b.column(1)[0].as_py() for b in blocks) == len(lines)
+    assert sum(len(b.column(0)[0].as_py()) for b in blocks) < sum(map(len, lines)) / 3

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -105,24 +106,30 @@ SORTED_BYTES, BLOCK_BYTES = 32_000_000, 1_000_000
 
 
 def _line_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted lines as compressed blocks with their bytes and rows."""
+
+    def block() -> pa.RecordBatch:
+        data = "\n".join(held).encode()
+        return pa.RecordBatch.from_arrays([pa.array([zlib.compress(data)], pa.binary()), pa.array([len(held)], pa.int64())], names=["block", "rows"])
+
     held, size = [], 0
     for batch in batches:
         for line in batch.column(0).to_pylist():
             held.append(line)
             size += len(line)
             if size >= BLOCK_BYTES:
-                yield pa.RecordBatch.from_arrays([pa.array(["\n".join(held)], pa.string()), pa.array([len(held)], pa.int64())], names=["block", "rows"])
+                yield block()
                 held, size = [], 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(["\n".join(held)], pa.string()), pa.array([len(held)], pa.int64())], names=["block", "rows"])
+        yield block()
 
 
 def table_hash(df: DataFrame, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """A10: SHA-256 over the rows' canonical lines in order (then by line): one row (rows, digest), for tables of any size.
 
-    A sort over range partitions of about ``SORTED_BYTES`` puts the lines in order, tasks join them to blocks, and
+    A sort over range partitions of about ``SORTED_BYTES`` puts the lines in order, tasks join them to blocks and compress these, and
     the digest takes up one block after the other, partition by partition: such a hash is sequential by its nature, but
-    the driver holds one partition of lines at most. Rows alike in all of these columns are spread as well.
+    the driver holds one partition of compressed lines at most. Rows alike in all of these columns are spread as well.
     """
     line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit(S.NULL_MARK)) for c in columns])
     lines = df.select(*[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], line.alias("__line"))
@@ -130,10 +137,10 @@ def table_hash(df: DataFrame, order: Sequence[str], columns: Sequence[str]) -> D
     keys = [f"__o{i}" for i in range(len(order))] + ["__line"]
     salted = lines.withColumn("__salt", F.monotonically_increasing_id())
     parts = max(1, -(-size // SORTED_BYTES))
-    blocks = salted.repartitionByRange(parts, *keys, "__salt").sortWithinPartitions(*keys).select("__line").mapInArrow(_line_blocks, "block string, rows long")
+    blocks = salted.repartitionByRange(parts, *keys, "__salt").sortWithinPartitions(*keys).select("__line").mapInArrow(_line_blocks, "block binary, rows long")
     state, rows = hashlib.sha256(), 0
     for r in blocks.toLocalIterator():
-        state.update((b"\n" if rows else b"") + r["block"].encode())
+        state.update((b"\n" if rows else b"") + zlib.decompress(r["block"]))
         rows += r["rows"]
     return df.sparkSession.createDataFrame([(rows, state.hexdigest())], "rows long, digest string")
 
