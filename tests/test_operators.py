@@ -773,3 +773,12 @@ def test_digest_blocks_travel_compressed():
     blocks = list(A._line_blocks(iter([pa.RecordBatch.from_arrays([pa.array(lines)], names=["l"])])))
     assert sum(b.num_rows for b in blocks) == len(blocks) and sum(b.column(1)[0].as_py() for b in blocks) == len(lines)
     assert sum(len(b.column(0)[0].as_py()) for b in blocks) < sum(map(len, lines)) / 3
+
+
+def test_date_profile_multiplies_no_rows(spark):
+    rows = [(1, "2024-01-01", "a", "x"), (1, "2024-01-03", "a", None), (1, "2024-01-03", None, "x"), (1, "2024-01-03", "b", "x"), (1, None, "c", "x")]
+    d = spark.createDataFrame(rows, "k int, d string, s string, c string").withColumn("d", F.to_date("d"))
+    out = T.date_profile(d, ["k"], "d", "s", "c")
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+    r = out.first()
+    assert (r["observed_cells"], r["distinct_dates"], r["sources"], r["fields"], str(r["date_median"]), r["span_days"]) == (4, 2, 2, 2, "2024-01-03", 2)

@@ -24,12 +24,18 @@ def _day(days: Column) -> Column:
 
 
 def date_profile(evidence: DataFrame, keys: Sequence[str], day: str, source: str, column: str) -> DataFrame:
-    """By visit over long (day, source, column) evidence: extremes, median day, counts, span and status."""
+    """By visit over long (day, source, column) evidence: extremes, median day, counts, span and status.
+
+    Different days and fields are sets in the one aggregate, bounded by the number of days and of fields there are, so no row is multiplied for them.
+    """
     d = evidence.filter(F.col(day).isNotNull())
-    out = d.groupBy(*keys).agg(
+    facts = d.groupBy(*keys).agg(
         F.min(day).alias("date_min"), F.max(day).alias("date_max"), F.percentile(F.unix_date(day), 0.5).alias("__med"),
-        F.count(F.lit(1)).alias("observed_cells"), F.count_distinct(day).alias("distinct_dates"), F.count_distinct(source).alias("sources"), F.count_distinct(source, column).alias("fields"),
+        F.count(F.lit(1)).alias("observed_cells"), F.collect_set(F.unix_date(day)).alias("__days"), F.collect_set(F.struct(F.col(source).alias("s"), F.col(column).alias("c"))).alias("__fields"),
     )
+    whole = F.size(F.filter("__fields", lambda f: f["s"].isNotNull() & f["c"].isNotNull()))
+    sources = F.size(F.array_distinct(F.filter(F.col("__fields.s"), lambda s: s.isNotNull())))
+    out = facts.select("*", F.size("__days").cast("long").alias("distinct_dates"), sources.cast("long").alias("sources"), whole.cast("long").alias("fields"))
     span = F.datediff("date_max", "date_min")
     status = F.when(span == 0, "exact_date_consensus").when(span <= 7, "date_range_within_7_days").when(span <= 30, "date_range_8_to_30_days").otherwise("date_range_over_30_days")
     return out.select(*keys, "date_min", "date_max", _day(F.col("__med")).alias("date_median"), "observed_cells", "distinct_dates", "sources", "fields", span.alias("span_days"), status.alias("status"))
