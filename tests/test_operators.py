@@ -782,3 +782,15 @@ def test_date_profile_multiplies_no_rows(spark):
     assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
     r = out.first()
     assert (r["observed_cells"], r["distinct_dates"], r["sources"], r["fields"], str(r["date_median"]), r["span_days"]) == (4, 2, 2, 2, "2024-01-03", 2)
+
+
+def test_ledger_of_numbered_rows_is_one_join(spark):
+    rows = [(1, "x", 7), (1, "x", 5), (2, "y", 1), (3, "p", 2), (3, "q", 3), (4, None, 8), (4, "z", 9), (None, "n", 4)]
+    df = spark.createDataFrame(rows, "k int, a string, __source_row long")
+    out = V.resolve(df, V.Contract("t", "visit", ("k",))).ledger()
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    got = {r["__source_row"]: (r["action"], r["reason"], r["group_rows"]) for r in out.collect()}
+    assert got == {
+        7: ("excluded", "not_selected", 2), 5: ("selected", V.EQUIVALENT, 2), 1: ("selected", V.UNIQUE, 1), 2: ("excluded", "unresolved_group", 2), 3: ("excluded", "unresolved_group", 2),
+        8: ("excluded", "not_selected", 2), 9: ("selected", V.DOMINANT, 2), 4: ("excluded", "missing_key", 0),
+    }
