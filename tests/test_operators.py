@@ -794,3 +794,18 @@ def test_ledger_of_numbered_rows_is_one_join(spark):
         7: ("excluded", "not_selected", 2), 5: ("selected", V.EQUIVALENT, 2), 1: ("selected", V.UNIQUE, 1), 2: ("excluded", "unresolved_group", 2), 3: ("excluded", "unresolved_group", 2),
         8: ("excluded", "not_selected", 2), 9: ("selected", V.DOMINANT, 2), 4: ("excluded", "missing_key", 0),
     }
+
+
+def test_quantiles_take_one_count_of_values(spark, monkeypatch):
+    """However few values are sorted in one place, different values are counted once and only the ranges that hold a rank are sorted."""
+    from visitloom.operators import quantiles as Q
+
+    written = []
+    keep = Q.staged
+    monkeypatch.setattr(Q, "staged", lambda d, name: written.append(name) or keep(d, name))
+    x = np.random.default_rng(3).integers(0, 4000, 20_000) / 7
+    df = spark.createDataFrame(pd.DataFrame({"g": np.where(np.arange(20_000) % 3 == 0, "a", None), "x": x}))
+    got = {r["g"]: (r["n"], r["q"]) for r in exact_quantiles(df, ["g"], ["x"], [0, 0.1, 0.5, 0.99, 1], small=10).collect()}
+    for g, mine in (("a", x[::3]), (None, np.delete(x, np.arange(0, 20_000, 3)))):
+        assert got[g][0] == len(mine) and np.allclose(got[g][1], np.quantile(mine, [0, 0.1, 0.5, 0.99, 1]))
+    assert written == ["sizes", "rank-counts", "rank-ranges", "ranks"]
