@@ -856,3 +856,14 @@ def test_pipeline_stages_with_repeated_and_missing_ids(spark, tmp_path, rows):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     assert len({r["doc_id"] for r in pieces}) == len({d for d, _ in kept})
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(pieces)
+
+
+def test_mix_has_the_same_blocks_at_every_size(spark, monkeypatch):
+    """No number of blocks makes them larger, and a schedule too long to be broadcast gives the same places."""
+    assert mixing.MAX_SLOTS is None
+    docs = spark.range(2000).selectExpr("id as doc_id", "concat('s', id % 3) as source")
+    got = []
+    for slots in (400_000, 10):
+        monkeypatch.setattr(mixing, "BROADCAST_SLOTS", slots)
+        got.append(sorted(tuple(r) for r in mixing.mix_sources(docs, block=4).collect()))
+    assert got[0] == got[1] and {r[3] for r in got[0] if r[1] == "s0"} == set(range(167))

@@ -12,7 +12,8 @@ fluid stream source s has had min(n_s, w_s * v) blocks at virtual time v, where
 slot t. Releases and deadlines are the slots in which the fluid stream begins and ends a block. They can all
 be met, as the fluid stream meets them in fractions, so earliest deadline first keeps every source within less than
 one block of the fluid stream at every slot, across all departures. The whole schedule is computed in whole
-numbers on the driver, and blocks grow with the corpus so that it has ``MAX_SLOTS`` slots, and one more for each source, at most.
+numbers on the driver, one slot for each block; so it grows with the number of blocks. Blocks have the same size in a corpus of any
+size, unless ``MAX_SLOTS`` is set.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ from visitloom.llm.common import materialize, number_gapless, only
 
 #: Sources above this number would make the one-period schedule too large for the driver.
 MAX_SOURCES = 100_000
-#: Blocks of a stream that gives every document, besides one for each source: beyond, a block holds more documents.
-MAX_SLOTS = 400_000
+#: If set, blocks of a stream that gives every document, besides one for each source: beyond, a block holds more documents.
+MAX_SLOTS: int | None = None
+#: Slots of a schedule that is broadcast; a longer one is joined by shuffle, with the same result.
+BROADCAST_SLOTS = 400_000
 #: Weights are whole multiples of so much of the largest.
 FINENESS = 1 << 44
 
@@ -127,8 +130,8 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, blo
     Columns: doc_id, source, position (in its source, from 0), block, release, deadline, slot (all
     from 0, in slots of one block), in_mix. Without ``weights`` they are ``tempered_weights`` of the
     sources' counts, and a source leaves the stream with its last, perhaps partly filled block while
-    the others go on, so that every document has its slot; blocks then hold more than ``block`` documents
-    if there would be over ``MAX_SLOTS`` of them. With ``stop`` (the default when weights
+    the others go on, so that every document has its slot; blocks then hold ``block`` documents
+    at every size (more only if ``MAX_SLOTS`` is set and there would be over so many). With ``stop`` (the default when weights
     are given) the stream ends when the next slot would need a block that its source cannot fill, so
     that the weights hold throughout: ``in_mix`` is false after that. It is also false for sources
     without a positive weight, whose slot is null.
@@ -150,11 +153,12 @@ def place_rows(rows: DataFrame, weights: Mapping[str, float] | None = None, bloc
     weights = tempered_weights(counts) if weights is None else {s: w for s, w in weights.items() if s in counts}
     numbered = number_gapless(rows, ["source"], ["doc_id"], "position", sum(counts.values()))
     if not stop:
-        block = max(block, -(-sum(counts.values()) // MAX_SLOTS))
+        block = block if MAX_SLOTS is None else max(block, -(-sum(counts.values()) // MAX_SLOTS))
         plan = whole_stream({s: -(-n // block) for s, n in counts.items()}, weights)
         schedule = spark.createDataFrame(pd.DataFrame(plan, columns=["s", "i", "release", "deadline", "slot"]), "s string, i long, release long, deadline long, slot long")
         blocks = numbered.withColumn("block", F.floor(F.col("position") / block).cast("long"))
-        joined = blocks.join(F.broadcast(schedule), (F.col("source") == F.col("s")) & (F.col("block") == F.col("i")), "left")  # MAX_SLOTS + MAX_SOURCES rows at most
+        schedule = F.broadcast(schedule) if len(plan) <= BROADCAST_SLOTS else schedule
+        joined = blocks.join(schedule, (F.col("source") == F.col("s")) & (F.col("block") == F.col("i")), "left")
         return joined.select("doc_id", "source", "position", "block", "release", "deadline", "slot", F.col("slot").isNotNull().alias("in_mix"), *carry)
     period = max(period, 4 * len(weights))
     shares = whole_shares(weights, period)
