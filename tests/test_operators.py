@@ -443,6 +443,33 @@ def test_split_search_counts_codes_not_cells():
         assert got["modality_count_mean"][s, 0].tolist() == [*x.value_counts().reindex(sorted(pdf["modality_count_mean"].dropna()), fill_value=0), x.isna().sum()]
 
 
+def test_split_search_permutes_as_numpy(monkeypatch):
+    """Only the smaller splits are permuted, and as the whole permutation has them; draws are judged many at once."""
+    monkeypatch.setattr(B, "REPLAYED", 0)
+    assert B.replays()
+    for n in (1, 2, 3, 70, 1024, 1025, 40_000, 150_000):
+        for seed in range(3):
+            order = np.random.default_rng(seed).permutation(n)
+            for m in (0, n // 2, int(0.7 * n)):
+                assert np.array_equal(B.permuted_tail(n, m, seed), order[m:])
+
+
+def test_split_search_of_many_participants(spark):
+    """Over two million participants; counts and codes are made in tasks, and give what the whole profile gives."""
+    n = 2_000_500
+    number = F.col("id")
+    df = spark.range(0, n, 1, 4).select(number.alias("participant"), (number % 5 + 1).alias("n_visits"), F.when(number % 7 > 0, number % 61 / 3).alias("followup_months"), (number % 3).cast("double").alias("modality_count_mean"), *[F.when(number % 11 > 0, (number % k).cast("string")).alias(c) for k, c in enumerate(B.CATEGORICAL, 2)])
+    assert B.search_splits(df, 1, tasks=1).count() == 1
+    assert B.split_mapping(df, 3).groupBy("split").count().collect()
+    small = df.filter(number % 500 == 0)
+    context, whole = B.search_context(small), B.SearchContext.of(small.orderBy("participant").toPandas())
+    assert context.place == whole.place and all(np.array_equal(a, b) for a, b in zip(context.words, whole.words, strict=True))
+    assert context.score([5, 6]) == whole.score([5, 6])
+    ids, order = sorted(r[0] for r in small.select("participant").collect()), np.random.default_rng(3).permutation(4001)
+    got = {r["participant"]: r["split"] for r in B.split_mapping(small.repartition(5), 3).collect()}
+    assert got == {ids[k]: s for s, at in zip(B.SHARES, np.split(order, np.cumsum(list(B.split_sizes(4001).values()))[:2]), strict=True) for k in at}
+
+
 def test_best_split_replayed_by_operators(spark, small):
     """The best candidate's mapping gives its score again through the Spark operators of each distance."""
     from visitloom.plans.model_queries import _profile
