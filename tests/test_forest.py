@@ -120,3 +120,38 @@ def test_whole_trees_share_rows_by_batches(spark, monkeypatch):
     got = [{(g["i"], g["forest"]): [*g["prediction"], g["spread"]] for g in W.extra_trees(train, rest, "i", "x", "y", forests, [1, 2], n).collect()} for n in (None, 20)]
     assert met == [18] and set(got[0]) == set(got[1]) and len(got[0]) == 80
     assert all(np.allclose(got[0][k], got[1][k], rtol=1e-9, atol=1e-12) for k in got[0])
+
+
+def test_trees_of_blocks_side_by_side(monkeypatch):
+    """Nodes cut one by one, copied side by side and cut level by level give one tree; single precision cuts the same rows as double."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(400, 6)).astype(np.float32)
+    x[:, 2], x[::2, 4], x[100:140] = 1, 0, x[100]  # constant, often constant, repeated rows
+    y = np.c_[np.round(4 * x[:, 0].astype(float)), np.arange(400) % 3]
+    columns, ys, asked = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T), x[::3]
+    for tree in (W.Tree(1, 0, 9, 3, 2, 0), W.Tree(1, 1, 4, 6, 1, 0), W.Tree(2, 0, 12, 1, 5, 0)):
+        want = one_tree(tree, x.astype(float), y, asked.astype(float))
+        for grow, node in ((32_768, 64), (32_768, 0), (150, 20), (30, 30), (0, 0), (32_768, 32_768)):
+            monkeypatch.setattr(W, "GROW_ROWS", max(1, grow))
+            monkeypatch.setattr(W, "NODE_ROWS", node)
+            for kind in (np.float32, np.float64):
+                assert np.allclose(W.finish_columns(tree, 1, columns.astype(kind), ys, asked), want)
+    cut = r.normal(size=1000)
+    for v in (W.below(cut, np.dtype(np.float32)),):
+        assert (v <= cut).all() and (np.nextafter(v, np.float32(np.inf)) > cut).all()
+
+
+def test_batches_of_trees_have_tasks_of_their_own(spark):
+    codes = W._spread_codes(spark, 122)
+    parts = spark.createDataFrame([(c,) for c in codes], "code int").repartition(122, "code").selectExpr("spark_partition_id() AS p").distinct().count()
+    assert len(set(codes)) == 122 == parts
+
+
+def test_whole_trees_are_not_copied_for_each_tree(spark, data, monkeypatch):
+    """A table beyond ``LOCAL_VALUES`` still meets its trees in batches, as blocks of bytes."""
+    x, y, df = data
+    monkeypatch.setattr(W, "LOCAL_VALUES", 7 * 50)
+    monkeypatch.setattr(W, "_block_sums", None)
+    got = {(r["i"], r["forest"]): r["prediction"] for r in W.extra_trees(df.filter("i < 200"), df.filter("i >= 180"), "i", "x", "y", FORESTS, SEEDS).collect()}
+    want = np.mean([one_tree(W.Tree(s, t, 4, 2, 2, 0), x[:200], y[:200], x[180:]) for s in SEEDS for t in range(2)], axis=0)
+    assert len(got) == 160 and all(np.allclose(got[180 + i, 1], want[i]) for i in range(80))
